@@ -37,11 +37,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .where("a > b").distinct(),
             "large",
         )
-        lowest = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lowest, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = materialize(lowest.select("a", F.col("m").alias("b")).union(moved).distinct(), "small")
         after = _signature(small)
-        release(current, minima, large, lowest)
+        release(current, minima, large)
         current = small
         if after == before:
             break
