@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -41,14 +43,27 @@ def refine_links(introns: DataFrame, near_exons: DataFrame | None = None, mode:
     edges = introns.select("cluster", "intron", F.explode(F.array(F.col("start").cast("string"), F.col("stop").cast("string"))).alias("site"))
     if mode == 3 and near_exons is not None:
         edges = edges.unionByName(introns.join(near_exons, "intron").select("cluster", "intron", F.col("exon").alias("site")))
-    labels = edges.groupBy("cluster").applyInPandas(_close, "cluster string, intron string, component string")
+    ordered = edges.repartition("cluster").sortWithinPartitions("cluster")
+    labels = ordered.mapInPandas(_close, "cluster string, intron string, component string")
     return introns.join(labels, ["cluster", "intron"])
 
 
-def _close(frame: pd.DataFrame) -> pd.DataFrame:
-    """Components of one cluster, a locus of at most some thousand introns; component is its cluster and least intron."""
-    names, x = np.unique(frame["intron"].to_numpy(dtype=str), return_inverse=True)
-    y = np.unique(frame["site"].to_numpy(dtype=str), return_inverse=True)[1] + len(names)
+def _close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of the clusters in sorted frames, many at a time; component is its cluster and least intron."""
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        open_ = frame["cluster"] == frame["cluster"].iloc[-1]  # may go on in the next frame
+        rest = frame[open_]
+        if not open_.all():
+            yield _closure(frame[~open_])
+    if rest is not None and len(rest):
+        yield _closure(rest)
+
+
+def _closure(frame: pd.DataFrame) -> pd.DataFrame:
+    x, pairs = pd.MultiIndex.from_frame(frame[["cluster", "intron"]]).factorize(sort=True)
+    y = pd.MultiIndex.from_frame(frame[["cluster", "site"]]).factorize()[0] + len(pairs)
     low = np.arange(y.max() + 1)
     while True:
         least = np.minimum(low[x], low[y])
@@ -59,8 +74,9 @@ def _close(frame: pd.DataFrame) -> pd.DataFrame:
         if (new == low).all():
             break
         low = new
-    cluster = frame["cluster"].iloc[0]
-    return pd.DataFrame({"cluster": cluster, "intron": names, "component": [f"{cluster}|{names[i]}" for i in low[: len(names)]]})
+    out = pd.DataFrame(list(pairs), columns=["cluster", "intron"])
+    out["component"] = out["cluster"] + "|" + out["intron"].to_numpy()[low[: len(pairs)]]
+    return out
 
 
 def filter_introns(introns: DataFrame, keys=("cluster",), count: str = "count", cutoff: float = 0.1, pct: float = 0.01) -> DataFrame:
