@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from introngrid.graph import connected_components
-from introngrid.llm.simhash import _forest
+from introngrid.graph import connected_components, forest
 from introngrid.storage import free_shuffles, materialize
 
 #: Vectors that the index is fitted on, at most; every vector is indexed.
@@ -149,10 +148,10 @@ def _search(index: Index, threshold: float):
                     names, at = np.unique(nodes, return_inverse=True)
                     for name, c in zip(names.tolist(), np.bincount(at, weights=n).astype(np.int64).tolist() if len(at) else [], strict=True):
                         links[name] = links.get(name, 0) + c
-                a, b = _forest(q_node[xs], m_node[ys])
+                a, b = forest(q_node[xs], m_node[ys])
                 ea.append(a)
                 eb.append(b)
-        a, b = _forest(np.concatenate(ea), np.concatenate(eb)) if ea else (q_node[:0], q_node[:0])
+        a, b = forest(np.concatenate(ea), np.concatenate(eb)) if ea else (q_node[:0], q_node[:0])
         edges = pd.DataFrame({"kind": np.zeros(len(a), np.int32), "a": a, "b": b})
         counts = pd.DataFrame({"kind": np.ones(len(links), np.int32), "a": np.fromiter(links, np.int64, len(links)), "b": np.fromiter(links.values(), np.int64, len(links))})
         return pd.concat([edges, counts], ignore_index=True)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from introngrid.graph import connected_components
+from introngrid.graph import connected_components, forest
 from introngrid.llm.words import LOWER, encoded, slices
 from introngrid.storage import free_shuffles, materialize, release
 
@@ -64,26 +64,6 @@ def covering_masks(radius: int) -> list[int]:
     return masks
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the given edges: what they link, with fewer of them."""
-    if not len(a):
-        return a, b
-    nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
-    low = np.arange(len(nodes))
-    x, y = index[: len(a)], index[len(a) :]
-    while True:  # hook to the smaller label, then shorten the paths
-        lx, ly = low[x], low[y]
-        open_ = lx != ly
-        if not open_.any():
-            break
-        x, y, lx, ly = x[open_], y[open_], lx[open_], ly[open_]
-        np.minimum.at(low, np.maximum(lx, ly), np.minimum(lx, ly))
-        while (low[low] != low).any():
-            low = low[low]
-    other = np.flatnonzero(low != np.arange(len(nodes)))
-    return nodes[other], nodes[low[other]]
-
-
 def _sorted_neighbours(radius: int):
     """Of rows sorted by (t, key, fp): edges between members of a bucket, and the buckets not compared whole."""
 
@@ -111,7 +91,7 @@ def _sorted_neighbours(radius: int):
                 hit = pair[(d <= radius) & (d > 0)]
                 ea.append(fp[hit])
                 eb.append(fp[hit + s])
-            a, b = _forest(np.concatenate(ea), np.concatenate(eb)) if ea else (fp[:0], fp[:0])
+            a, b = forest(np.concatenate(ea), np.concatenate(eb)) if ea else (fp[:0], fp[:0])
             yield pd.DataFrame({"kind": np.zeros(len(a), np.int32), "a": a, "b": b})
             if len(at):  # some bucket has a pair NEAR places apart, and so perhaps farther ones
                 far = pd.DataFrame({"kind": np.ones(len(at), np.int32), "a": t[at].astype(np.int64), "b": key[at]}).drop_duplicates()
@@ -134,10 +114,10 @@ def _blocks(radius: int):
             rows = left[k : k + 256]
             near = np.bitwise_count((fp[rows][:, None] ^ fp[right][None, :]).view(np.uint64)) <= radius
             x, y = np.nonzero(near & (comp[rows][:, None] != comp[right][None, :]))
-            a, b = _forest(fp[rows][x], fp[right][y])
+            a, b = forest(fp[rows][x], fp[right][y])
             ea.append(a)
             eb.append(b)
-        a, b = _forest(np.concatenate(ea), np.concatenate(eb))
+        a, b = forest(np.concatenate(ea), np.concatenate(eb))
         return pd.DataFrame({"a": a, "b": b})
 
     return run
