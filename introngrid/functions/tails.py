@@ -68,20 +68,18 @@ def beta_i(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(swap, 1 - value, value)
 
 
-@F.pandas_udf("double")
 def _chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(gamma_q(df.to_numpy(float) / 2, x.to_numpy(float) / 2))
 
 
-@F.pandas_udf("double")
 def _student(t: pd.Series, df: pd.Series) -> pd.Series:
     t, n = t.to_numpy(float), df.to_numpy(float)
     return pd.Series(beta_i(n / 2, 0.5, n / (n + t * t)))
 
 
 def chi2_sf(x: Column, df: Column) -> Column:
-    return F.when(x.isNotNull() & (df > 0), _chi2(F.coalesce(x.cast("double"), F.lit(0.0)), F.greatest(df.cast("double"), F.lit(1.0))))
+    return F.when(x.isNotNull() & (df > 0), F.pandas_udf(_chi2, "double")(F.coalesce(x.cast("double"), F.lit(0.0)), F.greatest(df.cast("double"), F.lit(1.0))))
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
-    return F.when(t.isNotNull() & (df > 0), _student(F.coalesce(t.cast("double"), F.lit(0.0)), F.greatest(df.cast("double"), F.lit(1.0))))
+    return F.when(t.isNotNull() & (df > 0), F.pandas_udf(_student, "double")(F.coalesce(t.cast("double"), F.lit(0.0)), F.greatest(df.cast("double"), F.lit(1.0))))

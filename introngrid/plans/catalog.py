@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("annotation_cases", "cluster_cases", "quant_cases")
+MODULES = ("annotation_cases", "cluster_cases", "quant_cases", "cohort_cases", "stats_cases", "represent_cases", "scan_cases")
 
 
 def _cases() -> dict:

@@ -76,15 +76,15 @@ def d08(s, d):
 
 
 def d09(s, d):
-    return D.covered_celltype_design(cover(s, d), 8, 6, 12).select("feature", "sample_id", "umis")
+    return D.covered_celltype_design(cover(s, d), 3, 4, 8).select("feature", "sample_id", "umis")
 
 
 def d10(s, d):
-    return D.covered_pairwise_designs(cover(s, d), 8, 5)
+    return D.covered_pairwise_designs(cover(s, d), 3, 2)
 
 
 def d11(s, d):
-    return D.covered_condition_designs(cover(s, d), 8, 3).select("feature", "sample_id", "condition")
+    return D.covered_condition_designs(cover(s, d), 3, 2).select("feature", "sample_id", "condition")
 
 
 def d12(s, d):
@@ -150,18 +150,18 @@ CASES = {
     "d06_permute_pairs": (d06, None),
     "d07_subject_folds": (d07, "SELECT subject, condition, CAST((row_number() OVER (PARTITION BY condition ORDER BY CAST(substr(subject, 2) AS INT) * 7 % 11, subject) - 1) % 2 AS INT) AS fold FROM (SELECT DISTINCT subject, condition FROM {cell_meta}) x"),
     "d08_filter_subjects": (d08, f"WITH {COVER} SELECT feature, sample_id, umis FROM cv WHERE condition = 'C1'"),
-    "d09_covered_celltype_design": (d09, f"""WITH {COVER}, c AS (SELECT * FROM cv WHERE umis >= 8), k AS (SELECT * FROM c WHERE (feature, cell_type) IN (SELECT (feature, cell_type) FROM c GROUP BY feature, cell_type HAVING count(DISTINCT subject) >= 6))
-        SELECT feature, sample_id, umis FROM k WHERE feature IN (SELECT feature FROM k GROUP BY feature HAVING count(*) >= 12 AND count(DISTINCT cell_type) > 1)"""),
-    "d10_covered_pairwise_designs": (d10, f"WITH {COVER}, c AS (SELECT DISTINCT feature, subject, cell_type FROM cv WHERE umis >= 8) SELECT a.feature, a.cell_type AS level_a, b.cell_type AS level_b, count(*) AS n_subjects FROM c a JOIN c b ON a.feature = b.feature AND a.subject = b.subject AND a.cell_type < b.cell_type GROUP BY ALL HAVING count(*) >= 5"),
-    "d11_covered_condition_designs": (d11, f"""WITH {COVER}, c AS (SELECT * FROM cv WHERE umis >= 8), l AS (SELECT feature, cell_type, condition FROM c GROUP BY ALL HAVING count(DISTINCT subject) >= 3), g AS (SELECT feature, cell_type FROM l GROUP BY ALL HAVING count(*) >= 2)
+    "d09_covered_celltype_design": (d09, f"""WITH {COVER}, c AS (SELECT * FROM cv WHERE umis >= 3), k AS (SELECT * FROM c WHERE (feature, cell_type) IN (SELECT (feature, cell_type) FROM c GROUP BY feature, cell_type HAVING count(DISTINCT subject) >= 4))
+        SELECT feature, sample_id, umis FROM k WHERE feature IN (SELECT feature FROM k GROUP BY feature HAVING count(*) >= 8 AND count(DISTINCT cell_type) > 1)"""),
+    "d10_covered_pairwise_designs": (d10, f"WITH {COVER}, c AS (SELECT DISTINCT feature, subject, cell_type FROM cv WHERE umis >= 3) SELECT a.feature, a.cell_type AS level_a, b.cell_type AS level_b, count(*) AS n_subjects FROM c a JOIN c b ON a.feature = b.feature AND a.subject = b.subject AND a.cell_type < b.cell_type GROUP BY ALL HAVING count(*) >= 2"),
+    "d11_covered_condition_designs": (d11, f"""WITH {COVER}, c AS (SELECT * FROM cv WHERE umis >= 3), l AS (SELECT feature, cell_type, condition FROM c GROUP BY ALL HAVING count(DISTINCT subject) >= 2), g AS (SELECT feature, cell_type FROM l GROUP BY ALL HAVING count(*) >= 2)
         SELECT feature, sample_id, condition FROM c SEMI JOIN l USING (feature, cell_type, condition) SEMI JOIN g USING (feature, cell_type)"""),
-    "d12_design_rows": (d12, f"WITH {SM} SELECT sample_id, 'intercept' AS \"column\", 1.0 AS value FROM sm UNION ALL SELECT sample_id, 'cell_type=' || cell_type, 1.0 FROM sm WHERE cell_type > (SELECT min(cell_type) FROM sm) UNION ALL SELECT sample_id, 'subject=' || subject, 1.0 FROM sm WHERE subject > (SELECT min(subject) FROM sm)"),
+    "d12_design_rows": (d12, f"WITH {SM} SELECT sample_id, 'intercept' AS \"column\", CAST(1 AS DOUBLE) AS value FROM sm UNION ALL SELECT sample_id, 'cell_type=' || cell_type, CAST(1 AS DOUBLE) FROM sm WHERE cell_type > (SELECT min(cell_type) FROM sm) UNION ALL SELECT sample_id, 'subject=' || subject, CAST(1 AS DOUBLE) FROM sm WHERE subject > (SELECT min(subject) FROM sm)"),
     "d13_dedup_candidates": (d13, None),
     "d14_joint_gene_candidates": (d14, None),
     "d15_filter_junction_groups": (d15, f"""WITH {GROUPS}, r AS (SELECT intron AS junction_id, gene_id || '_' || strand AS intron_group, CAST(regexp_extract(tx_id, '([0-9]+)$', 1) AS BIGINT) AS k FROM kept),
         c AS (SELECT junction_id, intron_group, k % 4 AS sm, k % 2 AS side, sum(k % 9) AS v FROM r GROUP BY ALL),
-        a AS (SELECT intron_group, junction_id, sum(v) AS t FROM c GROUP BY ALL HAVING count(DISTINCT CASE WHEN side = 0 AND v > 0 THEN sm END) >= 1 AND count(DISTINCT CASE WHEN side = 1 AND v > 0 THEN sm END) >= 1),
-        b AS (SELECT intron_group, junction_id, t / CAST(nullif(sum(t) OVER (PARTITION BY intron_group), 0) AS DOUBLE) AS share FROM a), e AS (SELECT *, count(*) OVER (PARTITION BY intron_group) AS n FROM b WHERE share >= 0.02)
+        jt AS (SELECT intron_group, junction_id, sum(v) AS t FROM c GROUP BY ALL HAVING count(DISTINCT CASE WHEN side = 0 AND v > 0 THEN sm END) >= 1 AND count(DISTINCT CASE WHEN side = 1 AND v > 0 THEN sm END) >= 1),
+        sh AS (SELECT intron_group, junction_id, t / CAST(nullif(sum(t) OVER (PARTITION BY intron_group), 0) AS DOUBLE) AS share FROM jt), e AS (SELECT *, count(*) OVER (PARTITION BY intron_group) AS n FROM sh WHERE share >= 0.02)
         SELECT intron_group, junction_id, round(share, 6) AS share FROM e WHERE n >= 2"""),
     "d16_attach_group_metadata": (d16, f"WITH {GROUPS} SELECT chrom || '_' || CAST(floor(start / 15000) AS BIGINT) AS big, CASE WHEN count(DISTINCT gene_id) = 1 THEN min(gene_id) END AS gene_id FROM grp GROUP BY 1"),
     "d17_contrast_sheet": (d17, f"WITH {PLAN}, x AS (SELECT contrast_id, unnest(sa) AS sample_id, 'A' AS grp FROM pl UNION ALL SELECT contrast_id, unnest(sb), 'B' FROM pl) SELECT contrast_id, sample_id, grp, subject FROM x JOIN sm USING (sample_id)"),

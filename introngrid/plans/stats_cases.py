@@ -370,8 +370,8 @@ CASES = {
         hs AS (SELECT gene_id, pair_id FROM fx GROUP BY ALL HAVING count(DISTINCT (method, fold)) = (SELECT count(DISTINCT (method, fold)) FROM fx)), fo AS (SELECT * FROM fx SEMI JOIN hs USING (gene_id, pair_id)), {SIM('ff', 'fo', 'method, fold, gene_id')}, {REPRO}"""),
     "p28_compare_discoveries": (p28, f"""WITH {GENES}, u AS (SELECT method, gene_id, p_value * 0.3 AS p_value FROM g WHERE CAST(substr(gene_id, 2) AS INT) % 9 > 0), cm AS (SELECT gene_id FROM u GROUP BY gene_id HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM g)),
         rw AS (SELECT *, 'own' AS universe FROM u UNION ALL SELECT *, 'common' FROM u WHERE gene_id IN (SELECT gene_id FROM cm)), {fdr('b', 'rw', part='method, universe', ties='gene_id')},
-        rf AS (SELECT universe, gene_id FROM b WHERE method = 'A' AND fdr < 0.2), c AS (SELECT b.method, b.universe, count(*) AS tests, count(*) FILTER (fdr < 0.2) AS found, count(*) FILTER (fdr < 0.2 AND rf.gene_id IS NOT NULL) AS both FROM b LEFT JOIN rf ON rf.universe = b.universe AND rf.gene_id = b.gene_id GROUP BY ALL)
-        SELECT method, universe, tests, found, round(both / CAST(nullif(found + (SELECT count(*) FROM rf WHERE rf.universe = c.universe) - both, 0) AS DOUBLE), 6) AS jaccard FROM c"""),
+        rf AS (SELECT universe, gene_id FROM b WHERE method = 'A' AND fdr < 0.2), c AS (SELECT b.method, b.universe, count(*) AS tests, count(*) FILTER (fdr < 0.2) AS found, count(*) FILTER (fdr < 0.2 AND rf.gene_id IS NOT NULL) AS hits FROM b LEFT JOIN rf ON rf.universe = b.universe AND rf.gene_id = b.gene_id GROUP BY ALL)
+        SELECT method, universe, tests, found, round(hits / CAST(nullif(found + (SELECT count(*) FROM rf WHERE rf.universe = c.universe) - hits, 0) AS DOUBLE), 6) AS jaccard FROM c"""),
     "p29_compare_coverage": (p29, f"""WITH {TWO}, j AS (SELECT a, b, a IS NOT NULL AND b IS NOT NULL AS s FROM ta FULL JOIN tb USING (test_id)),
         x AS (SELECT *, rank() OVER (PARTITION BY s ORDER BY a) + count(*) OVER (PARTITION BY s, a) / 2.0 AS ra, rank() OVER (PARTITION BY s ORDER BY b) + count(*) OVER (PARTITION BY s, b) / 2.0 AS rb FROM j)
         SELECT count(a) AS strict, count(b) AS permissive, count(*) FILTER (s) AS shared, count(*) FILTER (a < 0.05) AS found_strict, count(*) FILTER (b < 0.05) AS found_permissive, count(*) FILTER (a < 0.05 AND b < 0.05) AS found_both, round(corr(ra, rb) FILTER (s), 6) AS spearman FROM x"""),
@@ -397,7 +397,7 @@ CASES = {
     "p40_match_estimates": (p40, """WITH e AS (SELECT ec_id AS b, cell_id AS c, condition, subject, n FROM {cell_ec} JOIN {cell_meta} USING (cell_id) WHERE cell_id % 3 > 0 AND cell_id % 4 > 0), l AS (SELECT b, condition FROM e GROUP BY ALL HAVING count(DISTINCT subject) >= 5), g AS (SELECT b FROM l GROUP BY b HAVING count(*) >= 2)
         SELECT b AS block_id, c AS sample, n * 3 AS value, n * 4 AS value_2 FROM e SEMI JOIN l USING (b, condition) SEMI JOIN g USING (b)"""),
     "p41_resource_summary": (p41, """WITH x AS (SELECT o_orderpriority AS c, (CASE WHEN o_orderkey % 5 = 0 THEN 86400 ELSE 0 END) + o_orderkey % 24 * 3600 + o_orderkey % 60 * 60 + o_orderkey * 7 % 60 AS s, (o_orderkey % 900) / CASE WHEN o_orderkey % 3 = 0 THEN 1024.0 ELSE 1048576.0 END AS g, o_orderkey % 20 AS d FROM orders)
-        SELECT c AS campaign, count(*) AS tasks, round(sum(s) / 3600.0, 6) AS hours, round(quantile_cont(s, 0.5) / 60.0, 6) AS median_min, round(quantile_cont(s, 0.9) / 60.0, 6) AS p90_min, round(max(g), 6) AS peak_gib, round((max(d) + 4 - min(d)) * 24.0, 6) AS span_hours FROM x GROUP BY c"""),
+        SELECT c AS campaign, count(*) AS tasks, round(sum(s) / 3600.0, 6) AS hours, round(quantile_cont(s, 0.5) / 60.0, 6) AS median_min, round(quantile_cont(s, 0.9) / 60.0, 6) AS p90_min, round(max(g), 6) AS peak_gib, CAST((max(d) + 4 - min(d)) * 24 AS DOUBLE) AS span_hours FROM x GROUP BY c"""),
     "p42_select_candidate": (p42, """WITH x AS (SELECT k3 % 30 AS run, k1 % 12 AS strength, round(avg(p_value), 9) AS loss, count(*) AS n FROM {pvals} GROUP BY ALL), o AS (SELECT *, n % 9 AS v FROM x WHERE n % 6 > 0 AND n % 7 <> 0),
         b AS (SELECT run, arg_min(v, (loss, strength)) AS bv, min(loss) AS bl FROM o GROUP BY run), k AS (SELECT o.*, row_number() OVER (PARTITION BY run ORDER BY strength DESC, loss) AS rn FROM o JOIN b USING (run) WHERE loss <= bl + 0.05 AND v >= 0.8 * bv)
         SELECT run, strength, loss FROM k WHERE rn = 1"""),
