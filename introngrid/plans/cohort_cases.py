@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from introngrid.operators import annotation as A
 from introngrid.operators import cohort as D
 from introngrid.plans.adapters import view
-from introngrid.plans.annotation_cases import GROUPS
+from introngrid.plans.annotation_cases import BLOCKS, GROUPS
 
 SM = "sm AS (SELECT subject || '__' || cell_type AS sample_id, cell_type, min(condition) AS condition, min(subject) AS subject, count(*) AS n_cells FROM {cell_meta} GROUP BY subject, cell_type)"
 COVER = """cv AS (SELECT ec_id AS feature, subject || '__' || cell_type AS sample_id, subject, cell_type, condition, CAST(sum(n) AS BIGINT) AS umis FROM {cell_ec} JOIN {cell_meta} USING (cell_id) GROUP BY ALL)"""
@@ -156,8 +156,9 @@ CASES = {
     "d11_covered_condition_designs": (d11, f"""WITH {COVER}, c AS (SELECT * FROM cv WHERE umis >= 3), l AS (SELECT feature, cell_type, condition FROM c GROUP BY ALL HAVING count(DISTINCT subject) >= 2), g AS (SELECT feature, cell_type FROM l GROUP BY ALL HAVING count(*) >= 2)
         SELECT feature, sample_id, condition FROM c SEMI JOIN l USING (feature, cell_type, condition) SEMI JOIN g USING (feature, cell_type)"""),
     "d12_design_rows": (d12, f"WITH {SM} SELECT sample_id, 'intercept' AS \"column\", CAST(1 AS DOUBLE) AS value FROM sm UNION ALL SELECT sample_id, 'cell_type=' || cell_type, CAST(1 AS DOUBLE) FROM sm WHERE cell_type > (SELECT min(cell_type) FROM sm) UNION ALL SELECT sample_id, 'subject=' || subject, CAST(1 AS DOUBLE) FROM sm WHERE subject > (SELECT min(subject) FROM sm)"),
-    "d13_dedup_candidates": (d13, None),
-    "d14_joint_gene_candidates": (d14, None),
+    "d13_dedup_candidates": (d13, f"""WITH {BLOCKS}, c AS (SELECT block_id, gene_id, list(tx_id ORDER BY tx_id) AS t, list(path_index ORDER BY tx_id) AS l FROM blocks GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY gene_id, t, list_transform(l, lambda x: list_position(l, x)) ORDER BY block_id) AS rn FROM c) SELECT block_id AS test_id, gene_id FROM k WHERE rn = 1"""),
+    "d14_joint_gene_candidates": (d14, f"WITH {BLOCKS} SELECT DISTINCT gene_id, strand AS design, gene_id || '|' || strand AS test_id FROM blocks"),
     "d15_filter_junction_groups": (d15, f"""WITH {GROUPS}, r AS (SELECT intron AS junction_id, gene_id || '_' || strand AS intron_group, CAST(regexp_extract(tx_id, '([0-9]+)$', 1) AS BIGINT) AS k FROM kept),
         c AS (SELECT junction_id, intron_group, k % 4 AS sm, k % 2 AS side, sum(k % 9) AS v FROM r GROUP BY ALL),
         jt AS (SELECT intron_group, junction_id, sum(v) AS t FROM c GROUP BY ALL HAVING count(DISTINCT CASE WHEN side = 0 AND v > 0 THEN sm END) >= 1 AND count(DISTINCT CASE WHEN side = 1 AND v > 0 THEN sm END) >= 1),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from introngrid.operators import annotation as A
 from introngrid.operators import quant as Q
 from introngrid.plans.adapters import view
-from introngrid.plans.annotation_cases import LIMITED
+from introngrid.plans.annotation_cases import BLOCKS, LIMITED
 
 GENES = "genes AS (SELECT DISTINCT tx_id, gene_id FROM {tx_exon})"
 #: Class members with their gene (every fourth class number shares one), positions, weights and halves of cells.
@@ -424,7 +424,7 @@ CASES = {
         m AS (SELECT grp, tx_id, sum(n * p) / any_value(t) AS m FROM p JOIN t USING (grp) GROUP BY ALL),
         x AS (SELECT a.grp, a.tx_id AS tx_a, b.tx_id AS tx_b, sum(a.n * a.p * b.p) AS s FROM p a JOIN p b ON a.grp = b.grp AND a.ec_id = b.ec_id GROUP BY ALL)
         SELECT x.grp, tx_a, tx_b, round(s / t - a.m * b.m, 8) AS info FROM x JOIN t USING (grp) JOIN m a ON a.grp = x.grp AND a.tx_id = tx_a JOIN m b ON b.grp = x.grp AND b.tx_id = tx_b"""),
-    "q44_path_proportions": (q44, None),
+    "q44_path_proportions": (q44, f"WITH {BLOCKS}, {JV}, x AS (SELECT sample, block_id, path_index AS path, sum(value) AS m FROM v JOIN blocks USING (tx_id) GROUP BY ALL) SELECT sample, block_id, path, round(m / nullif(sum(m) OVER (PARTITION BY sample, block_id), 0), 6) AS p FROM x"),
     "q45_decode_theta": (q45, f"""WITH {EC}, {TOTALS}, tg AS (SELECT DISTINCT tx_id, gene_id FROM g), c AS (SELECT cell_id, cell_type AS grp, cell_id % 7 / 7.0 AS r1, cell_id % 5 / 5.0 AS r2 FROM {{cell_meta}}),
         ge AS (SELECT cell_id, grp, r1, r2, gene_id, exp(r1 * (t % 3) + r2 * (t % 4 / 2.0)) AS e FROM c CROSS JOIN (SELECT gene_id, min(tx_id) AS t FROM tg GROUP BY gene_id) q),
         gp AS (SELECT *, e / sum(e) OVER (PARTITION BY cell_id) AS pg FROM ge),
