@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from introngrid.graph import connected_components, forest
-from introngrid.llm.words import LOWER, encoded, slices
+from introngrid.llm.words import LOWER, encoded, mix64, slices
 from introngrid.storage import free_shuffles, materialize, release
 
 BITS = 64
@@ -21,8 +21,11 @@ NEAR = 48
 BLOCK = 1024
 
 
-def simhash(texts: list[bytes], width: int = 4) -> np.ndarray:
-    """Unsigned fingerprints: bit b is 1 if over half of the shingles' XXH64 (seed 42) have it."""
+def simhash(texts: list[bytes], width: int = 4, prints: int = 1) -> np.ndarray:
+    """Unsigned fingerprints, one column each: bit b is 1 if over half of the shingles' hashes have it.
+
+    The first fingerprint's hash is XXH64 with seed 42, the others scramble it anew.
+    """
     digest, hashes, counts = xxhash.xxh64_intdigest, [], []
     for text in texts:
         words = text.translate(LOWER).split()
@@ -37,14 +40,16 @@ def simhash(texts: list[bytes], width: int = 4) -> np.ndarray:
         hashes.extend([digest(joined[a:b], 42) for a, b in zip(starts[:n], stops, strict=True)])
         counts.append(n)
     counts = np.array(counts, dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros((len(texts), prints), dtype=np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
         values = np.array(hashes, dtype=np.uint64)
         first = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
-        for b in range(BITS):
-            ones = np.add.reduceat(((values >> np.uint64(b)) & np.uint64(1)).astype(np.int32), first)
-            out[full] |= (2 * ones > counts[full]).astype(np.uint64) << np.uint64(b)
+        for k in range(prints):
+            for b in range(BITS):
+                ones = np.add.reduceat(((values >> np.uint64(b)) & np.uint64(1)).astype(np.int32), first)
+                out[full, k] |= (2 * ones > counts[full]).astype(np.uint64) << np.uint64(b)
+            values = mix64(values + np.uint64(k + 1))
     return out
 
 
@@ -135,10 +140,13 @@ def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
     """
     masks = covering_masks(radius)
     prints = materialize(prints.select("fp").distinct(), "prints")
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])
-    rows = prints.select(F.posexplode(keys).alias("t", "key"), "fp")
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("t") + 1))
+    bare = prints.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"), "fp")
+    rows = bare.withColumn("key", key)
     schema = "kind int, a long, b long"
-    found = rows.repartitionByRange("t", "key", "fp").sortWithinPartitions("t", "key", "fp").mapInPandas(_sorted_neighbours(radius), schema)
+    # Only t and fp move; the key is worked out again behind the shuffle.
+    dealt = bare.repartitionByRange("t", key, "fp").select("t", key.alias("key"), "fp")
+    found = dealt.sortWithinPartitions("t", "key", "fp").mapInPandas(_sorted_neighbours(radius), schema)
     found = materialize(found, "found")
     edges = found.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comps = materialize(connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("comp")), "comps")
@@ -158,16 +166,27 @@ def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
     return prints.join(comps, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """Rows (doc_id, fp long) for whole texts, lower-cased A-Z; null or wordless text has fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, prints: int = 1) -> DataFrame:
+    """Rows (doc_id, fp0, fp1, ...) for whole texts, lower-cased A-Z; null or wordless text has fingerprints 0."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(frames):
-            fp = simhash([encoded(x) for x in part["text"]], width)
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "fp": fp.view(np.int64)})
+            found = simhash([encoded(x) for x in part["text"]], width, prints).view(np.int64)
+            yield pd.DataFrame({"doc_id": part["doc_id"].array} | {f"fp{k}": found[:, k] for k in range(prints)})
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, "doc_id long, fp long")
+    return narrow.mapInPandas(run, "doc_id long" + "".join(f", fp{k} long" for k in range(prints)))
+
+
+def _components(prints: DataFrame, column: str, radius: int) -> DataFrame:
+    """Rows (fp, component_id): the smallest doc_id that a fingerprint of one column is linked with."""
+    own = prints.select("doc_id", F.col(column).alias("fp"))
+    comps = link_fingerprints(own, radius)
+    labelled = materialize(comps.join(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp"), "labelled")
+    lowest = materialize(labelled.groupBy("comp").agg(F.min("low").alias("component_id")), "lowest")
+    names = materialize(labelled.join(lowest, "comp").select("fp", "component_id"), "names")
+    release(labelled, lowest)
+    return names
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -178,23 +197,29 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     its component's id, which is null only if all its ids are. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    comps = link_fingerprints(prints, radius)
-    labelled = materialize(comps.join(by_print, "fp"), "labelled")
-    lowest = materialize(labelled.groupBy("comp").agg(F.min("low").alias("component_id")), "lowest")
-    names = materialize(labelled.join(lowest, "comp").select("fp", "component_id"), "names")
+    names = _components(prints, "fp0", radius)
     free_shuffles(docs.sparkSession)
-    return prints.join(names, "fp").select(
+    return prints.withColumnRenamed("fp0", "fp").join(names, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4, prints: int = 1) -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest doc_id.
 
-    Rows without a doc_id stay. Rows that repeat the kept doc_id of a group all stay; exact
-    de-duplication is the operator for those.
+    Documents are linked if any of their `prints` independent fingerprints lie within the
+    radius; groups are the components over all of these. Rows without a doc_id stay. Rows
+    that repeat the kept doc_id of a group all stay; exact de-duplication is the operator
+    for those.
     """
-    groups = simhash_groups(docs, id_col, text_col, width, radius)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    table = materialize(fingerprints(docs, id_col, text_col, width, prints), "fingerprints")
+    edges = None
+    for k in range(prints):
+        names = _components(table, f"fp{k}", radius)
+        linked = table.select("doc_id", F.col(f"fp{k}").alias("fp")).join(names, "fp").where(F.col("doc_id") != F.col("component_id"))
+        part = materialize(linked.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")), "near-edges")
+        edges = part if edges is None else edges.unionByName(part)
+        free_shuffles(docs.sparkSession)
+    groups = connected_components(edges)
+    gone = groups.where(F.col("node") != F.col("component")).select(F.col("node").alias("__gone")).distinct()
     return docs.join(materialize(gone, "near-copies"), docs[id_col] == F.col("__gone"), "left_anti")
