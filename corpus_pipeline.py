@@ -15,9 +15,9 @@ from introngrid.llm.queries import tokenizer_path
 from introngrid.storage import work_folder
 
 #: Documents below this score look alike to every language: their best language leads by next to nothing.
-LEAST_SCORE = 0.02
-#: Near copies: fingerprints of five-word shingles that differ in at most so many of 64 bits.
-NEAR_WIDTH, NEAR_RADIUS = 5, 6
+LEAST_SCORE = 0.001
+#: Near copies: one of so many fingerprints of five-word shingles differs in at most so many of 64 bits.
+NEAR_WIDTH, NEAR_RADIUS, NEAR_PRINTS = 5, 6, 2
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies."""
-    return simhash.drop_near_copies(docs, width=NEAR_WIDTH, radius=NEAR_RADIUS)
+    return simhash.drop_near_copies(docs, width=NEAR_WIDTH, radius=NEAR_RADIUS, prints=NEAR_PRINTS)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
