@@ -164,9 +164,9 @@ def ari_nmi(pairs: DataFrame, a: str = "label", b: str = "cluster") -> DataFrame
     )
 
 
-def silhouette(cells: DataFrame, label: str = "label", sample: int | None = None, seed: int = 0) -> DataFrame:
+def silhouette(cells: DataFrame, label: str = "label", sample: int = 1000, seed: int = 0, order: Column | None = None) -> DataFrame:
     """One row: mean silhouette by Euclidean distance on a sample of `sample` cells; the pairs are those of the sample."""
-    s = cells.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(sample) if sample else cells
+    s = cells.orderBy(order if order is not None else F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(sample)
     s = s.select("cell_id", F.col(label).alias("l"), "right")
     other = s.select(F.col("cell_id").alias("o"), F.col("l").alias("m"), F.col("right").alias("r"))
     d = F.sqrt(F.aggregate(F.zip_with("right", "r", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))

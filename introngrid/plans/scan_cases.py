@@ -35,7 +35,7 @@ def s01(s, d):
 
 
 def s02(s, d):
-    q = view(s, d, "quant").where("sample = 'AF'")
+    q = view(s, d, "quant")
     q.select(F.col("tx_id").alias("Name"), F.lit(1).alias("Length"), F.col("effective_length").alias("EffectiveLength"), F.col("tpm").alias("TPM"), F.col("num_reads").alias("NumReads")).write.csv(path := _path(s, "quant"), sep="\t", header=True)
     return SC.read_quant(s, path).select("tx_id", "effective_length", "tpm", "num_reads")
 
@@ -75,7 +75,7 @@ def s07(s, d):
 
 
 def s08(s, d):
-    j = A.introns_from_exons(view(s, d, "tx_exon")).where("chrom = 'chr3'").select("chrom", "start", "stop", "strand").distinct().orderBy("start", "stop", "strand").coalesce(1)
+    j = A.introns_from_exons(view(s, d, "tx_exon")).select("chrom", "start", "stop", "strand").distinct().orderBy("chrom", "start", "stop", "strand").coalesce(1)
     lines = j.select(_tab("chrom", "start", "stop", F.when(F.col("strand") == "+", "1").otherwise("2")))
     features = _text(s, lines, "features")
     barcodes = _text(s, s.range(10).coalesce(1).select(F.concat(F.lit("BC"), F.col("id").cast("string")).alias("value")), "barcodes")
@@ -154,14 +154,14 @@ WIDE = "w AS (SELECT substr(tx_id, 1, 4) AS name, CAST(coalesce(sum(num_reads) F
 
 CASES = {
     "s01_read_features": (s01, "SELECT chrom, start, stop, strand, gene_id, tx_id, exon_number FROM {tx_exon}"),
-    "s02_read_quant": (s02, "SELECT tx_id, CAST(effective_length AS DOUBLE) AS effective_length, CAST(tpm AS DOUBLE) AS tpm, CAST(num_reads AS DOUBLE) AS num_reads FROM {quant} WHERE sample = 'AF'"),
+    "s02_read_quant": (s02, "SELECT tx_id, CAST(effective_length AS DOUBLE) AS effective_length, CAST(tpm AS DOUBLE) AS tpm, CAST(num_reads AS DOUBLE) AS num_reads FROM {quant}"),
     "s03_read_ec_membership": (s03, "SELECT ec_id, row_number() OVER (PARTITION BY ec_id ORDER BY tx_id) - 1 AS pos, tx_id AS tx_index FROM {ec_tx}"),
     "s04_read_matrix_market": (s04, "SELECT cell_id AS row, ec_id AS col, CAST(n AS DOUBLE) AS value FROM {cell_ec}"),
     "s05_read_ec_probabilities": (s05, "SELECT CAST(cell_id AS VARCHAR) AS cell_id, c.ec_id, pos, (cell_id + pos + 1) % 8 / 8.0 AS prob FROM {cell_ec} c JOIN (SELECT ec_id, row_number() OVER (PARTITION BY ec_id ORDER BY tx_id) - 1 AS pos FROM {ec_tx}) m ON m.ec_id = c.ec_id"),
     "s06_read_weighted_ec": (s06, """WITH k AS (SELECT ec_id, string_agg('tx' || tx_id, ',' ORDER BY 'tx' || tx_id) AS key FROM {ec_tx} GROUP BY ec_id)
         SELECT key, 'tx' || tx_id AS tx_id, round(sum((tx_id % 4 + 1) / 8.0 * (ec_id + 1)) / sum(ec_id + 1), 6) AS weight, CAST(sum(ec_id + 1) AS DOUBLE) AS count FROM {ec_tx} JOIN k USING (ec_id) GROUP BY 1, 2"""),
     "s07_read_fasta_lengths": (s07, "SELECT 'p' || p_partkey AS name, (p_partkey % 50 + 1) * 4 + 2 AS length FROM part"),
-    "s08_read_junction_matrix": (s08, f"WITH {LIMITED} SELECT DISTINCT chrom, start, stop, strand FROM kept WHERE chrom = 'chr3'"),
+    "s08_read_junction_matrix": (s08, f"WITH {LIMITED} SELECT DISTINCT chrom, start, stop, strand FROM kept"),
     "s09_read_estimates": (s09, "SELECT CAST(k3 AS VARCHAR) AS block_id, CAST(k1 AS VARCHAR) AS sample, round(p_value, 6) AS p FROM {pvals} WHERE converged AND k1 % 3 > 0"),
     "s10_read_shards": (s10, "SELECT key, shard, k1, k2, k4 FROM (SELECT k3 AS key, k1 % 6 AS shard, k1, k2, k4, row_number() OVER (PARTITION BY k3 ORDER BY k1 % 6 DESC, k1, k2, k4) AS r FROM {pvals}) x WHERE r = 1"),
     "s11_normalize_manifest": (s11, "WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders) SELECT CAST(k AS VARCHAR) AS run, '1' AS read, 'ftp/R' || k || '_1.fastq.gz' AS url, 'a' AS md5, k * 2 AS bytes FROM o UNION ALL SELECT CAST(k AS VARCHAR), '2', 'ftp/R' || k || '_2.fastq.gz', 'b', k * 3 FROM o"),
