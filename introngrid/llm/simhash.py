@@ -16,7 +16,7 @@ from introngrid.storage import free_shuffles, materialize, release
 
 BITS = 64
 #: Pairs of one bucket up to so many places apart in sort order are compared on the spot.
-NEAR = 48
+NEAR = 256
 #: Members of one block where a larger bucket is compared block by block.
 BLOCK = 1024
 
@@ -160,6 +160,7 @@ def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
         spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
         spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
         more = spread.groupBy("t", "key", "i", "j").applyInPandas(_blocks(radius), "a long, b long")
+        more = materialize(more, "more")  # the components read their edges twice
         edges = edges.union(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))
         comps = materialize(connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("comp")), "comps")
     release(members, found)
