@@ -10,14 +10,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introngrid.llm import exact, langid, mix, packing, simhash
+from introngrid.llm import exact, langid, mix, packing, shingles
 from introngrid.llm.queries import tokenizer_path
 from introngrid.storage import work_folder
 
 #: Documents below this score look alike to every language: their best language leads by next to nothing.
 LEAST_SCORE = 0.001
-#: Near copies: one of so many fingerprints of five-word shingles differs in at most so many of 64 bits.
-NEAR_WIDTH, NEAR_RADIUS, NEAR_PRINTS = 5, 6, 2
+#: Near copies: five-word shingles of at least this Jaccard similarity.
+NEAR_WIDTH, NEAR_LEAST = 5, 0.8
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies."""
-    return simhash.drop_near_copies(docs, width=NEAR_WIDTH, radius=NEAR_RADIUS, prints=NEAR_PRINTS)
+    return shingles.drop_near_copies(docs, width=NEAR_WIDTH, least=NEAR_LEAST)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -409,3 +409,31 @@ def test_pipeline_on_small_data(spark, tmp_path, rows):
     kept = {r["doc_id"] for r in out}
     assert len(kept & {5000, 5001, 5002}) <= 1 and not kept & {3000, 3001, 3002}
     assert len(kept & set(range(2000, 2009))) <= 1 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_stage_links_by_shingles(spark):
+    """The pipeline's near-copy stage drops what a link of similarity 0.8 or more reaches, and nothing else; a band of pairs on both sides of it."""
+    import corpus_pipeline
+
+    rng, texts = np.random.default_rng(21), []
+    for edits in (1, 3, 5, 7, 8, 9, 10, 12, 15):
+        for _ in range(12):
+            base = [f"v{rng.integers(50_000)}" for _ in range(400)]
+            copy = base.copy()
+            for i in np.linspace(6, 393, edits).astype(int):
+                copy[i] = "changed"
+            texts += [" ".join(base), " ".join(copy).upper()]
+    crowd = [f"u{rng.integers(50_000)}" for _ in range(300)]  # a large group, and a text just below 0.8 to all of it
+    texts += [" ".join(w if i != 7 * k % 290 + 5 else f"x{k}" for i, w in enumerate(crowd)) for k in range(40)]
+    texts += [" ".join(w if i % 40 else "y" for i, w in enumerate(crowd))]
+    table = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)] + [(None, texts[0], "en", "s"), (900, None, "en", "s"), (901, " ", "en", "s")])
+    got = {r["doc_id"] for r in corpus_pipeline._near(spark, table, "").collect()}
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in split]
+    low = list(range(len(sets)))
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 60 < len(near)
+    for _ in range(50):
+        for i, j in near:
+            low[i] = low[j] = min(low[i], low[j])
+    assert got == {i for i, x in enumerate(low) if i == x} | {None, 900}
