@@ -34,15 +34,15 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record, a gzip member of its own. A revisit has the HTTP header but no payload."""
+def _record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    """One WARC record, a gzip member of its own. A revisit has the HTTP header but no payload; a page without an id gets a name of no page."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{page_id}>" if page_id is not None else f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -55,6 +55,12 @@ def _record(page_id: int, url: str | None, payload: bytes, digest: str, refers_t
     return gzip.compress(raw, 1, mtime=0)
 
 
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """rows as a frame whose ids stay whole numbers beside nulls: pandas would make them floats, which end at 2**53."""
+    ids = {"page_id": "Int64", "refers_to": "Int64"}
+    return pd.DataFrame({c: pd.array(x, dtype=ids[c]) if c in ids else list(x) for c, x in zip(columns, zip(*rows, strict=True), strict=True)})
+
+
 def _writer(folder: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, root = _filesystem(folder)
@@ -67,11 +73,12 @@ def _writer(folder: str):
                     out = files.open_output_stream(f"{root}/{name}", compression=None)
                 rows = []
                 for page, url, html, digest, refers in zip(part["page_id"], part["url"], part["html"], part["digest"], part["refers_to"], strict=True):
-                    record = _record(int(page), url, encoded(html), digest, None if pd.isna(refers) else int(refers))
+                    page, refers = (None if pd.isna(x) else x for x in (page, refers))
+                    record = _record(page, url, encoded(html), digest, refers)
                     out.write(record)
-                    rows.append((int(page), url, digest, f"{folder}/{name}", at, len(record)))
+                    rows.append((None if page is None else int(page), url, digest, f"{folder}/{name}", at, len(record)))
                     at += len(record)
-                yield pd.DataFrame(rows, columns=["page_id", "url", "digest", "file", "offset", "length"])
+                yield _frame(rows, ["page_id", "url", "digest", "file", "offset", "length"])
         finally:
             if out is not None:
                 out.close()
@@ -85,7 +92,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     The index (page_id, url, digest, file, offset, length) is itself a written table; it
     alone says which files count. Of equal payloads of at least LEAST_REVISIT bytes the
     row with the smallest page_id is a response, the others are revisits that name it.
-    Null html is an empty payload. page_id must not be null. folder must be a place that
+    Null html is an empty payload. A row with a null page_id is a response with its own
+    payload, named by no revisit, and is read back with a null page_id. folder must be a place that
     all workers share (by default one in the session's shared folder) and pyarrow can open.
     """
     spark = pages.sparkSession
@@ -101,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
         "responses",
     )
     revisit = F.when((F.col("n") >= LEAST_REVISIT) & (F.col("first") != F.col("page_id")), F.col("first"))
-    told = pages.join(first, "digest", "left").select("page_id", "url", "html", "digest", revisit.alias("refers_to"))
+    told = pages.join(first, "digest", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", revisit.cast("string").alias("refers_to"))
     return materialize(told.mapInPandas(_writer(folder), INDEX), "warc-index")
 
 
@@ -112,7 +120,7 @@ def _parse(raw: bytes) -> tuple:
     block = body[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     declared = int(http.rpartition(b"Content-Length: ")[2])
-    number = lambda key: int(fields[key].removeprefix("<urn:page:").rstrip(">")) if key in fields else None
+    number = lambda key: int(fields[key].removeprefix("<urn:page:").rstrip(">")) if fields.get(key, "").startswith("<urn:page:") else None
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     response = fields["WARC-Type"] == "response"
     valid = not response or (len(payload) == declared and hashlib.sha256(payload).hexdigest() == digest)
@@ -147,7 +155,7 @@ def _reader(with_payload: bool):
                 out = [_parse(data[o - start : o - start + n]) for o, n in members]
                 if not with_payload:
                     out = [(*r[:6], None, r[7]) for r in out]
-                yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload", "valid"]).astype({"refers_to": "Int64"})
+                yield _frame(out, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload", "valid"])
 
     return run
 

@@ -437,3 +437,14 @@ def test_near_stage_links_by_shingles(spark):
         for i, j in near:
             low[i] = low[j] = min(low[i], low[j])
     assert got == {i for i, x in enumerate(low) if i == x} | {None, 900}
+
+
+def test_warc_null_and_large_ids(spark):
+    big, html = 2**60 + 1, "<p>" + "x" * 200
+    rows = [(big, "u", html), (big + 2, "u", html), (None, "u", html), (None, None, "short"), (None, "v", "y" * 300), (7, "u", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    index = warc.write_archives(pages)
+    assert sorted(r["page_id"] or 0 for r in index.collect()) == [0, 0, 0, 7, big, big + 2]
+    got = [(r["page_id"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"]).decode(), r["valid"]) for r in warc.read_records(index).collect()]
+    want = [(i, "response", None, h, True) for i, _, h in rows if i != big + 2] + [(big + 2, "revisit", big, None, True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
