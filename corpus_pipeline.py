@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from introngrid.llm import exact, langid, mix, packing, shingles
+from introngrid.llm import exact, langid, mix, packing, simhash
 from introngrid.llm.queries import tokenizer_path
 from introngrid.storage import work_folder
 
@@ -34,7 +34,7 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies."""
-    return shingles.drop_near_copies(docs, width=NEAR_WIDTH, least=NEAR_LEAST)
+    return simhash.drop_near_copies(docs, width=NEAR_WIDTH, least=NEAR_LEAST)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

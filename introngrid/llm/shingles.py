@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles; MinHash bands only propose the pairs."""
+"""Sets of word shingles and their exact Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -10,168 +10,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from introngrid.graph import connected_components
-from introngrid.llm.words import LOWER, encoded, mix64, slices
-from introngrid.storage import free_shuffles, materialize, release
+from introngrid.llm.words import LOWER, encoded, slices
 
-#: A pair of Jaccard similarity s shares a bucket with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8.
-BANDS, ROWS = 20, 5
-#: Members of a bucket that meet the whole bucket in one task.
-BLOCK = 1024
 
-
-def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
-    """Distinct hashes (XXH64, seed 42), in order, of all runs of `width` words, A-Z lower-cased; a shorter text is one shingle."""
+def shingle_hashes(text: bytes, width: int) -> list[int]:
+    """Hashes (XXH64, seed 42) of all runs of `width` words in order, A-Z lower-cased; a shorter text is one shingle, a wordless one has none."""
     words = text.translate(LOWER).split()
     if not words:
-        return np.zeros(0, dtype=np.uint64)
+        return []
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1])).tolist()
+    n = max(1, len(words) - width + 1)
+    starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops)], dtype=np.uint64))
+    return [digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)]
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of BANDS bucket numbers for each set; none of the sets is empty."""
-    values = np.concatenate(sets)
-    first = np.concatenate(([0], np.cumsum([len(x) for x in sets])[:-1]))
-    seeds = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    out = np.zeros((len(sets), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
-        mixed = np.full(len(sets), band + 1, dtype=np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            least = np.minimum.reduceat((values ^ seeds[2 * k]) * (seeds[2 * k + 1] | np.uint64(1)), first)
-            mixed = mix64(mixed * np.uint64(31) + least)
-        out[:, band] = mixed
-    return out
+def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
+    """Distinct shingle hashes of a text, in order of size."""
+    return np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
 
 
-def _key(hashes: np.ndarray) -> int:
+def set_name(hashes: np.ndarray) -> int:
+    """One number for a whole set; the empty set is 0."""
     return xxhash.xxh64_intdigest(hashes.tobytes(), 7) if len(hashes) else 0
 
 
-def _signatures(width: int):
+def named_sets(texts: DataFrame, width: int = 5) -> DataFrame:
+    """Rows (node, shingles) with the set's name and its hashes, one for each different set. texts: text."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(frames):
             sets = [shingle_set(encoded(x), width) for x in part["text"]]
-            bands = [[]] * len(sets)
-            full = [i for i, x in enumerate(sets) if len(x)]
-            if full:
-                for i, row in zip(full, band_keys([sets[i] for i in full]).view(np.int64), strict=True):
-                    bands[i] = row
-            keys = np.array([_key(x) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": part["doc_id"].array, "key": keys, "n": [len(x) for x in sets], "bands": bands})
+            names = np.array([set_name(x) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"node": names, "shingles": [x.view(np.int64) for x in sets]})
 
-    return run
+    return texts.mapInPandas(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def _sets(width: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(frames):
-            sets = [shingle_set(encoded(x), width) for x in part["text"]]
-            keys = np.array([_key(x) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"key": keys, "shingles": [x.view(np.int64) for x in sets]})
-
-    return run
-
-
-def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by (bucket, key): members of buckets that may hold several keys (kind 1), and pairs of neighbours (kind 0)."""
-    held, start = None, True  # held: the last row so far, whose successor is not known yet
-
-    def told(bucket, key, n, first, last):
-        same = bucket[:-1] == bucket[1:]
-        left, right = np.concatenate(([first], same)), np.concatenate((same, [last]))
-        shared = left | right
-        yield pd.DataFrame({"kind": np.int32(1), "a": bucket[shared], "b": key[shared], "m": n[shared], "n": n[shared]})
-        at = np.flatnonzero(same)
-        yield pd.DataFrame({"kind": np.int32(0), "a": key[at], "b": key[at + 1], "m": n[at], "n": n[at + 1]})
-
-    for frame in frames:
-        rows = [frame[c].to_numpy() for c in ("bucket", "key", "n")]
-        if not len(rows[0]):
-            continue
-        if held is not None:
-            rows = [np.concatenate(x) for x in zip(held[0], rows, strict=True)]
-        # A bucket cut by the partition's edge may go on in the one beside it: its row counts as shared.
-        first = start if held is None else held[1]
-        if len(rows[0]) > 1:
-            # The last row waits for its successor; the row before it knows this one.
-            parts = list(told(*rows, first, False))
-            last_shared = rows[0][-1] == rows[0][-2]
-            if last_shared:
-                parts[0] = parts[0].iloc[:-1]
-            yield from parts
-            held = ([x[-1:] for x in rows], last_shared)
-        else:
-            held = (rows, first)
-        start = False
-    if held is not None:
-        (bucket, key, n), _ = held
-        yield pd.DataFrame({"kind": np.int32(1), "a": bucket, "b": key, "m": n, "n": n})
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity `least` or more."""
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame:
+    """Rows (src, dst): the pairs (a, b) of set names whose sets have a Jaccard similarity of at least `least`."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("i"))
     return both.where(F.col("i") / (F.col("m") + F.col("n") - F.col("i")) >= least).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-
-def _labels(edges: DataFrame) -> DataFrame:
-    return materialize(connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("comp")), "comps")
-
-
-def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """Rows (doc_id, comp) for every row with an id: texts are linked if the Jaccard similarity of their shingle sets is at least `least`.
-
-    Equal sets are one node, wordless texts too. MinHash bands propose pairs and every
-    link is verified on the whole sets (64-bit hashes of shingles). Neighbours in the
-    buckets come first; where a bucket still holds several components after that, all of
-    its pairs of different components are verified, so components are those of all
-    proposed pairs. The pairs to verify grow with the square of the unlike texts of a bucket.
-    """
-    close = F.least("m", "n") / F.greatest("m", "n") >= least
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    told = materialize(narrow.mapInPandas(_signatures(width), "doc_id long, key long, n long, bands array<long>"), "signatures")
-    entries = told.select("key", "n", F.explode("bands").alias("bucket")).dropDuplicates(["bucket", "key"])
-    dealt = entries.select("bucket", "key", "n").repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key")
-    found = materialize(dealt.mapInPandas(_neighbours, "kind int, a long, b long, m long, n long"), "buckets")
-    members = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("key"), "n")
-    # Ends of a partition stand there without a partner, at most two of each.
-    lowest = told.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = narrow.join(lowest.select("doc_id"), "doc_id", "left_semi")
-    sets = materialize(texts.mapInPandas(_sets(width), "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(found.where("kind = 0").where(close).select(*ordered).distinct(), "pairs")
-    edges = materialize(_verified(pairs, sets, least), "near-edges")
-    comps = _labels(edges)
-    placed = materialize(members.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "members")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    mixed = materialize(mixed.select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("k")), "mixed")
-    rest = materialize(placed.join(mixed, "bucket"), "mixed-members")
-    left = rest.select("bucket", F.pmod(F.xxhash64("key"), F.col("k")).cast("int").alias("block"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("comp").alias("ca"))
-    right = rest.select("bucket", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"), F.col("key").alias("b"), "n", F.col("comp").alias("cb"))
-    more = left.join(right, ["bucket", "block"]).where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & close)
-    more = materialize(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if more.limit(1).count():
-        edges = edges.unionByName(materialize(_verified(more, sets, least), "more-edges"))
-        comps = _labels(edges)
-    out = materialize(told.select("doc_id", "key").join(comps, "key", "left").select("doc_id", F.coalesce("comp", "key").alias("comp")), "near-groups")
-    release(told, found, sets, placed, rest)
-    free_shuffles(docs.sparkSession)
-    return out
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """docs with one document of each group of near copies: the one with the smallest doc_id.
-
-    Rows without a doc_id stay and link nothing. Rows that repeat a kept doc_id all stay.
-    """
-    groups = link_near_copies(docs, id_col, text_col, width, least)
-    kept = materialize(groups.groupBy("comp").agg(F.min("doc_id").alias("keep")), "kept")
-    gone = groups.join(kept, "comp").where(F.col("doc_id") != F.col("keep")).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = gone.join(kept.select(F.col("keep").alias("__gone")), "__gone", "left_anti")
-    return docs.join(materialize(gone, "near-copies"), docs[id_col] == F.col("__gone"), "left_anti")

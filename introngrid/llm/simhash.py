@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from introngrid.graph import connected_components, forest
-from introngrid.llm.words import LOWER, encoded, mix64, slices
+from introngrid.llm.shingles import named_sets, set_name, shingle_hashes, shingle_set, similar_pairs
+from introngrid.llm.words import by_batches, encoded, mix64, slices
 from introngrid.storage import free_shuffles, materialize, release
 
 BITS = 64
@@ -19,42 +19,57 @@ BITS = 64
 NEAR = 256
 #: Members of one block where a larger bucket is compared block by block.
 BLOCK = 1024
-
-
-def simhash(texts: list[bytes], width: int = 4, prints: int = 1) -> np.ndarray:
-    """Unsigned fingerprints, one column each: bit b is 1 if over half of the shingles' hashes have it.
-
-    The first fingerprint's hash is XXH64 with seed 42, the others scramble it anew.
+#: Near copies: bits of a fingerprint that make its buckets, for so many texts (a power of two) and fewer, and the radius that the masks cover.
+KEY_BITS, KEY_RADIUS = ((26, 44), (30, 52), (34, 60), (64, 64)), 4
+#: A pair of the least similarity meets in some bucket with this probability; it sets the number of fingerprints.
+MEETING = 0.98
+#: Fingerprints that one pass over the buckets takes: fewer at a time keep the shuffle's files small.
+PASS = 5
+#: Two texts of one bucket are verified if at most so many of 128 bits of their fingerprints differ: true of 99.9 % of the pairs of similarity 0.8 there.
+SKETCH_RADIUS = 28
+#: Buckets up to this size give all their pairs; of larger ones each text gives the nearest pair first.
+SMALL = 9
+#: Pairs of each text that are verified first.
+FIRST = 3
+#: The byte's bits, lowest first, as the eight bytes of a number.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64)[:, 0]
+
+
+def majorities(values: np.ndarray, counts: np.ndarray, prints: int = 1) -> np.ndarray:
+    """Unsigned fingerprints, one row per group of counts[i] hashes, one column per print: a bit is 1 if over half of the hashes have it.
+
+    The first print takes the hashes as they are, the others scramble them anew. Eight
+    bits are counted at once, one to each byte of a 64-bit lane, in stretches too short
+    for a byte to overflow.
     """
-    digest, hashes, counts = xxhash.xxh64_intdigest, [], []
-    for text in texts:
-        words = text.translate(LOWER).split()
-        if not words:
-            counts.append(0)
-            continue
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate(([0], ends[:-1])).tolist()
-        n = max(1, len(words) - width + 1)
-        stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
-        hashes.extend([digest(joined[a:b], 42) for a, b in zip(starts[:n], stops, strict=True)])
-        counts.append(n)
-    counts = np.array(counts, dtype=np.int64)
-    out = np.zeros((len(texts), prints), dtype=np.uint64)
+    out = np.zeros((len(counts), prints), dtype=np.uint64)
     full = np.flatnonzero(counts)
-    if len(full):
-        values = np.array(hashes, dtype=np.uint64)
-        first = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
-        for k in range(prints):
-            for b in range(BITS):
-                ones = np.add.reduceat(((values >> np.uint64(b)) & np.uint64(1)).astype(np.int32), first)
-                out[full, k] |= (2 * ones > counts[full]).astype(np.uint64) << np.uint64(b)
-            values = mix64(values + np.uint64(k + 1))
+    if not len(full):
+        return out
+    first = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
+    inside = np.arange(len(values)) - np.repeat(first, counts[full])
+    stretch = np.flatnonzero(inside % 255 == 0)
+    owner = np.searchsorted(stretch, first)
+    for k in range(prints):
+        octets = values.view(np.uint8).reshape(-1, 8)
+        for byte in range(8):
+            lanes = np.add.reduceat(SPREAD[octets[:, byte]], stretch)
+            ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), owner, axis=0)
+            bits = (2 * ones > counts[full][:, None]).astype(np.uint64) << np.arange(8, dtype=np.uint64)
+            out[full, k] |= bits.sum(1, dtype=np.uint64) << np.uint64(8 * byte)
+        values = mix64(values + np.uint64(k + 1))
     return out
 
 
-def covering_masks(radius: int) -> list[int]:
-    """2**(radius + 1) - 1 masks, as signed 64-bit numbers.
+def simhash(texts: list[bytes], width: int = 4) -> np.ndarray:
+    """Unsigned fingerprints of the texts' shingles, repeats included, hashed by XXH64 with seed 42; wordless texts have 0."""
+    lists = [shingle_hashes(text, width) for text in texts]
+    values = np.fromiter((h for x in lists for h in x), dtype=np.uint64, count=sum(map(len, lists)))
+    return majorities(values, np.array([len(x) for x in lists], dtype=np.int64))[:, 0]
+
+
+def covering_masks(radius: int, bits: int = BITS) -> list[int]:
+    """2**(radius + 1) - 1 masks of the lowest `bits` bits, as signed 64-bit numbers.
 
     Bit i has the vector m(i) of radius + 1 bits, not zero; mask v keeps the bits whose
     m(i) has an odd number of bits in common with v. The vectors of at most `radius`
@@ -64,7 +79,7 @@ def covering_masks(radius: int) -> list[int]:
     n = 2 ** (radius + 1)
     masks = []
     for v in range(1, n):
-        mask = sum(1 << i for i in range(BITS) if bin((i % (n - 1) + 1) & v).count("1") % 2)
+        mask = sum(1 << i for i in range(bits) if bin((i % (n - 1) + 1) & v).count("1") % 2)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     return masks
 
@@ -167,27 +182,15 @@ def link_fingerprints(prints: DataFrame, radius: int = 4) -> DataFrame:
     return prints.join(comps, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, prints: int = 1) -> DataFrame:
-    """Rows (doc_id, fp0, fp1, ...) for whole texts, lower-cased A-Z; null or wordless text has fingerprints 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """Rows (doc_id, fp) for whole texts, lower-cased A-Z; null or wordless text has fingerprint 0."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(frames):
-            found = simhash([encoded(x) for x in part["text"]], width, prints).view(np.int64)
-            yield pd.DataFrame({"doc_id": part["doc_id"].array} | {f"fp{k}": found[:, k] for k in range(prints)})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "fp": simhash([encoded(x) for x in part["text"]], width).view(np.int64)})
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInPandas(run, "doc_id long" + "".join(f", fp{k} long" for k in range(prints)))
-
-
-def _components(prints: DataFrame, column: str, radius: int) -> DataFrame:
-    """Rows (fp, component_id): the smallest doc_id that a fingerprint of one column is linked with."""
-    own = prints.select("doc_id", F.col(column).alias("fp"))
-    comps = link_fingerprints(own, radius)
-    labelled = materialize(comps.join(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp"), "labelled")
-    lowest = materialize(labelled.groupBy("comp").agg(F.min("low").alias("component_id")), "lowest")
-    names = materialize(labelled.join(lowest, "comp").select("fp", "component_id"), "names")
-    release(labelled, lowest)
-    return names
+    return by_batches(narrow, run, "doc_id long, fp long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -198,29 +201,213 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     its component's id, which is null only if all its ids are. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    names = _components(prints, "fp0", radius)
+    comps = link_fingerprints(prints, radius)
+    labelled = materialize(comps.join(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp"), "labelled")
+    lowest = materialize(labelled.groupBy("comp").agg(F.min("low").alias("component_id")), "lowest")
+    names = materialize(labelled.join(lowest, "comp").select("fp", "component_id"), "names")
+    release(labelled, lowest)
     free_shuffles(docs.sparkSession)
-    return prints.withColumnRenamed("fp0", "fp").join(names, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return prints.join(names, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tables_for(texts: int, least: float) -> tuple[int, int]:
+    """Key bits and number of fingerprints for so many texts and a least similarity.
+
+    Longer keys keep buckets of unlike texts small, more fingerprints make up for the
+    pairs that longer keys part. What two sets of similarity s differ in is arccos(2 s /
+    (1 + s)) / pi of all bits, and drawn pairs tell how many of them the masks bring together.
+    """
+    bits = next(b for most, b in KEY_BITS if texts <= 1 << most)
+    rng = np.random.default_rng(1)
+    differ = rng.random((20_000, bits)) < np.arccos(2 * least / (1 + least)) / np.pi
+    differ = (differ.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    masks = np.array(covering_masks(KEY_RADIUS, bits), dtype=np.int64).view(np.uint64)
+    met = (differ[:, None] & masks == 0).any(1).mean()
+    return bits, int(np.ceil(np.log(1 - MEETING) / np.log(1 - met)))
+
+
+def _signatures(width: int, prints: int):
+    """Of each text: the name of its shingle set, and fingerprints of the set."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in slices(frames):
+            sets = [shingle_set(encoded(x), width) for x in part["text"]]
+            found = majorities(np.concatenate(sets), np.array([len(x) for x in sets], dtype=np.int64), prints).view(np.int64)
+            names = np.array([set_name(x) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "node": names, "prints": list(found)})
+
+    return run
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4, prints: int = 1) -> DataFrame:
+def _apart(fp: np.ndarray, more: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the fingerprints of rows x and y."""
+    return sum(np.bitwise_count((c[x] ^ c[y]).view(np.uint64)).astype(np.int64) for c in (fp, more))
+
+
+def _bucket_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by (t, key, node): likely pairs (kind 0, a < b, distance), and all rows of buckets whose pairs are not all among these (kind 1)."""
+    names = ["t", "key", "node", "fp", "more"]
+    held = [np.zeros(0, np.int64)] * len(names)  # the last bucket so far: it may go on
+    known = False  # whether the held rows' bucket began before them
+    large = False  # whether it is one of those that are given row by row
+
+    def look(rows: list[np.ndarray], old: int, first_cut: bool, first_large: bool, last_cut: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """old: rows at the start that were looked at before."""
+        t, key, node, fp, more = rows
+        new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (key[1:] != key[:-1]))))
+        size = np.diff(np.append(new, len(t)))
+        big = size > SMALL
+        big[0] |= first_cut | first_large
+        big[-1] |= last_cut
+        of_row = np.repeat(big, size)
+        end = np.repeat(new + size, size)
+        ea, eb, ed = [], [], []
+        at = np.arange(len(t))
+        open_ = np.ones(len(t), bool)
+        for s in range(1, SMALL):
+            at = at[at + s < end[at]]
+            if not len(at):
+                break
+            x = at[(at + s >= old) & (open_[at] | ~of_row[at])]
+            d = _apart(fp, more, x, x + s)
+            hit = d <= SKETCH_RADIUS
+            x, d = x[hit], d[hit]
+            open_[x] = False
+            ea.append(node[x])
+            eb.append(node[x + s])
+            ed.append(d)
+        a, b, d = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (ea, eb, ed))
+        zero = np.zeros(len(a), np.int64)
+        pairs = pd.DataFrame({"kind": zero.astype(np.int32), "a": a, "b": b, "d": d, "fp": zero, "more": zero})
+        row = np.flatnonzero(of_row)
+        row = row[row >= (old if first_large else 0)]
+        members = pd.DataFrame({"kind": np.ones(len(row), np.int32), "a": t[row], "b": key[row], "d": node[row], "fp": fp[row], "more": more[row]})
+        return pairs, members
+
+    start = True
+    for frame in frames:
+        if not len(frame):
+            continue
+        rows = [np.concatenate((h, frame[c].to_numpy().astype(np.int64))) for h, c in zip(held, names, strict=True)]
+        old = len(held[0]) if large else 0
+        first_cut = known if len(held[0]) else start
+        start = False
+        t, key = rows[0], rows[1]
+        last = int(np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (key[1:] != key[:-1]))))[-1])
+        if last > 0 or large or len(t) > SMALL:
+            whole = last == 0  # one bucket fills all rows: it is large, and only its last rows are kept for the pairs to come
+            done = len(t) if whole else last
+            yield from look([c[:done] for c in rows], old, first_cut, large, whole)
+            if whole:
+                held, large, known = [c[-(SMALL - 1) :] for c in rows], True, first_cut
+            else:
+                held, large, known = [c[last:] for c in rows], False, False
+        else:
+            held, known = rows, first_cut
+    if len(held[0]):
+        if not large:
+            yield from look(held, 0, known, False, True)
+
+
+def _wanted(pairs: DataFrame) -> DataFrame:
+    """The FIRST nearest pairs of each text, from either side."""
+    ends = pairs.select(F.col("a").alias("v"), "a", "b", "d").union(pairs.select(F.col("b").alias("v"), "a", "b", "d"))
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("d", "a", "b"))
+    return ends.withColumn("r", rank).where(F.col("r") <= FIRST).select("a", "b").distinct()
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    return materialize(connected_components(edges).select(F.col("node"), F.col("component").alias("comp")), "comps")
+
+
+def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    left = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    right = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    told = pairs.join(left, "a", "left").join(right, "b", "left")
+    return told.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+
+def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows (doc_id, comp) for every row with an id: texts are linked if the Jaccard similarity of their shingle sets is at least `least`.
+
+    Texts of equal sets are one node, wordless ones too. Each node has several SimHash
+    fingerprints, and covering masks over the key bits of each make its buckets (tables_for
+    says how many). Buckets lie sorted over range partitions, so that one of any size is
+    spread. Two nodes of a bucket whose fingerprints differ little are a pair to verify, and
+    every link is verified on the whole sets. Most pairs of a large group are never looked
+    at: each node's nearest pairs are verified first, then pairs that still join different
+    components, and at last those of large buckets that still hold several components. So
+    the components are those of all likely pairs, and no link lies below `least` (but for
+    collisions of 64-bit hashes).
+    """
+    spark = docs.sparkSession
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
+    bits, count = tables_for(narrow.count(), least)
+    told = materialize(narrow.mapInPandas(_signatures(width, count), "doc_id long, node long, prints array<long>"), "signatures")
+    nodes = materialize(told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("prints").alias("prints")), "nodes")
+    masks = covering_masks(KEY_RADIUS, bits)
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(m) for m in masks]), (F.col("t") % len(masks) + 1).cast("int")))
+    parts = []
+    for k in range(0, count, PASS):
+        prints = [
+            F.struct(F.lit(i * len(masks)).alias("base"), F.col("prints")[i].alias("fp"), F.col("prints")[(i + 1) % count].alias("more"))
+            for i in range(k, min(k + PASS, count))
+        ]
+        rows = nodes.select("node", F.explode(F.array(*prints)).alias("p")).select("node", "p.*")
+        rows = rows.select("node", "fp", "more", F.explode(F.sequence(F.col("base"), F.col("base") + len(masks) - 1)).alias("t"))
+        # Only t and the fingerprints move; the key is worked out again behind the shuffle.
+        dealt = rows.repartitionByRange("t", key, "node").select("t", key.alias("key"), "node", "fp", "more")
+        found = dealt.sortWithinPartitions("t", "key", "node").mapInPandas(_bucket_pairs, "kind int, a long, b long, d long, fp long, more long")
+        parts.append(materialize(found, "buckets"))
+        del rows, dealt, found
+        free_shuffles(spark)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    pairs = materialize(found.where("kind = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")), "pairs")
+    members = found.where("kind = 1").select(F.col("a").alias("t"), F.col("b").alias("key"), F.col("d").alias("node"), "fp", "more")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
+    ids = materialize(nodes.join(met, "node", "left_semi").select("doc_id"), "met")
+    sets = materialize(named_sets(narrow.join(ids, "doc_id", "left_semi"), width), "sets")
+    first = materialize(_wanted(pairs), "first-pairs")
+    edges = materialize(similar_pairs(first, sets, least), "near-edges")
+    comps = _labels(edges)
+    rest = materialize(_across(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), comps), "rest-pairs")
+    if rest.limit(1).count():
+        edges = edges.unionByName(materialize(similar_pairs(rest, sets, least), "near-edges"))
+        comps = _labels(edges)
+    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = materialize(placed, "members")
+    mixed = placed.groupBy("t", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t", "key")
+    inside = materialize(placed.join(materialize(mixed, "mixed"), ["t", "key"]), "mixed-members")
+    more = _likely_across(inside).join(pairs, ["a", "b"], "left_anti")
+    more = materialize(more, "more-pairs")
+    if more.limit(1).count():
+        edges = edges.unionByName(materialize(similar_pairs(more, sets, least), "near-edges"))
+        comps = _labels(edges)
+    out = materialize(told.select("doc_id", "node").join(comps, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp")), "near-groups")
+    release(told, nodes, *parts, pairs, ids, sets, first, rest, placed, inside, more)
+    free_shuffles(spark)
+    return out
+
+
+def _likely_across(inside: DataFrame) -> DataFrame:
+    """Rows (a, b), a < b: likely pairs of members of one bucket in different components."""
+    right = inside.select("t", "key", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("more").alias("mb"), F.col("comp").alias("cb"))
+    left = inside.select("t", "key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("more").alias("ma"), F.col("comp").alias("ca"))
+    apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) + F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")))
+    both = left.join(right, ["t", "key"])
+    return both.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart <= SKETCH_RADIUS)).select("a", "b").distinct()
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one document of each group of near copies: the one with the smallest doc_id.
 
-    Documents are linked if any of their `prints` independent fingerprints lie within the
-    radius; groups are the components over all of these. Rows without a doc_id stay. Rows
-    that repeat the kept doc_id of a group all stay; exact de-duplication is the operator
-    for those.
+    Rows without a doc_id stay and link nothing. Rows that repeat a kept doc_id all stay.
     """
-    table = materialize(fingerprints(docs, id_col, text_col, width, prints), "fingerprints")
-    edges = None
-    for k in range(prints):
-        names = _components(table, f"fp{k}", radius)
-        linked = table.select("doc_id", F.col(f"fp{k}").alias("fp")).join(names, "fp").where(F.col("doc_id") != F.col("component_id"))
-        part = materialize(linked.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")), "near-edges")
-        edges = part if edges is None else edges.unionByName(part)
-        free_shuffles(docs.sparkSession)
-    groups = connected_components(edges)
-    gone = groups.where(F.col("node") != F.col("component")).select(F.col("node").alias("__gone")).distinct()
+    groups = link_near_copies(docs, id_col, text_col, width, least)
+    kept = materialize(groups.groupBy("comp").agg(F.min("doc_id").alias("keep")), "kept")
+    gone = groups.join(kept, "comp").where(F.col("doc_id") != F.col("keep")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = gone.join(kept.select(F.col("keep").alias("__gone")), "__gone", "left_anti")
     return docs.join(materialize(gone, "near-copies"), docs[id_col] == F.col("__gone"), "left_anti")

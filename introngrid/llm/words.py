@@ -6,6 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: bytes.split() cuts at exactly these: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
@@ -36,3 +40,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+def by_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInPandas(run, schema), but long columns stay exact beside nulls.
+
+    Plain pandas turns a long column that holds a null into floats, which round above
+    2**53. Here such a column is a nullable Int64 one; without nulls it is the usual int64.
+    """
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    target = to_arrow_schema(fields)
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            frame = batch.to_pandas()
+            for name, column in zip(batch.schema.names, batch.columns, strict=True):
+                if pa.types.is_integer(column.type) and column.null_count:
+                    frame[name] = column.to_pandas(types_mapper={column.type: pd.Int64Dtype()}.get)
+            yield frame
+
+    def batches(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(frames(incoming)):
+            yield pa.RecordBatch.from_pandas(frame, schema=target, preserve_index=False)
+
+    return df.mapInArrow(batches, fields)

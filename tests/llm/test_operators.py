@@ -257,13 +257,36 @@ def test_links_of_large_buckets(spark):
     assert len({(a, b) for a, b in zip(low.tolist(), label, strict=True)}) == len(set(low.tolist())) == len(set(label))
 
 
+def test_bucket_pairs_whatever_the_batches():
+    """Small buckets give all their likely pairs; of the others every row is listed, wherever batches and partitions cut them."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    size = [1, 2, 9, 10, 3, 30, 1, 8, 100, 2]
+    key = np.repeat(np.arange(len(size)), size)
+    n = len(key)
+    fp = np.where(rng.random(n) < 0.7, 5, rng.integers(0, 2**47, n))
+    rows = pd.DataFrame({"t": 0, "key": key, "node": np.arange(n) + 1000, "fp": fp, "more": fp})
+    near = lambda i, j: bin((fp[i] ^ fp[j])).count("1") * 2 <= simhash.SKETCH_RADIUS
+    for step in (1, 3, 7, 20, 50, n):
+        out = pd.concat(simhash._bucket_pairs(rows.iloc[i : i + step] for i in range(0, n, step)))
+        pairs, members = out[out.kind == 0], out[out.kind == 1]
+        assert not members.duplicated(["b", "d"]).any()
+        listed = set(members["d"] - 1000)
+        assert all(len(set(np.flatnonzero(key == k)) & listed) in (0, m) for k, m in enumerate(size))
+        assert all(set(np.flatnonzero(key == k)) <= listed for k, m in enumerate(size) if m > simhash.SMALL or k in (0, len(size) - 1))
+        got = set(zip(pairs["a"] - 1000, pairs["b"] - 1000, strict=True))
+        assert all(key[i] == key[j] and near(i, j) for i, j in got)
+        assert got >= {(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and i not in listed and near(i, j)}
+
+
 def test_near_copies_leave_one(spark):
     rng = np.random.default_rng(9)
     base = [f"v{rng.integers(3000)}" for _ in range(400)]
     near = base.copy()
     near[200] = "changed"
     table = docs(spark, [(5, " ".join(base), "en", "s"), (3, " ".join(near), "en", "s"), (9, rng_text(rng, 300, 3000), "en", "s"), (None, "alone", "en", "s")])
-    out = simhash.drop_near_copies(table, width=5, radius=6)
+    out = simhash.drop_near_copies(table, width=5)
     assert out.columns == table.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 3, 9]
 
 
