@@ -245,25 +245,25 @@ def _apart(fp: np.ndarray, more: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
 
 
 def _bucket_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by (t, key, node): likely pairs (kind 0, a < b, distance), and all rows of buckets whose pairs are not all among these (kind 1)."""
-    names = ["t", "key", "node", "fp", "more"]
+    """Of rows sorted by bucket: likely pairs (kind 0, nodes a and b, distance d), and all rows of buckets whose pairs are not all among these (kind 1, bucket a, node b)."""
+    names = ["bucket", "node", "fp", "more"]
     held = [np.zeros(0, np.int64)] * len(names)  # the last bucket so far: it may go on
     known = False  # whether the held rows' bucket began before them
     large = False  # whether it is one of those that are given row by row
 
     def look(rows: list[np.ndarray], old: int, first_cut: bool, first_large: bool, last_cut: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
         """old: rows at the start that were looked at before."""
-        t, key, node, fp, more = rows
-        new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (key[1:] != key[:-1]))))
-        size = np.diff(np.append(new, len(t)))
+        bucket, node, fp, more = rows
+        new = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        size = np.diff(np.append(new, len(bucket)))
         big = size > SMALL
         big[0] |= first_cut | first_large
         big[-1] |= last_cut
         of_row = np.repeat(big, size)
         end = np.repeat(new + size, size)
         ea, eb, ed = [], [], []
-        at = np.arange(len(t))
-        open_ = np.ones(len(t), bool)
+        at = np.arange(len(bucket))
+        open_ = np.ones(len(bucket), bool)
         for s in range(1, SMALL):
             at = at[at + s < end[at]]
             if not len(at):
@@ -281,7 +281,7 @@ def _bucket_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = pd.DataFrame({"kind": zero.astype(np.int32), "a": a, "b": b, "d": d, "fp": zero, "more": zero})
         row = np.flatnonzero(of_row)
         row = row[row >= (old if first_large else 0)]
-        members = pd.DataFrame({"kind": np.ones(len(row), np.int32), "a": t[row], "b": key[row], "d": node[row], "fp": fp[row], "more": more[row]})
+        members = pd.DataFrame({"kind": np.ones(len(row), np.int32), "a": bucket[row], "b": node[row], "d": np.zeros(len(row), np.int64), "fp": fp[row], "more": more[row]})
         return pairs, members
 
     start = True
@@ -292,11 +292,11 @@ def _bucket_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         old = len(held[0]) if large else 0
         first_cut = known if len(held[0]) else start
         start = False
-        t, key = rows[0], rows[1]
-        last = int(np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (key[1:] != key[:-1]))))[-1])
-        if last > 0 or large or len(t) > SMALL:
+        bucket = rows[0]
+        last = int(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))[-1])
+        if last > 0 or large or len(bucket) > SMALL:
             whole = last == 0  # one bucket fills all rows: it is large, and only its last rows are kept for the pairs to come
-            done = len(t) if whole else last
+            done = len(bucket) if whole else last
             yield from look([c[:done] for c in rows], old, first_cut, large, whole)
             if whole:
                 held, large, known = [c[-(SMALL - 1) :] for c in rows], True, first_cut
@@ -347,7 +347,8 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     told = materialize(narrow.mapInPandas(_signatures(width, count), "doc_id long, node long, prints array<long>"), "signatures")
     nodes = materialize(told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("prints").alias("prints")), "nodes")
     masks = covering_masks(KEY_RADIUS, bits)
-    key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(m) for m in masks]), (F.col("t") % len(masks) + 1).cast("int")))
+    mask = F.element_at(F.array(*[F.lit(m) for m in masks]), (F.col("t") % len(masks) + 1).cast("int"))
+    bucket = F.xxhash64("t", F.col("fp").bitwiseAND(mask))
     parts = []
     for k in range(0, count, PASS):
         prints = [
@@ -356,17 +357,18 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ]
         rows = nodes.select("node", F.explode(F.array(*prints)).alias("p")).select("node", "p.*")
         rows = rows.select("node", "fp", "more", F.explode(F.sequence(F.col("base"), F.col("base") + len(masks) - 1)).alias("t"))
-        # Only t and the fingerprints move; the key is worked out again behind the shuffle.
-        dealt = rows.repartitionByRange("t", key, "node").select("t", key.alias("key"), "node", "fp", "more")
-        found = dealt.sortWithinPartitions("t", "key", "node").mapInPandas(_bucket_pairs, "kind int, a long, b long, d long, fp long, more long")
+        # Only t and the fingerprints move; the bucket is worked out again behind the shuffle, and one long sorts fast.
+        dealt = rows.repartitionByRange(bucket, "node").select(bucket.alias("bucket"), "node", "fp", "more")
+        found = dealt.sortWithinPartitions("bucket").mapInPandas(_bucket_pairs, "kind int, a long, b long, d long, fp long, more long")
         parts.append(materialize(found, "buckets"))
         del rows, dealt, found
         free_shuffles(spark)
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    pairs = materialize(found.where("kind = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")), "pairs")
-    members = found.where("kind = 1").select(F.col("a").alias("t"), F.col("b").alias("key"), F.col("d").alias("node"), "fp", "more")
+    pairs = found.where("kind = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
+    pairs = materialize(_close(pairs, nodes, count, least), "pairs")
+    members = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("node"), "fp", "more")
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
     ids = materialize(nodes.join(met, "node", "left_semi").select("doc_id"), "met")
     sets = materialize(named_sets(narrow.join(ids, "doc_id", "left_semi"), width), "sets")
@@ -379,9 +381,9 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         comps = _labels(edges)
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = materialize(placed, "members")
-    mixed = placed.groupBy("t", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t", "key")
-    inside = materialize(placed.join(materialize(mixed, "mixed"), ["t", "key"]), "mixed-members")
-    more = _likely_across(inside).join(pairs, ["a", "b"], "left_anti")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    inside = materialize(placed.join(materialize(mixed, "mixed"), "bucket"), "mixed-members")
+    more = _close(_likely_across(inside).join(pairs, ["a", "b"], "left_anti"), nodes, count, least)
     more = materialize(more, "more-pairs")
     if more.limit(1).count():
         edges = edges.unionByName(materialize(similar_pairs(more, sets, least), "near-edges"))
@@ -392,12 +394,22 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out
 
 
+def _close(pairs: DataFrame, nodes: DataFrame, prints: int, least: float) -> DataFrame:
+    """The pairs that differ in no more bits of all their fingerprints than all but a few in 10,000 of similarity `least` do."""
+    rate = np.arccos(2 * least / (1 + least)) / np.pi
+    most = int(np.ceil(BITS * prints * rate + 3.3 * np.sqrt(BITS * prints * rate * (1 - rate))))
+    side = lambda end, name: nodes.select(F.col("node").alias(end), F.col("prints").alias(name))
+    both = pairs.join(side("a", "pa"), "a").join(side("b", "pb"), "b")
+    apart = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(prints))
+    return both.where(apart <= most).select(*pairs.columns)
+
+
 def _likely_across(inside: DataFrame) -> DataFrame:
     """Rows (a, b), a < b: likely pairs of members of one bucket in different components."""
-    right = inside.select("t", "key", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("more").alias("mb"), F.col("comp").alias("cb"))
-    left = inside.select("t", "key", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("more").alias("ma"), F.col("comp").alias("ca"))
+    left = inside.select("bucket", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("more").alias("ma"), F.col("comp").alias("ca"))
+    right = inside.select("bucket", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("more").alias("mb"), F.col("comp").alias("cb"))
     apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) + F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")))
-    both = left.join(right, ["t", "key"])
+    both = left.join(right, "bucket")
     return both.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart <= SKETCH_RADIUS)).select("a", "b").distinct()
 
 

@@ -266,13 +266,13 @@ def test_bucket_pairs_whatever_the_batches():
     key = np.repeat(np.arange(len(size)), size)
     n = len(key)
     fp = np.where(rng.random(n) < 0.7, 5, rng.integers(0, 2**47, n))
-    rows = pd.DataFrame({"t": 0, "key": key, "node": np.arange(n) + 1000, "fp": fp, "more": fp})
+    rows = pd.DataFrame({"bucket": key, "node": np.arange(n) + 1000, "fp": fp, "more": fp})
     near = lambda i, j: bin((fp[i] ^ fp[j])).count("1") * 2 <= simhash.SKETCH_RADIUS
     for step in (1, 3, 7, 20, 50, n):
         out = pd.concat(simhash._bucket_pairs(rows.iloc[i : i + step] for i in range(0, n, step)))
         pairs, members = out[out.kind == 0], out[out.kind == 1]
-        assert not members.duplicated(["b", "d"]).any()
-        listed = set(members["d"] - 1000)
+        assert not members.duplicated(["a", "b"]).any()
+        listed = set(members["b"] - 1000)
         assert all(len(set(np.flatnonzero(key == k)) & listed) in (0, m) for k, m in enumerate(size))
         assert all(set(np.flatnonzero(key == k)) <= listed for k, m in enumerate(size) if m > simhash.SMALL or k in (0, len(size) - 1))
         got = set(zip(pairs["a"] - 1000, pairs["b"] - 1000, strict=True))
