@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from introngrid.llm.words import slices
 from introngrid.storage import bounded_broadcast, materialize
@@ -114,14 +117,15 @@ def identify(docs: DataFrame, model: Classifier | None, text_col: str = "text",
     The prediction uses the whole text and nothing else. It is UNKNOWN with score 0 for
     null texts, texts without a letter, and where there is no model.
     """
-    names = [f"{prefix}lang_pred", f"{prefix}score"]
-    columns = docs.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, text_col):
-            for k in range(0, len(frame), BATCH):
-                part = frame.iloc[k : k + BATCH]
-                texts = part[text_col].tolist()
+    fields = StructType([*docs.schema.fields, StructField(f"{prefix}lang_pred", StringType()), StructField(f"{prefix}score", DoubleType())])
+    target = to_arrow_schema(fields)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):  # the other columns pass through as they are
+                part = batch.slice(at, BATCH)
+                texts = part.column(place).to_pylist()
                 pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 some = [i for i, t in enumerate(texts) if t is not None and any(map(str.isalpha, t))] if model else []
                 if some:
@@ -129,10 +133,9 @@ def identify(docs: DataFrame, model: Classifier | None, text_col: str = "text",
                     score[some] = s
                     for i, f in zip(some, found, strict=True):
                         pred[i] = f
-                yield part[columns].assign(**{names[0]: pred, names[1]: score})
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], schema=target)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    return docs.mapInArrow(run, fields)
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:

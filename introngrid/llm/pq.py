@@ -14,6 +14,8 @@ from introngrid.storage import free_shuffles, materialize
 
 #: Vectors that the index is fitted on, at most; every vector is indexed.
 SAMPLE = 20_000
+#: Where vectors have several lengths, each length's index is fitted on so many at least.
+LEAST_SAMPLE = 1000
 #: Vectors of one list on average, and members of one block of a list.
 LIST, BLOCK = 1500, 1024
 #: Lists that a vector is looked up in, at most; subspaces; codes of a subspace.
@@ -77,12 +79,13 @@ class Index:
         return [((residual[:, None, a:b] - book[None]) ** 2).sum(2) for a, b, book in parts]
 
 
-def _assign(index: Index, threshold: float):
+def _assign(indexes: dict[int, tuple[Index, int]], threshold: float):
     """Rows of the lists: each vector once in its own list, and as a query in the others it may have links to."""
     reach = 2 * np.sqrt(2 - 2 * threshold)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for whole, dim in ((f, d) for f in frames for d in f["dim"].unique()):
+            frame, (index, base) = whole[whole["dim"] == dim], indexes[int(dim)]
             for k in range(0, len(frame), 4096):
                 part = frame.iloc[k : k + 4096]
                 raw = np.stack([np.frombuffer(v, dtype="<f8") for v in part["vec"]])
@@ -93,6 +96,7 @@ def _assign(index: Index, threshold: float):
                 codes = index.encode(unit - index.coarse[at[:, 0]])
                 n = use.sum(1)
                 row = np.repeat(np.arange(len(part)), n)
+                at = at + base
                 lists = at[use]
                 probes = [p[u].astype(np.int32) for p, u in zip(at, use, strict=True)]
                 yield pd.DataFrame({
@@ -103,7 +107,7 @@ def _assign(index: Index, threshold: float):
     return run
 
 
-def _search(index: Index, threshold: float):
+def _search(indexes: dict[int, tuple[Index, int]], threshold: float):
     """Links of one block of queries with one block of a list's members: partial link counts and a spanning forest."""
     radius = 2 - 2 * threshold
 
@@ -117,7 +121,8 @@ def _search(index: Index, threshold: float):
         exact_q, exact_m = (np.stack([np.frombuffer(v, dtype="<f8") for v in x["vec"]]) for x in (q, m))
         exact_q, exact_m = _unit(exact_q), _unit(exact_m)
         codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in m["code"]])
-        centre = index.coarse[this]
+        index, base = indexes[exact_q.shape[1]]
+        centre = index.coarse[this - base]
         residual = (exact_q - centre).astype(np.float32)
         gap = ((exact_m - centre - index.decode(codes)) ** 2).sum(1)
         bound = (np.sqrt(radius) + np.sqrt(np.maximum(gap, SLACK * index.error))) ** 2
@@ -170,10 +175,10 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     missed, and only pairs that meet in no probed list are. Lists are searched in blocks of
     about BLOCK members, and a block gives link counts and a spanning forest, never pairs.
 
-    A vector that is null or zero, or has null or non-finite components, or another
-    dimension than the index, links with nothing: n_links 0 and its own id as component. So
-    does each row of a repeated id, whose links count as to other rows. A null id is its own
-    null component. An empty table gives no rows.
+    Vectors of each length have an index of their own, and link with none of another length.
+    A vector that is null or zero, or has null or non-finite components, links with
+    nothing: n_links 0 and its own id as component. Links of a repeated id's rows count as to
+    other rows. A null id is its own null component. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     vec = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -188,29 +193,33 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     total = nodes.count()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    chosen = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(min(1.0, 1.2 * sample / total) * 1_000_000)).limit(sample)
-    fitted = [r["v"] for r in chosen.select("v").collect()] or [r["v"] for r in nodes.select("v").limit(sample).collect()]
-    dim = max(set(map(len, fitted)), key=[len(v) for v in fitted].count) if len({len(v) for v in fitted}) > 1 else len(fitted[0])
-    data = np.array([v for v in fitted if len(v) == dim])
-    index = Index(_unit(data), total)
+    lengths = {r["dim"]: r["n"] for r in nodes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    indexes, base = {}, 0
+    for dim, n in sorted(lengths.items()):
+        own = nodes.where(F.size("v") == dim)
+        few = min(sample, n) if len(lengths) == 1 else max(min(n, LEAST_SAMPLE), sample * n // total)
+        chosen = own.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < F.lit(min(1.0, 1.2 * few / n) * 1_000_000)).limit(few)
+        fitted = [r["v"] for r in chosen.select("v").collect()] or [r["v"] for r in own.select("v").limit(few).collect()]
+        indexes[dim] = Index(_unit(np.array(fitted)), n), base
+        base += len(indexes[dim][0].coarse)
 
     def binary(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"node": f["node"], "m": f["m"], "vec": [np.asarray(v, dtype="<f8").tobytes() for v in f["v"]]})
+            yield pd.DataFrame({"node": f["node"], "m": f["m"], "dim": f["v"].str.len(), "vec": [np.asarray(v, dtype="<f8").tobytes() for v in f["v"]]})
 
-    same = nodes.where(F.size("v") == dim).mapInPandas(binary, "node long, m long, vec binary")
-    listed = same.mapInPandas(_assign(index, threshold), "list int, own int, node long, m long, probes array<int>, code binary, vec binary")
+    same = nodes.mapInPandas(binary, "node long, m long, dim int, vec binary")
+    listed = same.mapInPandas(_assign(indexes, threshold), "list int, own int, node long, m long, probes array<int>, code binary, vec binary")
     listed = materialize(listed, "lists")
     sizes = listed.groupBy("list").agg(
         F.ceil(F.count("*") / BLOCK).cast("int").alias("nq"), F.greatest(F.ceil(F.count(F.when(F.col("own") == F.col("list"), 1)) / BLOCK), F.lit(1)).cast("int").alias("nm")
     )
-    listed = listed.join(F.broadcast(sizes), "list")  # one row per list, at most 4,096
+    listed = listed.join(F.broadcast(sizes), "list")  # one row per list, at most 4,096 for each length
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["list", "own", "node", "m", "probes", "code", "vec"]
     queries = listed.select(*columns, F.lit(0).alias("role"), block("nq").alias("qblock"), every("nm").alias("mblock"))
     members = listed.where("own = list").select(*columns, F.lit(1).alias("role"), every("nq").alias("qblock"), block("nm").alias("mblock"))
-    found = queries.unionByName(members).groupBy("list", "qblock", "mblock").applyInPandas(_search(index, threshold), "kind int, a long, b long")
+    found = queries.unionByName(members).groupBy("list", "qblock", "mblock").applyInPandas(_search(indexes, threshold), "kind int, a long, b long")
     found = materialize(found, "links")
     comps = connected_components(found.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     counts = found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n"))

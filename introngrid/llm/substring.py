@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from introngrid.llm.words import encoded, mix64, slices
+from introngrid.llm.words import by_batches, encoded, mix64, slices
 from introngrid.storage import free_shuffles, materialize, release
 
 #: Rounds of recompression; symbols then cover about (4/3)**ROUNDS words.
@@ -197,7 +197,7 @@ def _kept(window: int):
                     kept = b" ".join(words)
                 rows.append((len(words), cut, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept_text"])
-            out.insert(0, "doc_id", part["doc_id"].to_numpy())
+            out.insert(0, "doc_id", part["doc_id"].array)
             yield out
 
     return run
@@ -243,4 +243,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spots = materialize(runs.groupBy("uid").agg(F.flatten(F.collect_list(F.array("start", "n"))).alias("spots")), "removed")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return base.join(spots, "uid", "left").select("doc_id", "text", "spots").mapInPandas(_kept(window), schema)
+    return by_batches(base.join(spots, "uid", "left").select("doc_id", "text", "spots"), _kept(window), schema)

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from introngrid.llm.words import encoded, slices
+from introngrid.llm.words import by_batches, encoded, slices
 
 #: The white space of the tokenizer's patterns, and its pattern for pre-tokens.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -139,7 +139,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_bytes": [len(encoded(x)) for x in texts], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return by_batches(narrow, run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 class WordIds:

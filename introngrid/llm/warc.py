@@ -25,7 +25,7 @@ INDEX = "page_id long, url string, digest string, file string, offset long, leng
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, valid boolean"
 
 
-def _filesystem(uri: str):
+def filesystem(uri: str):
     """The pyarrow file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
@@ -63,7 +63,7 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
 
 def _writer(folder: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, root = _filesystem(folder)
+        files, root = filesystem(folder)
         out = name = None
         at = 0
         try:
@@ -98,7 +98,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     """
     spark = pages.sparkSession
     folder = folder or f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
-    files, root = _filesystem(folder)
+    files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
     html = F.col(html_col)
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(html, F.lit("")).alias("html"))
@@ -149,7 +149,7 @@ def _reader(with_payload: bool):
             rows = list(frame[["file", "offset", "length"]].itertuples(index=False, name=None))
             for file, start, end, members in _ranges(rows):
                 if file != opened:
-                    files, path = _filesystem(file)
+                    files, path = filesystem(file)
                     handle, opened = files.open_input_file(path), file
                 data = handle.read_at(end - start, start)
                 out = [_parse(data[o - start : o - start + n]) for o, n in members]
