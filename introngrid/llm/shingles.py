@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from introngrid.llm.words import LOWER, encoded, slices
+from introngrid.storage import materialize
+
+#: Up to so many sets are picked by a broadcast of their names, 8 bytes each, before they are joined.
+MOST_ENDS = 200_000
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -37,7 +41,7 @@ def set_name(hashes: np.ndarray) -> int:
 
 
 def named_sets(texts: DataFrame, width: int = 5) -> DataFrame:
-    """Rows (node, shingles) with the set's name and its hashes, one for each different set. texts: text."""
+    """Rows (node, shingles) with the set's name and its hashes, one for each row of texts (text)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(frames):
@@ -45,11 +49,14 @@ def named_sets(texts: DataFrame, width: int = 5) -> DataFrame:
             names = np.array([set_name(x) for x in sets], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"node": names, "shingles": [x.view(np.int64) for x in sets]})
 
-    return texts.mapInPandas(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return texts.mapInPandas(run, "node long, shingles array<long>")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float = 0.8) -> DataFrame:
-    """Rows (src, dst): the pairs (a, b) of set names whose sets have a Jaccard similarity of at least `least`."""
+    """Rows (src, dst): the pairs (a, b, a written table) of set names whose sets have a Jaccard similarity of at least `least`. Only sets of few pairs' ends move."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    if ends.limit(MOST_ENDS + 1).count() <= MOST_ENDS:
+        sets = sets.join(F.broadcast(ends), "node", "left_semi")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     both = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("i"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from introngrid.graph import connected_components, forest
@@ -25,8 +26,10 @@ KEY_BITS, KEY_RADIUS = ((26, 44), (30, 52), (34, 60), (64, 64)), 4
 MEETING = 0.98
 #: Fingerprints that one pass over the buckets takes: fewer at a time keep the shuffle's files small.
 PASS = 5
-#: Two texts of one bucket are verified if at most so many of 128 bits of their fingerprints differ: true of 99.9 % of the pairs of similarity 0.8 there.
-SKETCH_RADIUS = 28
+#: Two texts of one bucket are looked at if at most so many of 96 bits of their fingerprints differ: true of 99.9 % of the pairs of similarity 0.8 there.
+SKETCH_RADIUS = 21
+#: They are verified if all their fingerprints lie as close as those of all but this share of the pairs of the least similarity.
+MISSED = 0.005
 #: Buckets up to this size give all their pairs; of larger ones each text gives the nearest pair first.
 SMALL = 9
 #: Pairs of each text that are verified first.
@@ -345,17 +348,18 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     bits, count = tables_for(narrow.count(), least)
     told = materialize(narrow.mapInPandas(_signatures(width, count), "doc_id long, node long, prints array<long>"), "signatures")
-    nodes = materialize(told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("prints").alias("prints")), "nodes")
+    nodes = told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("prints").alias("prints"))
+    nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")  # short numbers: they move often
     masks = covering_masks(KEY_RADIUS, bits)
     mask = F.element_at(F.array(*[F.lit(m) for m in masks]), (F.col("t") % len(masks) + 1).cast("int"))
     bucket = F.xxhash64("t", F.col("fp").bitwiseAND(mask))
     parts = []
     for k in range(0, count, PASS):
         prints = [
-            F.struct(F.lit(i * len(masks)).alias("base"), F.col("prints")[i].alias("fp"), F.col("prints")[(i + 1) % count].alias("more"))
+            F.struct(F.lit(i * len(masks)).alias("base"), F.col("prints")[i].alias("fp"), F.col("prints")[(i + 1) % count].bitwiseAND(F.lit(0xFFFFFFFF)).alias("more"))
             for i in range(k, min(k + PASS, count))
         ]
-        rows = nodes.select("node", F.explode(F.array(*prints)).alias("p")).select("node", "p.*")
+        rows = nodes.select(F.col("nid").alias("node"), F.explode(F.array(*prints)).alias("p")).select("node", "p.*")
         rows = rows.select("node", "fp", "more", F.explode(F.sequence(F.col("base"), F.col("base") + len(masks) - 1)).alias("t"))
         # Only t and the fingerprints move; the bucket is worked out again behind the shuffle, and one long sorts fast.
         dealt = rows.repartitionByRange(bucket, "node").select(bucket.alias("bucket"), "node", "fp", "more")
@@ -368,49 +372,60 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = found.unionByName(part)
     pairs = found.where("kind = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
     pairs = materialize(_close(pairs, nodes, count, least), "pairs")
-    members = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("node"), "fp", "more")
+    free_shuffles(spark)
+    members = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("nid")).join(nodes.select("nid", "node", "prints"), "nid")
+    members = materialize(members.drop("nid"), "members")
+    release(*parts)
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
     ids = materialize(nodes.join(met, "node", "left_semi").select("doc_id"), "met")
     sets = materialize(named_sets(narrow.join(ids, "doc_id", "left_semi"), width), "sets")
+    if sets.count() > ids.count():  # some doc_id is repeated
+        sets = materialize(sets.dropDuplicates(["node"]), "sets")
     first = materialize(_wanted(pairs), "first-pairs")
     edges = materialize(similar_pairs(first, sets, least), "near-edges")
     comps = _labels(edges)
+    free_shuffles(spark)
     rest = materialize(_across(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), comps), "rest-pairs")
     if rest.limit(1).count():
         edges = edges.unionByName(materialize(similar_pairs(rest, sets, least), "near-edges"))
         comps = _labels(edges)
-    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = materialize(placed, "members")
+        free_shuffles(spark)
+    placed = materialize(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     inside = materialize(placed.join(materialize(mixed, "mixed"), "bucket"), "mixed-members")
-    more = _close(_likely_across(inside).join(pairs, ["a", "b"], "left_anti"), nodes, count, least)
-    more = materialize(more, "more-pairs")
+    more = materialize(_close_across(inside, count, least).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if more.limit(1).count():
         edges = edges.unionByName(materialize(similar_pairs(more, sets, least), "near-edges"))
         comps = _labels(edges)
     out = materialize(told.select("doc_id", "node").join(comps, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp")), "near-groups")
-    release(told, nodes, *parts, pairs, ids, sets, first, rest, placed, inside, more)
+    release(told, nodes, pairs, ids, sets, first, rest, members, placed, inside, more)
     free_shuffles(spark)
     return out
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, prints: int, least: float) -> DataFrame:
-    """The pairs that differ in no more bits of all their fingerprints than all but a few in 10,000 of similarity `least` do."""
+def _most_apart(prints: int, least: float) -> int:
+    """Differing bits of all fingerprints that a pair of similarity `least` exceeds with probability MISSED."""
     rate = np.arccos(2 * least / (1 + least)) / np.pi
-    most = int(np.ceil(BITS * prints * rate + 3.3 * np.sqrt(BITS * prints * rate * (1 - rate))))
-    side = lambda end, name: nodes.select(F.col("node").alias(end), F.col("prints").alias(name))
-    both = pairs.join(side("a", "pa"), "a").join(side("b", "pb"), "b")
-    apart = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(prints))
-    return both.where(apart <= most).select(*pairs.columns)
-
-
-def _likely_across(inside: DataFrame) -> DataFrame:
-    """Rows (a, b), a < b: likely pairs of members of one bucket in different components."""
-    left = inside.select("bucket", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("more").alias("ma"), F.col("comp").alias("ca"))
-    right = inside.select("bucket", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("more").alias("mb"), F.col("comp").alias("cb"))
-    apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) + F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")))
-    both = left.join(right, "bucket")
-    return both.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart <= SKETCH_RADIUS)).select("a", "b").distinct()
+    spread = NormalDist().inv_cdf(1 - MISSED)
+    return int(np.ceil(BITS * prints * rate + spread * np.sqrt(BITS * prints * rate * (1 - rate))))
+
+
+def _bits_apart(x: str, y: str, prints: int) -> Column:
+    return sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(prints))
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, prints: int, least: float) -> DataFrame:
+    """The pairs, given by nid, whose fingerprints all together are close, now by node, a < b."""
+    side = lambda end: nodes.select(F.col("nid").alias(end), F.col("node").alias(f"n{end}"), F.col("prints").alias(f"p{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_bits_apart("pa", "pb", prints) <= _most_apart(prints, least))
+    return both.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "d")
+
+
+def _close_across(inside: DataFrame, prints: int, least: float) -> DataFrame:
+    """Rows (a, b), a < b: pairs of members of one bucket in different components whose fingerprints all together are close."""
+    side = lambda end: inside.select("bucket", F.col("node").alias(end), F.col("prints").alias(f"p{end}"), F.col("comp").alias(f"c{end}"))
+    close = _bits_apart("pa", "pb", prints) <= _most_apart(prints, least)
+    return side("a").join(side("b"), "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
