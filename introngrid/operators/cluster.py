@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from introngrid.functions.windows import islands
-from introngrid.storage import materialize, release
+from introngrid.operators.annotation import dense_ids
+from introngrid.storage import materialize
 
 
 def initial_clusters(introns: DataFrame) -> DataFrame:
@@ -50,15 +51,22 @@ def refine_links(introns: DataFrame, near_exons: DataFrame | None = None, mode:
 
 def _close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Components of the clusters in sorted frames, many at a time; component is its cluster and least intron."""
-    rest = None
+    rest: list[pd.DataFrame] = []  # rows of the last cluster so far, which may go on
     for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        open_ = frame["cluster"] == frame["cluster"].iloc[-1]  # may go on in the next frame
-        rest = frame[open_]
-        if not open_.all():
-            yield _closure(frame[~open_])
-    if rest is not None and len(rest):
-        yield _closure(rest)
+        if not len(frame):
+            continue
+        open_ = frame["cluster"] == frame["cluster"].iloc[-1]
+        if open_.all() and rest and rest[-1]["cluster"].iloc[-1] == frame["cluster"].iloc[0]:
+            rest.append(frame)
+        else:
+            whole = pd.concat([*rest, frame[~open_]], ignore_index=True)
+            rest = [frame[open_]]
+            if len(whole) and whole["cluster"].iloc[-1] == rest[0]["cluster"].iloc[0]:
+                rest, whole = [whole, *rest], whole[:0]
+            if len(whole):
+                yield _closure(whole)
+    if rest:
+        yield _closure(pd.concat(rest, ignore_index=True))
 
 
 def _closure(frame: pd.DataFrame) -> pd.DataFrame:
@@ -85,41 +93,40 @@ def filter_introns(introns: DataFrame, keys=("cluster",), count: str = "count",
     return introns.withColumn("__share", share).where((F.col("__share") >= pct) & (F.col(count) >= cutoff)).drop("__share")
 
 
-def refine_clusters(introns: DataFrame, cutoff: float = 0.1, pct: float = 0.01, max_rounds: int = 20) -> DataFrame:
-    """Filter, split into chains, split by shared positions, until nothing changes; clusters of one intron go.
+def refine_clusters(introns: DataFrame, cutoff: float = 0.1, pct: float = 0.01, max_rounds: int = 100) -> DataFrame:
+    """Filter clusters, and split those that change or hold several chains, until none does; clusters of one intron go.
 
-    A round works on all clusters that the last one changed. Later links use positions
-    alone, whatever the first refinement used.
+    A cluster is settled if the filter takes nothing from it and it is one chain of
+    overlapping introns. Any other one is split into the chains of what the filter left, and
+    these by shared positions alone, whatever the first refinement used. A round works on
+    all clusters that the last one changed; settled ones are not looked at again. Each
+    round takes an intron or splits a cluster, so rounds end; more than max_rounds raise.
     """
-    done, active = None, materialize(introns, "active")
+    settled, active, columns = None, introns, introns.columns
+    own = Window.partitionBy("cluster")
     for _ in range(max_rounds):
-        kept = filter_introns(active, cutoff=cutoff, pct=pct)
-        split = refine_links(recluster_intervals(kept).withColumn("__was", F.split("cluster", "/")[0]), mode=2)
-        sizes = active.groupBy("cluster").agg(F.count("*").alias("__before"))
-        split = materialize(split.withColumn("__old", F.regexp_replace("cluster", "/[^/]*$", "")), "split")
-        parts = split.groupBy(F.col("__old").alias("cluster")).agg(F.count("*").alias("__after"), F.countDistinct("component").alias("__parts"))
-        state = materialize(parts.join(sizes, "cluster").select(F.col("cluster").alias("__old"), ((F.col("__after") == F.col("__before")) & (F.col("__parts") == 1)).alias("__same")), "state")
-        told = split.join(state, "__old")
-        columns = introns.columns
-        settled = told.where("__same").withColumn("cluster", F.col("__old")).select(*columns)
-        multi = F.count("*").over(Window.partitionBy("component"))
-        again = told.where("NOT __same").withColumn("__n", multi).where("__n > 1").withColumn("cluster", F.col("component")).select(*columns)
-        done = materialize(settled if done is None else done.unionByName(settled), "settled")
-        active = materialize(again, "active")
-        release(split, state)
-        if not active.limit(1).count():
-            break
-    return done.withColumn("__n", F.count("*").over(Window.partitionBy("cluster"))).where("__n > 1").drop("__n")
+        told = islands(active.withColumn("__before", F.count("*").over(own)), ["cluster"], ties=["intron"], out="__chain")
+        told = told.withColumn("__chains", F.max("__chain").over(own)).drop("__chain")
+        kept = filter_introns(told, cutoff=cutoff, pct=pct).withColumn("__after", F.count("*").over(own))
+        kept = materialize(kept.withColumn("__same", (F.col("__after") == F.col("__before")) & (F.col("__chains") == 1)).where("__after > 1"), "refined")
+        part = kept.where("__same").select(*columns)
+        settled = part if settled is None else settled.unionByName(part)
+        open_ = kept.where("NOT __same").select(*columns)
+        if not open_.limit(1).count():
+            return settled
+        split = refine_links(recluster_intervals(open_), mode=2).withColumn("cluster", F.col("component"))
+        active = materialize(split.select(*columns), "active")
+    raise RuntimeError("clusters did not settle")
 
 
 def number_clusters(introns: DataFrame, count: str = "count", min_total: float = 1) -> DataFrame:
     """Clusters whose total is over min_total, numbered from 0 in order of their place, and names chrom:start:end:clu_N_strand.
 
-    The number comes from a window over one row per cluster.
+    Ranges of clusters are numbered side by side and moved on by the sizes of the ranges before.
     """
     totals = introns.groupBy("cluster").agg(F.sum(count).alias("total"), F.min("chrom").alias("c"), F.min("strand").alias("s"), F.min("start").alias("a"), F.max("stop").alias("b"))
-    order = Window.orderBy("c", "s", "a", "b", "cluster")
-    numbers = totals.where(F.col("total") > min_total).select("cluster", (F.row_number().over(order) - 1).alias("number"))
+    numbers = dense_ids(totals.where(F.col("total") > min_total).select(F.struct("c", "s", "a", "b", "cluster").alias("place")), "place", "number")
+    numbers = numbers.select(F.col("place.cluster").alias("cluster"), "number")
     name = F.format_string("%s:%d:%d:clu_%d_%s", F.col("chrom"), F.col("start"), F.col("stop"), F.col("number"), F.coalesce("strand", F.lit("nan")))
     return introns.join(numbers, "cluster").withColumn("name", name)
 

@@ -29,14 +29,14 @@ def key_of(items: str) -> Column:
 
 
 def normalize_junction(quant: DataFrame, read_length: float = 100, overhang: float = 2, paired: bool = True, sizing: float = 1.0) -> DataFrame:
-    """Rows (sample, tx_id, value): reads scaled to what junctions would see; only transcripts with TPM over 0."""
+    """Rows (sample, tx_id, value): reads scaled to what junctions would see; only transcripts with TPM over 0. An effective length of 0 gives null."""
     scale = (read_length - overhang) * (2 if paired else 1) * sizing
-    return quant.where("tpm > 0").select("sample", "tx_id", (F.col("num_reads").cast("double") * F.lit(float(scale)) / F.col("effective_length")).alias("value"))
+    return quant.where("tpm > 0").select("sample", "tx_id", (F.col("num_reads").cast("double") * F.lit(float(scale)) / F.nullif("effective_length", F.lit(0))).alias("value"))
 
 
 def normalize_global(quant: DataFrame) -> DataFrame:
-    """TPM scaled so that a sample's values add up to its reads."""
-    return quant.select("sample", "tx_id", (F.col("tpm") * F.sum("num_reads").over(over("sample")) / F.sum("tpm").over(over("sample"))).alias("value"))
+    """TPM scaled so that a sample's values add up to its reads; null where a sample has no TPM."""
+    return quant.select("sample", "tx_id", (F.col("tpm") * F.sum("num_reads").over(over("sample")) / F.nullif(F.sum("tpm").over(over("sample")), F.lit(0))).alias("value"))
 
 
 def normalize_local(quant: DataFrame, genes: DataFrame) -> DataFrame:
@@ -58,11 +58,6 @@ def unmapped_transcripts(values: DataFrame, support: DataFrame) -> DataFrame:
 # Q06-Q17: pseudobulks
 
 
-def natural_key(name: str) -> list[Column]:
-    """Sort keys: the text before a trailing number, then that number."""
-    return [F.regexp_extract(name, r"^(.*?)(\d*)$", 1), F.coalesce(F.expr(f"try_cast(regexp_extract({name}, '(\\\\d+)$', 1) AS BIGINT)"), F.lit(-1))]
-
-
 def project_counts(values: DataFrame, edges: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Rows (feature, sample, value) of features whose total is over threshold; transcript ids match without version."""
     joined = values.withColumn("tx_id", bare("tx_id")).join(edges.select(bare("tx_id").alias("tx_id"), "feature").distinct(), "tx_id")
@@ -122,15 +117,15 @@ def filter_support(counts: DataFrame, membership: DataFrame, min_ec: float, min_
 
 
 def feature_weights(lengths: DataFrame, mean: float = 300.0) -> DataFrame:
-    """1 / (length - mean) for longer transcripts, else 1 / length."""
-    return lengths.select("tx_id", F.when(F.col("length") > mean, 1 / (F.col("length") - mean)).otherwise(1 / F.col("length")).alias("w"))
+    """1 / (length - mean) for longer transcripts, else 1 / length, null for length 0."""
+    return lengths.select("tx_id", F.when(F.col("length") > mean, 1 / (F.col("length") - mean)).otherwise(1 / F.nullif("length", F.lit(0))).alias("w"))
 
 
 def em_abundance(counts: DataFrame, membership: DataFrame, weights: DataFrame, iterations: int = 30, offset: float = 1e-7, cut_every: int = 5) -> DataFrame:
     """Rows (sample, tx_id, alpha) after fixed rounds of alpha * w / sum over the class, shared out by the class's counts and renormalised.
 
     counts has (sample, ec_id, n). Every kept class gets the offset in every sample, so the
-    grid is samples times kept classes. The growing plan is cut by a written table every few rounds.
+    grid is samples times kept classes. A class whose weights are all 0 gives nothing. The growing plan is cut by a written table every few rounds.
     """
     design = membership.join(weights, "tx_id").select("ec_id", "tx_id", "w")
     kept = design.select("ec_id").distinct()
@@ -143,9 +138,9 @@ def em_abundance(counts: DataFrame, membership: DataFrame, weights: DataFrame, i
     held = None
     for i in range(iterations):
         part = edges.join(alpha, ["sample", "tx_id"]).withColumn("__x", F.col("alpha") * F.col("w"))
-        part = part.withColumn("__x", F.col("__x") / F.sum("__x").over(over("sample", "ec_id")) * F.col("n"))
+        part = part.withColumn("__x", F.coalesce(F.col("__x") / F.nullif(F.sum("__x").over(over("sample", "ec_id")), F.lit(0)) * F.col("n"), F.lit(0.0)))
         raw = part.groupBy("sample", "tx_id").agg(F.sum("__x").alias("__a"))
-        alpha = raw.select("sample", "tx_id", (F.col("__a") / F.sum("__a").over(over("sample"))).alias("alpha"))
+        alpha = raw.select("sample", "tx_id", F.coalesce(F.col("__a") / F.nullif(F.sum("__a").over(over("sample")), F.lit(0)), F.lit(0.0)).alias("alpha"))
         if i + 1 < iterations and (i + 1) % cut_every == 0:
             alpha = materialize(alpha, "alpha")
             if held is not None:
@@ -161,7 +156,7 @@ def abundance_to_counts(alpha: DataFrame, totals: DataFrame, lengths: DataFrame
     share = F.col("alpha") / F.nullif(F.sum("alpha").over(over("sample")), F.lit(0))
     out = alpha.withColumn("tpm", share * 1e6).join(F.broadcast(totals), "sample").withColumn("count", share * F.col("total"))
     if mode == "junction":
-        out = out.join(lengths, "tx_id").withColumn("count", F.col("count") * (read_length - overhang) / F.col("length"))
+        out = out.join(lengths, "tx_id").withColumn("count", F.col("count") * (read_length - overhang) / F.nullif("length", F.lit(0)))
     return out.select("sample", "tx_id", "tpm", "count")
 
 
@@ -175,7 +170,7 @@ def drop_small(df: DataFrame, value: str = "count", least: float = 0.1) -> DataF
 def ec_design_legacy(membership: DataFrame, usage: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Rows (ec_id, tx_id, a): usage over length (phi) with lengths, else usage (theta)."""
     out = membership.join(usage, "tx_id")
-    return out.join(lengths, "tx_id").select("ec_id", "tx_id", (F.col("u") / F.col("length")).alias("a")) if lengths is not None else out.select("ec_id", "tx_id", F.col("u").alias("a"))
+    return out.join(lengths, "tx_id").select("ec_id", "tx_id", (F.col("u") / F.nullif("length", F.lit(0))).alias("a")) if lengths is not None else out.select("ec_id", "tx_id", F.col("u").alias("a"))
 
 
 def normalize_columns(df: DataFrame, col: str = "tx_id", value: str = "a", extra=()) -> DataFrame:
@@ -206,7 +201,7 @@ def ec_design_grouped(membership: DataFrame, probabilities: DataFrame, group: st
     sized = membership.withColumn("k", F.count("*").over(over("ec_id"))).crossJoin(F.broadcast(groups.withColumnRenamed(group, "__g")))
     same = (F.col("__g").eqNullSafe(F.col(group))) & (sized["ec_id"] == both["ec_id"]) & (sized["pos"] == both["pos"])
     out = sized.join(both, same, "left").select(F.col("__g").alias(group), sized["ec_id"], "tx_id", F.coalesce("p", 1 / F.col("k")).alias("a"))
-    return out.withColumn("a", F.col("a") / F.sum("a").over(over(group, "tx_id")))
+    return out.withColumn("a", F.col("a") / F.nullif(F.sum("a").over(over(group, "tx_id")), F.lit(0)))
 
 
 def ec_design_positional(membership: DataFrame, rich: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -215,7 +210,7 @@ def ec_design_positional(membership: DataFrame, rich: DataFrame, lengths: DataFr
     rich has (run, key, tx_id, weight, count) with key the canonical text of the set.
     """
     keys = membership.groupBy("ec_id").agg(key_of("tx_id").alias("key"))
-    known = rich.groupBy("key", "tx_id").agg((F.sum(F.col("weight") * F.col("count")) / F.sum("count")).alias("__w"))
+    known = rich.groupBy("key", "tx_id").agg((F.sum(F.col("weight") * F.col("count")) / F.nullif(F.sum("count"), F.lit(0))).alias("__w"))
     out = membership.join(keys, "ec_id").join(known, ["key", "tx_id"], "left").join(lengths, "tx_id")
     out = out.select("ec_id", "tx_id", F.coalesce("__w", 1 / F.greatest("length", F.lit(1.0))).alias("a"), F.col("__w").isNotNull().alias("matched"))
     return normalize_columns(out)
@@ -250,12 +245,10 @@ def primer_pairs(barcodes: DataFrame, rt: DataFrame) -> DataFrame:
 
     rt has (first, second), the suffixes of the two primers.
     """
-    lengths = [r[0] for r in rt.select(F.length("first")).distinct().limit(100).collect()]
-    found = None
-    for n in lengths:
-        some = barcodes.select("cell_id", F.right("cell_id", F.lit(n)).alias("first"), F.expr(f"substr(cell_id, 1, length(cell_id) - {n})").alias("__p"))
-        some = some.join(F.broadcast(rt.where(F.length("first") == n)), "first").select("cell_id", F.concat("__p", "first").alias("first"), F.concat("__p", "second").alias("second"))
-        found = some if found is None else found.unionByName(some)
+    lengths = sorted(r[0] for r in rt.select(F.length("first")).distinct().collect())  # as many as a suffix has characters, at most
+    ends = barcodes.select("cell_id", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n"))
+    ends = ends.where(F.length("cell_id") >= F.col("n")).select("cell_id", F.right("cell_id", F.col("n")).alias("first"), F.expr("substr(cell_id, 1, length(cell_id) - n)").alias("__p"))
+    found = ends.join(rt, "first").select("cell_id", F.concat("__p", "first").alias("first"), F.concat("__p", "second").alias("second"))
     assert_none(found.groupBy("cell_id").count().where("count > 1"), "a barcode fits several RT suffixes")
     return found
 
@@ -367,7 +360,7 @@ def compare_sparse(a: DataFrame, b: DataFrame, keys=("ec_id", "tx_id"), value: s
     d = F.abs(x - y)
     return both.agg(
         F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("shared"), F.count("*").alias("either"),
-        (F.sum(x * y) / F.sqrt(F.sum(x * x) * F.sum(y * y))).alias("cosine"), F.sqrt(F.sum(d * d) / F.sum(x * x)).alias("frobenius"),
+        (F.sum(x * y) / F.nullif(F.sqrt(F.sum(x * x) * F.sum(y * y)), F.lit(0.0))).alias("cosine"), F.sqrt(F.sum(d * d) / F.nullif(F.sum(x * x), F.lit(0))).alias("frobenius"),
         F.avg(d).alias("mean_delta"), F.percentile(d, 0.5).alias("median_delta"), F.max(d).alias("max_delta"), F.avg((d > 0.1).cast("double")).alias("over_tenth"),
     )
 
@@ -395,9 +388,9 @@ def fisher_information(design: DataFrame, theta: DataFrame, totals: DataFrame) -
     right = part.select("grp", "ec_id", F.col("tx_id").alias("tx_b"), F.col("p").alias("pb"))
     cross = left.join(right, ["grp", "ec_id"]).groupBy("grp", "tx_a", "tx_b").agg(F.sum(F.col("n") * F.col("pa") * F.col("pb")).alias("s"))
     norm = totals.groupBy("grp").agg(F.sum("n").alias("t"))
-    mean = part.groupBy("grp", "tx_id").agg(F.sum(F.col("n") * F.col("p")).alias("m")).join(norm, "grp").withColumn("m", F.col("m") / F.col("t"))
+    mean = part.groupBy("grp", "tx_id").agg(F.sum(F.col("n") * F.col("p")).alias("m")).join(norm, "grp").withColumn("m", F.col("m") / F.nullif("t", F.lit(0)))
     out = cross.join(norm, "grp").join(mean.select("grp", F.col("tx_id").alias("tx_a"), F.col("m").alias("ma")), ["grp", "tx_a"]).join(mean.select("grp", F.col("tx_id").alias("tx_b"), F.col("m").alias("mb")), ["grp", "tx_b"])
-    return out.select("grp", "tx_a", "tx_b", (F.col("s") / F.col("t") - F.col("ma") * F.col("mb")).alias("info"))
+    return out.select("grp", "tx_a", "tx_b", (F.col("s") / F.nullif("t", F.lit(0)) - F.col("ma") * F.col("mb")).alias("info"))
 
 
 def path_proportions(values: DataFrame, paths: DataFrame) -> DataFrame:
@@ -415,17 +408,17 @@ def decode_theta(cells: DataFrame, gene_left: DataFrame, tx_left: DataFrame, umi
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     bound = lambda c: F.greatest(F.least(c, F.lit(clip)), F.lit(-clip))
     g = cells.crossJoin(gene_left.withColumnRenamed("left", "gl")).withColumn("e", F.exp(bound(dot("right", "gl"))))
-    g = g.withColumn("pg", F.col("e") / F.sum("e").over(over("cell_id"))).select("cell_id", "grp", "right", "gene_id", "pg")
+    g = g.withColumn("pg", F.col("e") / F.nullif(F.sum("e").over(over("cell_id")), F.lit(0))).select("cell_id", "grp", "right", "gene_id", "pg")
     t = g.join(tx_left.withColumnRenamed("left", "tl"), "gene_id").withColumn("e", F.exp(bound(dot("right", "tl"))))
-    t = t.withColumn("theta", F.col("pg") * F.col("e") / F.sum("e").over(over("cell_id", "gene_id"))).join(umis, "cell_id")
-    return t.groupBy("grp", "tx_id").agg((F.sum(F.col("theta") * F.col("umis")) / F.sum("umis")).alias("theta"))
+    t = t.withColumn("theta", F.col("pg") * F.col("e") / F.nullif(F.sum("e").over(over("cell_id", "gene_id")), F.lit(0))).join(umis, "cell_id")
+    return t.groupBy("grp", "tx_id").agg((F.sum(F.col("theta") * F.col("umis")) / F.nullif(F.sum("umis"), F.lit(0))).alias("theta"))
 
 
 def collapse_to_paths(design: DataFrame, paths: DataFrame, weights: DataFrame) -> DataFrame:
     """Rows (ec_id, path, a): isoform columns by fixed weights inside a path; isoforms without a path keep their own."""
     out = design.join(paths, "tx_id", "left").withColumn("path", F.coalesce("path", F.concat(F.lit("tx:"), F.col("tx_id").cast("string")))).join(weights, "tx_id")
     total = out.select("path", "tx_id", "w").distinct().groupBy("path").agg(F.sum("w").alias("__t"))
-    return out.join(total, "path").groupBy("ec_id", "path").agg(F.sum(F.col("a") * F.col("w") / F.col("__t")).alias("a"))
+    return out.join(total, "path").groupBy("ec_id", "path").agg(F.sum(F.col("a") * F.col("w") / F.nullif("__t", F.lit(0))).alias("a"))
 
 
 def overlap_report(observed: DataFrame, expected: DataFrame, least: float = 0.0) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from introngrid.schema import assert_no_conflict, assert_none, assert_unique
+from introngrid.storage import materialize
 
 
 def _over(*keys):
@@ -67,7 +72,7 @@ def log_gene_features(counts: DataFrame, min_share: float) -> DataFrame:
     cells = counts.select("cell_id").distinct()
     n_cells = cells.agg(F.count("*").alias("all"))
     genes = counts.where("n > 0").groupBy("gene_id").agg(F.countDistinct("cell_id").alias("c")).crossJoin(F.broadcast(n_cells)).where(F.col("c") >= min_share * F.col("all")).select("gene_id")
-    norm = counts.withColumn("x", F.log1p(F.col("n") * 10_000.0 / F.sum("n").over(_over("cell_id")))).select("cell_id", "gene_id", "x")
+    norm = counts.withColumn("x", F.log1p(F.col("n") * 10_000.0 / F.nullif(F.sum("n").over(_over("cell_id")), F.lit(0)))).select("cell_id", "gene_id", "x")
     grid = cells.crossJoin(F.broadcast(genes)).join(norm, ["cell_id", "gene_id"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
     return grid.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene_id", "x"))), lambda p: p["x"]).alias("features"))
 
@@ -93,7 +98,7 @@ def profile_diagnostics(cells: DataFrame, loadings: DataFrame, top: int) -> Data
     best = loadings.orderBy(F.desc(norm), "gene_id").limit(top)
     x = cells.crossJoin(F.broadcast(best)).select("cell_id", "gene_id", F.greatest(dot("right", "left"), F.lit(0.0)).alias("x"))
     x = x.withColumn("t", F.sum("x").over(_over("cell_id"))).withColumn("p", F.coalesce(F.col("x") / F.nullif(F.col("t"), F.lit(0.0)), F.lit(0.0)))
-    spread = x.groupBy("gene_id").agg(F.avg("p").alias("m"), F.var_pop("p").alias("v")).agg((F.sum("v") / F.sum(F.col("m") ** 2)).alias("relative_variance"))
+    spread = x.groupBy("gene_id").agg(F.avg("p").alias("m"), F.var_pop("p").alias("v")).agg((F.sum("v") / F.nullif(F.sum(F.col("m") ** 2), F.lit(0.0))).alias("relative_variance"))
     active = x.groupBy("cell_id").agg(F.max("t").alias("t")).agg(F.avg((F.col("t") > 0).cast("double")).alias("active"))
     finite = cells.agg(F.bool_and(~F.exists("right", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))).alias("finite"), F.avg(F.sqrt(dot("right", "right"))).alias("mean_norm"))
     return spread.crossJoin(active).crossJoin(finite)
@@ -164,15 +169,38 @@ def ari_nmi(pairs: DataFrame, a: str = "label", b: str = "cluster") -> DataFrame
     )
 
 
-def silhouette(cells: DataFrame, label: str = "label", sample: int = 1000, seed: int = 0, order: Column | None = None) -> DataFrame:
-    """One row: mean silhouette by Euclidean distance on a sample of `sample` cells; the pairs are those of the sample."""
-    s = cells.orderBy(order if order is not None else F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(sample)
-    s = s.select("cell_id", F.col(label).alias("l"), "right")
-    other = s.select(F.col("cell_id").alias("o"), F.col("l").alias("m"), F.col("right").alias("r"))
-    d = F.sqrt(F.aggregate(F.zip_with("right", "r", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
-    mean = s.crossJoin(other).where("cell_id <> o").groupBy("cell_id", "l", "m").agg(F.avg(d).alias("d"))
-    ab = mean.groupBy("cell_id").agg(F.max(F.when(F.col("l") == F.col("m"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("m"), F.col("d"))).alias("b"))
-    return ab.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).alias("silhouette"))
+def silhouette(cells: DataFrame, label: str = "label", sample: int = 10_000, seed: int = 0) -> DataFrame:
+    """One row: mean silhouette by Euclidean distance on a sample of `sample` cells, chosen by hash.
+
+    The sample, whose size bounds what moves, goes to all tasks, and each compares its own
+    sampled cells with it in blocks. A cell alone in its label has silhouette 0, as in the usual definition.
+    """
+    chosen = cells.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(sample).select("cell_id", F.col(label).cast("string").alias("l"), "right")
+    chosen = materialize(chosen, "silhouette")
+    rows = chosen.orderBy("cell_id").collect()
+    names, codes = np.unique(np.array([r["l"] or "" for r in rows], dtype=object).astype(str), return_inverse=True) if rows else (np.zeros(0), np.zeros(0, np.int64))
+    points = np.array([r["right"] for r in rows], dtype=float)
+    member = (codes[:, None] == np.arange(len(names))[None, :]).astype(float)
+    place = {r["cell_id"]: i for i, r in enumerate(rows)}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = member.sum(0)
+        for frame in frames:
+            for k in range(0, len(frame), 256):
+                at = np.array([place[c] for c in frame["cell_id"].iloc[k : k + 256]])
+                own, x = codes[at], points[at]
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ points.T + (points * points).sum(1)[None, :], 0))
+                d[np.arange(len(at)), at] = 0.0
+                total = d @ member
+                row = np.arange(len(at))
+                a = total[row, own] / np.maximum(size[own] - 1, 1)
+                mean = total / size[None, :]
+                mean[row, own] = np.inf
+                b = mean.min(1)
+                good = (size[own] > 1) & np.isfinite(b) & (np.maximum(a, b) > 0)
+                yield pd.DataFrame({"s": np.where(good, (b - a) / np.where(good, np.maximum(a, b), 1), 0.0)})
+
+    return chosen.select("cell_id").mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
 def score_reference_embedding(embedding: DataFrame, mapping: DataFrame, labels: DataFrame, k: int = 3, check: bool = True) -> DataFrame:
@@ -187,6 +215,6 @@ def als_factors(counts: DataFrame, rank: int, seed: int = 0, rounds: int = 5) ->
     """Non-negative factors (cell_id, right) and (ec_id, left) of row-normalised counts, by alternating least squares."""
     from pyspark.ml.recommendation import ALS
 
-    rows = counts.select(F.col("cell_id").cast("int"), F.col("ec_id").cast("int"), (F.col("n") / F.sum("n").over(_over("cell_id"))).cast("float").alias("x"))
+    rows = counts.select(F.col("cell_id").cast("int"), F.col("ec_id").cast("int"), (F.col("n") / F.nullif(F.sum("n").over(_over("cell_id")), F.lit(0))).cast("float").alias("x"))
     model = ALS(rank=rank, maxIter=rounds, seed=seed, nonnegative=True, userCol="cell_id", itemCol="ec_id", ratingCol="x").fit(rows)
     return model.userFactors.select(F.col("id").alias("cell_id"), F.col("features").cast("array<double>").alias("right")), model.itemFactors.select(F.col("id").alias("ec_id"), F.col("features").cast("array<double>").alias("left"))

@@ -312,7 +312,7 @@ def _hotelling(frame: pd.DataFrame) -> pd.DataFrame:
 
 def effective_counts(df: DataFrame) -> DataFrame:
     """Two-path rows (p1, p2, v, umis) with the multinomial size that explains the variance v of the log ratio, at most the UMIs, and path counts."""
-    size = F.least((1 / F.col("p1") + 1 / F.col("p2")) / (2 * F.col("v")), F.col("umis").cast("double"))
+    size = F.least((1 / F.nullif("p1", F.lit(0.0)) + 1 / F.nullif("p2", F.lit(0.0))) / F.nullif(2 * F.col("v"), F.lit(0.0)), F.col("umis").cast("double"))
     return df.withColumn("size", size).withColumn("n1", F.col("size") * F.col("p1")).withColumn("n2", F.col("size") * F.col("p2"))
 
 
@@ -340,9 +340,9 @@ def multinomial_lrt(counts: DataFrame) -> DataFrame:
 
 def weighted_wald(df: DataFrame, tau2: float) -> DataFrame:
     """Rows (feature, statistic, df, p_value): do levels differ in a log ratio y with variances v + tau2?"""
-    w = df.withColumn("w", 1 / (F.col("v") + tau2))
-    means = w.groupBy("feature", "level").agg(F.sum("w").alias("W"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"))
-    grand = F.sum(F.col("W") * F.col("m")).over(_over("feature")) / F.sum("W").over(_over("feature"))
+    w = df.withColumn("w", 1 / F.nullif(F.col("v") + tau2, F.lit(0.0)))
+    means = w.groupBy("feature", "level").agg(F.sum("w").alias("W"), (F.sum(F.col("w") * F.col("y")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    grand = F.sum(F.col("W") * F.col("m")).over(_over("feature")) / F.nullif(F.sum("W").over(_over("feature")), F.lit(0.0))
     out = means.withColumn("g", grand).groupBy("feature").agg(F.sum(F.col("W") * (F.col("m") - F.col("g")) ** 2).alias("statistic"), (F.count("*") - 1).alias("df"))
     return out.withColumn("p_value", chi2_sf(F.col("statistic"), F.col("df")))
 
@@ -351,7 +351,7 @@ def null_summary(null: DataFrame, key: str = "method") -> DataFrame:
     """By method: share under .05, greatest distance to the uniform distribution, 5 % quantile."""
     w = _over(key)
     ranked = null.where("p_value IS NOT NULL").withColumn("r", F.row_number().over(w.orderBy("p_value"))).withColumn("n", F.count("*").over(w))
-    gap = F.greatest(F.col("r") / F.col("n") - F.col("p_value"), F.col("p_value") - (F.col("r") - 1) / F.col("n"))
+    gap = F.greatest(F.col("r") / F.nullif("n", F.lit(0)) - F.col("p_value"), F.col("p_value") - (F.col("r") - 1) / F.nullif("n", F.lit(0)))
     return ranked.groupBy(key).agg(F.avg((F.col("p_value") < 0.05).cast("double")).alias("rejected"), F.max(gap).alias("ks"), F.percentile("p_value", 0.05).alias("quantile_05"))
 
 

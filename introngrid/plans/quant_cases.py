@@ -14,7 +14,7 @@ GENES = "genes AS (SELECT DISTINCT tx_id, gene_id FROM {tx_exon})"
 EC = """g AS (SELECT ec_id, tx_id, 'G' || CAST(floor(tx_id / 20) AS BIGINT) AS gene_id, row_number() OVER (PARTITION BY ec_id ORDER BY tx_id) - 1 AS pos, count(*) OVER (PARTITION BY ec_id) AS k FROM {ec_tx}),
 eg AS (SELECT ec_id, min(gene_id) AS gene_id FROM g GROUP BY ec_id HAVING count(DISTINCT gene_id) = 1)"""
 PROBS = """p AS (SELECT CASE WHEN cell_id % 2 = 0 THEN 'A' ELSE 'B' END AS cell_type, ec_id, pos, CAST((cell_id * 13 + ec_id * 7 + pos * 5) % 10 + 1 AS DOUBLE) / 10 AS prob FROM (
-    SELECT cell_id, c.ec_id, pos FROM {cell_ec} c JOIN g ON g.ec_id = c.ec_id WHERE c.ec_id < 30) x)"""
+    SELECT cell_id, c.ec_id, pos FROM {cell_ec} c JOIN g ON g.ec_id = c.ec_id) x)"""
 
 
 def quant(s, d):
@@ -44,7 +44,7 @@ def placed(s, d):
 
 
 def probabilities(s, d):
-    joined = cell_ec(s, d).where("ec_id < 30").join(placed(s, d), "ec_id")
+    joined = cell_ec(s, d).join(placed(s, d), "ec_id")
     prob = ((F.col("cell_id") * 13 + F.col("ec_id") * 7 + F.col("pos") * 5) % 10 + 1).cast("double") / 10
     return joined.select(F.when(F.col("cell_id") % 2 == 0, "A").otherwise("B").alias("cell_type"), "ec_id", "pos", prob.alias("prob"))
 
@@ -127,7 +127,7 @@ def q12(s, d):
 
 
 def q13(s, d):
-    return Q.filter_support(cell_ec(s, d).where("ec_id % 7 > 0"), view(s, d, "ec_tx"), 100, 500)
+    return Q.filter_support(cell_ec(s, d), view(s, d, "ec_tx"), 100, 500)
 
 
 def _lengths(s, d):
@@ -328,7 +328,7 @@ def q46(s, d):
 
 
 def q47(s, d):
-    return Q.overlap_report(cell_ec(s, d), view(s, d, "cell_meta").where("cell_id % 4 > 0").unionByName(view(s, d, "cell_meta").limit(0)))
+    return Q.overlap_report(cell_ec(s, d), view(s, d, "cell_meta").where("cell_id % 4 > 0"))
 
 
 def q48(s, d):
@@ -365,7 +365,7 @@ CASES = {
     "q11_aggregate_groups": (q11, f"WITH {GRP} SELECT grp, ec_id, CAST(sum(n) AS BIGINT) AS n FROM {{cell_ec}} JOIN gr USING (cell_id) GROUP BY ALL"),
     "q12_eligible_groups": (q12, f"""WITH {GRP}, {TOTALS}, {PAIRS}, h AS (SELECT cell_id, first AS half FROM pr UNION ALL SELECT cell_id, second FROM pr),
         c AS (SELECT h.cell_id, sum(umis) AS umis FROM h JOIN ct ON ct.cell_id = half GROUP BY h.cell_id) SELECT grp, count(*) AS cells, CAST(sum(umis) AS BIGINT) AS umis FROM gr JOIN c USING (cell_id) GROUP BY grp HAVING count(*) >= 2 AND sum(umis) >= 60"""),
-    "q13_filter_support": (q13, "WITH e AS (SELECT ec_id, sum(n) AS t FROM {cell_ec} WHERE ec_id % 7 > 0 GROUP BY ec_id HAVING sum(n) >= 100), k AS (SELECT ec_id, tx_id, t FROM {ec_tx} JOIN e USING (ec_id)) SELECT ec_id, tx_id FROM k WHERE tx_id IN (SELECT tx_id FROM k GROUP BY tx_id HAVING sum(t) > 500)"),
+    "q13_filter_support": (q13, "WITH e AS (SELECT ec_id, sum(n) AS t FROM {cell_ec} GROUP BY ec_id HAVING sum(n) >= 100), k AS (SELECT ec_id, tx_id, t FROM {ec_tx} JOIN e USING (ec_id)) SELECT ec_id, tx_id FROM k WHERE tx_id IN (SELECT tx_id FROM k GROUP BY tx_id HAVING sum(t) > 500)"),
     "q14_feature_weights": (q14, f"WITH {LEN} SELECT tx_id, round(CASE WHEN length > 300 THEN 1 / (length - 300) ELSE 1 / length END, 9) AS w FROM ln"),
     "q15_em_abundance": (q15, f"WITH {EM} SELECT sample, tx_id, round(alpha, 6) AS alpha FROM e3"),
     "q16_abundance_to_counts": (q16, f"""WITH {SAMPLES}, {LEN}, a AS (SELECT s AS sample, tx_id, length, CAST(tx_id * 3 + s + 1 AS DOUBLE) / 1000 AS alpha FROM ln CROSS JOIN (SELECT unnest([0, 1]) AS s) q),

@@ -144,7 +144,7 @@ def s16(s, d):
 def s17(s, d):
     e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     e.select(F.col("vec_id").alias("cell_id"), F.col("x").alias("right")).write.parquet(a := _path(s, "right"))
-    e.where("vec_id % 7 = 0").select(F.col("vec_id").alias("tx_id"), F.col("x").alias("left")).write.parquet(b := _path(s, "left"))
+    e.select(F.col("vec_id").alias("tx_id"), F.col("x").alias("left")).write.parquet(b := _path(s, "left"))
     right, left = SC.read_factors(s, a, b)
     return right.select("cell_id", F.size("right").alias("k")).unionByName(left.select((-F.col("tx_id") - 1).alias("cell_id"), F.size("left").alias("k")))
 
@@ -170,5 +170,5 @@ CASES = {
     "s14_bundle": (s14, f"WITH {BUNDLE} SELECT (SELECT count(*) FROM bj) AS n_junctions, (SELECT count(DISTINCT sample_id) FROM bc) AS n_samples, count(*) AS n_entries, CAST(sum(value) AS BIGINT) AS total FROM bc"),
     "s15_junction_bed": (s15, f"""WITH {BUNDLE} SELECT sample_id, chrom || chr(9) || (start - 1) || chr(9) || stop || chr(9) || junction_id || chr(9) || value || chr(9) || strand || chr(9) || (start - 1) || chr(9) || stop || chr(9) || '255,0,0' || chr(9) || '2' || chr(9) || '1,1' || chr(9) || '0,' || (stop - start) AS value FROM bc JOIN bj USING (junction_id)"""),
     "s16_write_sparse": (s16, "SELECT k1, k2, k3, k4, round(p_value, 6) AS p_value FROM {pvals} WHERE p_value >= 0.5"),
-    "s17_read_factors": (s17, "SELECT vec_id AS cell_id, len(embedding) AS k FROM embeddings UNION ALL SELECT -vec_id - 1, len(embedding) FROM embeddings WHERE vec_id % 7 = 0"),
+    "s17_read_factors": (s17, "SELECT vec_id AS cell_id, len(embedding) AS k FROM embeddings UNION ALL SELECT -vec_id - 1, len(embedding) FROM embeddings"),
 }

@@ -223,3 +223,97 @@ def test_shards_and_blank_files(spark, tmp_path):
     (tmp_path / "s3.tsv").write_text("")
     got = SC.read_shards(spark, [str(tmp_path / f"s{i}.tsv") for i in (1, 2, 3)], ["id"])
     assert {r["id"]: r["p"] for r in got.collect()} == {"a": "0.1", "b": "0.3"}
+
+
+def settled_clusters(rows, near, cutoff, pct):
+    """The refinement rule, one cluster after the other: rows are (intron, start, stop, count)."""
+
+    def chains(part):
+        out = []
+        for r in sorted(part, key=lambda r: (r[1], r[2])):
+            if out and r[1] <= max(x[2] for x in out[-1]):
+                out[-1].append(r)
+            else:
+                out.append([r])
+        return out
+
+    def linked(part, exons):
+        sites = lambda r: {r[1], r[2]} | (near.get(r[0], set()) if exons else set())
+        left, out = list(part), []
+        while left:
+            own, grown = [left.pop()], True
+            while grown:
+                more = [r for r in left if any(sites(r) & sites(o) for o in own)]
+                left = [r for r in left if r not in more]
+                own += more
+                grown = bool(more)
+            out.append(own)
+        return out
+
+    todo, done = [c for chain in chains(rows) for c in linked(chain, True)], []
+    while todo:
+        part = todo.pop()
+        total = sum(r[3] for r in part)
+        kept = [r for r in part if total and r[3] / total >= pct and r[3] >= cutoff]
+        if len(kept) < 2:
+            continue
+        if len(kept) == len(part) and len(chains(part)) == 1:
+            done.append(sorted(r[0] for r in part))
+        else:
+            todo += [c for chain in chains(kept) for c in linked(chain, False)]
+    return sorted(done)
+
+
+def test_refinement_against_brute_force(spark):
+    """Random introns with exon links; also a pair that only an exon links, which stays."""
+    rng = np.random.default_rng(8)
+    rows = [(f"i{k:03d}", int(s), int(s + rng.integers(1, 40) * 5), float(rng.choice([0.0, 0.5, 3, 40, 200]))) for k, s in enumerate(rng.integers(0, 1200, 240) * 5)]
+    rows = list({(r[1], r[2]): r for r in rows}.values()) + [("pa", 19000, 19200, 10.0), ("pb", 19100, 19300, 10.0)]
+    near = {r[0]: {f"e{rng.integers(60)}"} for r in rows if rng.random() < 0.5} | {"pa": {"shared"}, "pb": {"shared"}}
+    table = spark.createDataFrame([(i, "chr1", "+", a, b, c) for i, a, b, c in rows], "intron string, chrom string, strand string, start long, stop long, count double")
+    exons = spark.createDataFrame([(i, e) for i, es in near.items() for e in es], "intron string, exon string")
+    linked = C.refine_links(C.initial_clusters(table), exons, mode=3).withColumn("cluster", F.col("component")).drop("component")
+    for cutoff, pct in ((1.0, 0.01), (0.0, 0.2)):
+        got = groups(C.refine_clusters(linked, cutoff, pct), "cluster")
+        assert got == settled_clusters(rows, near, cutoff, pct) and ["pa", "pb"] in got and len(got) > 3
+
+
+def test_large_cluster_closes_over_many_batches(spark):
+    n = 400
+    chain = introns(spark, [(f"c{i:04d}", "+", i, i + 1, 1) for i in range(n)] + [("lone", "+", 9000, 9001, 1)])
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert sorted(map(len, groups(C.refine_links(chain, mode=2), "component"))) == [1, n]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_divisions_by_zero_are_defined(spark):
+    """Zero lengths, TPM, counts, weights and designs give null or 0, never an error."""
+    q = spark.createDataFrame([("s", "t", 0.0, 1.0, 5.0), ("z", "t", 10.0, 0.0, 5.0)], "sample string, tx_id string, effective_length double, tpm double, num_reads double")
+    assert [r["value"] for r in Q.normalize_junction(q).collect()] == [None]
+    assert {r["sample"]: r["value"] for r in Q.normalize_global(q).collect()} == {"s": 5.0, "z": None}
+    lengths = spark.createDataFrame([("t", 0.0), ("u", 500.0)], "tx_id string, length double")
+    assert {r["tx_id"]: r["w"] for r in Q.feature_weights(lengths).collect()} == {"t": None, "u": 1 / 200}
+    counts = spark.createDataFrame([("s", 1, 4.0), ("s", 2, 6.0)], "sample string, ec_id int, n double")
+    member = spark.createDataFrame([(1, "a"), (2, "b")], "ec_id int, tx_id string")
+    weights = spark.createDataFrame([("a", 0.0), ("b", 1.0)], "tx_id string, w double")
+    got = {r["tx_id"]: r["alpha"] for r in Q.em_abundance(counts, member, weights, iterations=3).collect()}
+    assert got["a"] == 0.0 and abs(got["b"] - 1.0) < 1e-9
+    x = spark.createDataFrame([(1, 0, 0.0)], "row int, col int, value double")
+    assert R.silhouette(spark.createDataFrame([(1, "a", [0.0]), (2, "b", [0.0])], "cell_id int, label string, right array<double>")).first()["silhouette"] == 0.0 and x.count() == 1
+
+
+def test_silhouette_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    points, labels = rng.normal(size=(60, 5)), rng.integers(0, 4, 60)
+    labels[0] = 9  # alone
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    s = []
+    for i in range(60):
+        own = (labels == labels[i]) & (np.arange(60) != i)
+        b = min(d[i][labels == m].mean() for m in set(labels.tolist()) - {labels[i]})
+        s.append((b - d[i][own].mean()) / max(b, d[i][own].mean()) if own.any() else 0.0)
+    table = spark.createDataFrame([(i, f"l{m}", p.tolist()) for i, (m, p) in enumerate(zip(labels, points, strict=True))], "cell_id int, label string, right array<double>")
+    assert abs(R.silhouette(table.repartition(3)).first()["silhouette"] - np.mean(s)) < 1e-9
