@@ -393,7 +393,7 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = materialize(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     inside = materialize(placed.join(materialize(mixed, "mixed"), "bucket"), "mixed-members")
-    more = materialize(_close_across(inside, count, least).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    more = materialize(_close_across(inside, masks, count, least).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if more.limit(1).count():
         edges = edges.unionByName(materialize(similar_pairs(more, sets, least), "near-edges"))
         comps = _labels(edges)
@@ -421,11 +421,19 @@ def _close(pairs: DataFrame, nodes: DataFrame, prints: int, least: float) -> Dat
     return both.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "d")
 
 
-def _close_across(inside: DataFrame, prints: int, least: float) -> DataFrame:
-    """Rows (a, b), a < b: pairs of members of one bucket in different components whose fingerprints all together are close."""
+def _close_across(inside: DataFrame, masks: list[int], prints: int, least: float) -> DataFrame:
+    """Rows (a, b), a < b: pairs of members of one bucket in different components whose fingerprints all together are close.
+
+    A pair is given once, by the first of all tables in which its ends share a bucket:
+    that bucket is here as well, or it is a small one whose pairs were all looked at before.
+    """
     side = lambda end: inside.select("bucket", F.col("node").alias(end), F.col("prints").alias(f"p{end}"), F.col("comp").alias(f"c{end}"))
+    met = lambda i, m: F.col("pa")[i].bitwiseXOR(F.col("pb")[i]).bitwiseAND(F.lit(m)) == 0
+    name = lambda i, j, m: F.xxhash64(F.lit(i * len(masks) + j), F.col("pa")[i].bitwiseAND(F.lit(m)))
+    there = F.coalesce(*[F.when(met(i, m), name(i, j, m)) for i in range(prints) for j, m in enumerate(masks)])
     close = _bits_apart("pa", "pb", prints) <= _most_apart(prints, least)
-    return side("a").join(side("b"), "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
+    both = side("a").join(side("b"), "bucket")
+    return both.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close & (F.col("bucket") == there)).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
