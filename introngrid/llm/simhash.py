@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from introngrid.graph import connected_components, forest
@@ -351,8 +351,10 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("prints").alias("prints"))
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")  # short numbers: they move often
     masks = covering_masks(KEY_RADIUS, bits)
+    tables = count * len(masks)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("t") + 1)
     mask = F.element_at(F.array(*[F.lit(m) for m in masks]), (F.col("t") % len(masks) + 1).cast("int"))
-    bucket = F.xxhash64("t", F.col("fp").bitwiseAND(mask))
+    bucket = F.col("fp").bitwiseAND(mask).bitwiseXOR(pick(_marks(tables).tolist()))
     parts = []
     for k in range(0, count, PASS):
         prints = [
@@ -391,9 +393,12 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         comps = _labels(edges)
         free_shuffles(spark)
     placed = materialize(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    inside = materialize(placed.join(materialize(mixed, "mixed"), "bucket"), "mixed-members")
-    more = materialize(_close_across(inside, masks, count, least).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    mixed = materialize(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "mixed")
+    inside = materialize(_in_blocks(placed.join(mixed, "bucket")), "mixed-members")
+    dealt = inside.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = dealt.mapInPandas(_close_across(masks, count, _most_apart(count, least)), "a long, b long")
+    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if more.limit(1).count():
         edges = edges.unionByName(materialize(similar_pairs(more, sets, least), "near-edges"))
         comps = _labels(edges)
@@ -410,30 +415,75 @@ def _most_apart(prints: int, least: float) -> int:
     return int(np.ceil(BITS * prints * rate + spread * np.sqrt(BITS * prints * rate * (1 - rate))))
 
 
-def _bits_apart(x: str, y: str, prints: int) -> Column:
-    return sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(prints))
-
-
 def _close(pairs: DataFrame, nodes: DataFrame, prints: int, least: float) -> DataFrame:
     """The pairs, given by nid, whose fingerprints all together are close, now by node, a < b."""
     side = lambda end: nodes.select(F.col("nid").alias(end), F.col("node").alias(f"n{end}"), F.col("prints").alias(f"p{end}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_bits_apart("pa", "pb", prints) <= _most_apart(prints, least))
+    apart = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(prints))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= _most_apart(prints, least))
     return both.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "d")
 
 
-def _close_across(inside: DataFrame, masks: list[int], prints: int, least: float) -> DataFrame:
-    """Rows (a, b), a < b: pairs of members of one bucket in different components whose fingerprints all together are close.
+def _marks(tables: int) -> np.ndarray:
+    """A number for each table (a fingerprint under a mask) that tells its buckets from those of others."""
+    return mix64(np.arange(1, tables + 1, dtype=np.uint64)).view(np.int64)
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Members of buckets, each in all pairs (i, j) of blocks that it belongs to: a bucket of up to BLOCK members is one block and moves once."""
+    spread = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "prints")
+
+
+def _close_across(masks: list[int], prints: int, most: int):
+    """Of rows sorted by (bucket, i, j): pairs (a, b), a < b, from both blocks and different components that differ in at most `most` bits.
 
     A pair is given once, by the first of all tables in which its ends share a bucket:
     that bucket is here as well, or it is a small one whose pairs were all looked at before.
     """
-    side = lambda end: inside.select("bucket", F.col("node").alias(end), F.col("prints").alias(f"p{end}"), F.col("comp").alias(f"c{end}"))
-    met = lambda i, m: F.col("pa")[i].bitwiseXOR(F.col("pb")[i]).bitwiseAND(F.lit(m)) == 0
-    name = lambda i, j, m: F.xxhash64(F.lit(i * len(masks) + j), F.col("pa")[i].bitwiseAND(F.lit(m)))
-    there = F.coalesce(*[F.when(met(i, m), name(i, j, m)) for i in range(prints) for j, m in enumerate(masks)])
-    close = _bits_apart("pa", "pb", prints) <= _most_apart(prints, least)
-    both = side("a").join(side("b"), "bucket")
-    return both.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close & (F.col("bucket") == there)).select("a", "b")
+    mask, marks = np.tile(np.array(masks, dtype=np.int64), prints), _marks(prints * len(masks))
+
+    def block(rows: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        bucket, i, j, own, node, comp, fp = rows
+        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        for k in range(0, len(left), 128):
+            x = left[k : k + 128]
+            apart = np.zeros((len(x), len(right)), np.int32)
+            for c in range(prints):
+                apart += np.bitwise_count((fp[x, c][:, None] ^ fp[right, c][None, :]).view(np.uint64))
+            good = (apart <= most) & (comp[x][:, None] != comp[right][None, :])
+            if i[0] == j[0]:
+                good &= node[x][:, None] < node[right][None, :]
+            u, v = np.nonzero(good)
+            u, v = x[u], right[v]
+            first = np.full(len(u), -1)
+            for t in range(len(mask)) if len(u) else ():
+                open_ = np.flatnonzero(first < 0)
+                if not len(open_):
+                    break
+                c = t // len(masks)
+                met = open_[(fp[u[open_], c] ^ fp[v[open_], c]) & mask[t] == 0]
+                first[met] = t
+            here = (fp[u, first // len(masks)] & mask[first]) ^ marks[first] == bucket[0]
+            a, b = node[u[here]], node[v[here]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[list[np.ndarray]] = []  # rows of the last pair of blocks so far, which may go on
+        for frame in frames:
+            if not len(frame):
+                continue
+            rows = [frame[c].to_numpy() for c in ("bucket", "i", "j", "own", "node", "comp")] + [np.stack(frame["prints"].to_numpy())]
+            if rest:
+                rows = [np.concatenate(z) for z in zip(rest[0], rows, strict=True)]
+            edges = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1
+            starts = [0, *edges.tolist()]
+            for s, e in zip(starts, starts[1:], strict=False):
+                yield from block([r[s:e] for r in rows])
+            rest = [[r[starts[-1] :] for r in rows]]
+        if rest:
+            yield from block(rest[0])
+
+    return run
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
