@@ -21,8 +21,10 @@ NEAR_WIDTH, NEAR_LEAST = 5, 0.8
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is identified."""
+    """Keep documents whose language is identified; where no label allows a model, those with a letter."""
     model = langid.fit(docs.select("doc_id", "text", "lang").where(~langid.held_out(F.col("doc_id"))))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     told = langid.identify(docs, model, prefix="__")
     return told.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*[f"`{c}`" for c in docs.columns])
 

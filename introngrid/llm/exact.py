@@ -94,5 +94,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = groups.where("kept and n_same > 1").select(F.col("doc_id").alias("__rep_id"), F.col("text_sha256").alias("__rep_sha")).distinct()
     if not repeated.limit(1).count():
         return left
-    once = left.join(repeated, same("__rep_id", "__rep_sha"), "left_semi").dropDuplicates([id_col, text_col])
+    once = left.join(repeated, same("__rep_id", "__rep_sha"), "left_semi")
+    once = once.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).dropDuplicates([id_col, "__text"]).drop("__text")
     return left.join(repeated, same("__rep_id", "__rep_sha"), "left_anti").unionByName(once)

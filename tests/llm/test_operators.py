@@ -582,3 +582,15 @@ def test_embeddings_recall_over_many_lists(spark, monkeypatch):
     assert true > 20_000 and found >= 0.95 * true
     pairs = [got[i]["component_id"] == got[900 + i]["component_id"] for i in range(600)]
     assert np.mean(pairs) >= 0.95
+
+
+def test_language_stage_without_labels_keeps_texts(spark):
+    import corpus_pipeline
+
+    table = docs(spark, [(i, t, None, "s") for i, t in enumerate(["some text", "1 2 3", None, "", "\u65e5\u672c"])])
+    assert sorted(r["doc_id"] for r in corpus_pipeline._language(spark, table, "").collect()) == [0, 4]
+
+
+def test_exact_stage_takes_null_and_empty_as_one(spark):
+    table = docs(spark, [(1, "", "en", "s"), (1, None, "en", "s"), (2, "x", "en", "s"), (2, "x", "en", "s")])
+    assert sorted(r["doc_id"] for r in exact.drop_exact_copies(table).collect()) == [1, 2]
