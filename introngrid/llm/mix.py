@@ -179,8 +179,9 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs with each row as many times as the mix takes it, in the columns of docs."""
     plan = materialize(plan_mix(docs, id_col, text_col, source_col, **options), "mixplan")
     plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__size"), F.col("m").alias("__m"), F.col("base").alias("__base"), F.col("extra").alias("__extra"))
+    # The plan has a row for every document, so it is never broadcast.
     wide = docs.join(
-        plan,
+        plan.hint("merge"),
         docs[id_col].eqNullSafe(F.col("__id")) & docs[source_col].cast("string").eqNullSafe(F.col("__src")) & (word_count(docs[text_col]) == F.col("__size")),
     )
     times = lambda extra: F.explode(F.array_repeat(F.lit(1), (F.col("__base") + extra).cast("int"))).alias("__one")

@@ -248,18 +248,23 @@ def _apart(fp: np.ndarray, more: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
 
 
 def _bucket_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by bucket: likely pairs (kind 0, nodes a and b, distance d), and all rows of buckets whose pairs are not all among these (kind 1, bucket a, node b)."""
-    names = ["bucket", "node", "fp", "more"]
+    """Of rows sorted by bucket: likely pairs (kind 0, nodes a and b, distance d), and all rows of buckets whose pairs are not all among these (kind 1, bucket a, node b).
+
+    comp is a row's component as far as it is known, 0 for one of its own: pairs inside a
+    component are not given, nor are the rows of buckets that lie in one.
+    """
+    names = ["bucket", "node", "fp", "more", "comp"]
     held = [np.zeros(0, np.int64)] * len(names)  # the last bucket so far: it may go on
     known = False  # whether the held rows' bucket began before them
     large = False  # whether it is one of those that are given row by row
 
     def look(rows: list[np.ndarray], old: int, first_cut: bool, first_large: bool, last_cut: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
         """old: rows at the start that were looked at before."""
-        bucket, node, fp, more = rows
+        bucket, node, fp, more, comp = rows
         new = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         size = np.diff(np.append(new, len(bucket)))
         big = size > SMALL
+        big &= (np.minimum.reduceat(comp, new) != np.maximum.reduceat(comp, new)) | (comp[new] == 0)
         big[0] |= first_cut | first_large
         big[-1] |= last_cut
         of_row = np.repeat(big, size)
@@ -272,6 +277,7 @@ def _bucket_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not len(at):
                 break
             x = at[(at + s >= old) & (open_[at] | ~of_row[at])]
+            x = x[(comp[x] != comp[x + s]) | (comp[x] == 0)]
             d = _apart(fp, more, x, x + s)
             hit = d <= SKETCH_RADIUS
             x, d = x[hit], d[hit]
@@ -280,11 +286,10 @@ def _bucket_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             eb.append(node[x + s])
             ed.append(d)
         a, b, d = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (ea, eb, ed))
-        zero = np.zeros(len(a), np.int64)
-        pairs = pd.DataFrame({"kind": zero.astype(np.int32), "a": a, "b": b, "d": d, "fp": zero, "more": zero})
+        pairs = pd.DataFrame({"kind": np.zeros(len(a), np.int32), "a": a, "b": b, "d": d})
         row = np.flatnonzero(of_row)
         row = row[row >= (old if first_large else 0)]
-        members = pd.DataFrame({"kind": np.ones(len(row), np.int32), "a": bucket[row], "b": node[row], "d": np.zeros(len(row), np.int64), "fp": fp[row], "more": more[row]})
+        members = pd.DataFrame({"kind": np.ones(len(row), np.int32), "a": bucket[row], "b": node[row], "d": np.zeros(len(row), np.int64)})
         return pairs, members
 
     start = True
@@ -312,11 +317,43 @@ def _bucket_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield from look(held, 0, known, False, True)
 
 
+def _in_buckets(nodes: DataFrame, masks: list[int], count: int, start: int, stop: int) -> DataFrame:
+    """What _bucket_pairs finds in the buckets of fingerprints start to stop, as a written table; nodes has (nid, prints, comp)."""
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("t") + 1)
+    mask = F.element_at(F.array(*[F.lit(m) for m in masks]), (F.col("t") % len(masks) + 1).cast("int"))
+    bucket = F.col("fp").bitwiseAND(mask).bitwiseXOR(pick(_marks(count * len(masks)).tolist()))
+    prints = [
+        F.struct(F.lit(i * len(masks)).alias("base"), F.col("prints")[i].alias("fp"), F.col("prints")[(i + 1) % count].bitwiseAND(F.lit(0xFFFFFFFF)).alias("more"))
+        for i in range(start, stop)
+    ]
+    rows = nodes.select(F.col("nid").alias("node"), "comp", F.explode(F.array(*prints)).alias("p")).select("node", "comp", "p.*")
+    rows = rows.select("node", "comp", "fp", "more", F.explode(F.sequence(F.col("base"), F.col("base") + len(masks) - 1)).alias("t"))
+    # Only t, the component and the fingerprints move; the bucket is worked out again behind the shuffle, and one long sorts fast.
+    dealt = rows.repartitionByRange(bucket, "node").select(bucket.alias("bucket"), "node", "fp", "more", "comp")
+    return materialize(dealt.sortWithinPartitions("bucket").mapInPandas(_bucket_pairs, "kind int, a long, b long, d long"), "buckets")
+
+
+def _likely(found: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) with their least distance."""
+    return found.where("kind = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame, ends: DataFrame, width: int, have: DataFrame | None = None) -> DataFrame:
+    """The shingle sets of all ends (a, b) that are not among those at hand."""
+    want = ends.select(F.explode(F.array(*ends.columns[:2])).alias("node")).distinct()
+    if have is not None:
+        want = want.join(have.select("node"), "node", "left_anti")
+    ids = materialize(nodes.join(want, "node", "left_semi").select("doc_id"), "met")
+    sets = materialize(named_sets(texts.join(ids, "doc_id", "left_semi"), width), "sets-met")
+    # A repeated doc_id brings other texts along, and some of them twice.
+    return sets if sets.count() == ids.count() else sets.join(want, "node", "left_semi").dropDuplicates(["node"])
+
+
 def _wanted(pairs: DataFrame) -> DataFrame:
     """The FIRST nearest pairs of each text, from either side."""
     ends = pairs.select(F.col("a").alias("v"), "a", "b", "d").union(pairs.select(F.col("b").alias("v"), "a", "b", "d"))
     rank = F.row_number().over(Window.partitionBy("v").orderBy("d", "a", "b"))
-    return ends.withColumn("r", rank).where(F.col("r") <= FIRST).select("a", "b").distinct()
+    return ends.withColumn("r", rank).where(F.col("r") <= FIRST).groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -343,6 +380,10 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     components, and at last those of large buckets that still hold several components. So
     the components are those of all likely pairs, and no link lies below `least` (but for
     collisions of 64-bit hashes).
+
+    The buckets of the first fingerprint come first, and the links that it gives make
+    components before the buckets of all fingerprints are looked through: there a large
+    group is one component, and only its pairs with others are left.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
@@ -351,40 +392,33 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = told.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("prints").alias("prints"))
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")  # short numbers: they move often
     masks = covering_masks(KEY_RADIUS, bits)
-    tables = count * len(masks)
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("t") + 1)
-    mask = F.element_at(F.array(*[F.lit(m) for m in masks]), (F.col("t") % len(masks) + 1).cast("int"))
-    bucket = F.col("fp").bitwiseAND(mask).bitwiseXOR(pick(_marks(tables).tolist()))
+    # One fingerprint first: what it links need not be paired again in the buckets of all.
+    lone = nodes.select("nid", "node", "prints", F.lit(0).cast("long").alias("comp"))
+    pairs = materialize(_likely(_in_buckets(lone, masks, count, 0, 1)), "pairs")
+    first = materialize(_close(_wanted(pairs), nodes, count, least), "first-pairs")
+    free_shuffles(spark)
+    sets = materialize(_sets_of(narrow, nodes, first, width), "sets")
+    edges = materialize(similar_pairs(first, sets, least), "near-edges")
+    comps = _labels(edges)
+    free_shuffles(spark)
+    known = materialize(nodes.join(comps, "node", "left").select("nid", "node", "prints", F.coalesce("comp", F.lit(0)).alias("comp")), "known")
+    release(pairs, first)
     parts = []
     for k in range(0, count, PASS):
-        prints = [
-            F.struct(F.lit(i * len(masks)).alias("base"), F.col("prints")[i].alias("fp"), F.col("prints")[(i + 1) % count].bitwiseAND(F.lit(0xFFFFFFFF)).alias("more"))
-            for i in range(k, min(k + PASS, count))
-        ]
-        rows = nodes.select(F.col("nid").alias("node"), F.explode(F.array(*prints)).alias("p")).select("node", "p.*")
-        rows = rows.select("node", "fp", "more", F.explode(F.sequence(F.col("base"), F.col("base") + len(masks) - 1)).alias("t"))
-        # Only t and the fingerprints move; the bucket is worked out again behind the shuffle, and one long sorts fast.
-        dealt = rows.repartitionByRange(bucket, "node").select(bucket.alias("bucket"), "node", "fp", "more")
-        found = dealt.sortWithinPartitions("bucket").mapInPandas(_bucket_pairs, "kind int, a long, b long, d long, fp long, more long")
-        parts.append(materialize(found, "buckets"))
-        del rows, dealt, found
+        parts.append(_in_buckets(known, masks, count, k, min(k + PASS, count)))
         free_shuffles(spark)
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    pairs = found.where("kind = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
-    pairs = materialize(_close(pairs, nodes, count, least), "pairs")
+    pairs = materialize(_close(_likely(found), nodes, count, least), "pairs")
     free_shuffles(spark)
     members = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("nid")).join(nodes.select("nid", "node", "prints"), "nid")
     members = materialize(members.drop("nid"), "members")
-    release(*parts)
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
-    ids = materialize(nodes.join(met, "node", "left_semi").select("doc_id"), "met")
-    sets = materialize(named_sets(narrow.join(ids, "doc_id", "left_semi"), width), "sets")
-    if sets.count() > ids.count():  # some doc_id is repeated
-        sets = materialize(sets.dropDuplicates(["node"]), "sets")
+    release(known, *parts)
+    met = pairs.select("a", "b").union(members.select("node", "node"))
+    sets = sets.unionByName(materialize(_sets_of(narrow, nodes, met, width, sets), "sets"))
     first = materialize(_wanted(pairs), "first-pairs")
-    edges = materialize(similar_pairs(first, sets, least), "near-edges")
+    edges = edges.unionByName(materialize(similar_pairs(first, sets, least), "near-edges"))
     comps = _labels(edges)
     free_shuffles(spark)
     rest = materialize(_across(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), comps), "rest-pairs")
@@ -403,7 +437,7 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         edges = edges.unionByName(materialize(similar_pairs(more, sets, least), "near-edges"))
         comps = _labels(edges)
     out = materialize(told.select("doc_id", "node").join(comps, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp")), "near-groups")
-    release(told, nodes, pairs, ids, sets, first, rest, members, placed, inside, more)
+    release(told, nodes, pairs, first, rest, members, placed, inside, more)
     free_shuffles(spark)
     return out
 

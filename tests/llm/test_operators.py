@@ -266,7 +266,9 @@ def test_bucket_pairs_whatever_the_batches():
     key = np.repeat(np.arange(len(size)), size)
     n = len(key)
     fp = np.where(rng.random(n) < 0.7, 5, rng.integers(0, 2**47, n))
-    rows = pd.DataFrame({"bucket": key, "node": np.arange(n) + 1000, "fp": fp, "more": fp})
+    comp = np.where(key == 8, 7, np.where(rng.random(n) < 0.5, 0, rng.integers(1, 3, n)))  # the bucket of 100 is one component
+    rows = pd.DataFrame({"bucket": key, "node": np.arange(n) + 1000, "fp": fp, "more": fp, "comp": comp})
+    apart = lambda i, j: comp[i] != comp[j] or comp[i] == 0
     near = lambda i, j: bin((fp[i] ^ fp[j])).count("1") * 2 <= simhash.SKETCH_RADIUS
     for step in (1, 3, 7, 20, 50, n):
         out = pd.concat(simhash._bucket_pairs(rows.iloc[i : i + step] for i in range(0, n, step)))
@@ -274,10 +276,11 @@ def test_bucket_pairs_whatever_the_batches():
         assert not members.duplicated(["a", "b"]).any()
         listed = set(members["b"] - 1000)
         assert all(len(set(np.flatnonzero(key == k)) & listed) in (0, m) for k, m in enumerate(size))
-        assert all(set(np.flatnonzero(key == k)) <= listed for k, m in enumerate(size) if m > simhash.SMALL or k in (0, len(size) - 1))
+        assert all(set(np.flatnonzero(key == k)) <= listed for k, m in enumerate(size) if m > simhash.SMALL and k != 8 or k in (0, len(size) - 1))
+        assert step < n or not set(np.flatnonzero(key == 8)) & listed
         got = set(zip(pairs["a"] - 1000, pairs["b"] - 1000, strict=True))
-        assert all(key[i] == key[j] and near(i, j) for i, j in got)
-        assert got >= {(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and i not in listed and near(i, j)}
+        assert all(key[i] == key[j] and near(i, j) and apart(i, j) for i, j in got)
+        assert got >= {(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and i not in listed and near(i, j) and apart(i, j)}
 
 
 def test_near_copies_leave_one(spark):
@@ -463,8 +466,21 @@ def test_pipeline_on_small_data(spark, tmp_path, rows):
     near[10] = "changed"
     more = [(5000, " ".join(base), "en", "s0"), (5001, " ".join(near), "en", "s1"), (5002, " ".join(base), "en", "s2")]
     docs(spark, [r for r in rows if r[0] is not None] + more).write.parquet(f"{tmp_path}/documents.parquet")
+    stages = corpus_pipeline.STAGES
+    start = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    told = stages[0][1](spark, start, "")
+    ids = lambda frame: {r["doc_id"] for r in frame.select("doc_id").collect()}
+    assert told.columns == start.columns and {5000, 5001, 5002} <= ids(told)
+    exact_left = stages[1][1](spark, told, "")
+    texts = lambda frame: {r["text"] or "" for r in frame.select("text").collect()}
+    assert exact_left.count() == len(texts(told)) and texts(exact_left) == texts(told) and {5001, 5002} <= ids(exact_left)
+    left = stages[2][1](spark, exact_left, "")
+    assert left.columns == start.columns and ids(left) & {5000, 5001, 5002} == {5001} and ids(left) <= ids(exact_left)
+    mixed = stages[3][1](spark, left, "")
+    assert mixed.columns == start.columns and mixed.count() and ids(mixed) <= ids(left)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     kept = {r["doc_id"] for r in out}
+    assert kept == ids(mixed)
     assert len(kept & {5000, 5001, 5002}) <= 1 and not kept & {3000, 3001, 3002}
     assert len(kept & set(range(2000, 2009))) <= 1 and len(corpus_pipeline.STAGES) == 5
 
