@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from introngrid.graph import connected_components, forest
-from introngrid.llm.shingles import named_sets, set_name, shingle_hashes, shingle_set, similar_pairs
+from introngrid.llm.shingles import MOST_ENDS, named_sets, set_name, shingle_hashes, shingle_set, similar_pairs
 from introngrid.llm.words import by_batches, encoded, mix64, slices
-from introngrid.storage import free_shuffles, materialize, release
+from introngrid.storage import bounded_broadcast, free_shuffles, materialize, release
 
 BITS = 64
 #: Pairs of one bucket up to so many places apart in sort order are compared on the spot.
@@ -344,7 +344,7 @@ def _sets_of(texts: DataFrame, nodes: DataFrame, ends: DataFrame, width: int, ha
     if have is not None:
         want = want.join(have.select("node"), "node", "left_anti")
     ids = materialize(nodes.join(want, "node", "left_semi").select("doc_id"), "met")
-    sets = materialize(named_sets(texts.join(ids, "doc_id", "left_semi"), width), "sets-met")
+    sets = materialize(named_sets(texts.join(bounded_broadcast(ids, MOST_ENDS), "doc_id", "left_semi"), width), "sets-met")
     # A repeated doc_id brings other texts along, and some of them twice.
     return sets if sets.count() == ids.count() else sets.join(want, "node", "left_semi").dropDuplicates(["node"])
 
