@@ -165,3 +165,14 @@ def compare_clusterings(first: DataFrame, second: DataFrame) -> DataFrame:
     out = pairs.join(n1, "c1", "full").join(n2, "c2", "full").select("c1", "c2", F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("n2", F.lit(0)).alias("n2"))
     kind = F.when(F.col("c2").isNull(), "first only").when(F.col("c1").isNull(), "second only").when((F.col("shared") == F.col("n1")) & (F.col("shared") == F.col("n2")), "identical").otherwise("partial")
     return out.withColumn("jaccard", F.round(F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared")), 6)).withColumn("kind", kind)
+
+
+def clustering_summary(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: edges of each table and of both, their overall Jaccard index (null without edges), and pairs of each kind."""
+    of = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    pairs = compare_clusterings(first, second).agg(
+        F.coalesce(F.sum("shared"), F.lit(0)).alias("shared"), of("identical").alias("identical"), of("partial").alias("partial"), of("first only").alias("first_only"), of("second only").alias("second_only")
+    )
+    sizes = first.agg(F.count("*").alias("edges_1")).crossJoin(second.agg(F.count("*").alias("edges_2")))  # one row each
+    either = F.nullif(F.col("edges_1") + F.col("edges_2") - F.col("shared"), F.lit(0))
+    return pairs.crossJoin(sizes).withColumn("jaccard", F.round(F.col("shared") / either, 6))

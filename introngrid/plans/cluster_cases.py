@@ -99,11 +99,19 @@ def c09_exon(s, d):
     return C.cluster_edges(C.initial_clusters(_distinct(s, d)), _near(s, d), mode=3).select("a", "b")
 
 
-def c10(s, d):
+def _two_edge_tables(s, d):
     clusters = C.initial_clusters(_distinct(s, d))
     least = clusters.groupBy("cluster").agg(F.min("intron").alias("label"))
     named = clusters.join(least, "cluster").withColumn("cluster", F.col("label"))
-    return C.compare_clusterings(C.cluster_edges(named, mode=1), C.cluster_edges(named, mode=2))
+    return C.cluster_edges(named, mode=1), C.cluster_edges(named, mode=2)
+
+
+def c10(s, d):
+    return C.compare_clusterings(*_two_edge_tables(s, d))
+
+
+def c10_summary(s, d):
+    return C.clustering_summary(*_two_edge_tables(s, d))
 
 
 def c11(s, d):
@@ -156,6 +164,15 @@ CASES = {
         n1 AS (SELECT c AS c1, count(*) AS n1 FROM e1 GROUP BY c), n2 AS (SELECT c AS c2, count(*) AS n2 FROM e2 GROUP BY c),
         j AS (SELECT c1, c2, coalesce(shared, 0) AS shared, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2 FROM s FULL JOIN n1 USING (c1) FULL JOIN n2 USING (c2))
         SELECT *, round(shared / (n1 + n2 - shared), 6) AS jaccard, CASE WHEN c2 IS NULL THEN 'first only' WHEN c1 IS NULL THEN 'second only' WHEN shared = n1 AND shared = n2 THEN 'identical' ELSE 'partial' END AS kind FROM j"""),
+    "c10_clustering_summary": (c10_summary, f"""WITH {ISLANDS}, l AS (SELECT intron, start, stop, min(intron) OVER (PARTITION BY cluster) AS c FROM c01),
+        e1 AS (SELECT x.c, x.intron AS a, y.intron AS b FROM l x JOIN l y ON x.c = y.c AND x.intron < y.intron AND x.stop >= y.start AND y.stop >= x.start),
+        e2 AS (SELECT x.c, x.intron AS a, y.intron AS b FROM l x JOIN l y ON x.c = y.c AND x.intron < y.intron AND (x.start IN (y.start, y.stop) OR x.stop IN (y.start, y.stop))),
+        s AS (SELECT e1.c AS c1, e2.c AS c2, count(*) AS shared FROM e1 JOIN e2 USING (a, b) GROUP BY ALL),
+        n1 AS (SELECT c AS c1, count(*) AS n1 FROM e1 GROUP BY c), n2 AS (SELECT c AS c2, count(*) AS n2 FROM e2 GROUP BY c),
+        j AS (SELECT c1, c2, coalesce(shared, 0) AS shared, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2 FROM s FULL JOIN n1 USING (c1) FULL JOIN n2 USING (c2)),
+        p AS (SELECT shared, CASE WHEN c2 IS NULL THEN 'f' WHEN c1 IS NULL THEN 's' WHEN shared = n1 AND shared = n2 THEN 'i' ELSE 'p' END AS k FROM j),
+        t AS (SELECT CAST(coalesce(sum(shared), 0) AS BIGINT) AS shared, count(*) FILTER (k = 'i') AS identical, count(*) FILTER (k = 'p') AS partial, count(*) FILTER (k = 'f') AS first_only, count(*) FILTER (k = 's') AS second_only FROM p)
+        SELECT t.*, x.n AS edges_1, y.n AS edges_2, round(shared / nullif(x.n + y.n - shared, 0), 6) AS jaccard FROM t, (SELECT count(*) AS n FROM e1) x, (SELECT count(*) AS n FROM e2) y"""),
     "c11_psi_pipeline": (c11, None),
     "c12_pseudobulk_pipeline": (c12, None),
 }

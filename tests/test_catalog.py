@@ -13,7 +13,7 @@ from introngrid.plans import catalog
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
 #: One or two queries of each family; the driver runs all of them.
-NAMES = ["g03_introns", "g12_splice_blocks", "g20_junction_groups", "c01_initial_clusters", "c03_refine_links_exons", "c07_psi", "q03_normalize_local", "q15_em_abundance", "q22_ec_design_grouped", "d05_plan_contrasts", "p01_bh", "p13_calibrate_exceedance", "p25_reproducibility", "r13_ari_nmi", "s04_read_matrix_market", "s13_read_wide_counts"]
+NAMES = ["g03_introns", "g12_splice_blocks", "g20_junction_groups", "c01_initial_clusters", "c03_refine_links_exons", "c07_psi", "c10_clustering_summary", "q03_normalize_local", "q15_em_abundance", "q22_ec_design_grouped", "d05_plan_contrasts", "p01_bh", "p13_calibrate_exceedance", "p25_reproducibility", "r13_ari_nmi", "s04_read_matrix_market", "s13_read_wide_counts"]
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
