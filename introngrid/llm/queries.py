@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from introngrid.llm import exact, langid, mix, packing, pq, simhash, substring, tokenbin, tokens, warc
+from introngrid.llm import align, exact, langid, mix, packing, pq, search, simhash, substring, tokenbin, tokens, urls, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -57,8 +57,20 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return search.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    return align.align_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_url_filters(spark, sf_dir):
+    return urls.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op2_token_counts, op3_warc, op4_substring_dedup, op5_simhash, op6_token_matrices, op7_embedding_dedup, op8_exact_dedup, op9_langid, op10_packing)}
+    return {f.__name__: f for f in (op1_mix, op2_token_counts, op3_warc, op4_substring_dedup, op5_simhash, op6_token_matrices, op7_embedding_dedup, op8_exact_dedup, op9_langid, op10_packing, op11_lexical_search, op12_token_alignment, op13_url_filters)}
 
 
 ORACLES = {
@@ -85,6 +97,21 @@ ORACLES = {
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY t)""",
+    "op11_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        s AS (SELECT count(*) AS total, CAST(sum(len(t)) AS BIGINT) AS length FROM d WHERE len(t) > 0),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) x GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term) f, s),
+        g AS (
+            SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * total) // length)))) AS BIGINT) AS score
+            FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE score > 0) k WHERE rank <= 50""",
 }
 
 
