@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,86 +15,117 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from introngrid.llm.tokens import PIECE, byte_letters
+from introngrid.llm.tokens import SPACE, byte_letters
 from introngrid.llm.words import encoded, slices
 from introngrid.storage import materialize, release
 
 #: Distinct parts of texts, and token ids of them, that a worker keeps.
-CACHE, FLAT = 400_000, 6_000_000
+CACHE, FLAT = 300_000, 4_000_000
 #: Id pairs whose counts go to every worker; the others' counts are joined.
 HOT = 200_000
-#: Space before a word, and spaces that end a text.
-WORD = " *[^ ]+| +"
 
 
-class Parts:
-    """Token ids of texts put together from parts that no token crosses; known parts are looked up."""
+class ByteLevel:
+    """A byte-level BPE file; strings of special tokens are plain text. Its pre-tokens never run from a word into white space, so parts are encoded alone."""
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]):
-        self.find, self.encode, self.tokens = re.compile(pattern).findall, encode, tokens
-        self.lengths = np.array([len(t) for t in tokens], np.int64)
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        decode = {c: b for b, c in byte_letters().items()}
+        self.tokens = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.tokens[i] = bytes(decode[c] for c in token) if all(c in decode for c in token) else token.encode()
+
+    def encode(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+
+class Pieces:
+    """A sentencepiece file, which puts a space before what it encodes.
+
+    The vocabulary is looked through once: if no piece holds a space after anything else, no
+    merge runs from a word into the space behind it, nor into white space that is only ever a
+    piece of its own. `part` is then the pattern of a word with the white space before it
+    (and with what follows on white space that other pieces hold), otherwise that of a whole text.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.tokens = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        glued = "".join(sorted({c for p in names if len(p) > 1 for c in re.findall(f"[{SPACE}]", p)}))
+        on = f"(?:[{re.escape(glued)}][{SPACE}]*[^{SPACE}]*)*" if glued else ""
+        self.part = "(?s).+" if any(re.search("[^▁]▁", p) for p in names) or " " in glued else f"[{SPACE}]*[^{SPACE}]+{on}|[{SPACE}]+"
+        self.space = self.model.piece_to_id("▁")
+
+    def encode(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts that follow on others: the added space stands for a part's own first one, or its token goes."""
+        own = [p[0] == " " for p in parts]
+        found = self.model.encode([p[1:] if o else p for p, o in zip(parts, own, strict=True)], num_threads=1)
+        return [ids or [self.space] if o else ids[1:] for ids, o in zip(found, own, strict=True)]
+
+
+class Both:
+    """Token ids of both files for texts put together from parts that no token crosses; known parts are looked up."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = ByteLevel(path_a), Pieces(path_b)
+        self.lengths = [np.array([len(t) for t in x.tokens], np.int64) for x in (self.a, self.b)]
+        self.find = re.compile(self.b.part).findall
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.ends, self.exact = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, bool)
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids in a row; each text's number of ids; whether its tokens' bytes are the text's."""
-        if len(self.index) > CACHE or len(self.flat) > FLAT:
+        self.flat, self.ends, self.exact = [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2, np.zeros(0, bool)
+
+    def _learn(self, new: list[str]) -> None:
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+        exact = np.ones(len(new), bool)
+        sizes = np.array([len(encoded(p)) for p in new])
+        for k, side in enumerate((self.a, self.b)):
+            lists = side.encode(new)
+            n = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(n.sum()))
+            stops = np.concatenate(([0], np.cumsum(self.lengths[k][ids])))[np.concatenate(([0], np.cumsum(n)))]
+            same = b"".join(map(side.tokens.__getitem__, ids.tolist())) == b"".join(map(encoded, new))
+            if not same or (np.diff(stops) != sizes).any():
+                exact &= [b"".join(map(side.tokens.__getitem__, i)) == encoded(p) for p, i in zip(new, lists, strict=True)]
+            self.flat[k] = np.concatenate((self.flat[k], ids))
+            self.ends[k] = np.concatenate((self.ends[k], self.ends[k][-1] + np.cumsum(n)))
+        self.exact = np.concatenate((self.exact, exact))
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of A, all of B, and each text's numbers of both; texts whose tokens' bytes are not the text's get none."""
+        if len(self.index) > CACHE or max(map(len, self.flat)) > FLAT:
             self.clear()
         lists = [self.find(t) for t in texts]
-        parts = [p for ps in lists for p in ps]
+        parts = list(chain.from_iterable(lists))
         new = [p for p in dict.fromkeys(parts) if p not in self.index]
         if new:
-            found = self.encode(new)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.exact = np.concatenate((self.exact, [b"".join(map(self.tokens.__getitem__, i)) == encoded(p) for p, i in zip(new, found, strict=True)]))
-            self.flat = np.concatenate((self.flat, np.array([i for ids in found for i in ids], np.int64)))
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(i) for i in found])))
+            self._learn(new)
         at = np.fromiter(map(self.index.__getitem__, parts), dtype=np.int64, count=len(parts))
-        first, n = self.ends[at], self.ends[at + 1] - self.ends[at]
-        stop = np.cumsum(n)
-        out = self.flat[np.repeat(first - (stop - n), n) + np.arange(int(n.sum()))]
-        bounds = np.cumsum([0, *map(len, lists)])
-        exact = np.diff(np.concatenate(([0], np.cumsum(~self.exact[at])))[bounds]) == 0
-        return out, np.diff(np.concatenate(([0], stop))[bounds]), exact
-
-
-@lru_cache(maxsize=2)
-def byte_level(path: str) -> Parts:
-    """The byte-level BPE file's tokens; strings of special tokens are plain text."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    decode = {c: b for b, c in byte_letters().items()}
-    tokens = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
-    for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
-        tokens[i] = bytes(decode[c] for c in token) if all(c in decode for c in token) else token.encode()
-    return Parts(PIECE, lambda parts: [e.ids for e in tokenizer.encode_batch(parts, add_special_tokens=False)], tokens)
+        n_parts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        text = np.repeat(np.arange(len(texts)), n_parts)
+        fine = np.bincount(text[~self.exact[at]], minlength=len(texts)) == 0
+        at, text = at[fine[text]], text[fine[text]]
+        out = []
+        for flat, ends in zip(self.flat, self.ends, strict=True):
+            first, n = ends[at], ends[at + 1] - ends[at]
+            stop = np.cumsum(n)
+            ids = flat[np.repeat(first - (stop - n), n) + np.arange(int(n.sum()))].astype(np.int64)
+            out.append((ids, np.bincount(text, n, len(texts)).astype(np.int64)))
+        (a, n_a), (b, n_b) = out
+        return a, b, n_a, n_b
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> Parts:
-    """The sentencepiece file's tokens of texts that begin with the space it adds.
-
-    If no piece of the vocabulary holds a space after another letter, no merge crosses the
-    end of a word, and words are encoded alone; this is checked here. Otherwise texts are
-    encoded whole.
-    """
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    tokens = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-    alone = not any(re.search("[^▁]▁", p) for p in names)
-    space = [model.piece_to_id("▁")]
-
-    def encode(parts: list[str]) -> list[list[int]]:
-        return [space if p == " " else ids for p, ids in zip(parts, model.encode([p[1:] for p in parts], num_threads=1), strict=True)]
-
-    return Parts(WORD if alone else "(?s).+", encode, tokens)
+def both(path_a: str, path_b: str) -> Both:
+    return Both(path_a, path_b)
 
 
 def gallop(keys: np.ndarray, into: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -175,18 +208,16 @@ def _aligned_texts(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = byte_level(path_a), pieces(path_b)
-        size_a, size_b = len(one.tokens), len(two.tokens)
+        tokenizers = both(path_a, path_b)
+        length_a, length_b = tokenizers.lengths
+        size_a, size_b = len(length_a), len(length_b)
         table = _digits(size_a, size_b)
         for batch in batches:
             ids = batch.column(0)
             for part in slices(iter([pd.DataFrame({"at": np.arange(batch.num_rows), "text": batch.column(1).to_pandas()})])):
                 texts = [f" {x}" if x else "" for x in part["text"]]
-                (a, n_a, fine_a), (b, n_b, fine_b) = one.ids(texts), two.ids(texts)
-                fine = fine_a & fine_b
-                a, b = a[np.repeat(fine, n_a)], b[np.repeat(fine, n_b)]
-                n_a, n_b = n_a * fine, n_b * fine
-                x = Aligned(a, b, n_a, n_b, one.lengths[a], two.lengths[b])
+                a, b, n_a, n_b = tokenizers.ids(texts)
+                x = Aligned(a, b, n_a, n_b, length_a[a], length_b[b])
                 hashes = [""] * len(texts)
                 if len(a):
                     codes, (at_a, at_b) = np.empty(len(a) + len(b), np.int64), x.merged()
@@ -244,7 +275,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     tokens: zeros and an empty groups_sha256. Repeated rows count and stay; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    size_b = len(pieces(path_b).tokens)
+    size_b = len(Pieces(path_b).tokens)
     table = materialize(_aligned_texts(docs, path_a, path_b, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "aligned")
     summed = table.select("pairs", "times").mapInArrow(_sums, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     summed = materialize(summed, "pair-counts")

@@ -118,7 +118,7 @@ def plain_alignment(docs):
 
 TEXTS = [
     None, "", " ", "  ", "a", " a", "a ", "a   ", "\n", "\n\n a\tb", "plain words, and more plain words", "Straße größer naïve façade", "日本語のテキスト と words", "<|endoftext|> is <s> text </s> <unk>",
-    "sp ▁ ace", "em\u3000space\u00a0x\x85y", "a\x00b", "e\u0301 ﬁ Å 😀😀 👩‍👩‍👧", "x" * 400, "word " * 300, "don't we'll 12345 67.8e9 ---- !!!", "plain words, and more plain words", "\r\n  indented\r\n    more",
+    "sp ▁ ace", "em\u3000space\u00a0x\x85y", "a\x00b", "e\u0301 ﬁ Å 😀😀 👩‍👩‍👧", "x" * 400, "word " * 300, "don't we'll 12345 67.8e9 ---- !!!", "plain words, and more plain words", "\r\n  indented\r\n    more", "a;\r b{\r\n}\r\r x\r", "x▁ y ▁z", "\n\r {\r", "tail\n \n",
 ]
 
 
