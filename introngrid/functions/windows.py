@@ -5,29 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from introngrid.functions.scan import Ranges, with_counts
+
 
 def islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True) -> DataFrame:
-    """Number the runs of overlapping intervals inside each key, from 1 in order of start."""
+    """Number the runs of overlapping intervals inside each key, from 1 in order of start; for keys whose rows fit a task (transcripts, clusters)."""
     order = Window.partitionBy(*keys).orderBy(start, stop, *ties)
     before = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
     apart = F.col(start) > before if touching else F.col(start) >= before
     return df.withColumn(out, F.sum(F.when(before.isNull() | apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True, ranges: int | None = None) -> DataFrame:
+    """islands() for keys of any size, such as chromosomes: tiles of a key are worked on side by side, and the farthest stop and the number of runs are carried from tile to tile."""
+    tiles = Ranges(df, keys, [start, stop, *ties], ranges)
+    reached = tiles.running(tiles.rows, stop, "__reach", how="max", exclusive=True)
+    apart = F.col(start) > F.col("__reach") if touching else F.col(start) >= F.col("__reach")
+    opens = F.when(F.col("__reach").isNull() | apart, 1).otherwise(0)
+    return tiles.close(tiles.running(reached, opens, out)).drop("__reach")
+
+
 def merge_intervals(df: DataFrame, keys, start: str = "start", stop: str = "stop") -> DataFrame:
-    """Overlapping or touching intervals of a key become one."""
-    marked = islands(df, keys, start, stop, out="__island")
+    """Overlapping or touching intervals of a key, of any size, become one."""
+    marked = wide_islands(df.select(*keys, start, stop), keys, start, stop, out="__island")
     return marked.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("__island")
 
 
-def bh(df: DataFrame, p: str, keys=(), ties=(), out: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg adjusted values inside each key; null p-values stay null and don't count."""
-    keys = list(keys) or [F.lit(True)]
-    part = Window.partitionBy(*keys, F.col(p).isNull())
-    rank = F.row_number().over(part.orderBy(p, *ties))
-    scaled = df.withColumn("__q", F.col(p) * F.count(p).over(part) / rank)
-    falling = part.orderBy(F.desc(p), *[F.desc(t) for t in ties]).rowsBetween(Window.unboundedPreceding, 0)
-    return scaled.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__q").over(falling)))).drop("__q")
+def bh(df: DataFrame, p: str, keys=(), ties=(), out: str = "fdr", ranges: int | None = None) -> DataFrame:
+    """Benjamini-Hochberg adjusted values inside each key; null p-values stay null and don't count.
+
+    Keys may have any number of rows: ranks are running counts over range partitions, and
+    the least scaled value from here on is carried back through them. Equal p-values get
+    one value whatever their order, so ties only names columns for a stable order.
+    """
+    spread = Ranges(df, keys, [p, *ties], ranges)
+    counted = with_counts(spread, spread.rows, F.col(p).isNotNull(), "__rank", "__n")
+    scaled = counted.withColumn("__q", F.when(F.col(p).isNotNull(), F.col(p) * F.col("__n") / F.col("__rank")))
+    least = spread.running(scaled, "__q", "__least", how="min", reverse=True)
+    return spread.close(least).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "__least"))).drop("__rank", "__n", "__q", "__least")
 
 
 def simes(df: DataFrame, p: str, keys, out: str = "p_value", n: str = "n_features", extra=()) -> DataFrame:

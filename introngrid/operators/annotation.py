@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from introngrid.functions.windows import merge_intervals
+from introngrid.functions.scan import Ranges
+from introngrid.functions.windows import merge_intervals  # noqa: F401
 from introngrid.schema import assert_no_conflict
+from introngrid.storage import materialize
 
 
 def place(chrom: str = "chrom", start: str = "start", stop: str = "stop") -> Column:
@@ -72,8 +74,6 @@ def incidence(support: DataFrame, which: str = "introns") -> DataFrame:
 def dense_ids(df: DataFrame, name: str, out: str) -> DataFrame:
     """Distinct values of a column with numbers from 0 in their order, without a global sort in one task."""
     spread = df.select(name).distinct().repartitionByRange(name).sortWithinPartitions(name).withColumn("__p", F.spark_partition_id())
-    from introngrid.storage import materialize
-
     spread = materialize(spread, "ids")
     sizes = spread.groupBy("__p").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -111,14 +111,42 @@ def tx_gene_map(features: DataFrame, check: bool = True) -> DataFrame:
     return assert_no_conflict(out, "tx_id", "gene_id") if check else out
 
 
+POINT = "struct<start:bigint,stop:bigint>"
+
+
+def transcript_chains(exons: DataFrame) -> DataFrame:
+    """Rows (gene_id, tx_id, chrom, strand, chain): a transcript's exons in order, overlapping and touching ones as one."""
+    listed = exons.groupBy("gene_id", "tx_id", "chrom", "strand").agg(F.array_sort(F.collect_list(F.struct("start", "stop").cast(POINT))).alias("chain"))
+
+    def add(out: Column, x: Column) -> Column:
+        last = F.element_at(out, -1)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))))
+        return F.when((F.size(out) > 0) & (x["start"] <= F.try_element_at(out, F.lit(-1))["stop"]), joined).otherwise(F.concat(out, F.array(x)))
+
+    return listed.withColumn("chain", F.aggregate("chain", F.array().cast(f"array<{POINT}>"), add))
+
+
+def _genes_of(chains: DataFrame) -> DataFrame:
+    """chains with n (the gene's transcripts), lo and hi (its ends)."""
+    gene = Window.partitionBy("gene_id")
+    return chains.select("*", F.count("*").over(gene).alias("n"), F.min(F.col("chain")[0]["start"]).over(gene).alias("lo"), F.max(F.element_at("chain", -1)["stop"]).over(gene).alias("hi"))
+
+
+def _anchors(chains: DataFrame) -> DataFrame:
+    """Rows (gene_id, start, stop) where every transcript of a gene covers: a sweep over the starts (+1) and ends (-1) of its exons.
+
+    A transcript's own exons don't touch, so two such intervals of a gene don't either.
+    """
+    steps = F.flatten(F.transform("chain", lambda x: F.array(F.struct(x["start"].alias("pos"), F.lit(1).alias("d")), F.struct(x["stop"].alias("pos"), F.lit(-1).alias("d")))))
+    events = chains.select("gene_id", "n", F.explode(steps).alias("e")).groupBy("gene_id", "e.pos").agg(F.sum("e.d").alias("d"), F.first("n").alias("n")).where("d <> 0")
+    along = Window.partitionBy("gene_id").orderBy("pos")
+    depth = F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return events.select("gene_id", "n", F.col("pos").alias("start"), F.lead("pos").over(along).alias("stop"), depth.alias("depth")).where("depth = n").select("gene_id", "start", "stop")
+
+
 def constitutive_intervals(exons: DataFrame) -> DataFrame:
-    """Rows (gene_id, start, stop): what every transcript of a gene covers, merged."""
-    edges = exons.select("gene_id", F.explode(F.array("start", "stop")).alias("a")).distinct()
-    segments = edges.withColumn("b", F.lead("a").over(Window.partitionBy("gene_id").orderBy("a"))).where("b IS NOT NULL")
-    total = exons.groupBy("gene_id").agg(F.countDistinct("tx_id").alias("n_tx"))
-    inside = segments.join(exons.select("gene_id", "tx_id", F.col("start").alias("s"), F.col("stop").alias("e")), "gene_id").where("s <= a AND e >= b")
-    covered = inside.groupBy("gene_id", "a", "b").agg(F.countDistinct("tx_id").alias("n")).join(total, "gene_id").where("n = n_tx")
-    return merge_intervals(covered.select("gene_id", F.col("a").alias("start"), F.col("b").alias("stop")), ["gene_id"])
+    """Rows (gene_id, start, stop): what every transcript of a gene covers."""
+    return _anchors(_genes_of(transcript_chains(exons)))
 
 
 def splice_blocks(exons: DataFrame) -> DataFrame:
@@ -127,28 +155,28 @@ def splice_blocks(exons: DataFrame) -> DataFrame:
     Blocks lie between consecutive constitutive intervals and at both ends of a gene; a gene
     without any is one block. A signature is the transcript's exons clipped to the block, in
     transcription order. Blocks with one signature go; the others are numbered in
-    transcription order. All joins have the gene as key.
+    transcription order. exons are read once; all else is keyed by the gene.
     """
-    exons = exons.select("tx_id", "gene_id", "chrom", "strand", "start", "stop")
-    exons = merge_intervals(exons, ["tx_id", "gene_id", "chrom", "strand"])
-    genes = exons.groupBy("gene_id").agg(F.min("start").alias("lo"), F.max("stop").alias("hi"), F.countDistinct("tx_id").alias("n"), F.first("strand").alias("strand"), F.first("chrom").alias("chrom")).where("n > 1")
-    anchors = constitutive_intervals(exons)
-    order = Window.partitionBy("gene_id").orderBy("start")
-    point = F.struct("start", "stop")
-    nothing = F.lit(None).cast("struct<start:bigint,stop:bigint>")
-    inner = anchors.withColumn("right", F.lead(point).over(order)).select("gene_id", point.alias("left_anchor"), F.col("right").alias("right_anchor"))
-    head = anchors.groupBy("gene_id").agg(F.min(point).alias("right_anchor")).select("gene_id", nothing.alias("left_anchor"), "right_anchor")
-    whole = genes.join(anchors, "gene_id", "left_anti").select("gene_id", nothing.alias("left_anchor"), nothing.alias("right_anchor"))
-    blocks = inner.unionByName(head).unionByName(whole).join(genes, "gene_id")
-    blocks = blocks.withColumn("b0", F.coalesce("left_anchor.stop", "lo")).withColumn("b1", F.coalesce("right_anchor.start", "hi")).where("b0 < b1")
-    tx = exons.groupBy("gene_id", "tx_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("chain"))
-    both = blocks.join(tx, "gene_id")
+    chains = materialize(_genes_of(transcript_chains(exons)).where("n > 1"), "chains")
+    anchors = _anchors(chains).groupBy("gene_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("anchors"))
+    nothing = F.lit(None).cast(POINT)
+    block = lambda left, right, b0, b1: F.struct(left.alias("left_anchor"), right.alias("right_anchor"), b0.alias("b0"), b1.alias("b1"))
+    a, lo, hi = F.col("anchors"), F.col("lo"), F.col("hi")
+
+    def after(i: Column) -> Column:
+        here, then = F.get(a, i), F.get(a, i + 1)
+        return block(here, then, here["stop"], F.coalesce(then["start"], hi))
+
+    inner = F.concat(F.array(block(nothing, F.get(a, F.lit(0)), lo, F.get(a, F.lit(0))["start"])), F.transform(F.sequence(F.lit(0), F.size(a) - 1), after))
+    cut = F.when(a.isNull(), F.array(block(nothing, nothing, lo, hi))).otherwise(inner)
+    both = chains.join(anchors, "gene_id", "left").withColumn("block", F.explode(cut)).select("gene_id", "tx_id", "chrom", "strand", "chain", "block.*").where("b0 < b1")
     clipped = F.transform("chain", lambda x: F.struct(F.greatest(x["start"], F.col("b0")).alias("start"), F.least(x["stop"], F.col("b1")).alias("stop")))
     clipped = F.filter(clipped, lambda x: x["start"] < x["stop"])
-    both = both.withColumn("signature", F.when(F.col("strand") == "+", clipped).otherwise(F.reverse(clipped)))
-    block = Window.partitionBy("gene_id", "b0", "b1")
-    both = both.withColumn("path_index", F.dense_rank().over(block.orderBy("signature")) - 1).withColumn("paths", F.max("path_index").over(block)).where("paths > 0")
-    rank = F.when(F.col("strand") == "+", F.dense_rank().over(Window.partitionBy("gene_id").orderBy("b0"))).otherwise(F.dense_rank().over(Window.partitionBy("gene_id").orderBy(F.desc("b0"))))
+    both = both.withColumn("signature", F.when(F.col("strand") == "+", clipped).otherwise(F.reverse(clipped))).drop("chain")
+    own = Window.partitionBy("gene_id", "b0", "b1")
+    both = both.withColumn("path_index", F.dense_rank().over(own.orderBy("signature")) - 1).withColumn("paths", F.max("path_index").over(own)).where("paths > 0")
+    along = F.when(F.col("strand") == "+", F.col("b0")).otherwise(-F.col("b0"))
+    rank = F.dense_rank().over(Window.partitionBy("gene_id").orderBy(along))
     return both.withColumn("block_id", F.format_string("%s:B%d", "gene_id", rank)).select("gene_id", "block_id", "strand", "chrom", "left_anchor", "right_anchor", "tx_id", "signature", "path_index")
 
 
@@ -276,18 +304,44 @@ def valid_exons(near_exons: DataFrame, exon_counts: DataFrame, cutoff: float) ->
     return near_exons.join(good, "exon", "left_semi").groupBy("intron").agg(F.array_join(F.array_sort(F.collect_set("exon")), ",").alias("exons"))
 
 
-def region_coverage(reads: DataFrame, chrom: str, start: int, stop: int, keys=("sample", "strand")) -> DataFrame:
-    """Rows (keys, pos, depth) of the bases in chrom:start-stop that intervals of reads cover."""
-    inside = reads.where((F.col("chrom") == chrom) & (F.col("stop") > start) & (F.col("start") < stop))
-    last = F.least("stop", F.lit(stop)) - 1
-    bases = inside.where(F.greatest("start", F.lit(start)) <= last).select(*keys, F.explode(F.sequence(F.greatest("start", F.lit(start).cast("long")), last.cast("long"))).alias("pos"))
-    return bases.groupBy(*keys, "pos").agg(F.count("*").alias("depth"))
+#: Bases of a tile on which intervals and regions meet.
+TILE = 16_384
+
+
+def _tiles(start: Column, stop: Column) -> Column:
+    return F.sequence(F.floor(start / TILE).cast("long"), F.floor((stop - 1) / TILE).cast("long"))
+
+
+def _in_regions(intervals: DataFrame, regions: DataFrame, columns) -> DataFrame:
+    """Rows (region, columns, start, stop, lo, hi, tile): intervals and regions (region, chrom, start, stop) that share a tile of a chromosome and overlap; once for each tile."""
+    mine = intervals.where("start < stop").select("chrom", *columns, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.explode(_tiles(F.col("start"), F.col("stop"))).alias("tile"))
+    frames = regions.where("start < stop").select("chrom", "region", F.col("start").cast("long").alias("lo"), F.col("stop").cast("long").alias("hi"), F.explode(_tiles(F.col("start"), F.col("stop"))).alias("tile"))
+    return mine.join(frames, ["chrom", "tile"]).where("start < hi AND stop > lo").drop("chrom")
+
+
+def region_coverage(reads: DataFrame, regions: DataFrame, keys=("sample", "strand")) -> DataFrame:
+    """Rows (region, keys, start, stop, depth): stretches of equal depth above 0 that intervals of reads (chrom, keys, start, stop) have in each region (region, chrom, start, stop).
+
+    Intervals meet regions on tiles. What is summed are the steps of the depth, +1 where a
+    read begins and -1 behind its end, at most two a read and tile and added up before they
+    move; depth is their running sum, whatever a region's size. Steps at the border of
+    tiles cancel. Regions may overlap; empty ones and empty reads give nothing.
+    """
+    keys = list(keys)
+    met = _in_regions(reads, regions, keys)
+    a, b = F.greatest("start", "lo", F.col("tile") * TILE), F.least("stop", "hi", (F.col("tile") + 1) * TILE)
+    steps = F.explode(F.array(F.struct(a.alias("pos"), F.lit(1).alias("d")), F.struct(b.alias("pos"), F.lit(-1).alias("d"))))
+    turns = met.where(a < b).select("region", *keys, steps.alias("e")).groupBy("region", *keys, "e.pos").agg(F.sum("e.d").alias("d")).where("d <> 0")
+    ranges = Ranges(turns, ["region", *keys], ["pos"])
+    deep = ranges.running(ranges.rows, "d", "depth")
+    runs = ranges.running(deep, "pos", "stop", how="min", reverse=True, exclusive=True).where("depth > 0")
+    return runs.select("region", *keys, F.col("pos").alias("start"), "stop", "depth")
 
 
-def region_junctions(junctions: DataFrame, chrom: str, start: int, stop: int, keys=("sample", "strand"), value: str = "value") -> DataFrame:
-    """Counts of junctions that lie wholly in the window."""
-    inside = junctions.where((F.col("chrom") == chrom) & (F.col("start") >= start) & (F.col("stop") <= stop))
-    return inside.groupBy(*keys, "start", "stop").agg(F.sum(value).alias("n"))
+def region_junctions(junctions: DataFrame, regions: DataFrame, keys=("sample", "strand"), value: str = "value") -> DataFrame:
+    """Rows (region, keys, start, stop, n): counts of the junctions that lie wholly in each region."""
+    met = _in_regions(junctions, regions, [*keys, value]).where((F.floor(F.col("start") / TILE) == F.col("tile")) & (F.col("start") >= F.col("lo")) & (F.col("stop") <= F.col("hi")))
+    return met.groupBy("region", *keys, "start", "stop").agg(F.sum(value).alias("n"))
 
 
 def aggregate_samples(counts: DataFrame, keys=("intron",), pattern: str = r"_\d+$", value: str = "value") -> DataFrame:
@@ -317,10 +371,13 @@ def intersect_introns(introns: DataFrame, keys=("grp",)) -> DataFrame:
     return folded.select(*keys, F.explode("cores").alias("core")).select(*keys, "core.start", "core.stop")
 
 
-def region_models(exons: DataFrame, chrom: str, start: int, stop: int) -> DataFrame:
-    """Rows (tx_id, kind, start, stop): exons clipped to a window and the introns between a transcript's exons there."""
-    inside = exons.where((F.col("chrom") == chrom) & (F.col("stop") > start) & (F.col("start") < stop))
-    clipped = inside.select("tx_id", F.greatest("start", F.lit(start)).alias("start"), F.least("stop", F.lit(stop)).alias("stop"))
-    after = F.lead("start").over(Window.partitionBy("tx_id").orderBy("start"))
-    gaps = clipped.withColumn("__n", after).where("__n > stop").select("tx_id", F.lit("intron").alias("kind"), F.col("stop").alias("start"), F.col("__n").alias("stop"))
-    return clipped.select("tx_id", F.lit("exon").alias("kind"), "start", "stop").unionByName(gaps)
+def region_models(exons: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rows (region, tx_id, kind, start, stop): exons clipped to each region and the introns between a transcript's exons there."""
+    first = F.greatest(F.floor(F.col("start") / TILE), F.floor(F.col("lo") / TILE)) == F.col("tile")
+    inside = _in_regions(exons, regions, ["tx_id"]).where(first)
+    clipped = inside.select("region", "tx_id", F.greatest("start", "lo").alias("start"), F.least("stop", "hi").alias("stop"))
+    after = F.lead("start").over(Window.partitionBy("region", "tx_id").orderBy("start"))
+    told = clipped.withColumn("__n", after)
+    exon = F.struct(F.lit("exon").alias("kind"), F.col("start").alias("start"), F.col("stop").alias("stop"))
+    gap = F.when(F.col("__n") > F.col("stop"), F.struct(F.lit("intron").alias("kind"), F.col("stop").alias("start"), F.col("__n").alias("stop")))
+    return told.select("region", "tx_id", F.explode(F.array_compact(F.array(exon, gap))).alias("x")).select("region", "tx_id", "x.kind", "x.start", "x.stop")

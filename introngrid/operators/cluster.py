@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from introngrid.functions.windows import islands
+from introngrid.functions.windows import islands, wide_islands
 from introngrid.operators.annotation import dense_ids
 from introngrid.storage import materialize
 
@@ -17,10 +17,10 @@ from introngrid.storage import materialize
 def initial_clusters(introns: DataFrame) -> DataFrame:
     """introns (intron, chrom, strand, start, stop, ...) with cluster: chains of overlapping introns of a chromosome and strand.
 
-    Ids are texts made of chromosome, strand and the chain's number, so no task sees all
-    chains. An intron without a strand is a chain of its own.
+    Ids are texts made of chromosome, strand and the chain's number. Tiles of a chromosome
+    are worked on side by side (wide_islands), so no task sees all its introns. An intron without a strand is a chain of its own.
     """
-    known = islands(introns.where("strand IS NOT NULL"), ["chrom", "strand"], ties=["intron"], out="__n")
+    known = wide_islands(introns.where("strand IS NOT NULL"), ["chrom", "strand"], ties=["intron"], out="__n")
     known = known.withColumn("cluster", F.concat_ws(":", "chrom", "strand", F.col("__n").cast("string"))).drop("__n")
     lone = introns.where("strand IS NULL").withColumn("cluster", F.concat_ws(":", F.col("chrom"), F.lit("?"), F.col("intron")))
     return known.unionByName(lone)

@@ -133,9 +133,9 @@ def design_rows(samples: DataFrame, level: str = "cell_type", subject: str | Non
     """Long design rows (sample_id, column, value): intercept, treatment dummies against the least level, and subject dummies likewise."""
     out = samples.select("sample_id", F.lit("intercept").alias("column"), F.lit(1.0).alias("value"))
     for name in [level, subject] if subject else [level]:
-        rank = F.dense_rank().over(Window.orderBy(name))
-        codes = samples.select(name).distinct().withColumn("__r", rank).where("__r > 1")
-        out = out.unionByName(samples.join(F.broadcast(codes), name).select("sample_id", F.concat_ws("=", F.lit(name), F.col(name)).alias("column"), F.lit(1.0).alias("value")))
+        least = samples.agg(F.min(name).alias("__least"))  # one row
+        coded = samples.crossJoin(F.broadcast(least)).where(F.col(name) > F.col("__least"))
+        out = out.unionByName(coded.select("sample_id", F.concat_ws("=", F.lit(name), F.col(name)).alias("column"), F.lit(1.0).alias("value")))
     return out
 
 

@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from introngrid.functions.scan import Ranges, mid_ranks, percentiles, with_counts
 from introngrid.functions.tails import chi2_sf, t_two_sided
 from introngrid.functions.windows import bh, simes, unique_or_null
 from introngrid.schema import assert_unique, require_columns
+from introngrid.storage import bounded_broadcast, materialize
 
 EDGE = 1e-15
 
@@ -74,30 +76,60 @@ def joint_gene_tests(df: DataFrame) -> DataFrame:
     return bh_eligible(out.withColumn("method", F.lit("joint")), ties=["gene_id"]).drop("method")
 
 
-def calibrate_ecdf(df: DataFrame, null: DataFrame, p: str = "p_value", key: str = "method") -> DataFrame:
-    """p-values as (1 + number of null values not above) / (n + 1) by method; a method without null values keeps its own.
+def _null_counts(df: DataFrame, null: DataFrame, keys: list[str], value: str, upper: bool, hits: str, total: str) -> DataFrame:
+    """Rows of both tables (null ones with __null 1) with the number of the key's null values at least as extreme, and of all its null values.
 
-    Rows and null values are ranked together in one window instead of being paired.
+    At equal values null rows come first, so a running count over range partitions includes them; no key's rows meet in one task.
     """
-    both = df.withColumn("__null", F.lit(0)).unionByName(null.select(key, p).withColumn("__null", F.lit(1)), allowMissingColumns=True)
-    below = F.sum("__null").over(_over(key).orderBy(p).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("__null").over(_over(key))
-    value = F.when(total > 0, (1 + below) / (total + 1)).otherwise(F.col(p))
-    return both.withColumn("calibrated", value).where("__null = 0").drop("__null")
+    both = df.withColumn("__null", F.lit(0)).unionByName(null.withColumn("__null", F.lit(1)), allowMissingColumns=True)
+    ranges = Ranges(both, keys, [f"-{value}" if upper else value, "-__null"])
+    return ranges.close(with_counts(ranges, ranges.rows, F.col("__null") == 1, hits, total))
+
+
+def calibrate_ecdf(df: DataFrame, null: DataFrame, p: str = "p_value", key: str = "method") -> DataFrame:
+    """p-values as (1 + number of null values not above) / (n + 1) by method; a method without null values keeps its own."""
+    both = _null_counts(df, null.select(key, p), [key], p, False, "__h", "__n")
+    value = F.when(F.col("__n") > 0, (1 + F.coalesce("__h", F.lit(0))) / (F.col("__n") + 1)).otherwise(F.col(p))
+    return both.withColumn("calibrated", value).where("__null = 0").drop("__null", "__h", "__n")
 
 
 def calibrate_pooled(df: DataFrame, null: DataFrame, value: str, strata: list[str], own: str, upper: bool = False, least: int = 1) -> DataFrame:
     """Share of null values as extreme, inside strata and without the row's own test: (1 + count) / (n + 1).
 
-    Ranks over the pool less ranks over the own test, from two windows. upper counts values
-    at least as large. Fewer than `least` null values give null.
+    Counts over the pool, from range partitions, less counts over the own test, from a
+    window over the test's rows. upper counts values at least as large. Fewer than `least`
+    null values give null.
     """
-    both = df.withColumn("__null", F.lit(0)).unionByName(null.select(*strata, own, value).withColumn("__null", F.lit(1)), allowMissingColumns=True)
+    both = _null_counts(df, null.select(*strata, own, value), strata, value, upper, "__h", "__n")
+    mine = _over(*strata, own)
     order = F.col(value).desc() if upper else F.col(value).asc()
-    count = lambda *k: F.sum("__null").over(_over(*k).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    total = lambda *k: F.sum("__null").over(_over(*k))
-    hits, n = count(*strata) - count(*strata, own), total(*strata) - total(*strata, own)
-    return both.withColumn("__h", hits).withColumn("__n", n).withColumn("calibrated", F.when(F.col("__n") >= least, (1 + F.col("__h")) / (1 + F.col("__n")))).where("__null = 0").drop("__null", "__h", "__n")
+    hits = F.col("__h") - F.sum("__null").over(mine.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.withColumn("__o", hits).withColumn("__n", F.col("__n") - F.sum("__null").over(mine))
+    return both.withColumn("calibrated", F.when(F.col("__n") >= least, (1 + F.col("__o")) / (1 + F.col("__n")))).where("__null = 0").drop("__null", "__h", "__o", "__n")
+
+
+def pooled_strata(null: DataFrame, stratum: str = "stratum", own: str = "test_id", key: str = "method", least: int = 20, rare: str = "rare") -> DataFrame:
+    """Rows (key, stratum, pooled): strata of a key with under `least` different tests among the null values are pooled as `rare`."""
+    sizes = null.groupBy(key, stratum).agg(F.countDistinct(own).alias("__n"))
+    return sizes.select(key, stratum, F.when(F.col("__n") >= least, F.col(stratum).cast("string")).otherwise(rare).alias("pooled"))
+
+
+def calibrate_by_depth(df: DataFrame, null: DataFrame, parameters: str = "df", depth: str = "depth_bin", own: str = "test_id", key: str = "method", least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(tests, null values), each with `calibrated`: p-values against those null values of the same degrees of freedom and depth that come from other tests.
+
+    Strata of df x depth are told by the null table: one with under `least` different
+    tests is pooled with the other small ones of its key, and a test of a stratum without null values joins
+    that pool too. The null values are calibrated the same way, each without its own test,
+    so that their distribution shows how the calibration behaves. Where no null value of
+    another test is left, the result is null.
+    """
+    name = F.concat_ws("/", F.coalesce(F.col(parameters).cast("string"), F.lit("?")), F.coalesce(F.col(depth).cast("string"), F.lit("?")))
+    tests, nulls = df.withColumn("__s", name), null.withColumn("__s", name)
+    pools = materialize(pooled_strata(nulls, "__s", own, key, least), "pools")
+    join = lambda t: t.join(pools.withColumnRenamed(key, "__k"), (F.col("__k") == F.col(key)) & (t["__s"] == pools["__s"]), "left").drop("__k", "__s").withColumn("pooled", F.coalesce("pooled", F.lit("rare")))
+    tests, nulls = join(tests), materialize(join(nulls), "null-strata")
+    pick = lambda t: calibrate_pooled(t, nulls, "p_value", [key, "pooled"], own)
+    return pick(tests), pick(nulls)
 
 
 def calibrate_exceedance(df: DataFrame, null: DataFrame, strata=("method", "stratum"), own: str = "test_id") -> DataFrame:
@@ -106,10 +138,13 @@ def calibrate_exceedance(df: DataFrame, null: DataFrame, strata=("method", "stra
 
 
 def quantile_bins(df: DataFrame, value: str, k: int, key: str = "method", out: str = "bin") -> DataFrame:
-    """Bin number of a value among its method's unique quantile edges; a single edge gives one bin."""
-    edges = df.groupBy(key).agg(F.percentile(value, F.array(*[F.lit(i / k) for i in range(k + 1)])).alias("__e")).withColumn("__e", F.array_distinct("__e"))
+    """Bin number of a value among its method's unique quantile edges; a single edge gives one bin.
+
+    The edges come from running counts over range partitions (percentiles), k + 1 numbers a key.
+    """
+    edges = percentiles(df, value, [i / k for i in range(k + 1)], [key], "__e").withColumn("__e", F.array_distinct("__e"))
     inner = F.size(F.filter(F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0))), lambda e: e <= F.col(value)))
-    return df.join(F.broadcast(edges), key).withColumn(out, F.when(F.size("__e") <= 2, 0).otherwise(inner)).drop("__e")
+    return df.join(bounded_broadcast(materialize(edges, "edges")), key).withColumn(out, F.when(F.size("__e") <= 2, 0).otherwise(inner)).drop("__e")
 
 
 def calibration_strata(df: DataFrame, stratum: str, own: str, least: int, key: str = "method") -> DataFrame:
@@ -205,8 +240,7 @@ def reproducibility(folds: DataFrame, level: float = 0.05) -> DataFrame:
     wide = wide.select("method", "gene_id", F.col("0").alias("p0"), F.col("1").alias("p1")).withColumn("joint", F.greatest("p0", "p1"))
     for p, q in (("p0", "q0"), ("p1", "q1"), ("joint", "qj")):
         wide = bh(wide, p, ["method"], ["gene_id"], q)
-    rank = lambda p: (F.rank().over(_over("method").orderBy(p)) + F.count("*").over(_over("method", p)) / 2)
-    wide = wide.withColumn("r0", rank("p0")).withColumn("r1", rank("p1"))
+    wide = mid_ranks(mid_ranks(materialize(wide, "both-folds"), "p0", ["method"], "r0"), "p1", ["method"], "r1")
     a, b = F.col("q0") < level, F.col("q1") < level
     return wide.groupBy("method").agg(
         F.count("*").alias("genes"), F.count(F.when(a, 1)).alias("found_0"), F.count(F.when(b, 1)).alias("found_1"), F.count(F.when(F.col("qj") < level, 1)).alias("conjunction"),
@@ -216,7 +250,8 @@ def reproducibility(folds: DataFrame, level: float = 0.05) -> DataFrame:
 
 def topk_overlap(folds: DataFrame, ks: list[int]) -> DataFrame:
     """Rows (method, k, overlap): share of a method's k best genes of fold 0 that are among the k best of fold 1; k is at most the number of genes."""
-    ranked = folds.withColumn("r", F.row_number().over(_over("method", "fold").orderBy("p_value", "gene_id"))).withColumn("n", F.count("*").over(_over("method", "fold")))
+    best = folds.withColumn("r", F.row_number().over(_over("method", "fold").orderBy("p_value", "gene_id"))).where(F.col("r") <= max(ks))
+    ranked = best.join(folds.groupBy("method", "fold").agg(F.count("*").alias("n")), ["method", "fold"])
     ranked = ranked.select("method", "fold", "gene_id", "r", "n", F.explode(F.array(*[F.lit(k) for k in ks])).alias("want"))
     kept = ranked.withColumn("k", F.least("want", "n")).where("r <= k")
     both = kept.groupBy("method", "want", "k", "gene_id").agg(F.count("*").alias("c"))
@@ -251,8 +286,8 @@ def compare_coverage(strict: DataFrame, permissive: DataFrame, level: float = 0.
     """One row: tests in either and both tables, discoveries of each and both, rank correlation on shared tests."""
     joined = strict.select(key, F.col("p_value").alias("a")).join(permissive.select(key, F.col("p_value").alias("b")), key, "full")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    rank = lambda p: F.rank().over(_over("__both").orderBy(p)) + F.count("*").over(_over("__both", p)) / 2
-    ranked = joined.withColumn("__both", both).withColumn("ra", rank("a")).withColumn("rb", rank("b"))
+    joined = materialize(joined.withColumn("__both", both), "both-tables")
+    ranked = mid_ranks(mid_ranks(joined, "a", ["__both"], "ra"), "b", ["__both"], "rb")
     return ranked.agg(
         F.count("a").alias("strict"), F.count("b").alias("permissive"), F.count(F.when(both, 1)).alias("shared"),
         F.count(F.when(F.col("a") < level, 1)).alias("found_strict"), F.count(F.when(F.col("b") < level, 1)).alias("found_permissive"), F.count(F.when((F.col("a") < level) & (F.col("b") < level), 1)).alias("found_both"),
@@ -269,9 +304,9 @@ def compare_runs(first: DataFrame, second: DataFrame, level: float = 0.05, key:
     j = first.join(two, key).withColumn("both", F.col("converged") & F.col("c2")).withColumn("d", F.when(F.col("both"), F.abs(F.col("p_value") - F.col("p2"))))
     a, b = F.col("both") & (F.col("p_value") < level), F.col("both") & (F.col("p2") < level)
     return j.agg(
-        F.count("*").alias("tests"), F.count(F.when(F.col("both"), 1)).alias("converged"), F.percentile("d", 0.5).alias("median_diff"), F.max("d").alias("max_diff"),
+        F.count("*").alias("tests"), F.count(F.when(F.col("both"), 1)).alias("converged"), F.max("d").alias("max_diff"),
         (F.count(F.when(a & b, 1)) / F.nullif(F.count(F.when(a | b, 1)), F.lit(0))).alias("jaccard"), (F.sum("seconds") / F.sum("s2")).alias("speedup"),
-    )
+    ).join(percentiles(j, "d", [0.5]).select(F.col("quantiles")[0].alias("median_diff")), how="left")
 
 
 def paired_logratio(counts: DataFrame, pseudocount: float = 0.5, min_subjects: int = 3) -> DataFrame:
@@ -349,16 +384,18 @@ def weighted_wald(df: DataFrame, tau2: float) -> DataFrame:
 
 def null_summary(null: DataFrame, key: str = "method") -> DataFrame:
     """By method: share under .05, greatest distance to the uniform distribution, 5 % quantile."""
-    w = _over(key)
-    ranked = null.where("p_value IS NOT NULL").withColumn("r", F.row_number().over(w.orderBy("p_value"))).withColumn("n", F.count("*").over(w))
+    ranges = Ranges(null.where("p_value IS NOT NULL").select(key, "p_value"), [key], ["p_value"])
+    ranked = with_counts(ranges, ranges.rows, F.lit(True), "r", "n")
     gap = F.greatest(F.col("r") / F.nullif("n", F.lit(0)) - F.col("p_value"), F.col("p_value") - (F.col("r") - 1) / F.nullif("n", F.lit(0)))
-    return ranked.groupBy(key).agg(F.avg((F.col("p_value") < 0.05).cast("double")).alias("rejected"), F.max(gap).alias("ks"), F.percentile("p_value", 0.05).alias("quantile_05"))
+    out = ranked.groupBy(key).agg(F.avg((F.col("p_value") < 0.05).cast("double")).alias("rejected"), F.max(gap).alias("ks"))
+    return out.join(percentiles(null, "p_value", [0.05], [key]).select(key, F.col("quantiles")[0].alias("quantile_05")), key)
 
 
 def power_summary(observed: DataFrame, null: DataFrame, keys=("method", "effect_size"), level: float = 0.05) -> DataFrame:
     """By method and effect: tests, power after permutation calibration within a test, median statistic."""
     p = permutation_pvalue(observed, null, 0.0, keys=("test_id",)).drop("observed")
-    return observed.join(p, "test_id").groupBy(*keys).agg(F.count("*").alias("tests"), F.avg((F.col("p_value") <= level).cast("double")).alias("power"), F.percentile("statistic", 0.5).alias("median_statistic"))
+    rows = observed.join(p, "test_id").groupBy(*keys).agg(F.count("*").alias("tests"), F.avg((F.col("p_value") <= level).cast("double")).alias("power"))
+    return rows.join(percentiles(observed, "statistic", [0.5], keys).select(*keys, F.col("quantiles")[0].alias("median_statistic")), list(keys), "left")
 
 
 def merge_shards_summary(shards: DataFrame, key: str = "method") -> DataFrame:
@@ -369,8 +406,9 @@ def merge_shards_summary(shards: DataFrame, key: str = "method") -> DataFrame:
 def finite_summary(df: DataFrame, value: str, keys=()) -> DataFrame:
     """Number, mean, median, 10 % and 90 % quantile of finite values."""
     good = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    q = lambda x: F.percentile(value, x)
-    return good.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), q(0.5).alias("median"), q(0.1).alias("q10"), q(0.9).alias("q90"))
+    main = good.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    at = percentiles(good, value, [0.5, 0.1, 0.9], keys)
+    return (main.join(at, list(keys), "left") if keys else main.join(at, how="left")).select("*", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("median", "q10", "q90"))]).drop("quantiles")
 
 
 def match_estimates(first: DataFrame, second: DataFrame, keys=("block_id", "sample"), metadata=("condition",), min_subjects: int = 2, check: bool = True) -> DataFrame:
@@ -403,7 +441,9 @@ def resource_summary(jobs: DataFrame, key: str = "campaign") -> DataFrame:
     """By campaign: tasks, hours, median and 90 % minutes, peak GiB, and span in hours. jobs has (campaign, elapsed, memory, started, ended)."""
     j = jobs.withColumn("s", seconds_of("elapsed")).withColumn("g", gib_of("memory"))
     at = lambda c: F.unix_timestamp(F.to_timestamp(c))
-    return j.groupBy(key).agg(F.count("*").alias("tasks"), (F.sum("s") / 3600).alias("hours"), (F.percentile("s", 0.5) / 60).alias("median_min"), (F.percentile("s", 0.9) / 60).alias("p90_min"), F.max("g").alias("peak_gib"), ((F.max(at("ended")) - F.min(at("started"))) / 3600).alias("span_hours"))
+    main = j.groupBy(key).agg(F.count("*").alias("tasks"), (F.sum("s") / 3600).alias("hours"), F.max("g").alias("peak_gib"), ((F.max(at("ended")) - F.min(at("started"))) / 3600).alias("span_hours"))
+    minutes = percentiles(j, "s", [0.5, 0.9], [key]).select(key, (F.col("quantiles")[0] / 60).alias("median_min"), (F.col("quantiles")[1] / 60).alias("p90_min"))
+    return main.join(minutes, key, "left")
 
 
 def select_candidate(fits: DataFrame, rule: str = "minimum", retain: float = 0.9, keys=("run",)) -> DataFrame:
@@ -437,9 +477,11 @@ def replicate_summary(df: DataFrame) -> DataFrame:
 
     df has (family, method, effect, statistic, estimate, converged); effect 0 is the null.
     """
-    limit = df.where("effect = 0").groupBy("family", "method").agg(F.percentile("statistic", 0.95).alias("limit"))
+    limit = percentiles(df.where("effect = 0"), "statistic", [0.95], ["family", "method"]).select("family", "method", F.col("quantiles")[0].alias("limit"))
     err = F.col("estimate") - F.col("effect")
-    return df.join(limit, ["family", "method"]).groupBy("family", "method", "effect").agg(
+    rows = df.join(limit, ["family", "method"]).groupBy("family", "method", "effect").agg(
         F.avg((F.col("statistic") > F.col("limit")).cast("double")).alias("rejected"), F.avg(err).alias("bias"), F.sqrt(F.avg(err * err)).alias("rmse"),
-        F.avg(F.col("converged").cast("double")).alias("converged"), F.percentile("statistic", 0.5).alias("median_statistic"),
+        F.avg(F.col("converged").cast("double")).alias("converged"),
     )
+    medians = percentiles(df, "statistic", [0.5], ["family", "method", "effect"])
+    return rows.join(medians, ["family", "method", "effect"], "left").withColumn("median_statistic", F.col("quantiles")[0]).drop("quantiles")

@@ -141,13 +141,19 @@ def g23(s, d):
     return A.valid_exons(near, counts, 2)
 
 
+def _regions(s, d, size):
+    """Windows of a size over all chromosomes, wherever an exon lies."""
+    tiles = exons(s, d).select("chrom", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("stop") - 1) / size))).alias("w")).distinct()
+    return tiles.select(F.concat_ws("/", "chrom", "w").alias("region"), "chrom", (F.col("w") * size).alias("start"), ((F.col("w") + 1) * size).alias("stop"))
+
+
 def g24(s, d):
     reads = exons(s, d).withColumn("sample", F.expr("substr(tx_id, -1)"))
-    return A.region_coverage(reads, "chr1", 0, 60_000)
+    return A.region_coverage(reads, _regions(s, d, 50_000))
 
 
 def g24_junctions(s, d):
-    return A.region_junctions(A.introns_from_exons(exons(s, d)).withColumn("sample", F.expr("substr(tx_id, -1)")).withColumn("value", F.lit(1)), "chr1", 0, 500_000)
+    return A.region_junctions(A.introns_from_exons(exons(s, d)).withColumn("sample", F.expr("substr(tx_id, -1)")).withColumn("value", F.lit(1)), _regions(s, d, 30_000))
 
 
 def g25(s, d):
@@ -161,7 +167,7 @@ def g26(s, d):
 
 
 def g27(s, d):
-    return A.region_models(exons(s, d), "chr2", 0, 400_000)
+    return A.region_models(exons(s, d), _regions(s, d, 20_000))
 
 
 BLOCKS = """m AS (
@@ -257,12 +263,16 @@ CASES = {
     "g23_valid_exons": (g23, f"""WITH {LIMITED}, n AS (SELECT intron, left_exon AS e FROM kept UNION SELECT intron, right_exon FROM kept),
         c AS (SELECT chrom || ':' || start || '-' || stop AS e FROM {{tx_exon}} GROUP BY 1 HAVING count(*) >= 2)
         SELECT intron, string_agg(e, ',' ORDER BY e) AS exons FROM n JOIN c USING (e) GROUP BY intron"""),
-    "g24_region_coverage": (g24, """SELECT substr(tx_id, -1) AS sample, strand, pos, count(*) AS depth FROM (
-        SELECT tx_id, strand, unnest(range(greatest(start, 0), least(stop, 60000))) AS pos FROM {tx_exon} WHERE chrom = 'chr1' AND stop > 0 AND start < 60000) x GROUP BY ALL"""),
-    "g24_region_junctions": (g24_junctions, f"WITH {LIMITED} SELECT substr(tx_id, -1) AS sample, strand, start, stop, count(*) AS n FROM kept WHERE chrom = 'chr1' AND start >= 0 AND stop <= 500000 GROUP BY ALL"),
+    "g24_region_coverage": (g24, """WITH e AS (SELECT substr(tx_id, -1) AS sample, strand, chrom, unnest(range(start, stop)) AS pos FROM {tx_exon}),
+        n AS (SELECT chrom || '/' || CAST(floor(pos / 50000) AS BIGINT) AS region, sample, strand, pos, count(*) AS depth FROM e GROUP BY ALL),
+        g AS (SELECT *, pos - row_number() OVER (PARTITION BY region, sample, strand, depth ORDER BY pos) AS run FROM n)
+        SELECT region, sample, strand, min(pos) AS start, max(pos) + 1 AS stop, depth FROM g GROUP BY region, sample, strand, depth, run"""),
+    "g24_region_junctions": (g24_junctions, f"""WITH {LIMITED}, w AS (SELECT DISTINCT chrom, unnest(range(CAST(floor(start / 30000) AS BIGINT), CAST(floor((stop - 1) / 30000) AS BIGINT) + 1)) AS w FROM {{tx_exon}})
+        SELECT chrom || '/' || w AS region, substr(tx_id, -1) AS sample, strand, start, stop, count(*) AS n FROM kept JOIN w USING (chrom) WHERE start >= w * 30000 AND stop <= (w + 1) * 30000 GROUP BY ALL"""),
     "g25_aggregate_samples": (g25, "SELECT substr(tx_id, 1, 3) AS intron, sample AS cell_type, round(avg(num_reads), 6) AS mean FROM {quant} GROUP BY ALL"),
     "g26_intersect_introns": (g26, None),
-    "g27_region_models": (g27, """WITH c AS (SELECT tx_id, greatest(start, 0) AS start, least(stop, 400000) AS stop FROM {tx_exon} WHERE chrom = 'chr2' AND stop > 0 AND start < 400000),
-        n AS (SELECT *, lead(start) OVER (PARTITION BY tx_id ORDER BY start) AS nx FROM c)
-        SELECT tx_id, 'exon' AS kind, start, stop FROM c UNION ALL SELECT tx_id, 'intron', stop, nx FROM n WHERE nx > stop"""),
+    "g27_region_models": (g27, """WITH w AS (SELECT *, unnest(range(CAST(floor(start / 20000) AS BIGINT), CAST(floor((stop - 1) / 20000) AS BIGINT) + 1)) AS w FROM {tx_exon}),
+        c AS (SELECT chrom || '/' || w AS region, tx_id, greatest(start, w * 20000) AS start, least(stop, (w + 1) * 20000) AS stop FROM w),
+        n AS (SELECT *, lead(start) OVER (PARTITION BY region, tx_id ORDER BY start) AS nx FROM c)
+        SELECT region, tx_id, 'exon' AS kind, start, stop FROM c UNION ALL SELECT region, tx_id, 'intron', stop, nx FROM n WHERE nx > stop"""),
 }
