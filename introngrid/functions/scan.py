@@ -53,15 +53,30 @@ class Ranges:
         met = local.join(F.broadcast(carried), same, "left")
         return met.withColumn(out, join(F.col("__l"), F.col("__c"))).drop("__v", "__l", "__c", "__from", *names.values())
 
-    def close(self, rows: DataFrame) -> DataFrame:
-        return rows.drop("__tie", "__part")
+    def counts(self, counted: Column, rank: str, total: str) -> DataFrame:
+        """self.rows with the number of counted rows of the key up to here, and of all of the key.
 
+        Both come from one window over a key's rows in a partition and one sum for each key
+        and partition. Only keys that lie in several partitions take something over: a
+        partition has two such keys at most, so these rows are broadcast as well.
+        """
+        rows = self.rows.withColumn("__v", counted.cast("long"))
+        parts = rows.groupBy("__part", *self.keys).agg(F.sum("__v").alias("__t"))
+        whole, earlier = Window.partitionBy(*self.keys), Window.partitionBy(*self.keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select("*", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__before"), F.sum("__t").over(whole).alias("__all"), F.count("*").over(whole).alias("__parts")).where("__parts > 1")
+        names = {k: f"__key{i}" for i, k in enumerate(self.keys)}
+        shared = parts.select(F.col("__part").alias("__from"), *[F.col(k).alias(n) for k, n in names.items()], "__before", "__all")
+        inside = Window.partitionBy("__part", *self.keys).orderBy(*ordering(self.order))
+        local = rows.select("*", F.sum("__v").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("__l"), F.sum("__v").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__s"))
+        same = F.col("__part") == F.col("__from")
+        for k, n in names.items():
+            same &= F.col(k).eqNullSafe(F.col(n))
+        met = local.join(F.broadcast(shared), same, "left")
+        out = met.withColumns({rank: F.col("__l") + F.coalesce("__before", F.lit(0)), total: F.coalesce("__all", "__s")})
+        return out.drop("__v", "__l", "__s", "__before", "__all", "__from", *names.values())
 
-def with_counts(ranges: Ranges, rows: DataFrame, counted: Column, rank: str, total: str) -> DataFrame:
-    """rows with the number of counted rows of the key up to here, and in all."""
-    out = ranges.running(rows, counted.cast("long"), rank)
-    rest = F.coalesce(F.col("__rest"), F.lit(0))
-    return ranges.running(out, counted.cast("long"), "__rest", reverse=True, exclusive=True).withColumn(total, F.coalesce(F.col(rank), F.lit(0)) + rest).drop("__rest")
+    def close(self, rows: DataFrame) -> DataFrame:
+        return rows.drop("__tie", "__part")
 
 
 def mid_ranks(df: DataFrame, value: str, keys, out: str) -> DataFrame:
@@ -89,7 +104,7 @@ def percentiles(df: DataFrame, value: str | Column, probs, keys=(), out: str = "
     keys, probs = list(keys), [float(x) for x in probs]
     rows = df.select(*keys, (F.col(value) if isinstance(value, str) else value).cast("double").alias("__x")).where("__x IS NOT NULL")
     ranges = Ranges(rows, keys, ["__x"])
-    ranked = with_counts(ranges, ranges.rows, F.lit(True), "__r", "__n").withColumn("__r", F.col("__r") - 1)
+    ranked = ranges.counts(F.lit(True), "__r", "__n").withColumn("__r", F.col("__r") - 1)
     place = F.transform(F.array(*map(F.lit, probs)), lambda p: p * (F.col("__n") - 1))
     wanted = F.exists(place, lambda x: (F.floor(x) == F.col("__r")) | (F.ceil(x) == F.col("__r")))
     found = ranked.where(wanted).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__r", "__x"))).alias("__at"), F.first("__n").alias("__n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from introngrid.functions.scan import Ranges, with_counts
+from introngrid.functions.scan import Ranges
 
 
 def islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True) -> DataFrame:
@@ -39,7 +39,7 @@ def bh(df: DataFrame, p: str, keys=(), ties=(), out: str = "fdr", ranges: int |
     one value whatever their order, so ties only names columns for a stable order.
     """
     spread = Ranges(df, keys, [p, *ties], ranges)
-    counted = with_counts(spread, spread.rows, F.col(p).isNotNull(), "__rank", "__n")
+    counted = spread.counts(F.col(p).isNotNull(), "__rank", "__n")
     scaled = counted.withColumn("__q", F.when(F.col(p).isNotNull(), F.col(p) * F.col("__n") / F.col("__rank")))
     least = spread.running(scaled, "__q", "__least", how="min", reverse=True)
     return spread.close(least).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "__least"))).drop("__rank", "__n", "__q", "__least")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from introngrid.functions.scan import Ranges, mid_ranks, percentiles, with_counts
+from introngrid.functions.scan import Ranges, mid_ranks, percentiles
 from introngrid.functions.tails import chi2_sf, t_two_sided
 from introngrid.functions.windows import bh, simes, unique_or_null
 from introngrid.schema import assert_unique, require_columns
@@ -83,7 +83,7 @@ def _null_counts(df: DataFrame, null: DataFrame, keys: list[str], value: str, up
     """
     both = df.withColumn("__null", F.lit(0)).unionByName(null.withColumn("__null", F.lit(1)), allowMissingColumns=True)
     ranges = Ranges(both, keys, [f"-{value}" if upper else value, "-__null"])
-    return ranges.close(with_counts(ranges, ranges.rows, F.col("__null") == 1, hits, total))
+    return ranges.close(ranges.counts(F.col("__null") == 1, hits, total))
 
 
 def calibrate_ecdf(df: DataFrame, null: DataFrame, p: str = "p_value", key: str = "method") -> DataFrame:
@@ -108,28 +108,41 @@ def calibrate_pooled(df: DataFrame, null: DataFrame, value: str, strata: list[st
     return both.withColumn("calibrated", F.when(F.col("__n") >= least, (1 + F.col("__o")) / (1 + F.col("__n")))).where("__null = 0").drop("__null", "__h", "__o", "__n")
 
 
-def pooled_strata(null: DataFrame, stratum: str = "stratum", own: str = "test_id", key: str = "method", least: int = 20, rare: str = "rare") -> DataFrame:
-    """Rows (key, stratum, pooled): strata of a key with under `least` different tests among the null values are pooled as `rare`."""
-    sizes = null.groupBy(key, stratum).agg(F.countDistinct(own).alias("__n"))
-    return sizes.select(key, stratum, F.when(F.col("__n") >= least, F.col(stratum).cast("string")).otherwise(rare).alias("pooled"))
+def depth_bins(df: DataFrame, value: str, bins: int, key: str = "method", out: str = "calibration_bin") -> DataFrame:
+    """df with the number of inner quantile edges of its method that lie below the value; two edges or fewer, or bins = 1, give 0."""
+    if bins <= 1:
+        return df.withColumn(out, F.lit(0))
+    edges = materialize(percentiles(df, value, [i / bins for i in range(bins + 1)], [key], "__e").withColumn("__e", F.array_distinct("__e")), "edges")
+    inner = F.filter(F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0))), lambda e: e < F.col(value))
+    return df.join(bounded_broadcast(edges), key, "left").withColumn(out, F.when(F.size("__e") > 2, F.size(inner)).otherwise(0)).drop("__e")
 
 
-def calibrate_by_depth(df: DataFrame, null: DataFrame, parameters: str = "df", depth: str = "depth_bin", own: str = "test_id", key: str = "method", least: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(tests, null values), each with `calibrated`: p-values against those null values of the same degrees of freedom and depth that come from other tests.
+def calibrate_by_depth(df: DataFrame, null: DataFrame, bins: int = 1, depth: str = "depth", parameters: str = "df", own: str = "test_id", key: str = "method", least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(tests, null values), both with calibration_bin and calibrated: p-values against null values of the same degrees of freedom and depth from other tests.
 
-    Strata of df x depth are told by the null table: one with under `least` different
-    tests is pooled with the other small ones of its key, and a test of a stratum without null values joins
-    that pool too. The null values are calibrated the same way, each without its own test,
-    so that their distribution shows how the calibration behaves. Where no null value of
-    another test is left, the result is null.
+    Strata are degrees of freedom x quantile bin of the tests' depth; null values take the
+    bin of their test (0 if it isn't there). A stratum with under `least` tests is pooled
+    with the other small ones of its bin. The null values are calibrated alike, each
+    without those of its own test, which shows how the calibration behaves. Where no other null value is left the result is 1.
+    One row of df for each key and own.
     """
-    name = F.concat_ws("/", F.coalesce(F.col(parameters).cast("string"), F.lit("?")), F.coalesce(F.col(depth).cast("string"), F.lit("?")))
-    tests, nulls = df.withColumn("__s", name), null.withColumn("__s", name)
-    pools = materialize(pooled_strata(nulls, "__s", own, key, least), "pools")
-    join = lambda t: t.join(pools.withColumnRenamed(key, "__k"), (F.col("__k") == F.col(key)) & (t["__s"] == pools["__s"]), "left").drop("__k", "__s").withColumn("pooled", F.coalesce("pooled", F.lit("rare")))
-    tests, nulls = join(tests), materialize(join(nulls), "null-strata")
-    pick = lambda t: calibrate_pooled(t, nulls, "p_value", [key, "pooled"], own)
-    return pick(tests), pick(nulls)
+    tests = materialize(depth_bins(df, depth, bins, key), "binned")
+    nulls = null.join(tests.select(key, own, "calibration_bin"), [key, own], "left").withColumn("calibration_bin", F.coalesce("calibration_bin", F.lit(0)))
+    strata = [key, parameters, "calibration_bin"]
+    sizes = tests.groupBy(*strata).agg(F.count("*").alias("__size"))
+
+    sizes = materialize(sizes.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(strata)], "__size"), "strata")
+
+    def pooled(t: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for i, c in enumerate(strata):
+            same &= F.col(c).eqNullSafe(F.col(f"__{i}"))
+        told = F.when(F.col("__size") >= least, F.coalesce(F.col(parameters).cast("string"), F.lit("?"))).otherwise("rare")
+        return t.join(sizes, same, "left").withColumn("stratum", F.concat_ws(":", told, F.col("calibration_bin").cast("string"))).drop("__size", *[f"__{i}" for i in range(len(strata))])
+
+    nulls = materialize(pooled(nulls), "null-strata")
+    pick = lambda t: calibrate_pooled(t, nulls, "p_value", [key, "stratum"], own, least=0)
+    return pick(pooled(tests)), pick(nulls)
 
 
 def calibrate_exceedance(df: DataFrame, null: DataFrame, strata=("method", "stratum"), own: str = "test_id") -> DataFrame:
@@ -160,6 +173,20 @@ def permutation_pvalue(observed: DataFrame, null: DataFrame, tolerance: float =
     return joined.groupBy(*keys, "observed").agg(((1 + F.count(F.when(F.col("statistic") >= floor_, 1))) / (1 + F.count("statistic"))).alias("p_value"))
 
 
+def permutation_ranks(df: DataFrame, null: DataFrame, keys=("method", "test_id"), tolerance: float = 1e-6) -> DataFrame:
+    """df with permutation_p_value: (1 + the key's null statistics not below the row's, within a relative tolerance) / (n + 1).
+
+    Running counts over range partitions: rows and null statistics are not paired. Null
+    where the key has no null statistic or the row's is not finite.
+    """
+    x = F.col("statistic")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    rows = df.withColumn("__at", F.when(finite, x - tolerance * F.greatest(F.lit(1.0), F.abs(x))))
+    both = _null_counts(rows, null.where(finite).select(*keys, x.alias("__at")), list(keys), "__at", True, "__h", "__n").where("__null = 0")
+    value = F.when(F.col("__at").isNotNull() & (F.col("__n") > 0), (1 + F.col("__h")) / (1 + F.col("__n")))
+    return both.withColumn("permutation_p_value", value).drop("__null", "__h", "__n", "__at")
+
+
 def gated_fdr(df: DataFrame, null: DataFrame, lo: float, hi: float, bins=("depth_bin",), ties=()) -> DataFrame:
     """FDR for methods whose share of null p-values up to .05 lies within the limits, over all and in every bin; null for others."""
     hit = (F.col("p_value") <= 0.05).cast("double")
@@ -295,6 +322,45 @@ def compare_coverage(strict: DataFrame, permissive: DataFrame, level: float = 0.
     )
 
 
+def coverage_report(strict: DataFrame, permissive: DataFrame, level: float = 0.05, key: str = "test_id") -> DataFrame:
+    """One row on two runs of a method (key, p_value, fdr, statistic, converged), one test a row.
+
+    Tests, converged ones, nominal and FDR discoveries of each; tests of both; discoveries
+    of the permissive run when the FDR family is the shared, usable tests only;
+    discoveries of both and of one alone; rank correlations of p-values and statistics over tests with both p-values.
+    """
+    columns = ("p_value", "fdr", "statistic", "converged")
+    side = lambda t, n: t.select(key, F.lit(True).alias(f"in{n}"), *[F.col(c).alias(f"{c}{n}") for c in columns])
+    both = F.col("in1") & F.col("in2")
+    usable = lambda n: F.coalesce(F.col(f"converged{n}") & F.col(f"p_value{n}").isNotNull(), F.lit(False))
+    joined = side(strict, 1).join(side(permissive, 2), key, "full").withColumns({"both": F.coalesce(both, F.lit(False)), "paired": F.coalesce(both & F.col("p_value1").isNotNull() & F.col("p_value2").isNotNull(), F.lit(False))})
+    joined = bh(joined.withColumn("family", F.when(F.col("both") & usable(2), F.col("p_value2"))), "family", ties=[key], out="family_fdr")
+    ranked = materialize(joined, "coverage")
+    for name in ("p_value1", "p_value2", "statistic1", "statistic2"):
+        ranked = mid_ranks(ranked, name, ["paired"], f"rank_{name}")
+    n = lambda cond, name: F.count(F.when(cond, 1)).alias(name)
+    hit1, hit2 = F.coalesce(F.col("fdr1") <= level, F.lit(False)), F.coalesce(F.col("fdr2") <= level, F.lit(False))
+    of = lambda x: F.when(F.col("paired"), F.col(f"rank_{x}"))
+    return ranked.agg(
+        n(F.col("in1"), "strict_tests"), n(F.col("in2"), "permissive_tests"), n(F.col("both"), "shared_tests"), n(usable(1), "strict_converged"), n(usable(2), "permissive_converged"),
+        n(usable(1) & (F.col("p_value1") <= level), "strict_nominal"), n(usable(2) & (F.col("p_value2") <= level), "permissive_nominal"), n(hit1, "strict_fdr"), n(hit2, "permissive_fdr"),
+        n(F.col("family_fdr") <= level, "permissive_shared_family_fdr"), n(F.col("both") & hit1 & hit2, "significant_both"), n(F.col("both") & hit1 & ~hit2, "strict_only_shared"),
+        n(F.col("both") & hit2 & ~hit1, "permissive_only_shared"), n(~F.col("both") & hit2, "permissive_only_universe"),
+        F.corr(of("p_value1"), of("p_value2")).alias("p_value_spearman"), F.corr(of("statistic1"), of("statistic2")).alias("statistic_spearman"),
+    )
+
+
+def method_overlap(tables: DataFrame, methods: tuple[str, str, str], level: float = 0.05, key: str = "test_id") -> DataFrame:
+    """Rows (coverage, both, first_only, second_only, all_three): discoveries that the first two methods share, those of one of them alone, and those of all three.
+
+    tables has (coverage, method, key, fdr); a coverage without discoveries gives zeros.
+    """
+    hit = lambda m: F.bool_or((F.col("method") == m) & F.coalesce(F.col("fdr") <= level, F.lit(False)))
+    flags = tables.groupBy("coverage", key).agg(*[hit(m).alias(n) for m, n in zip(methods, "abc", strict=True)])
+    n = lambda cond, name: F.count(F.when(F.expr(cond), 1)).alias(name)
+    return flags.groupBy("coverage").agg(n("a AND b", "both"), n("a AND NOT b", "first_only"), n("b AND NOT a", "second_only"), n("a AND b AND c", "all_three"))
+
+
 def compare_runs(first: DataFrame, second: DataFrame, level: float = 0.05, key: str = "test_id", check: bool = True) -> DataFrame:
     """One row for a pair of runs (key, p_value, converged, seconds): joint convergence, differences, Jaccard index of calls, speed ratio."""
     if check:
@@ -351,6 +417,36 @@ def effective_counts(df: DataFrame) -> DataFrame:
     return df.withColumn("size", size).withColumn("n1", F.col("size") * F.col("p1")).withColumn("n2", F.col("size") * F.col("p2"))
 
 
+def effective_counts_ilr(df: DataFrame, proportions: str = "p", covariance: str = "cov", maximum: str = "umis") -> DataFrame:
+    """df with size, the multinomial size that fits an ILR covariance best, at most `maximum`, and counts, the size shared out by the proportions; any number of paths from two.
+
+    proportions is an array of k positive shares that add up to 1, covariance that of the
+    k - 1 coordinates in the Helmert basis, row by row in one array. A multinomial of size
+    n has the covariance U / n with U = B' diag(1/p) B; 1 / size is the least-squares factor
+    <U, C> / <U, U>. Column j of B is 1/s in rows 0..j and -(j+1)/s in row j+1, s = sqrt((j+1)(j+2)),
+    so U follows from running sums of 1/p. Shares or shapes that don't fit, and factors that aren't positive, give null.
+    """
+    k = F.size(proportions)
+    inverse = F.transform(proportions, lambda x: 1 / F.nullif(x, F.lit(0.0)))
+    upto = F.aggregate(inverse, F.array().cast("array<double>"), lambda out, x: F.concat(out, F.array(F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(0.0)) + x)))
+    scale = lambda j: F.sqrt((j + 1) * (j + 2).cast("double"))
+
+    def entry(i: Column, j: Column) -> Column:
+        low = F.least(i, j)
+        head, next_ = F.get("__upto", low), F.get("__inv", low + 1)
+        return (head + F.when(i == j, (low + 1) * (low + 1)).otherwise(-(low + 1)) * next_) / (scale(i) * scale(j))
+
+    steps = F.sequence(F.lit(0), k - 2)
+    unit = F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: entry(i, j))))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda t, a: t + a)
+    sums = F.aggregate(proportions, F.lit(0.0), lambda t, x: t + x)
+    fits = (k >= 2) & F.forall(proportions, lambda x: x > 0) & (F.abs(sums - 1) <= 1e-5) & (F.size(covariance) == (k - 1) * (k - 1))
+    with_unit = df.withColumn("__inv", inverse).withColumn("__upto", upto).withColumn("__unit", F.when(fits, unit))
+    factor = dot(F.col("__unit"), F.col(covariance)) / dot(F.col("__unit"), F.col("__unit"))
+    sized = with_unit.withColumn("__f", factor).withColumn("size", F.when((F.col("__f") > 0) & (F.col("__f") < float("inf")), F.least(1 / F.col("__f"), F.col(maximum).cast("double"))))
+    return sized.withColumn("counts", F.transform(proportions, lambda x: x * F.col("size"))).drop("__inv", "__upto", "__unit", "__f")
+
+
 def integerize(df: DataFrame, value: str = "x", keys=("sample",), order=("path",)) -> DataFrame:
     """Integers by largest remainder that keep each key's rounded total; ties go by order."""
     w = _over(*keys)
@@ -385,7 +481,7 @@ def weighted_wald(df: DataFrame, tau2: float) -> DataFrame:
 def null_summary(null: DataFrame, key: str = "method") -> DataFrame:
     """By method: share under .05, greatest distance to the uniform distribution, 5 % quantile."""
     ranges = Ranges(null.where("p_value IS NOT NULL").select(key, "p_value"), [key], ["p_value"])
-    ranked = with_counts(ranges, ranges.rows, F.lit(True), "r", "n")
+    ranked = ranges.counts(F.lit(True), "r", "n")
     gap = F.greatest(F.col("r") / F.nullif("n", F.lit(0)) - F.col("p_value"), F.col("p_value") - (F.col("r") - 1) / F.nullif("n", F.lit(0)))
     out = ranked.groupBy(key).agg(F.avg((F.col("p_value") < 0.05).cast("double")).alias("rejected"), F.max(gap).alias("ks"))
     return out.join(percentiles(null, "p_value", [0.05], [key]).select(key, F.col("quantiles")[0].alias("quantile_05")), key)
@@ -398,6 +494,46 @@ def power_summary(observed: DataFrame, null: DataFrame, keys=("method", "effect_
     return rows.join(percentiles(observed, "statistic", [0.5], keys).select(*keys, F.col("quantiles")[0].alias("median_statistic")), list(keys), "left")
 
 
+def _usable() -> Column:
+    p = F.col("p_value")
+    return F.coalesce(F.col("converged") & p.isNotNull() & ~F.isnan(p), F.lit(False))
+
+
+def observed_summary(observed: DataFrame, null: DataFrame, level: float = 0.05, ties=("test_id",)) -> DataFrame:
+    """By method: tests, converged, nominal discoveries, FDR discoveries, and both again with permutation p-values.
+
+    observed and null have (method, test_id, statistic, p_value, converged). The
+    permutation p-value ranks a statistic among the usable null ones of its test and
+    method; FDR families are the method's usable tests, and for permutation p-values those that have one.
+    """
+    ranked = permutation_ranks(observed, null.where(_usable())).withColumn("usable", _usable())
+    ranked = ranked.withColumn("ranked", F.col("usable") & F.col("permutation_p_value").isNotNull())
+    called = bh_eligible(ranked, eligible="usable", ties=ties)
+    called = bh_eligible(called, "permutation_p_value", eligible="ranked", ties=ties, out="permutation_fdr")
+    n = lambda cond, name: F.count(F.when(cond, 1)).alias(name)
+    return called.groupBy("method").agg(
+        F.count("*").alias("tests"), n(F.col("usable"), "converged"), n(F.col("usable") & (F.col("p_value") < level), "nominal"), n(F.col("fdr") <= level, "discoveries"),
+        n(F.col("ranked") & (F.col("permutation_p_value") <= level), "permutation_nominal"), n(F.col("permutation_fdr") <= level, "permutation_discoveries"),
+    )
+
+
+def null_fits(null: DataFrame) -> DataFrame:
+    """By method: null fits, converged ones, their share of p-values under .05 and 5 % quantile of p-values."""
+    main = null.withColumn("usable", _usable()).groupBy("method").agg(F.count("*").alias("fits"), F.count(F.when(F.col("usable"), 1)).alias("converged"), F.avg(F.when(F.col("usable"), (F.col("p_value") < 0.05).cast("double"))).alias("rejected"))
+    at = percentiles(null.where(_usable()), "p_value", [0.05], ["method"]).select("method", F.col("quantiles")[0].alias("quantile_05"))
+    return main.join(at, "method", "left")
+
+
+def power_report(power: DataFrame, null: DataFrame, level: float = 0.05) -> DataFrame:
+    """By method and effect size: fits, converged, power of the asymptotic p-value and of the permutation p-value among usable fits (null without any)."""
+    ranked = permutation_ranks(power, null.where(_usable())).withColumn("usable", _usable())
+    share = lambda cond, hit: F.avg(F.when(cond, hit.cast("double")))
+    return ranked.groupBy("method", "effect_size").agg(
+        F.count("*").alias("fits"), F.count(F.when(F.col("usable"), 1)).alias("converged"), share(F.col("usable"), F.col("p_value") < level).alias("asymptotic_power"),
+        share(F.col("usable") & F.col("permutation_p_value").isNotNull(), F.col("permutation_p_value") <= level).alias("calibrated_power"),
+    )
+
+
 def merge_shards_summary(shards: DataFrame, key: str = "method") -> DataFrame:
     """Shard rows (method, n, rate) as one rate weighted by n."""
     return shards.groupBy(key).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("rate")) / F.nullif(F.sum("n"), F.lit(0))).alias("rate"))

@@ -108,6 +108,79 @@ def p12(s, d):
     return r(S.calibrate_pooled(rows, _strata(nv(s, d)), "p_value", ["method", "stratum"], "test_id").select(*K, "calibrated"), "calibrated")
 
 
+def _by_depth(s, d):
+    """Tests, one a part and method, with the depth and degrees of freedom of their lines; every fiftieth has degrees of its own."""
+    own = F.when(F.col("test_id") % 50 == 0, F.col("test_id"))
+    tests = pv(s, d).groupBy("method", F.col("k3").alias("test_id")).agg(F.min("p_value").alias("p_value"), F.sum("k2").cast("double").alias("depth"), F.max("k2").cast("long").alias("m"))
+    nulls = nv(s, d).withColumn("df", F.coalesce(own, F.col("k2").cast("long") % 3)).select("method", "test_id", "p_value", "df", "k1", "k2", "k4")
+    return S.calibrate_by_depth(tests.withColumn("df", F.coalesce(own, F.col("m") % 3)), nulls, 4)
+
+
+def p12_depth(s, d):
+    return r(_by_depth(s, d)[0].select("method", "test_id", "calibration_bin", "stratum", "calibrated"), "calibrated")
+
+
+def p12_null(s, d):
+    rows = _by_depth(s, d)[1]
+    return r(rows.groupBy("method", "stratum").agg(F.count("*").alias("n"), F.avg("calibrated").alias("mean"), F.avg((F.col("calibrated") <= 0.05).cast("double")).alias("rejected")), "mean", "rejected")
+
+
+def _runs(s, d, method):
+    """One test a part: least p-value, a statistic, a flag."""
+    rows = pv(s, d).where(F.col("method") == method).groupBy(F.col("k3").alias("test_id")).agg(F.min("p_value").alias("p_value"), F.max((F.col("k1") * 17 + F.col("k3")) % 1000 / 100).alias("statistic"), (F.count("*") % 7 > 0).alias("converged"))
+    return S.bh_eligible(rows.withColumn("method", F.lit(method)), ties=["test_id"])
+
+
+def p29_report(s, d):
+    return r(S.coverage_report(_runs(s, d, "A"), _runs(s, d, "N"), 0.4), "p_value_spearman", "statistic_spearman")
+
+
+def p29_overlap(s, d):
+    rows = None
+    for method in "ANR":
+        part = _runs(s, d, method)
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.select("method", "test_id", "fdr").crossJoin(s.range(2).select(F.when(F.col("id") == 0, "strict").otherwise("permissive").alias("coverage"), (F.col("id") + 1).alias("x")))
+    return S.method_overlap(rows.withColumn("fdr", F.col("fdr") / F.col("x")), ("A", "N", "R"), 0.3)
+
+
+def p32_paths(s, d):
+    weights = F.array((F.col("k1") % 7 + 1).cast("double"), (F.col("k2") % 5 + 1).cast("double"), (F.col("k3") % 9 + 1).cast("double"))
+    total = F.aggregate("w", F.lit(0.0), lambda t, x: t + x)
+    x, y, z = (F.col("k1") % 17 + 1) / 40.0, (F.col("k4") % 5 - 2) / 100.0, (F.col("k3") % 13 + 1) / 40.0
+    rows = pv(s, d).select(*K, weights.alias("w")).withColumn("t", total).select(*K, F.transform("w", lambda v: v / F.col("t")).alias("p"), F.array(x, y, y, z).alias("cov"), (F.col("k3") % 60 + 5).alias("umis"))
+    out = S.effective_counts_ilr(rows)
+    return r(out.select(*K, "size", F.col("counts")[0].alias("n1"), F.col("counts")[2].alias("n3")), "size", "n1", "n3")
+
+
+def p32_two(s, d):
+    rows = pv(s, d).select(*K, F.array("p_value", 1 - F.col("p_value")).alias("p"), F.array((F.col("k1") % 17 + 1) / 40).alias("cov"), (F.col("k3") % 60 + 5).alias("umis"))
+    return r(S.effective_counts_ilr(rows).select(*K, "size", F.col("counts")[0].alias("n1"), F.col("counts")[1].alias("n2")), "size", "n1", "n2")
+
+
+def _fits(s, d):
+    """Observed, null and power fits by method and test."""
+    fit = lambda t: t.withColumn("converged", F.col("k1") % 11 > 0)
+    null = fit(nv(s, d))
+    seen = null.groupBy("method", "test_id").agg((F.max("statistic") * 0.9).alias("statistic"), F.min("p_value").alias("p_value"), (F.count("*") % 6 > 0).alias("converged"))
+    power = fit(pv(s, d)).select("method", F.col("k3").alias("test_id"), (F.col("k2") % 3).alias("effect_size"), ((F.col("k1") * 17 + F.col("k3")) % 1000 / 100).alias("statistic"), "p_value", "converged")
+    return seen, null, power
+
+
+def p37_observed(s, d):
+    seen, null, _ = _fits(s, d)
+    return S.observed_summary(seen, null, 0.2)
+
+
+def p37_null(s, d):
+    return r(S.null_fits(_fits(s, d)[1]), "rejected", "quantile_05")
+
+
+def p37_power(s, d):
+    _, null, power = _fits(s, d)
+    return r(S.power_report(power, null, 0.2), "asymptotic_power", "calibrated_power")
+
+
 def p13(s, d):
     rows = _strata(pv(s, d)).select("method", "stratum", F.col("k3").alias("test_id"), *K, ((F.col("k1") * 17 + F.col("k3")) % 1000 / 100).alias("statistic"))
     return r(S.calibrate_exceedance(rows, _strata(nv(s, d))).select(*K, "calibrated"), "calibrated")
@@ -314,6 +387,17 @@ PERM = lambda f, tol: f"pm AS (SELECT o.test_id, m * {f} AS observed, (1 + count
 TWO = "tw AS (SELECT k3 AS test_id, min(p_value) AS p, max(p_value) AS q FROM {pvals} GROUP BY k3), ta AS (SELECT test_id, p AS a FROM tw WHERE test_id % 3 > 0), tb AS (SELECT test_id, p * 0.5 + q * 0.01 AS b FROM tw WHERE test_id % 4 > 0)"
 MODEL = lambda mul: f"SELECT test_id, 40 AS n_samples, (z * {mul}) % 501 / 10.0 AS o, CAST(z * {mul} % 997 + 1 AS DOUBLE) / 998 AS p, z % {mul % 7 + 3} > 0 AS c, {mul % 3 + 1} AS k FROM (SELECT k3 AS test_id, CAST(sum(k1) AS BIGINT) AS z FROM {{pvals}} GROUP BY k3) q"
 
+#: Tests and null values of the depth-wise calibration with their strata.
+DEPTH = """t AS (SELECT method, k3 AS test_id, min(p_value) AS p_value, CAST(sum(k2) AS DOUBLE) AS depth, CASE WHEN k3 % 50 = 0 THEN k3 ELSE max(k2) % 3 END AS df FROM {pvals} GROUP BY method, k3),
+e AS (SELECT method, list_sort(list_distinct(quantile_cont(depth, [0, 0.25, 0.5, 0.75, 1]))) AS e FROM t GROUP BY method),
+b AS (SELECT t.*, CASE WHEN len(e) > 2 THEN len(list_filter(e[2:len(e) - 1], lambda v: v < depth)) ELSE 0 END AS bin FROM t JOIN e USING (method)),
+sz AS (SELECT method, df, bin, count(*) AS size FROM b GROUP BY ALL),
+ts AS (SELECT b.*, CASE WHEN size >= 20 THEN CAST(b.df AS VARCHAR) ELSE 'rare' END || ':' || bin AS s FROM b JOIN sz USING (method, df, bin)),
+nb AS (SELECT n.method, n.test_id, n.p_value, CASE WHEN n.test_id % 50 = 0 THEN n.test_id ELSE n.k2 % 3 END AS df, coalesce(b.bin, 0) AS bin FROM {null_pvals} n LEFT JOIN b ON b.method = n.method AND b.test_id = n.test_id),
+ns AS (SELECT nb.*, CASE WHEN coalesce(size, 0) >= 20 THEN CAST(nb.df AS VARCHAR) ELSE 'rare' END || ':' || nb.bin AS s FROM nb LEFT JOIN sz USING (method, df, bin))"""
+RUNS = f"""rr AS (SELECT method, k3 AS test_id, k3 AS k1, 0 AS k2, 0 AS k3, 0 AS k4, min(p_value) AS pmin, max((k1 * 17 + k3) % 1000 / CAST(100 AS DOUBLE)) AS statistic, count(*) % 7 > 0 AS converged FROM {{pvals}} GROUP BY method, k3),
+{fdr("rg", "(SELECT *, CASE WHEN converged THEN pmin END AS p_value FROM rr)")}, rf AS (SELECT * REPLACE (pmin AS p_value) FROM rg)"""
+FITS = "nl AS (SELECT *, k1 % 11 > 0 AS converged FROM {null_pvals})"
 CASES = {
     "p01_bh": (p01, f"WITH {fdr('b', '{pvals}')} SELECT k1, k2, k3, k4, round(fdr, 6) AS fdr FROM b"),
     "p02_bh_eligible": (p02, f"WITH m AS (SELECT * REPLACE (CASE WHEN converged THEN p_value END AS p_value) FROM {{pvals}}), {fdr('b', 'm')} SELECT k1, k2, k3, k4, round(fdr, 6) AS fdr FROM b"),
@@ -335,6 +419,11 @@ CASES = {
     "p12_calibrate_pooled": (p12, """WITH u AS (SELECT method, k1 % 5 AS st, k3 AS t, p_value, k1, k2, k3, k4, 0 AS z FROM {pvals} UNION ALL SELECT method, k1 % 5, test_id, p_value, NULL, NULL, NULL, NULL, 1 FROM {null_pvals}),
         c AS (SELECT *, sum(z) OVER (PARTITION BY method, st ORDER BY p_value RANGE UNBOUNDED PRECEDING) - sum(z) OVER (PARTITION BY method, st, t ORDER BY p_value RANGE UNBOUNDED PRECEDING) AS h, sum(z) OVER (PARTITION BY method, st) - sum(z) OVER (PARTITION BY method, st, t) AS n FROM u)
         SELECT k1, k2, k3, k4, round(CASE WHEN n >= 1 THEN (1 + h) / CAST(n + 1 AS DOUBLE) END, 6) AS calibrated FROM c WHERE z = 0"""),
+    "p12_calibrate_by_depth": (p12_depth, f"""WITH {DEPTH} SELECT method, test_id, bin AS calibration_bin, s AS stratum, round((1 + h) / CAST(1 + m AS DOUBLE), 6) AS calibrated FROM (
+        SELECT t.method, t.test_id, t.bin, t.s, count(*) FILTER (n.p_value <= t.p_value) AS h, count(n.p_value) AS m FROM ts t LEFT JOIN ns n ON n.method = t.method AND n.s = t.s AND n.test_id <> t.test_id GROUP BY ALL) x"""),
+    "p12_calibrate_by_depth_null": (p12_null, f"""WITH {DEPTH}, c AS (SELECT method, s, (1 + count(*) OVER (PARTITION BY method, s ORDER BY p_value RANGE UNBOUNDED PRECEDING) - count(*) OVER (PARTITION BY method, s, test_id ORDER BY p_value RANGE UNBOUNDED PRECEDING))
+            / CAST(1 + count(*) OVER (PARTITION BY method, s) - count(*) OVER (PARTITION BY method, s, test_id) AS DOUBLE) AS c FROM ns)
+        SELECT method, s AS stratum, count(*) AS n, round(avg(c), 6) AS mean, round(avg(CASE WHEN c <= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS rejected FROM c GROUP BY ALL"""),
     "p13_calibrate_exceedance": (p13, """WITH u AS (SELECT method, k1 % 5 AS st, k3 AS t, (k1 * 17 + k3) % 1000 / CAST(100 AS DOUBLE) AS x, k1, k2, k3, k4, 0 AS z FROM {pvals} UNION ALL SELECT method, k1 % 5, test_id, statistic, NULL, NULL, NULL, NULL, 1 FROM {null_pvals}),
         c AS (SELECT *, sum(z) OVER (PARTITION BY method, st ORDER BY x DESC RANGE UNBOUNDED PRECEDING) - sum(z) OVER (PARTITION BY method, st, t ORDER BY x DESC RANGE UNBOUNDED PRECEDING) AS h, sum(z) OVER (PARTITION BY method, st) - sum(z) OVER (PARTITION BY method, st, t) AS n FROM u)
         SELECT k1, k2, k3, k4, round(CASE WHEN n >= 2 THEN (1 + h) / CAST(n + 1 AS DOUBLE) END, 6) AS calibrated FROM c WHERE z = 0"""),
@@ -375,6 +464,16 @@ CASES = {
     "p29_compare_coverage": (p29, f"""WITH {TWO}, j AS (SELECT a, b, a IS NOT NULL AND b IS NOT NULL AS s FROM ta FULL JOIN tb USING (test_id)),
         x AS (SELECT *, rank() OVER (PARTITION BY s ORDER BY a) + count(*) OVER (PARTITION BY s, a) / 2.0 AS ra, rank() OVER (PARTITION BY s ORDER BY b) + count(*) OVER (PARTITION BY s, b) / 2.0 AS rb FROM j)
         SELECT count(a) AS strict, count(b) AS permissive, count(*) FILTER (s) AS shared, count(*) FILTER (a < 0.05) AS found_strict, count(*) FILTER (b < 0.05) AS found_permissive, count(*) FILTER (a < 0.05 AND b < 0.05) AS found_both, round(corr(ra, rb) FILTER (s), 6) AS spearman FROM x"""),
+    "p29_coverage_report": (p29_report, f"""WITH {RUNS}, j AS (SELECT a.test_id AS ta, b.test_id AS tb, a.test_id IS NOT NULL AND b.test_id IS NOT NULL AS s, coalesce(a.converged, false) AS c1, coalesce(b.converged, false) AS c2, a.p_value AS p1, b.p_value AS p2, a.fdr <= 0.4 AS h1, b.fdr <= 0.4 AS h2, a.statistic AS x1, b.statistic AS x2
+            FROM (SELECT * FROM rf WHERE method = 'A') a FULL JOIN (SELECT * FROM rf WHERE method = 'N') b ON a.test_id = b.test_id),
+        {fdr("fam", "(SELECT tb AS k1, 0 AS k2, 0 AS k3, 0 AS k4, p2 AS p_value, 1 AS method FROM j WHERE s AND c2)")},
+        k AS (SELECT x1, x2, p1, p2, rank() OVER (ORDER BY p1) + count(*) OVER (PARTITION BY p1) / 2.0 AS a1, rank() OVER (ORDER BY p2) + count(*) OVER (PARTITION BY p2) / 2.0 AS a2, rank() OVER (ORDER BY x1) + count(*) OVER (PARTITION BY x1) / 2.0 AS b1, rank() OVER (ORDER BY x2) + count(*) OVER (PARTITION BY x2) / 2.0 AS b2 FROM j WHERE s)
+        SELECT count(ta) AS strict_tests, count(tb) AS permissive_tests, count(*) FILTER (s) AS shared_tests, count(*) FILTER (c1) AS strict_converged, count(*) FILTER (c2) AS permissive_converged, count(*) FILTER (c1 AND p1 <= 0.4) AS strict_nominal, count(*) FILTER (c2 AND p2 <= 0.4) AS permissive_nominal,
+            count(*) FILTER (h1) AS strict_fdr, count(*) FILTER (h2) AS permissive_fdr, (SELECT count(*) FROM fam WHERE fdr <= 0.4) AS permissive_shared_family_fdr, count(*) FILTER (s AND h1 AND h2) AS significant_both, count(*) FILTER (s AND h1 AND NOT coalesce(h2, false)) AS strict_only_shared,
+            count(*) FILTER (s AND h2 AND NOT coalesce(h1, false)) AS permissive_only_shared, count(*) FILTER (NOT s AND h2) AS permissive_only_universe, (SELECT round(corr(a1, a2), 6) FROM k) AS p_value_spearman, (SELECT round(corr(b1, b2), 6) FROM k) AS statistic_spearman FROM j"""),
+    "p29_method_overlap": (p29_overlap, f"""WITH {RUNS}, x AS (SELECT CASE WHEN i = 1 THEN 'strict' ELSE 'permissive' END AS coverage, test_id, bool_or(method = 'A' AND coalesce(fdr / i <= 0.3, false)) AS a, bool_or(method = 'N' AND coalesce(fdr / i <= 0.3, false)) AS b, bool_or(method = 'R' AND coalesce(fdr / i <= 0.3, false)) AS c
+            FROM rf CROSS JOIN (SELECT unnest([1, 2]) AS i) q GROUP BY ALL)
+        SELECT coverage, count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS first_only, count(*) FILTER (b AND NOT a) AS second_only, count(*) FILTER (a AND b AND c) AS all_three FROM x GROUP BY coverage"""),
     "p30_compare_runs": (p30, f"""WITH {TWO}, j AS (SELECT a, b, test_id % 7 > 0 AND test_id % 5 > 0 AS c, test_id % 7 + 1 AS s1, test_id % 5 + 1 AS s2 FROM ta JOIN tb USING (test_id))
         SELECT count(*) AS tests, count(*) FILTER (c) AS converged, round(quantile_cont(abs(a - b), 0.5) FILTER (c), 6) AS median_diff, round(max(abs(a - b)) FILTER (c), 6) AS max_diff,
                round(count(*) FILTER (c AND a < 0.05 AND b < 0.05) / CAST(nullif(count(*) FILTER (c AND (a < 0.05 OR b < 0.05)), 0) AS DOUBLE), 6) AS jaccard, round(sum(s1) / CAST(sum(s2) AS DOUBLE), 6) AS speedup FROM j"""),
@@ -383,6 +482,12 @@ CASES = {
         SELECT f AS feature, count(*) AS n_subjects, 2 AS n_categories, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS statistic FROM d WHERE cat = 0 AND f IN (SELECT f FROM g) GROUP BY f"""),
     "p31_paired_logratio_hotelling": (p31_hotelling, None),
     "p32_effective_counts": (p32, "WITH x AS (SELECT *, least((1 / p_value + 1 / (1 - p_value)) / (2 * ((k1 % 17 + 1) / 40.0)), k3 % 60 + 5) AS z FROM {pvals}) SELECT k1, k2, k3, k4, round(z, 6) AS size, round(z * p_value, 6) AS n1, round(z * (1 - p_value), 6) AS n2 FROM x"),
+    "p32_effective_counts_two_paths": (p32_two, "WITH x AS (SELECT *, least((1 / p_value + 1 / (1 - p_value)) / (2 * ((k1 % 17 + 1) / 40.0)), k3 % 60 + 5) AS z FROM {pvals}) SELECT k1, k2, k3, k4, round(z, 6) AS size, round(z * p_value, 6) AS n1, round(z * (1 - p_value), 6) AS n2 FROM x"),
+    "p32_effective_counts_three_paths": (p32_paths, """WITH w AS (SELECT k1, k2, k3, k4, CAST(k1 % 7 + 1 AS DOUBLE) AS a, CAST(k2 % 5 + 1 AS DOUBLE) AS b, CAST(k3 % 9 + 1 AS DOUBLE) AS c, (k1 % 17 + 1) / CAST(40 AS DOUBLE) AS x, (k4 % 5 - 2) / CAST(100 AS DOUBLE) AS y, (k3 % 13 + 1) / CAST(40 AS DOUBLE) AS z FROM {pvals}),
+        p AS (SELECT *, a / (a + b + c) AS p1, b / (a + b + c) AS p2, c / (a + b + c) AS p3 FROM w),
+        u AS (SELECT *, (1 / p1 + 1 / p2) / 2 AS u11, (1 / p1 - 1 / p2) / sqrt(12) AS u12, (1 / p1 + 1 / p2 + 4 / p3) / 6 AS u22 FROM p),
+        f AS (SELECT *, (u11 * x + 2 * u12 * y + u22 * z) / (u11 * u11 + 2 * u12 * u12 + u22 * u22) AS f FROM u), n AS (SELECT *, CASE WHEN f > 0 THEN least(1 / f, k3 % 60 + 5) END AS n FROM f)
+        SELECT k1, k2, k3, k4, round(n, 6) AS size, round(n * p1, 6) AS n1, round(n * p3, 6) AS n3 FROM n"""),
     "p33_integerize": (p33, """WITH x AS (SELECT sample, tx_id AS path, num_reads * 7 % 64 / 16.0 AS x FROM {quant}), y AS (SELECT *, floor(x) AS f, row_number() OVER (PARTITION BY sample ORDER BY x - floor(x) DESC, path) AS rk, round_even(sum(x) OVER (PARTITION BY sample), 0) - sum(floor(x)) OVER (PARTITION BY sample) AS l FROM x)
         SELECT sample, path, CAST(f + CASE WHEN rk <= l THEN 1 ELSE 0 END AS BIGINT) AS count FROM y"""),
     "p34_multinomial_lrt": (p34, """WITH c AS (SELECT l_partkey % 50 AS f, l_returnflag AS l, l_linenumber % 3 AS k, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY f, l) AS r, sum(n) OVER (PARTITION BY f, k) AS q, sum(n) OVER (PARTITION BY f) AS t FROM c)
@@ -392,6 +497,16 @@ CASES = {
     "p36_null_summary": (p36, """WITH x AS (SELECT method, p_value AS p, row_number() OVER (PARTITION BY method ORDER BY p_value) AS r, count(*) OVER (PARTITION BY method) AS n FROM {null_pvals})
         SELECT method, round(avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS rejected, round(max(greatest(r / CAST(n AS DOUBLE) - p, p - (r - 1) / CAST(n AS DOUBLE))), 6) AS ks, round(quantile_cont(p, 0.05), 6) AS quantile_05 FROM x GROUP BY method"""),
     "p37_power_summary": (p37, f"WITH {OBS}, {PERM('0.95', '0')} SELECT 'm' AS method, test_id % 3 AS effect_size, count(*) AS tests, round(avg(CASE WHEN p_value <= 0.2 THEN 1.0 ELSE 0.0 END), 6) AS power, round(quantile_cont(observed, 0.5), 6) AS median_statistic FROM pm GROUP BY 2"),
+    "p37_observed_summary": (p37_observed, f"""WITH {FITS}, o AS (SELECT method, test_id, max(statistic) * 0.9 AS statistic, min(p_value) AS p_value, count(*) % 6 > 0 AS ok FROM nl GROUP BY ALL),
+        e AS (SELECT o.method, o.test_id AS k1, 0 AS k2, 0 AS k3, 0 AS k4, CASE WHEN ok THEN o.p_value END AS p_value, CASE WHEN ok AND count(n.statistic) > 0 THEN (1 + count(*) FILTER (n.statistic >= o.statistic - 1e-6 * greatest(1, abs(o.statistic)))) / CAST(1 + count(n.statistic) AS DOUBLE) END AS ranked FROM o LEFT JOIN nl n ON n.method = o.method AND n.test_id = o.test_id AND n.converged GROUP BY o.method, o.test_id, ok, o.p_value, o.statistic),
+        {fdr("f1", "e")}, {fdr("f2", "(SELECT * REPLACE (ranked AS p_value) FROM e)")}
+        SELECT method, count(*) AS tests, count(a.p_value) AS converged, count(*) FILTER (a.p_value < 0.2) AS nominal, count(*) FILTER (a.fdr <= 0.2) AS discoveries, count(*) FILTER (b.p_value <= 0.2) AS permutation_nominal, count(*) FILTER (b.fdr <= 0.2) AS permutation_discoveries
+        FROM (SELECT method, k1, p_value, fdr FROM f1) a JOIN (SELECT method, k1, p_value, fdr FROM f2) b USING (method, k1) GROUP BY method"""),
+    "p37_null_fits": (p37_null, f"WITH {FITS} SELECT method, count(*) AS fits, count(*) FILTER (converged) AS converged, round(avg(CASE WHEN p_value < 0.05 THEN 1.0 ELSE 0.0 END) FILTER (converged), 6) AS rejected, round(quantile_cont(p_value, 0.05) FILTER (converged), 6) AS quantile_05 FROM nl GROUP BY method"),
+    "p37_power_report": (p37_power, f"""WITH {FITS}, n AS (SELECT method, test_id, list(statistic) AS l FROM nl WHERE converged GROUP BY ALL),
+        w AS (SELECT p.method, k2 % 3 AS effect_size, p_value, k1 % 11 > 0 AS ok, (k1 * 17 + k3) % 1000 / CAST(100 AS DOUBLE) AS x, l FROM {{pvals}} p LEFT JOIN n ON n.method = p.method AND n.test_id = p.k3),
+        q AS (SELECT *, CASE WHEN l IS NOT NULL THEN (1 + len(list_filter(l, lambda v: v >= x - 1e-6 * greatest(1, abs(x))))) / CAST(1 + len(l) AS DOUBLE) END AS q FROM w)
+        SELECT method, effect_size, count(*) AS fits, count(*) FILTER (ok) AS converged, round(avg(CASE WHEN p_value < 0.2 THEN 1.0 ELSE 0.0 END) FILTER (ok), 6) AS asymptotic_power, round(avg(CASE WHEN q <= 0.2 THEN 1.0 ELSE 0.0 END) FILTER (ok AND q IS NOT NULL), 6) AS calibrated_power FROM q GROUP BY ALL"""),
     "p38_merge_shards_summary": (p38, "SELECT method, count(*) AS n, round(avg(CASE WHEN p_value < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM {null_pvals} GROUP BY method"),
     "p39_finite_summary": (p39, "SELECT method, count(*) AS n, round(avg(statistic), 6) AS mean, round(quantile_cont(statistic, 0.5), 6) AS median, round(quantile_cont(statistic, 0.1), 6) AS q10, round(quantile_cont(statistic, 0.9), 6) AS q90 FROM {null_pvals} WHERE k1 % 7 <> 0 AND k1 % 11 <> 0 GROUP BY method"),
     "p40_match_estimates": (p40, """WITH e AS (SELECT ec_id AS b, cell_id AS c, condition, subject, n FROM {cell_ec} JOIN {cell_meta} USING (cell_id) WHERE cell_id % 3 > 0 AND cell_id % 4 > 0), l AS (SELECT b, condition FROM e GROUP BY ALL HAVING count(DISTINCT subject) >= 5), g AS (SELECT b FROM l GROUP BY b HAVING count(*) >= 2)
