@@ -239,6 +239,25 @@ def robust_catalog(tables: list[DataFrame], key: str = "test_id", level: float =
     return out.distinct()
 
 
+def catalog_records(tables: list[DataFrame], primary: DataFrame, blocks: DataFrame, names: DataFrame | None = None, level: float = 0.05) -> DataFrame:
+    """What is known of the blocks that are significant in every table: place, event, results of the primary table.
+
+    tables and primary have (test_id, fdr, ...), test_id being a block's id; primary also statistic, p_value and
+    n_levels. blocks are splice_blocks() rows, names (gene_id, gene_name); a gene without a name keeps its id.
+    Rows (test_id, gene_id, gene_name, event, components, chrom, strand, left_anchor, right_anchor, n_paths, n_levels, statistic, p_value, fdr).
+    Only paths of blocks in the catalog are compared.
+    """
+    kept = blocks.join(robust_catalog(tables, level=level).select(F.col("test_id").alias("block_id")), "block_id", "left_semi")
+    kept = materialize(kept, "catalog-blocks")
+    paths = classify_event(block_paths(kept)).join(event_components(block_paths(kept)), "block_id").join(kept.select("block_id", "chrom").distinct(), "block_id")
+    known = paths.join(names, "gene_id", "left") if names is not None else paths.withColumn("gene_name", F.lit(None).cast("string"))
+    results = primary.select(F.col("test_id").alias("block_id"), "n_levels", "statistic", "p_value", "fdr")
+    return known.join(results, "block_id").select(
+        F.col("block_id").alias("test_id"), "gene_id", F.coalesce("gene_name", "gene_id").alias("gene_name"), "event", "components", "chrom", "strand", "left_anchor", "right_anchor",
+        F.size("paths").alias("n_paths"), "n_levels", "statistic", "p_value", "fdr",
+    )
+
+
 def block_equivalence(blocks: DataFrame) -> DataFrame:
     """Rows (block_id, representative): the first block of a gene that parts its transcripts alike."""
     paths = blocks.groupBy("gene_id", "block_id", "path_index").agg(F.array_sort(F.collect_set("tx_id")).alias("members"))

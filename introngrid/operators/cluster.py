@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from introngrid.functions.windows import islands, wide_islands
+from introngrid.graph import connected_components
 from introngrid.operators.annotation import dense_ids
-from introngrid.storage import materialize
+from introngrid.storage import bounded_broadcast, materialize
+
+#: Edges of a cluster that one task closes.
+LARGEST = 2_000_000
 
 
 def initial_clusters(introns: DataFrame) -> DataFrame:
@@ -37,16 +41,38 @@ def refine_links(introns: DataFrame, near_exons: DataFrame | None = None, mode:
 
     near_exons has rows (intron, exon). Nodes of the graph are introns and sites, so an
     edge list grows with the introns and not with pairs of them. No link leaves a cluster,
-    so each is closed where its edges meet, after one shuffle.
+    so each is closed where its edges meet, after one shuffle. Clusters of more than LARGEST edges
+    are closed by rounds of joins over all tasks instead; the rows are the same.
     """
     if mode == 1:
         return introns.withColumn("component", F.concat_ws("|", "cluster", F.min("intron").over(Window.partitionBy("cluster"))))
     edges = introns.select("cluster", "intron", F.explode(F.array(F.col("start").cast("string"), F.col("stop").cast("string"))).alias("site"))
     if mode == 3 and near_exons is not None:
         edges = edges.unionByName(introns.join(near_exons, "intron").select("cluster", "intron", F.col("exon").alias("site")))
+    per_intron = 2 if mode == 2 or near_exons is None else 4
+    sizes = introns.groupBy("cluster").count()
+    if sizes.where(F.col("count") > LARGEST // per_intron).limit(1).count():  # few: their edges alone are that many each
+        large = materialize(sizes.where(F.col("count") > LARGEST // per_intron).select("cluster"), "large-clusters")
+        far = _close_widely(materialize(edges.join(large, "cluster", "left_semi"), "large-edges"))
+        edges = edges.join(large, "cluster", "left_anti")
+    else:
+        far = None
     ordered = edges.repartition("cluster").sortWithinPartitions("cluster")
     labels = ordered.mapInPandas(_close, "cluster string, intron string, component string")
-    return introns.join(labels, ["cluster", "intron"])
+    return introns.join(labels if far is None else labels.unionByName(far), ["cluster", "intron"])
+
+
+def _close_widely(edges: DataFrame) -> DataFrame:
+    """_close() for clusters that no task can hold: nodes are numbered by range and components found over all tasks."""
+    node = lambda kind, name: F.struct("cluster", F.lit(kind).alias("kind"), F.col(name).alias("name"))
+    pairs = edges.select("cluster", "intron", node("i", "intron").alias("a"), node("s", "site").alias("b"))
+    ids = materialize(dense_ids(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", "id"), "node-ids")
+    of = lambda c: ids.select(F.col("node").alias(c), F.col("id").alias(f"{c}_id"))
+    numbered = materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("cluster", "intron", "a_id", "b_id"), "numbered-edges")
+    found = materialize(connected_components(numbered, "a_id", "b_id"), "large-components")
+    introns = numbered.select("cluster", "intron", F.col("a_id").alias("node")).distinct().join(found, "node")
+    least = introns.groupBy("cluster", "component").agg(F.min("intron").alias("least"))
+    return introns.join(least, ["cluster", "component"]).select("cluster", "intron", F.concat_ws("|", "cluster", "least").alias("component"))
 
 
 def _close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +165,8 @@ def psi(counts: DataFrame, keys=("cluster", "sample"), value: str = "value") ->
 
 def extend_clusters(clusters: DataFrame, counts: DataFrame) -> DataFrame:
     """Rows (intron, cluster, sample, value) of an existing clustering for new samples; what a sample lacks is 0."""
-    grid = clusters.select("intron", "cluster").crossJoin(F.broadcast(counts.select("sample").distinct()))
+    samples = bounded_broadcast(materialize(counts.select("sample").distinct(), "samples"))
+    grid = clusters.select("intron", "cluster").crossJoin(samples)
     return grid.join(counts, ["intron", "sample"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
 

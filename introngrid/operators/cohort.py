@@ -13,18 +13,48 @@ def _over(*keys):
     return Window.partitionBy(*keys)
 
 
+def _run(default: str) -> Column:
+    """What stands before the first colon of a cell id."""
+    return F.when(F.col("cell").contains(":"), F.substring_index("cell", ":", 1)).otherwise(default)
+
+
+def _barcode() -> Column:
+    return F.expr("substring(cell, instr(cell, ':') + 1)")
+
+
 def cell_metadata(cells: DataFrame, label: str = "label", check: bool = True) -> DataFrame:
     """Rows (run, barcode, cell_type, condition, subject) from cell ids run:barcode (or barcode, run *) and labels type__condition__subject.
 
     The label is split from the right, so a cell type keeps its own underscores.
     """
-    run = F.when(F.col("cell").contains(":"), F.substring_index("cell", ":", 1)).otherwise("*")
+    run = _run("*")
     tail = F.substring_index(label, "__", -2)
     rest = F.expr(f"substring({label}, 1, length({label}) - length(substring_index({label}, '__', -2)) - 2)")
-    out = cells.select(run.alias("run"), F.substring_index("cell", ":", -1).alias("barcode"), rest.alias("cell_type"), F.substring_index(tail, "__", 1).alias("condition"), F.substring_index(tail, "__", -1).alias("subject"))
+    out = cells.select(run.alias("run"), _barcode().alias("barcode"), rest.alias("cell_type"), F.substring_index(tail, "__", 1).alias("condition"), F.substring_index(tail, "__", -1).alias("subject"))
     return assert_unique(out, "run", "barcode") if check else out
 
 
+def join_cell_metadata(labels: DataFrame, conditions: DataFrame, subjects: DataFrame, default_run: str = "*", check: bool = True) -> DataFrame:
+    """Rows (run, barcode, cell_type, condition, subject) of the cells that all three tables (cell, value) name.
+
+    A cell twice in a table, or two cells that come to one run and barcode, are errors.
+    """
+    out = None
+    for table, name in ((labels, "cell_type"), (conditions, "condition"), (subjects, "subject")):
+        table = table.select("cell", F.col("value").alias(name))
+        if check:
+            assert_unique(table, "cell")
+        out = table if out is None else out.join(table, "cell")
+    out = out.select(_run(default_run).alias("run"), _barcode().alias("barcode"), "cell_type", "condition", "subject")
+    return assert_unique(out, "run", "barcode") if check else out
+
+
+def combined_groups(metadata: DataFrame) -> DataFrame:
+    """Rows (cell, grp) of cell metadata: run:barcode (the bare barcode for run *) and type__condition__subject."""
+    cell = F.when(F.col("run") == "*", F.col("barcode")).otherwise(F.concat_ws(":", "run", "barcode"))
+    return metadata.select(cell.alias("cell"), F.concat_ws("__", "cell_type", "condition", "subject").alias("grp"))
+
+
 def reference_labels(labels: DataFrame, batches: DataFrame, wells: DataFrame, check: bool = True) -> DataFrame:
     """Rows (cell, annotation, subject): labels (batch, well, annotation, subject) with the run of their batch and both barcodes of their well.
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from introngrid.functions.tiles import by_tiles, matrix
 from introngrid.operators import annotation as A
 from introngrid.operators import cluster as C
-from introngrid.schema import assert_no_conflict, assert_none, require_columns
+from introngrid.schema import assert_no_conflict, assert_none, assert_unique, require_columns
 from introngrid.storage import materialize, release
 
 
@@ -304,6 +309,91 @@ def merge_runs(counts: DataFrame, membership: DataFrame) -> DataFrame:
     return joined.groupBy(F.concat_ws(":", "run", F.col("cell_id").cast("string")).alias("cell"), "ec").agg(F.sum("n").alias("n"))
 
 
+class MergedRuns(NamedTuple):
+    """Tables of merged runs: features (tx, feature), classes (ec, txs), cells (cell, name), counts (cell, ec, n), probabilities (cell, ec, umi_rank, probs)."""
+
+    features: DataFrame
+    classes: DataFrame
+    cells: DataFrame
+    counts: DataFrame
+    probabilities: DataFrame
+
+
+def merge_quantifications(runs: DataFrame, features: DataFrame, membership: DataFrame, cells: DataFrame, counts: DataFrame, probabilities: DataFrame) -> MergedRuns:
+    """Runs in one numbering of transcripts, classes and cells, each from 0 in order of first appearance.
+
+    runs (run, ord) names the order; features (run, idx, feature); membership (run, ec_id,
+    pos, idx), pos the place in the class; cells (run, idx, barcode); counts (run, cell,
+    ec_id, n); probabilities (run, cell, ec_id, umi_rank, probs), probs by place in the
+    run's class. Classes are one where their sets of transcripts are. A merged class has its transcripts
+    in global order, so each run's probabilities are permuted from the run's own order. Numbers come from range partitions
+    (dense_ids), not from a table on the driver.
+
+    Errors: a repeated run or order, probabilities of another length than their class, or of no class.
+    """
+    assert_unique(runs, "run")
+    assert_unique(runs, "ord")
+    placed = F.broadcast(runs.select("run", "ord"))  # a list of inputs
+    named = features.join(placed, "run").select("run", F.col("idx").alias("fidx"), "feature", F.struct("ord", "idx").alias("place"))
+    first = named.groupBy("feature").agg(F.min("place").alias("place"))
+    tx = materialize(first.join(A.dense_ids(first, "place", "tx"), "place").select("feature", "tx"), "tx-ids")
+    local = named.join(tx, "feature").select("run", "fidx", "tx")
+    members = membership.join(local, (membership["run"] == local["run"]) & (membership["idx"] == local["fidx"])).select(membership["run"], "ec_id", "pos", "tx")
+    sets = members.groupBy("run", "ec_id").agg(F.array_sort(F.collect_list(F.struct("tx", "pos"))).alias("m"))
+    sets = materialize(sets.join(placed, "run").select("run", "ord", "ec_id", F.col("m.tx").alias("txs"), F.col("m.pos").alias("order")), "class-sets")
+    first = sets.groupBy("txs").agg(F.min(F.struct("ord", "ec_id")).alias("place"))
+    classes = materialize(first.join(A.dense_ids(first, "place", "ec"), "place").select("ec", "txs"), "classes")
+    told = materialize(sets.join(classes, "txs").select("run", "ec_id", "ec", "order"), "class-ids")
+    at = cells.join(placed, "run").select("run", F.col("idx").alias("cidx"), F.concat_ws(":", "run", "barcode").alias("name"), F.struct("ord", "idx").alias("place"))
+    at = materialize(at.join(A.dense_ids(at, "place", "cell"), "place").select("run", "cidx", "name", F.col("cell").alias("__cell")), "cells")
+
+    def moved(t: DataFrame) -> DataFrame:
+        t = t.withColumnRenamed("cell", "cidx").join(told, ["run", "ec_id"], "left")
+        return t.join(at.drop("name"), ["run", "cidx"]).withColumnRenamed("__cell", "cell")
+
+    probs = moved(probabilities)
+    assert_none(probs.where(F.col("ec").isNull() | (F.size("probs") != F.size("order"))), "probabilities don't fit their class")
+    ordered = F.transform("order", lambda p: F.get("probs", p.cast("int")))
+    summed = moved(counts).where("ec IS NOT NULL").groupBy("cell", "ec").agg(F.sum("n").alias("n"))
+    return MergedRuns(tx.select("tx", "feature"), classes, at.select(F.col("__cell").alias("cell"), "name"), summed, probs.select("cell", "ec", "umi_rank", ordered.alias("probs")))
+
+
+def quantification_report(cells: DataFrame, features: DataFrame, counts: DataFrame, membership: DataFrame, reference: DataFrame | None = None, pairs: DataFrame | None = None, prefixes=(), min_umis: float = 500, min_overlap: int = 1, max_total: float | None = None) -> DataFrame:
+    """One row on a merged quantification that passed its checks.
+
+    cells (cell_id) and features (feature) must be unique, counts (cell_id, ec_id, n) and
+    membership (ec_id, tx_id) not negative or empty, every expected prefix (what stands before the
+    first colon of a cell id) seen, the total at most max_total, at least one cell of
+    min_umis, min_overlap ids of reference (cell_id) known and one of pairs (first, second)
+    whole; whatever fails is an error.
+    """
+    assert_unique(cells, "cell_id")
+    assert_unique(features, "feature")
+    assert_none(counts.where("n < 0"), "negative counts")
+    seen = cells.where(F.col("cell_id").contains(":")).select(F.substring_index("cell_id", ":", 1).alias("prefix")).distinct()
+    missing = cells.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(prefixes)], "prefix string").join(seen, "prefix", "left_anti")
+    assert_none(missing, "expected prefixes of cells are missing")
+    totals = counts.groupBy("cell_id").agg(F.sum("n").alias("umis"))
+    n = lambda t, name: t.agg(F.count("*").alias(name))
+    row = n(cells, "cells").crossJoin(n(features, "features")).crossJoin(n(membership.select("ec_id").distinct(), "classes")).crossJoin(n(membership, "compatibilities"))
+    row = row.crossJoin(counts.agg(F.count(F.when(F.col("n") > 0, 1)).alias("nonzeros"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("molecules")))
+    row = row.crossJoin(totals.agg(F.count(F.when(F.col("umis") >= min_umis, 1)).alias("eligible"))).crossJoin(n(seen, "prefixes"))
+    row = row.crossJoin(n(reference.select("cell_id").distinct().join(cells, "cell_id", "left_semi"), "overlap")) if reference is not None else row.withColumn("overlap", F.lit(0).cast("long"))
+    if pairs is not None:
+        known = lambda t, c: t.join(cells.select(F.col("cell_id").alias(c)), c, "left_semi")
+        row = row.crossJoin(n(pairs, "pairs")).crossJoin(n(known(known(pairs, "first"), "second"), "complete"))
+    row = materialize(row, "report")
+    assert_none(row.where("nonzeros = 0 OR compatibilities = 0"), "the quantification is empty")
+    assert_none(row.where("eligible = 0"), f"no cell has at least {min_umis:g} UMIs")
+    if max_total is not None:
+        assert_none(row.where(F.col("molecules") > max_total), f"more than {max_total:g} molecules")
+    if reference is not None:
+        assert_none(row.where(F.col("overlap") < min_overlap), "too few reference ids are known")
+    if pairs is not None:
+        assert_none(row.where("complete = 0"), "no pair is whole")
+    return row
+
+
 def validate_quantification(counts: DataFrame, pairs: DataFrame, min_umis: int) -> DataFrame:
     """One row of checks: cells, classes, total, negative values, cells with enough UMIs, overlap with the pairs and complete pairs."""
     totals = counts.groupBy("cell_id").agg(F.sum("n").alias("umis"))
@@ -373,6 +463,23 @@ def ec_compatibility(a: DataFrame, b: DataFrame) -> DataFrame:
     return key(a).join(known, "key", "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def ec_weight_conflicts(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Rows (ec_id, kind) for a's classes: 'missing' in b, 'unique', 'repeated' (its set occurs several times with the same weights) or 'conflicting' (with others).
+
+    Both have (ec_id, tx_id), b also weight (null where a class has none). Weights are compared in
+    the order of transcripts with the first class that has any, by id; other lengths
+    conflict too. Classes without weights are passed over.
+    """
+    own = a.groupBy("ec_id").agg(key_of("tx_id").alias("key"))
+    listed = b.groupBy("ec_id").agg(key_of("tx_id").alias("key"), F.transform(F.array_sort(F.collect_list(F.struct("tx_id", "weight"))), lambda x: x["weight"]).alias("w"))
+    listed = listed.withColumn("w", F.when(F.exists("w", lambda x: x.isNotNull()), F.array_compact("w")))
+    first = listed.where("w IS NOT NULL").groupBy("key").agg(F.min_by("w", "ec_id").alias("w0"))
+    differs = (F.size("w") != F.size("w0")) | F.exists(F.zip_with("w", "w0", lambda x, y: F.abs(x - y) > tolerance), lambda x: F.coalesce(x, F.lit(False)))
+    known = listed.join(first, "key", "left").groupBy("key").agg(F.count("*").alias("c"), F.max(F.coalesce(differs & F.col("w").isNotNull(), F.lit(False))).alias("d"))
+    kind = F.when(F.col("c").isNull(), "missing").when(F.col("d"), "conflicting").when(F.col("c") == 1, "unique").otherwise("repeated")
+    return own.join(known, "key", "left").select("ec_id", kind.alias("kind"))
+
+
 # Q43-Q48: local estimates
 
 
@@ -380,17 +487,22 @@ def fisher_information(design: DataFrame, theta: DataFrame, totals: DataFrame) -
     """Rows (grp, tx_a, tx_b, info): information on log abundance, sum over classes of n * pa * pb less the outer product of means.
 
     design has (ec_id, tx_id, a), theta (grp, tx_id, theta), totals (grp, ec_id, n). pa is a
-    transcript's share of its class. The self join has (grp, ec_id) as key.
+    transcript's share of its class. A class's members are gathered once; the upper
+    triangle of its outer product is made where they lie and summed before it moves.
     """
-    part = design.join(theta, "tx_id").withColumn("q", F.col("a") * F.col("theta"))
-    part = part.withColumn("p", F.col("q") / F.nullif(F.sum("q").over(over("grp", "ec_id")), F.lit(0))).join(totals, ["grp", "ec_id"])
-    left = part.select("grp", "ec_id", F.col("tx_id").alias("tx_a"), F.col("p").alias("pa"), "n")
-    right = part.select("grp", "ec_id", F.col("tx_id").alias("tx_b"), F.col("p").alias("pb"))
-    cross = left.join(right, ["grp", "ec_id"]).groupBy("grp", "tx_a", "tx_b").agg(F.sum(F.col("n") * F.col("pa") * F.col("pb")).alias("s"))
+    part = design.join(theta, "tx_id").withColumn("q", F.col("a") * F.col("theta")).groupBy("grp", "ec_id").agg(F.array_sort(F.collect_list(F.struct("tx_id", "q"))).alias("m"), F.sum("q").alias("t"))
+    shares = F.transform("m", lambda x: F.struct(x["tx_id"].alias("tx"), (x["q"] / F.nullif("t", F.lit(0.0))).alias("p")))
+    part = materialize(part.join(totals, ["grp", "ec_id"]).select("grp", "n", shares.alias("m")), "class-shares")
+    upper = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 1, F.size("m")), lambda y: F.struct(x["tx"].alias("a"), y["tx"].alias("b"), (F.col("n") * x["p"] * y["p"]).alias("s"))))
+    cross = part.select("grp", F.explode(F.flatten(upper)).alias("x")).groupBy("grp", "x.a", "x.b").agg(F.sum("x.s").alias("s"))
+    cross = materialize(cross, "cross")
     norm = totals.groupBy("grp").agg(F.sum("n").alias("t"))
-    mean = part.groupBy("grp", "tx_id").agg(F.sum(F.col("n") * F.col("p")).alias("m")).join(norm, "grp").withColumn("m", F.col("m") / F.nullif("t", F.lit(0)))
-    out = cross.join(norm, "grp").join(mean.select("grp", F.col("tx_id").alias("tx_a"), F.col("m").alias("ma")), ["grp", "tx_a"]).join(mean.select("grp", F.col("tx_id").alias("tx_b"), F.col("m").alias("mb")), ["grp", "tx_b"])
-    return out.select("grp", "tx_a", "tx_b", (F.col("s") / F.nullif("t", F.lit(0)) - F.col("ma") * F.col("mb")).alias("info"))
+    mean = part.select("grp", "n", F.explode("m").alias("x")).groupBy("grp", "x.tx").agg(F.sum(F.col("n") * F.col("x.p")).alias("m")).join(norm, "grp").withColumn("m", F.col("m") / F.nullif("t", F.lit(0)))
+    mean = materialize(mean, "means")
+    both = cross.unionByName(cross.where("a <> b").select("grp", F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    of = lambda c, m: mean.select("grp", F.col("tx").alias(c), F.col("m").alias(m), *(["t"] if m == "ma" else []))
+    out = both.join(of("a", "ma"), ["grp", "a"]).join(of("b", "mb"), ["grp", "b"])
+    return out.select("grp", F.col("a").alias("tx_a"), F.col("b").alias("tx_b"), (F.col("s") / F.nullif("t", F.lit(0)) - F.col("ma") * F.col("mb")).alias("info"))
 
 
 def path_proportions(values: DataFrame, paths: DataFrame) -> DataFrame:
@@ -402,16 +514,38 @@ def path_proportions(values: DataFrame, paths: DataFrame) -> DataFrame:
 def decode_theta(cells: DataFrame, gene_left: DataFrame, tx_left: DataFrame, umis: DataFrame, clip: float = 30.0) -> DataFrame:
     """Rows (grp, tx_id, theta): softmax over genes times softmax over a gene's isoforms, averaged over a group's cells by UMIs.
 
-    cells has (cell_id, grp, right), gene_left (gene_id, left), tx_left (tx_id, gene_id, left); the loadings are broadcast
-    only if small, else joined by blocks of Spark's own choice.
+    cells has (cell_id, grp, right), gene_left (gene_id, left), tx_left (tx_id, gene_id,
+    left), umis (cell_id, umis). Cells and genes, each with its isoforms, meet in tiles, twice: for the cells'
+    sums over genes, one number a cell and tile, and for the groups' weighted sums, one
+    number for each group and isoform of a block. No row stands for a cell and gene.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    bound = lambda c: F.greatest(F.least(c, F.lit(clip)), F.lit(-clip))
-    g = cells.crossJoin(gene_left.withColumnRenamed("left", "gl")).withColumn("e", F.exp(bound(dot("right", "gl"))))
-    g = g.withColumn("pg", F.col("e") / F.nullif(F.sum("e").over(over("cell_id")), F.lit(0))).select("cell_id", "grp", "right", "gene_id", "pg")
-    t = g.join(tx_left.withColumnRenamed("left", "tl"), "gene_id").withColumn("e", F.exp(bound(dot("right", "tl"))))
-    t = t.withColumn("theta", F.col("pg") * F.col("e") / F.nullif(F.sum("e").over(over("cell_id", "gene_id")), F.lit(0))).join(umis, "cell_id")
-    return t.groupBy("grp", "tx_id").agg((F.sum(F.col("theta") * F.col("umis")) / F.nullif(F.sum("umis"), F.lit(0))).alias("theta"))
+    cell, grp, tx = (t.schema[c].dataType.simpleString() for t, c in ((cells, "cell_id"), (cells, "grp"), (tx_left, "tx_id")))
+    forms = tx_left.groupBy("gene_id").agg(F.collect_list("tx_id").alias("txs"), F.flatten(F.collect_list("left")).alias("lefts"))
+    genes = materialize(gene_left.select("gene_id", "left").join(forms, "gene_id", "left"), "genes")
+    exp = lambda x, y: np.exp(np.clip(x @ y.T, -clip, clip))
+
+    def sums(c: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cell_id": c["cell_id"], "z": exp(matrix(c["right"]), matrix(g["left"])).sum(1)})
+
+    def shares(c: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        g = g[g["txs"].notna()]
+        if not len(g):
+            return pd.DataFrame()
+        x, sizes = matrix(c["right"]), g["txs"].map(len).to_numpy()
+        by_gene = exp(x, matrix(g["left"])) / c["z"].to_numpy()[:, None]
+        e = exp(x, np.concatenate(g["lefts"].to_list()).astype(float).reshape(int(sizes.sum()), -1))
+        starts = np.cumsum(sizes) - sizes
+        theta = np.repeat(by_gene / np.add.reduceat(e, starts, axis=1), sizes, axis=1) * e
+        codes, names = pd.factorize(c["grp"], use_na_sentinel=False)
+        weighted = np.zeros((len(names), theta.shape[1]))
+        np.add.at(weighted, codes, theta * c["umis"].to_numpy(dtype=float)[:, None])
+        return pd.DataFrame({"grp": np.repeat(np.asarray(names, dtype=object), theta.shape[1]), "tx_id": np.tile(np.concatenate(g["txs"].to_list()), len(names)), "s": weighted.ravel()})
+
+    known = cells.join(umis, "cell_id").select("cell_id", "grp", "right", "umis")
+    z = by_tiles(known.select("cell_id", "right").dropDuplicates(["cell_id"]), genes.select("left"), sums, f"cell_id {cell}, z double").groupBy("cell_id").agg(F.sum("z").alias("z"))
+    summed = by_tiles(materialize(known.join(z, "cell_id"), "cell-sums"), genes, shares, f"grp {grp}, tx_id {tx}, s double", tile=256).groupBy("grp", "tx_id").agg(F.sum("s").alias("s"))
+    weight = known.groupBy("grp").agg(F.sum("umis").alias("u"))
+    return summed.join(weight, "grp").select("grp", "tx_id", (F.col("s") / F.nullif("u", F.lit(0))).alias("theta"))
 
 
 def collapse_to_paths(design: DataFrame, paths: DataFrame, weights: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from introngrid.functions.tiles import by_tiles, matrix
 from introngrid.schema import assert_no_conflict, assert_none, assert_unique
 from introngrid.storage import materialize
 
@@ -37,11 +38,22 @@ def gene_loadings(left: DataFrame, genes: DataFrame) -> DataFrame:
 def reconstruct_expression(cells: DataFrame, loadings: DataFrame, total: float = 10_000.0) -> DataFrame:
     """Rows (cell_id, gene_id, x): rectified products of cell factors (right) and gene loadings (left), scaled to `total` a cell, log1p.
 
-    Every cell meets every gene by definition; the gene side is a loading table of a
-    genome's size and Spark picks its side of the product.
+    The product is made in tiles, twice: first for the cells' sums, of which a task hands on
+    one number for each cell, then for the values, which are the result's rows. A cell whose sum is 0 has zeros.
     """
-    rows = cells.crossJoin(loadings).select("cell_id", "gene_id", F.greatest(dot("right", "left"), F.lit(0.0)).alias("x"))
-    return rows.withColumn("x", F.log1p(F.coalesce(F.col("x") * total / F.nullif(F.sum("x").over(_over("cell_id")), F.lit(0.0)), F.lit(0.0))))
+    cell, gene = cells.schema["cell_id"].dataType.simpleString(), loadings.schema["gene_id"].dataType.simpleString()
+
+    def sums(c: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cell_id": c["cell_id"], "s": np.maximum(matrix(c["right"]) @ matrix(g["left"]).T, 0).sum(1)})
+
+    def values(c: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        x, whole = np.maximum(matrix(c["right"]) @ matrix(g["left"]).T, 0), c["s"].to_numpy()[:, None]
+        x = np.log1p(np.divide(x * total, whole, out=np.zeros_like(x), where=whole > 0))
+        return pd.DataFrame({"cell_id": np.repeat(c["cell_id"].to_numpy(), len(g)), "gene_id": np.tile(g["gene_id"].to_numpy(), len(c)), "x": x.ravel()})
+
+    cells, loadings = cells.select("cell_id", "right"), loadings.select("gene_id", "left")
+    whole = by_tiles(cells, loadings, sums, f"cell_id {cell}, s double").groupBy("cell_id").agg(F.sum("s").alias("s"))
+    return by_tiles(materialize(cells.join(whole, "cell_id"), "cell-sums"), loadings, values, f"cell_id {cell}, gene_id {gene}, x double")
 
 
 def gene_moments(rows: DataFrame) -> DataFrame:
@@ -144,6 +156,11 @@ def score_labels(cells: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
     return label_metrics(told)
 
 
+def score_summary(folds: DataFrame, names=("accuracy", "balanced_accuracy", "macro_f1")) -> DataFrame:
+    """One row: number of folds, and mean and sample standard deviation of each score over them (null with one fold)."""
+    return folds.agg(F.count("*").alias("folds"), *[f(n).alias(f"{n}_{k}") for n in names for k, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+
+
 def kmeans_clusters(cells: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Rows (cell_id, cluster) of k-means on the factors."""
     from pyspark.ml.clustering import KMeans

@@ -94,6 +94,16 @@ def g16(s, d):
     return A.robust_catalog([p.where(F.col("method") == m) for m in ("A", "N", "R")], level=0.3)
 
 
+def g16_records(s, d):
+    blocks = A.splice_blocks(exons(s, d))
+    number = F.regexp_extract("block_id", r"^g(\d+):", 1).cast("long") * 7 + F.regexp_extract("block_id", r":B(\d+)$", 1).cast("long")
+    results = blocks.select(F.col("block_id").alias("test_id"), number.alias("z")).distinct()
+    table = lambda m: results.select("test_id", ((F.col("z") % m) / m).alias("fdr"), (F.col("z") % 50 / 10).alias("statistic"), (F.col("z") % 31 / 31).alias("p_value"), (F.col("z") % 3 + 2).alias("n_levels"))
+    names = exons(s, d).select("gene_id").distinct().where("substr(gene_id, -1) <> '3'").select("gene_id", F.concat(F.lit("N"), "gene_id").alias("gene_name"))
+    out = A.catalog_records([table(5), table(7)], table(5), blocks, names, 0.5)
+    return out.withColumns({"left_anchor": F.col("left_anchor.start"), "right_anchor": F.col("right_anchor.start"), "statistic": F.round("statistic", 6), "p_value": F.round("p_value", 6), "fdr": F.round("fdr", 6)})
+
+
 def g17(s, d):
     return A.block_equivalence(A.splice_blocks(exons(s, d))).select("block_id", "representative")
 
@@ -251,6 +261,12 @@ CASES = {
     "g14_event_components": (g14, f"WITH {EVENTS} SELECT block_id, coalesce(string_agg(DISTINCT CASE WHEN kind <> 'complex internal' THEN kind END, ',' ORDER BY CASE WHEN kind <> 'complex internal' THEN kind END), '') AS components FROM kind GROUP BY block_id"),
     "g15_event_type_summary": (g15, f"WITH {EVENTS} SELECT event, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM event GROUP BY event"),
     "g16_robust_catalog": (g16, "SELECT k3 AS test_id FROM {pvals} WHERE method = 'A' AND p_value < 0.3 INTERSECT SELECT k3 FROM {pvals} WHERE method = 'N' AND p_value < 0.3 INTERSECT SELECT k3 FROM {pvals} WHERE method = 'R' AND p_value < 0.3"),
+    "g16_catalog_records": (g16_records, f"""WITH {EVENTS}, z AS (SELECT DISTINCT block_id, gene_id, strand, ls, rs, CAST(regexp_extract(block_id, '^g([0-9]+):', 1) AS BIGINT) * 7 + CAST(regexp_extract(block_id, ':B([0-9]+)$', 1) AS BIGINT) AS z FROM blocks),
+        cm AS (SELECT block_id, coalesce(string_agg(DISTINCT CASE WHEN kind <> 'complex internal' THEN kind END, ',' ORDER BY CASE WHEN kind <> 'complex internal' THEN kind END), '') AS components FROM kind GROUP BY block_id),
+        st AS (SELECT b.block_id, max(anc.start) FILTER (anc.stop = b.b0) AS la FROM (SELECT DISTINCT block_id, gene_id, b0, ls FROM blocks) b LEFT JOIN anc ON anc.gene_id = b.gene_id AND b.ls IS NOT NULL GROUP BY b.block_id)
+        SELECT z.block_id AS test_id, z.gene_id, CASE WHEN substr(z.gene_id, -1) <> '3' THEN 'N' || z.gene_id ELSE z.gene_id END AS gene_name, event, components, c.chrom, z.strand, la AS left_anchor, rs AS right_anchor, n_paths, z % 3 + 2 AS n_levels,
+            round(z % 50 / CAST(10 AS DOUBLE), 6) AS statistic, round(z % 31 / CAST(31 AS DOUBLE), 6) AS p_value, round(z % 5 / CAST(5 AS DOUBLE), 6) AS fdr
+        FROM z JOIN event e USING (block_id) JOIN cm USING (block_id) JOIN st USING (block_id) JOIN (SELECT DISTINCT gene_id, chrom FROM m) c ON c.gene_id = z.gene_id WHERE z % 5 < 2.5 AND z % 7 < 3.5"""),
     "g17_block_equivalence": (g17, f"WITH {EQUIV} SELECT block_id, representative FROM rep"),
     "g18_collapse_equivalent": (g18, f"""WITH {EQUIV}, c AS (SELECT block_id, count(*) AS n_tx, unnest([0, 1, 2]) AS cell_type FROM blocks GROUP BY block_id),
         r AS (SELECT representative, cell_type, n_tx, row_number() OVER (PARTITION BY representative, cell_type ORDER BY block_id) AS rn FROM c JOIN rep USING (block_id))

@@ -31,6 +31,13 @@ def d01(s, d):
     return D.cell_metadata(meta(s, d).select(cell.alias("cell"), F.concat_ws("__", F.concat(F.lit("EX_"), "cell_type"), "condition", "subject").alias("label")))
 
 
+def d01_join(s, d):
+    cell = F.when(F.col("cell_id") % 2 == 0, F.concat(F.lit("run1:x:"), F.col("cell_id").cast("string"))).otherwise(F.col("cell_id").cast("string"))
+    one = lambda c, k: meta(s, d).where(f"cell_id % {k} > 0").select(cell.alias("cell"), F.col(c).alias("value"))
+    rows = D.join_cell_metadata(one("cell_type", 7), one("condition", 5), one("subject", 11), "any")
+    return rows.join(D.combined_groups(rows).withColumnRenamed("cell", "full"), F.concat_ws(":", "run", "barcode") == F.col("full")).drop("full")
+
+
 def d02(s, d):
     labels = meta(s, d).select((F.col("cell_id") % 3).alias("batch"), (F.col("cell_id") % 8).alias("well"), F.col("cell_type").alias("annotation"), F.lit("s").alias("subject"))
     batches = s.range(3).select(F.col("id").alias("batch"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("run"))
@@ -142,6 +149,8 @@ pl AS (SELECT 'condition__' || a.cell_type || '__' || a.condition || '__' || b.c
 
 CASES = {
     "d01_cell_metadata": (d01, "SELECT CASE WHEN cell_id % 2 = 0 THEN 'run1' ELSE '*' END AS run, CAST(cell_id AS VARCHAR) AS barcode, 'EX_' || cell_type AS cell_type, condition, subject FROM {cell_meta}"),
+    "d01_join_cell_metadata": (d01_join, """SELECT CASE WHEN cell_id % 2 = 0 THEN 'run1' ELSE 'any' END AS run, CASE WHEN cell_id % 2 = 0 THEN 'x:' ELSE '' END || cell_id AS barcode, cell_type, condition, subject, cell_type || '__' || condition || '__' || subject AS grp
+        FROM {cell_meta} WHERE cell_id % 7 > 0 AND cell_id % 5 > 0 AND cell_id % 11 > 0"""),
     "d02_reference_labels": (d02, "WITH x AS (SELECT 'r' || (cell_id % 3) || ':' || (cell_id % 8 * 2) AS cell, cell_type FROM {cell_meta} UNION ALL SELECT 'r' || (cell_id % 3) || ':' || (cell_id % 8 * 2 + 1), cell_type FROM {cell_meta}) SELECT cell, min(cell_type) AS annotation, 's' AS subject FROM x GROUP BY cell"),
     "d03_sample_table": (d03, f"WITH {SM} SELECT * FROM sm"),
     "d04_pseudobulk_junctions": (d04, f"""WITH {GROUPS}, jc AS (SELECT 'run' || (ord % 2) AS run, CAST(regexp_extract(tx_id, '([0-9]+)$', 1) AS BIGINT) % 200 AS bc, chrom || ':' || start || ':' || stop || ':' || strand AS junction_id FROM kept)

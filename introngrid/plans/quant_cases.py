@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from introngrid.operators import annotation as A
@@ -38,8 +39,6 @@ def tx_genes(s, d):
 
 
 def placed(s, d):
-    from pyspark.sql import Window
-
     return view(s, d, "ec_tx").withColumn("pos", (F.row_number().over(Window.partitionBy("ec_id").orderBy("tx_id")) - 1).cast("long"))
 
 
@@ -254,6 +253,47 @@ def q36(s, d):
     return Q.validate_quantification(cell_ec(s, d), _halves(s, d), 40)
 
 
+def _two_runs(s, d):
+    """Run b lists its transcripts from the last, run a from the first and without every fifth: classes and probabilities must be put in one order."""
+    runs = s.range(2).select(F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") + 1).cast("int")).alias("run"), F.col("id").alias("ord"))
+    tx = view(s, d, "ec_tx").select("tx_id").distinct()
+    order = lambda t, run, by: A.dense_ids(t.select(by.alias("k")), "k", "idx").select(F.lit(run).alias("run"), "idx", F.concat(F.lit("t"), F.abs("k").cast("string")).alias("feature"), F.abs("k").alias("tx_id"))
+    features = order(tx.where("tx_id % 5 > 0"), "a", F.col("tx_id")).unionByName(order(tx, "b", -F.col("tx_id")))
+    inside = Window.partitionBy("run", "ec_id").orderBy("idx")
+    members = view(s, d, "ec_tx").join(features, "tx_id").withColumn("pos", F.row_number().over(inside) - 1)
+    whole = members.withColumn("size", F.count("*").over(Window.partitionBy("run", "ec_id")))
+    at = F.when(F.col("cell_id") % 2 == 0, "a").otherwise("b")
+    ec = cell_ec(s, d).withColumn("run", at)
+    cells = ec.select("run", F.col("cell_id").alias("idx"), F.concat(F.lit("c"), F.col("cell_id").cast("string")).alias("barcode")).distinct()
+    counts = ec.join(members.select("run", "ec_id").distinct(), ["run", "ec_id"]).select("run", F.col("cell_id").alias("cell"), "ec_id", "n")
+    sized = whole.select("run", "ec_id", "size").distinct()
+    probs = counts.join(sized, ["run", "ec_id"]).select("run", "cell", "ec_id", F.lit(0).alias("umi_rank"), F.transform(F.sequence(F.lit(0), (F.col("size") - 1).cast("int")), lambda i: ((F.col("cell") * 13 + F.col("ec_id") * 7 + i * 5) % 10 + 1) / 10.0).alias("probs"))
+    return Q.merge_quantifications(runs, features.select("run", "idx", "feature"), members.select("run", "ec_id", "pos", "idx"), cells, counts, probs)
+
+
+def q35_counts(s, d):
+    out = _two_runs(s, d)
+    return out.counts.join(out.cells, "cell").join(out.classes, "ec").select("cell", "name", "ec", "n", F.array_join("txs", ",").alias("txs"))
+
+
+def q35_probabilities(s, d):
+    return _two_runs(s, d).probabilities.select("cell", "ec", F.array_join(F.transform("probs", lambda p: F.round(p * 10).cast("int").cast("string")), ",").alias("tenths"))
+
+
+def q35_features(s, d):
+    return _two_runs(s, d).features
+
+
+def q36_report(s, d):
+    cells = cell_ec(s, d).select("cell_id").distinct()
+    name = lambda c: F.when(F.col(c) % 3 > 0, F.concat_ws(":", F.concat(F.lit("r"), (F.col(c) % 3).cast("string")), F.col(c).cast("string"))).otherwise(F.col(c).cast("string"))
+    counts = cell_ec(s, d).withColumn("cell_id", name("cell_id"))
+    members = view(s, d, "ec_tx")
+    reference = view(s, d, "cell_meta").where("cell_id % 4 > 0").select(name("cell_id").alias("cell_id"))
+    pairs = _halves(s, d).select(name("first").alias("first"), name("second").alias("second"))
+    return Q.quantification_report(cells.select(name("cell_id").alias("cell_id")), members.select(F.col("tx_id").alias("feature")).distinct(), counts, members, reference, pairs, ["r1", "r2"], 40, 10)
+
+
 def q37(s, d):
     runs = quant(s, d).groupBy("sample").agg(F.sum("num_reads").alias("mapped"), (F.sum("num_reads") + F.sum("tpm")).alias("processed"))
     return r6(Q.summarize_runs(runs), "min_rate", "max_rate")
@@ -298,6 +338,14 @@ def q42(s, d):
     return Q.ec_compatibility(view(s, d, "ec_tx"), b)
 
 
+def q42_conflicts(s, d):
+    """b repeats a third of the classes, half of these with the same weights, and lacks another third."""
+    weight = (F.col("tx_id") % 7 + 1) / 8.0
+    a = view(s, d, "ec_tx").withColumn("weight", F.when(F.col("ec_id") % 4 > 0, weight))
+    again = a.where("ec_id % 3 = 1").withColumn("weight", F.when(F.col("ec_id") % 5 < 3, weight).otherwise(weight + F.when(F.col("tx_id") % 2 == 0, 0.25).otherwise(0.0))).withColumn("ec_id", F.col("ec_id") + 100)
+    return Q.ec_weight_conflicts(view(s, d, "ec_tx"), a.where("ec_id % 3 > 0").unionByName(again))
+
+
 def _theta(s, d):
     return _samples(s, d).select(F.col("sample").alias("grp"), "ec_id", "n"), _lengths(s, d).select("tx_id", ((F.col("tx_id") % 5 + 1).cast("double") / 50).alias("theta"))
 
@@ -350,6 +398,14 @@ EM = f"""{SAMPLES}, {LEN}, dsg AS (SELECT ec_id, tx_id, CASE WHEN length > 300 T
     grid AS (SELECT s.sample, e.ec_id, coalesce(sm.n, 0) + 1e-7 AS n FROM (SELECT DISTINCT ec_id FROM dsg) e CROSS JOIN (SELECT DISTINCT sample FROM sm) s LEFT JOIN sm ON sm.sample = s.sample AND sm.ec_id = e.ec_id),
     e0 AS (SELECT s.sample, ln.tx_id, 1.0 / (SELECT count(*) FROM ln) AS alpha FROM ln CROSS JOIN (SELECT DISTINCT sample FROM sm) s), {_EM.format(i=1, j=0)}, {_EM.format(i=2, j=1)}, {_EM.format(i=3, j=2)}"""
 
+#: Both runs' transcripts, classes and cells in one numbering, in order of first appearance.
+MERGED = """f AS (SELECT 0 AS ord, tx_id, row_number() OVER (ORDER BY tx_id) - 1 AS idx FROM (SELECT DISTINCT tx_id FROM {ec_tx} WHERE tx_id % 5 > 0) x UNION ALL SELECT 1, tx_id, row_number() OVER (ORDER BY tx_id DESC) - 1 FROM (SELECT DISTINCT tx_id FROM {ec_tx}) x),
+gf AS (SELECT tx_id, row_number() OVER (ORDER BY o, i) - 1 AS gid FROM (SELECT tx_id, min(ord) AS o, arg_min(idx, ord) AS i FROM f GROUP BY tx_id) x),
+mb AS (SELECT ord, ec_id, gid, row_number() OVER (PARTITION BY ord, ec_id ORDER BY idx) - 1 AS pos FROM {ec_tx} JOIN f USING (tx_id) JOIN gf USING (tx_id)),
+cl AS (SELECT ord, ec_id, list(gid ORDER BY gid) AS key, list(pos ORDER BY gid) AS perm FROM mb GROUP BY ALL),
+ge AS (SELECT key, row_number() OVER (ORDER BY o, e) - 1 AS ec FROM (SELECT key, min(ord) AS o, min(ec_id) FILTER (ord = lo) AS e FROM (SELECT *, min(ord) OVER (PARTITION BY key) AS lo FROM cl) x GROUP BY key) y),
+cl2 AS (SELECT cl.*, ec FROM cl JOIN ge USING (key)),
+ce AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id % 2, cell_id) - 1 AS cell, CASE WHEN cell_id % 2 = 0 THEN 'a' ELSE 'b' END || ':c' || cell_id AS name FROM (SELECT DISTINCT cell_id FROM {cell_ec}) x)"""
 CASES = {
     "q01_normalize_junction": (q01, "SELECT sample, tx_id, round(CAST(num_reads AS DOUBLE) * 196 / effective_length, 6) AS value FROM {quant} WHERE tpm > 0"),
     "q02_normalize_global": (q02, "SELECT sample, tx_id, round(tpm * CAST(sum(num_reads) OVER (PARTITION BY sample) AS DOUBLE) / sum(tpm) OVER (PARTITION BY sample), 6) AS value FROM {quant}"),
@@ -401,6 +457,12 @@ CASES = {
     "q36_validate_quantification": (q36, f"""WITH {PAIRS}, {TOTALS}, h AS (SELECT first AS half FROM pr UNION SELECT second FROM pr) SELECT count(DISTINCT cell_id) AS cells, count(DISTINCT ec_id) AS classes, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n < 0) AS negative,
         (SELECT count(*) FROM ct WHERE umis >= 40) AS eligible, (SELECT count(*) FROM ct WHERE cell_id IN (SELECT half FROM h)) AS overlap,
         (SELECT count(*) FROM pr JOIN ct a ON a.cell_id = first JOIN ct b ON b.cell_id = second WHERE a.umis >= 40 AND b.umis >= 40) AS complete FROM {{cell_ec}}"""),
+    "q35_merged_features": (q35_features, f"WITH {MERGED} SELECT gid AS tx, 't' || tx_id AS feature FROM gf"),
+    "q35_merged_counts": (q35_counts, f"WITH {MERGED} SELECT ce.cell, ce.name, cl2.ec, CAST(sum(n) AS BIGINT) AS n, array_to_string(key, ',') AS txs FROM {{cell_ec}} x JOIN ce USING (cell_id) JOIN cl2 ON cl2.ord = cell_id % 2 AND cl2.ec_id = x.ec_id GROUP BY ALL"),
+    "q35_merged_probabilities": (q35_probabilities, f"WITH {MERGED} SELECT ce.cell, cl2.ec, array_to_string(list_transform(perm, lambda p: (cell_id * 13 + x.ec_id * 7 + p * 5) % 10 + 1), ',') AS tenths FROM {{cell_ec}} x JOIN ce USING (cell_id) JOIN cl2 ON cl2.ord = cell_id % 2 AND cl2.ec_id = x.ec_id"),
+    "q36_quantification_report": (q36_report, f"""WITH {PAIRS}, {TOTALS}, k AS (SELECT DISTINCT cell_id FROM {{cell_ec}}) SELECT (SELECT count(*) FROM k) AS cells, (SELECT count(DISTINCT tx_id) FROM {{ec_tx}}) AS features, (SELECT count(DISTINCT ec_id) FROM {{ec_tx}}) AS classes, (SELECT count(*) FROM {{ec_tx}}) AS compatibilities,
+        count(*) FILTER (n > 0) AS nonzeros, CAST(sum(n) AS DOUBLE) AS molecules, (SELECT count(*) FROM ct WHERE umis >= 40) AS eligible, (SELECT count(DISTINCT cell_id % 3) FROM k WHERE cell_id % 3 > 0) AS prefixes,
+        (SELECT count(*) FROM {{cell_meta}} WHERE cell_id % 4 > 0 AND cell_id IN (SELECT cell_id FROM k)) AS overlap, (SELECT count(*) FROM pr) AS pairs, (SELECT count(*) FROM pr WHERE first IN (SELECT cell_id FROM k) AND second IN (SELECT cell_id FROM k)) AS complete FROM {{cell_ec}}"""),
     "q37_summarize_runs": (q37, "WITH r AS (SELECT sample, sum(num_reads) AS m, sum(num_reads) + sum(tpm) AS p FROM {quant} GROUP BY sample) SELECT count(*) AS runs, CAST(sum(p) AS BIGINT) AS processed, CAST(sum(m) AS BIGINT) AS mapped, round(min(m / CAST(p AS DOUBLE)), 6) AS min_rate, round(max(m / CAST(p AS DOUBLE)), 6) AS max_rate FROM r"),
     "q38_demultiplex_reads": (q38, f"""WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders), r AS (SELECT {SEQ('k', 7919)} AS bc FROM o),
         p AS (SELECT i AS primer, {SEQ('i', 163)} AS b FROM (SELECT unnest(range(400)) AS i) q),
@@ -419,6 +481,11 @@ CASES = {
     "q42_ec_compatibility": (q42, """WITH b AS (SELECT ec_id, tx_id FROM {ec_tx} WHERE ec_id % 3 > 0 UNION ALL SELECT ec_id + 100, tx_id FROM {ec_tx} WHERE ec_id % 5 = 1),
         ka AS (SELECT ec_id, list(tx_id ORDER BY tx_id) AS k FROM {ec_tx} GROUP BY ec_id), kb AS (SELECT ec_id, list(tx_id ORDER BY tx_id) AS k FROM b GROUP BY ec_id), c AS (SELECT k, count(*) AS c FROM kb GROUP BY k)
         SELECT CASE WHEN c IS NULL THEN 'missing' WHEN c = 1 THEN 'unique' ELSE 'ambiguous' END AS kind, count(*) AS n FROM ka LEFT JOIN c USING (k) GROUP BY 1"""),
+    "q42_weight_conflicts": (q42_conflicts, """WITH a AS (SELECT ec_id, tx_id, CASE WHEN ec_id % 4 > 0 THEN (tx_id % 7 + 1) / 8.0 END AS w FROM {ec_tx}),
+        b AS (SELECT * FROM a WHERE ec_id % 3 > 0 UNION ALL SELECT ec_id + 100, tx_id, (tx_id % 7 + 1) / 8.0 + CASE WHEN ec_id % 5 >= 3 AND tx_id % 2 = 0 THEN 0.25 ELSE 0 END FROM {ec_tx} WHERE ec_id % 3 = 1),
+        k AS (SELECT ec_id, list(tx_id ORDER BY tx_id) AS k, list(w ORDER BY tx_id) FILTER (w IS NOT NULL) AS w FROM b GROUP BY ec_id),
+        c AS (SELECT k, count(*) AS c, count(DISTINCT w) AS d FROM k GROUP BY k), o AS (SELECT ec_id, list(tx_id ORDER BY tx_id) AS k FROM {ec_tx} GROUP BY ec_id)
+        SELECT ec_id, CASE WHEN c IS NULL THEN 'missing' WHEN d > 1 THEN 'conflicting' WHEN c = 1 THEN 'unique' ELSE 'repeated' END AS kind FROM o LEFT JOIN c USING (k)"""),
     "q43_fisher_information": (q43, f"""WITH {SAMPLES}, {LEN}, q AS (SELECT ec_id, tx_id, u * (CAST(tx_id % 5 + 1 AS DOUBLE) / 50) AS q FROM {{ec_tx}} JOIN ln USING (tx_id)),
         p AS (SELECT sample AS grp, ec_id, tx_id, n, q / sum(q) OVER (PARTITION BY sample, ec_id) AS p FROM sm JOIN q USING (ec_id)), t AS (SELECT sample AS grp, sum(n) AS t FROM sm GROUP BY sample),
         m AS (SELECT grp, tx_id, sum(n * p) / any_value(t) AS m FROM p JOIN t USING (grp) GROUP BY ALL),

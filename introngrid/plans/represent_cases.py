@@ -94,6 +94,12 @@ def r11_metrics(s, d):
     return r6(R.label_metrics(pairs), "accuracy", "balanced_accuracy", "macro_f1")
 
 
+def r11_summary(s, d):
+    pairs = cells(s, d).select((F.col("cell_id") % 3).alias("fold"), "label", F.when(F.col("cell_id") % (F.col("cell_id") % 3 + 4) == 0, "L0").otherwise(F.col("label")).alias("predicted"))
+    out = R.score_summary(R.label_metrics(pairs))
+    return r6(out, *[c for c in out.columns if c != "folds"])
+
+
 def r12(s, d):
     return R.kmeans_clusters(cells(s, d), 4, seed=1).select("cell_id", "cluster")
 
@@ -134,6 +140,9 @@ CASES = {
     "r11_score_labels": (r11, None),
     "r11_label_metrics": (r11_metrics, f"""WITH {FC}, p AS (SELECT cell_id % 3 AS fold, label, CASE WHEN cell_id % 4 = 0 THEN 'L0' ELSE label END AS pred FROM fc), a AS (SELECT fold, label AS n, count(*) AS a, count(*) FILTER (label = pred) AS h FROM p GROUP BY ALL), t AS (SELECT fold, pred AS n, count(*) AS p FROM p GROUP BY ALL),
         j AS (SELECT fold, coalesce(a, 0) AS a, coalesce(h, 0) AS h, coalesce(p, 0) AS p FROM a FULL JOIN t USING (fold, n)) SELECT fold, round(sum(h) / CAST(sum(a) AS DOUBLE), 6) AS accuracy, round(avg(h / CAST(nullif(a, 0) AS DOUBLE)), 6) AS balanced_accuracy, round(avg(2 * h / CAST(a + p AS DOUBLE)), 6) AS macro_f1 FROM j GROUP BY fold"""),
+    "r11_score_summary": (r11_summary, f"""WITH {FC}, p AS (SELECT cell_id % 3 AS fold, label, CASE WHEN cell_id % (cell_id % 3 + 4) = 0 THEN 'L0' ELSE label END AS pred FROM fc), a AS (SELECT fold, label AS n, count(*) AS a, count(*) FILTER (label = pred) AS h FROM p GROUP BY ALL), t AS (SELECT fold, pred AS n, count(*) AS p FROM p GROUP BY ALL),
+        j AS (SELECT fold, coalesce(a, 0) AS a, coalesce(h, 0) AS h, coalesce(p, 0) AS p FROM a FULL JOIN t USING (fold, n)), f AS (SELECT fold, sum(h) / CAST(sum(a) AS DOUBLE) AS x, avg(h / CAST(nullif(a, 0) AS DOUBLE)) AS y, avg(2 * h / CAST(a + p AS DOUBLE)) AS z FROM j GROUP BY fold)
+        SELECT count(*) AS folds, {', '.join(f'round(avg({c}), 6) AS {n}_mean, round(stddev_samp({c}), 6) AS {n}_sd' for c, n in (('x', 'accuracy'), ('y', 'balanced_accuracy'), ('z', 'macro_f1')))} FROM f"""),
     "r12_kmeans_clusters": (r12, None),
     "r13_ari_nmi": (r13, f"""WITH {FC}, c AS (SELECT label AS a, CASE WHEN cell_id % 5 = 0 THEN 'L1' ELSE label END AS b, CAST(count(*) AS DOUBLE) AS n FROM fc GROUP BY ALL), ra AS (SELECT sum(n) AS n FROM c GROUP BY a), rb AS (SELECT sum(n) AS n FROM c GROUP BY b),
         z AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS ij, (SELECT sum(n) FROM c) AS t, (SELECT sum(n * (n - 1) / 2) FROM ra) AS sa, (SELECT sum(n * (n - 1) / 2) FROM rb) AS sb, (SELECT -sum(n / s * ln(n / s)) FROM c, (SELECT sum(n) AS s FROM c) q) AS h, (SELECT -sum(n / s * ln(n / s)) FROM ra, (SELECT sum(n) AS s FROM ra) q) AS ha, (SELECT -sum(n / s * ln(n / s)) FROM rb, (SELECT sum(n) AS s FROM rb) q) AS hb)
