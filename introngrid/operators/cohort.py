@@ -113,11 +113,14 @@ def plan_contrasts(samples: DataFrame, min_subjects: int = 4) -> DataFrame:
     return conditions.unionByName(types)
 
 
-def permute_pairs(pairs: DataFrame, seed: int = 0, contrast: str = "contrast_id", subject: str = "subject") -> DataFrame:
-    """pairs with swap: a seeded choice per contrast and subject, never all nor none where there are two subjects or more."""
+def permute_pairs(pairs: DataFrame, seed: int = 0, contrast: str = "contrast_id", subject: str = "subject", coin: Column | None = None, order: Column | None = None) -> DataFrame:
+    """pairs with swap: a choice per contrast and subject, never all nor none where there are two subjects or more.
+
+    The choice is coin modulo 2, and where all of a contrast agree the first subject by order is turned; both are seeded hashes if None.
+    """
     w = _over(contrast)
-    out = pairs.withColumn("__s", F.pmod(F.xxhash64(contrast, subject, F.lit(seed)), F.lit(2))).withColumn("__sum", F.sum("__s").over(w)).withColumn("__n", F.count("*").over(w))
-    rank = F.row_number().over(w.orderBy(F.xxhash64(subject, F.lit(seed + 1)), subject))
+    out = pairs.withColumn("__s", F.pmod(coin if coin is not None else F.xxhash64(contrast, subject, F.lit(seed)), F.lit(2))).withColumn("__sum", F.sum("__s").over(w)).withColumn("__n", F.count("*").over(w))
+    rank = F.row_number().over(w.orderBy(order if order is not None else F.xxhash64(subject, F.lit(seed + 1)), subject))
     flip = (F.col("__n") > 1) & ((F.col("__sum") == 0) | (F.col("__sum") == F.col("__n"))) & (rank == 1)
     return out.withColumn("swap", F.when(flip, 1 - F.col("__s")).otherwise(F.col("__s")) == 1).drop("__s", "__sum", "__n")
 

@@ -82,12 +82,15 @@ def metacells(barcodes: DataFrame, n: int, seed: int = 0, label: str = "cell_typ
     return ranked.where(F.col("__b") < F.floor(F.col("__n") / n)).select(cell, label, F.concat_ws("_", label, F.col("__b").cast("string")).alias("metacell"))
 
 
-def bootstrap_groups(barcodes: DataFrame, n: int, k: int, seed: int = 0, label: str = "cell_type", cell: str = "cell_id") -> DataFrame:
-    """Rows (label, round, draw, cell): k rounds of n draws with replacement of each label with at least n cells."""
+def bootstrap_groups(barcodes: DataFrame, n: int, k: int, seed: int = 0, label: str = "cell_type", cell: str = "cell_id", pick: Column | None = None) -> DataFrame:
+    """Rows (label, round, draw, cell): k rounds of n draws with replacement of each label with at least n cells.
+
+    A draw takes the cell whose place among the label's cells is pick, a number from label, round and draw (a seeded hash of them if None), modulo their number.
+    """
     ranked = barcodes.select(cell, label, (F.row_number().over(over(label).orderBy(cell)) - 1).alias("__i"), F.count("*").over(over(label)).alias("__n"))
     sizes = ranked.groupBy(label).agg(F.first("__n").alias("__n")).where(F.col("__n") >= n)
     draws = sizes.select(label, "__n", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("round")).select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
-    draws = draws.withColumn("__i", F.pmod(F.xxhash64(label, "round", "draw", F.lit(seed)), F.col("__n")).cast("int")).drop("__n")
+    draws = draws.withColumn("__i", F.pmod(pick if pick is not None else F.xxhash64(label, "round", "draw", F.lit(seed)), F.col("__n")).cast("int")).drop("__n")
     return draws.join(ranked.drop("__n"), [label, "__i"]).select(label, "round", "draw", cell)
 
 
@@ -284,10 +287,10 @@ def paired_response_gene_aux(counts: DataFrame, genes: DataFrame, weight: float)
     return main.unionByName(genes.select("cell_id", F.lit("gene").alias("primer"), F.col("gene_id").cast("string").alias("col"), share.alias("value")))
 
 
-def sample_cells(totals: DataFrame, min_count: int, n: int | None = None, seed: int = 0) -> DataFrame:
-    """Cells with at least min_count; with n, that many of them by a seeded hash."""
+def sample_cells(totals: DataFrame, min_count: int, n: int | None = None, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """Cells with at least min_count; with n, that many of them, the first by order (a seeded hash if None)."""
     kept = totals.where(F.col("n") >= min_count)
-    return kept.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(n) if n else kept
+    return kept.orderBy(order if order is not None else F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(n) if n else kept
 
 
 def count_folds(counts: DataFrame, k: int, seed: int = 0, row: str = "cell_id", col: str = "ec_id", value: str = "n") -> DataFrame:
@@ -593,9 +596,9 @@ def _psi_of(counts: DataFrame, introns: DataFrame, mode: int, cutoff: float, pct
     return C.psi(counts.join(final.select("intron", "cluster", "name"), "intron")).select("intron", "name", "sample", "value", "psi")
 
 
-def pseudobulk_pipeline(cell_ec: DataFrame, ec_tx: DataFrame, cell_meta: DataFrame, exons: DataFrame, size: int = 5, iterations: int = 4, min_ec: float = 5, min_tx: float = 5) -> DataFrame:
-    """Rows (intron, sample, psi) from cell-level class counts: metacells, sums, support filter, abundance, projection, clusters."""
-    groups = metacells(cell_meta, size).select("cell_id", F.col("metacell").alias("grp"))
+def pseudobulk_pipeline(cell_ec: DataFrame, ec_tx: DataFrame, cell_meta: DataFrame, exons: DataFrame, size: int = 5, iterations: int = 4, min_ec: float = 5, min_tx: float = 5, order: Column | None = None) -> DataFrame:
+    """Rows (intron, sample, psi) from cell-level class counts: metacells (shuffled by order, a hash of the cell if None), sums, support filter, abundance, projection, clusters."""
+    groups = metacells(cell_meta, size, order=order).select("cell_id", F.col("metacell").alias("grp"))
     summed = materialize(aggregate_groups(cell_ec, groups).withColumnRenamed("grp", "sample"), "summed")
     kept = materialize(filter_support(summed, ec_tx, min_ec, min_tx), "kept")
     weights = kept.select("tx_id").distinct().withColumn("length", (F.lit(250.0) + F.col("tx_id").cast("double") * 5)).transform(feature_weights)
@@ -604,4 +607,4 @@ def pseudobulk_pipeline(cell_ec: DataFrame, ec_tx: DataFrame, cell_meta: DataFra
     counts = drop_small(abundance_to_counts(alpha, totals)).select("sample", F.concat(F.lit("t"), F.col("tx_id").cast("string")).alias("tx_id"), F.col("count").alias("value"))
     introns = materialize(A.introns_from_exons(exons), "introns")
     projected = project_counts(counts, introns.select("tx_id", F.col("intron").alias("feature"))).withColumnRenamed("feature", "intron")
-    return _psi_of(materialize(projected, "projected"), introns, 3, 0.1, 0.01, 1.0).select("intron", "sample", F.round("psi", 4).alias("psi"))
+    return _psi_of(materialize(projected, "projected"), introns, 3, 0.1, 0.01, 1.0).select("intron", "sample", "psi")

@@ -116,11 +116,11 @@ def profile_diagnostics(cells: DataFrame, loadings: DataFrame, top: int) -> Data
     return spread.crossJoin(active).crossJoin(finite)
 
 
-def grouped_folds(cells: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Rows (grp, fold): groups in folds, dealt in turn inside each group's commonest label."""
+def grouped_folds(cells: DataFrame, k: int, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """Rows (grp, fold): groups in folds, dealt in turn inside each group's commonest label, large ones first, equal ones by order (a seeded hash if None)."""
     labels = cells.groupBy("grp", "label").agg(F.count("*").alias("n"))
     main = labels.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("label"), F.sum("n").alias("n"))
-    rank = F.row_number().over(_over("label").orderBy(F.desc("n"), F.xxhash64("grp", F.lit(seed)), "grp")) - 1
+    rank = F.row_number().over(_over("label").orderBy(F.desc("n"), order if order is not None else F.xxhash64("grp", F.lit(seed)), "grp")) - 1
     return main.select("grp", (rank % k).cast("int").alias("fold"))
 
 

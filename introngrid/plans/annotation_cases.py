@@ -286,7 +286,10 @@ CASES = {
     "g24_region_junctions": (g24_junctions, f"""WITH {LIMITED}, w AS (SELECT DISTINCT chrom, unnest(range(CAST(floor(start / 30000) AS BIGINT), CAST(floor((stop - 1) / 30000) AS BIGINT) + 1)) AS w FROM {{tx_exon}})
         SELECT chrom || '/' || w AS region, substr(tx_id, -1) AS sample, strand, start, stop, count(*) AS n FROM kept JOIN w USING (chrom) WHERE start >= w * 30000 AND stop <= (w + 1) * 30000 GROUP BY ALL"""),
     "g25_aggregate_samples": (g25, "SELECT substr(tx_id, 1, 3) AS intron, sample AS cell_type, round(avg(num_reads), 6) AS mean FROM {quant} GROUP BY ALL"),
-    "g26_intersect_introns": (g26, None),
+    "g26_intersect_introns": (g26, f"""WITH RECURSIVE {LIMITED}, rn AS (SELECT gene_id AS grp, start, stop, row_number() OVER (PARTITION BY gene_id ORDER BY start, stop) AS i FROM kept),
+        fold AS (SELECT grp, i, start AS s, stop AS e, 1 AS k FROM rn WHERE i = 1
+            UNION ALL SELECT f.grp, r.i, CASE WHEN r.start > f.e THEN r.start ELSE greatest(f.s, r.start) END, CASE WHEN r.start > f.e THEN r.stop ELSE least(f.e, r.stop) END, f.k + CASE WHEN r.start > f.e THEN 1 ELSE 0 END FROM fold f JOIN rn r ON r.grp = f.grp AND r.i = f.i + 1)
+        SELECT grp, arg_max(s, i) AS start, arg_max(e, i) AS stop FROM fold GROUP BY grp, k"""),
     "g27_region_models": (g27, """WITH w AS (SELECT *, unnest(range(CAST(floor(start / 20000) AS BIGINT), CAST(floor((stop - 1) / 20000) AS BIGINT) + 1)) AS w FROM {tx_exon}),
         c AS (SELECT chrom || '/' || w AS region, tx_id, greatest(start, w * 20000) AS start, least(stop, (w + 1) * 20000) AS stop FROM w),
         n AS (SELECT *, lead(start) OVER (PARTITION BY region, tx_id ORDER BY start) AS nx FROM c)

@@ -117,12 +117,12 @@ def c10_summary(s, d):
 def c11(s, d):
     """Bulk path: quantification to introns, filtered and linked clusters, percent spliced in by cluster and sample."""
     exons = view(s, d, "tx_exon")
-    return Q.psi_pipeline(view(s, d, "quant"), exons).select("intron", "sample", F.round("psi", 4).alias("psi"))
+    return Q.psi_pipeline(view(s, d, "quant"), exons).select("intron", "sample", "psi")
 
 
 def c12(s, d):
     """Single-cell path: cells to groups, equivalence-class sums, abundance, projection, clusters and percent spliced in."""
-    return Q.pseudobulk_pipeline(view(s, d, "cell_ec"), view(s, d, "ec_tx"), view(s, d, "cell_meta"), view(s, d, "tx_exon"))
+    return Q.pseudobulk_pipeline(view(s, d, "cell_ec"), view(s, d, "ec_tx"), view(s, d, "cell_meta"), view(s, d, "tx_exon"), order=(F.col("cell_id") * 7919) % 10007)
 
 
 def _components(exon: bool) -> str:
@@ -137,6 +137,62 @@ def _components(exon: bool) -> str:
         SELECT min(intron) AS first, count(*) AS n, min(start) AS lo, max(stop) AS hi FROM comp JOIN c01 USING (intron) GROUP BY component"""
 
 
+#: Rounds of the refinement that the SQL below writes out; rounds on nothing change nothing.
+ROUNDS = 8
+
+
+def _closed(name: str, source: str, exons: bool = False) -> str:
+    """Tables {name}_s, _l, _w and {name}: source's rows with component, the least intron that shared sites lead to inside a cluster."""
+    sites = f"SELECT cluster, intron, 'p' || start AS site FROM {source} UNION ALL SELECT cluster, intron, 'p' || stop FROM {source}"
+    if exons:
+        sites += f" UNION ALL SELECT cluster, c.intron, e FROM {source} c JOIN (SELECT intron, left_exon AS e FROM kept UNION SELECT intron, right_exon FROM kept) n ON n.intron = c.intron"
+    return f"""{name}_s AS MATERIALIZED ({sites}),
+        {name}_l AS MATERIALIZED (SELECT DISTINCT x.cluster, x.intron AS a, y.intron AS b FROM {name}_s x JOIN {name}_s y ON x.cluster = y.cluster AND x.site = y.site),
+        {name}_w AS (SELECT cluster, intron AS a, intron AS b FROM {source} UNION SELECT w.cluster, w.a, l.b FROM {name}_w w JOIN {name}_l l ON w.b = l.a AND w.cluster = l.cluster),
+        {name} AS MATERIALIZED (SELECT s.*, c.component FROM {source} s JOIN (SELECT cluster, a AS intron, min(b) AS component FROM {name}_w GROUP BY ALL) c USING (cluster, intron))"""
+
+
+def _chains(source: str) -> str:
+    """source's rows with chain, the number of their run of overlapping introns inside a cluster."""
+    return f"""SELECT * EXCLUDE (pm), sum(CASE WHEN start > pm THEN 1 ELSE 0 END) OVER (PARTITION BY cluster ORDER BY start, stop, intron ROWS UNBOUNDED PRECEDING) AS chain FROM (
+            SELECT *, coalesce(max(stop) OVER (PARTITION BY cluster ORDER BY start, stop, intron ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start - 1) AS pm FROM {source}) z"""
+
+
+def _refined(source: str, cutoff: float, pct: float) -> str:
+    """Table settled of source (cluster, intron, start, stop, count): rounds of filter, settle or split, written out."""
+    parts, done = [f"a0 AS MATERIALIZED (SELECT cluster, intron, start, stop, count FROM {source})"], []
+    for k in range(ROUNDS):
+        parts.append(f"""t{k} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY cluster) AS before, max(chain) OVER (PARTITION BY cluster) AS chains, count / nullif(sum(count) OVER (PARTITION BY cluster), 0) AS share FROM ({_chains(f"a{k}")}) z),
+        f{k} AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS after FROM t{k} WHERE share >= {pct} AND count >= {cutoff}) z WHERE after > 1),
+        o{k} AS MATERIALIZED (SELECT cluster, intron, start, stop, count FROM f{k} WHERE NOT (after = before AND chains = 1)),
+        h{k} AS MATERIALIZED (SELECT cluster || '/' || chain AS cluster, intron, start, stop, count FROM ({_chains(f"o{k}")}) z),
+        {_closed(f"g{k}", f"h{k}")}, a{k + 1} AS MATERIALIZED (SELECT cluster || '|' || component AS cluster, intron, start, stop, count FROM g{k})""")
+        done.append(f"SELECT cluster, intron, start, stop, count FROM f{k} WHERE after = before AND chains = 1")
+    return ", ".join(parts) + f", settled AS MATERIALIZED ({' UNION ALL '.join(done)})"
+
+
+def _psi(counts: str) -> str:
+    """Tables up to ps (intron, sample, psi): percent spliced in of counts (intron, sample, value) over clusters linked by sites and exons and refined."""
+    return f"""pl AS (SELECT intron, min(chrom) AS chrom, arg_max(strand, (gene_id, tx_id, ord)) AS strand, min(start) AS start, max(stop) AS stop FROM kept GROUP BY intron),
+        tt AS (SELECT intron, sum(value) AS count FROM {counts} GROUP BY intron),
+        p1 AS MATERIALIZED (SELECT intron, start, stop, count, chrom || ':' || strand AS cluster FROM pl JOIN tt USING (intron)), p2 AS MATERIALIZED (SELECT * REPLACE (cluster || ':' || chain AS cluster) FROM ({_chains("p1")}) z),
+        {_closed("p3", "p2", True)}, p4 AS MATERIALIZED (SELECT * REPLACE (cluster || '|' || component AS cluster) FROM p3), {_refined("p4", 0.1, 0.01)},
+        fin AS (SELECT intron, cluster FROM settled WHERE cluster IN (SELECT cluster FROM settled GROUP BY cluster HAVING sum(count) > 1)),
+        ps AS (SELECT intron, sample, round(coalesce(value / nullif(sum(value) OVER (PARTITION BY cluster, sample), 0), 0), 6) AS psi FROM {counts} JOIN fin USING (intron))"""
+
+
+_ROUND = """e{i} AS MATERIALIZED (SELECT sample, tx_id, x / sum(x) OVER (PARTITION BY sample) AS alpha FROM (SELECT sample, tx_id, sum(x) AS x FROM (
+    SELECT g.sample, d.tx_id, alpha * w / sum(alpha * w) OVER (PARTITION BY g.sample, g.ec_id) * n AS x FROM grid g JOIN dsg d USING (ec_id) JOIN e{j} e ON e.sample = g.sample AND e.tx_id = d.tx_id) y GROUP BY sample, tx_id) z)"""
+#: Counts by intron and sample of the single-cell path, after four rounds of abundance.
+PSEUDOBULK = """mc AS (SELECT cell_id, cell_type || '_' || b AS sample FROM (SELECT cell_id, cell_type, CAST(floor((row_number() OVER (PARTITION BY cell_type ORDER BY cell_id * 7919 % 10007, cell_id) - 1) / 5) AS BIGINT) AS b, count(*) OVER (PARTITION BY cell_type) AS n FROM {cell_meta}) x WHERE b < floor(n / 5)),
+sm AS (SELECT sample, ec_id, sum(n) AS n FROM {cell_ec} JOIN mc USING (cell_id) GROUP BY ALL),
+se AS (SELECT ec_id, tx_id, t FROM {ec_tx} JOIN (SELECT ec_id, sum(n) AS t FROM sm GROUP BY ec_id HAVING sum(n) >= 5) e USING (ec_id)),
+dsg AS MATERIALIZED (SELECT ec_id, tx_id, CASE WHEN 250 + tx_id * 5 > 300 THEN 1 / CAST(tx_id * 5 - 50 AS DOUBLE) ELSE 1 / CAST(250 + tx_id * 5 AS DOUBLE) END AS w FROM se WHERE tx_id IN (SELECT tx_id FROM se GROUP BY tx_id HAVING sum(t) > 5)),
+grid AS MATERIALIZED (SELECT s.sample, e.ec_id, coalesce(sm.n, 0) + 1e-7 AS n FROM (SELECT DISTINCT ec_id FROM dsg) e CROSS JOIN (SELECT DISTINCT sample FROM sm) s LEFT JOIN sm ON sm.sample = s.sample AND sm.ec_id = e.ec_id),
+e0 AS (SELECT sample, tx_id, 1.0 / (SELECT count(DISTINCT tx_id) FROM dsg) AS alpha FROM (SELECT DISTINCT tx_id FROM dsg) t CROSS JOIN (SELECT DISTINCT sample FROM sm) s), """ + ", ".join(_ROUND.format(i=i + 1, j=i) for i in range(4)) + """,
+ab AS (SELECT sample, 't' || tx_id AS tx_id, alpha / sum(alpha) OVER (PARTITION BY sample) * total AS value FROM e4 JOIN (SELECT sample, sum(n) AS total FROM sm GROUP BY sample) t USING (sample)),
+ct AS MATERIALIZED (SELECT intron, sample, sum(value) AS value FROM (SELECT DISTINCT tx_id, intron FROM kept) k JOIN ab USING (tx_id) WHERE value >= 0.1 GROUP BY ALL HAVING sum(value) > 0)"""
+
 CASES = {
     "c01_initial_clusters": (c01, f"WITH {ISLANDS} SELECT min(intron) AS first, count(*) AS n, min(start) AS lo, max(stop) AS hi FROM c01 GROUP BY cluster"),
     "c02_recluster_intervals": (c02, f"""WITH {LIMITED}, iv AS (SELECT DISTINCT intron, chrom || ':' || CAST(floor(start / 7000) AS BIGINT) AS c, start, stop FROM kept),
@@ -146,7 +202,8 @@ CASES = {
     "c03_refine_links_sites": (c03_sites, _components(False)),
     "c03_refine_links_exons": (c03_exons, _components(True)),
     "c04_filter_introns": (c04, f"WITH {ISLANDS}, {COUNTS} SELECT intron FROM (SELECT intron, count, sum(count) OVER (PARTITION BY cluster) AS t FROM c01 JOIN tot USING (intron)) x WHERE count >= 20 AND count / nullif(t, 0) >= 0.05"),
-    "c05_refine_clusters": (c05, None),
+    "c05_refine_clusters": (c05, f"""WITH RECURSIVE {ISLANDS}, {COUNTS}, w0 AS (SELECT c01.*, count FROM c01 JOIN tot USING (intron)), {_closed("w1", "w0", True)}, w2 AS (SELECT * REPLACE (cluster || '|' || component AS cluster) FROM w1), {_refined("w2", 5.0, 0.05)}
+        SELECT min(intron) AS first, count(*) AS n, min(start) AS lo, max(stop) AS hi FROM settled GROUP BY cluster"""),
     "c06_number_clusters": (c06, f"""WITH {ISLANDS}, {COUNTS}, w AS (SELECT * FROM c01 JOIN tot USING (intron)),
         n AS (SELECT cluster, row_number() OVER (ORDER BY min(chrom), min(strand), min(start), max(stop), cluster) - 1 AS k FROM w GROUP BY cluster HAVING sum(count) > 50)
         SELECT intron, chrom || ':' || start || ':' || stop || ':clu_' || k || '_' || strand AS name FROM w JOIN n USING (cluster)"""),
@@ -173,6 +230,6 @@ CASES = {
         p AS (SELECT shared, CASE WHEN c2 IS NULL THEN 'f' WHEN c1 IS NULL THEN 's' WHEN shared = n1 AND shared = n2 THEN 'i' ELSE 'p' END AS k FROM j),
         t AS (SELECT CAST(coalesce(sum(shared), 0) AS BIGINT) AS shared, count(*) FILTER (k = 'i') AS identical, count(*) FILTER (k = 'p') AS partial, count(*) FILTER (k = 'f') AS first_only, count(*) FILTER (k = 's') AS second_only FROM p)
         SELECT t.*, x.n AS edges_1, y.n AS edges_2, round(shared / nullif(x.n + y.n - shared, 0), 6) AS jaccard FROM t, (SELECT count(*) AS n FROM e1) x, (SELECT count(*) AS n FROM e2) y"""),
-    "c11_psi_pipeline": (c11, None),
-    "c12_pseudobulk_pipeline": (c12, None),
+    "c11_psi_pipeline": (c11, f"WITH RECURSIVE {LIMITED}, {COUNTS}, {_psi('ct')} SELECT * FROM ps"),
+    "c12_pseudobulk_pipeline": (c12, f"WITH RECURSIVE {LIMITED}, {PSEUDOBULK}, {_psi('ct')} SELECT * FROM ps"),
 }

@@ -71,7 +71,8 @@ def d05(s, d):
 
 def d06(s, d):
     pairs = _contrasts(s, d).where("effect = 'cell_type'").select("contrast_id", F.explode("paired_subjects").alias("subject"))
-    return D.permute_pairs(pairs, seed=4)
+    number = F.expr("CAST(substr(subject, 2) AS INT)")
+    return D.permute_pairs(pairs, coin=F.floor(number * F.ascii(F.right("contrast_id", F.lit(1))) / 3), order=number * 5 % 7)
 
 
 def d07(s, d):
@@ -156,7 +157,9 @@ CASES = {
     "d04_pseudobulk_junctions": (d04, f"""WITH {GROUPS}, jc AS (SELECT 'run' || (ord % 2) AS run, CAST(regexp_extract(tx_id, '([0-9]+)$', 1) AS BIGINT) % 200 AS bc, chrom || ':' || start || ':' || stop || ':' || strand AS junction_id FROM kept)
         SELECT subject || '__' || cell_type AS sample_id, junction_id, count(*) AS value FROM jc JOIN {{cell_meta}} ON cell_id = bc AND (cell_id % 3 = 0 OR run = 'run1') GROUP BY ALL"""),
     "d05_plan_contrasts": (d05, f"WITH {PLAN} SELECT contrast_id, effect, stratum, level_a, level_b, array_to_string(sa, ',') AS samples_a, array_to_string(sb, ',') AS samples_b, coalesce(array_to_string(ps, ','), '') AS paired_subjects FROM pl"),
-    "d06_permute_pairs": (d06, None),
+    "d06_permute_pairs": (d06, f"""WITH {PLAN}, x AS (SELECT contrast_id, unnest(ps) AS subject FROM pl WHERE effect = 'cell_type'), n AS (SELECT *, CAST(substr(subject, 2) AS INT) AS k FROM x),
+        c AS (SELECT *, CAST(floor(k * ascii(right(contrast_id, 1)) / 3.0) AS BIGINT) % 2 AS s FROM n), w AS (SELECT *, sum(s) OVER (PARTITION BY contrast_id) AS t, count(*) OVER (PARTITION BY contrast_id) AS n, row_number() OVER (PARTITION BY contrast_id ORDER BY k * 5 % 7, subject) AS r FROM c)
+        SELECT contrast_id, subject, CASE WHEN n > 1 AND (t = 0 OR t = n) AND r = 1 THEN 1 - s ELSE s END = 1 AS swap FROM w"""),
     "d07_subject_folds": (d07, "SELECT subject, condition, CAST((row_number() OVER (PARTITION BY condition ORDER BY CAST(substr(subject, 2) AS INT) * 7 % 11, subject) - 1) % 2 AS INT) AS fold FROM (SELECT DISTINCT subject, condition FROM {cell_meta}) x"),
     "d08_filter_subjects": (d08, f"WITH {COVER} SELECT feature, sample_id, umis FROM cv WHERE condition = 'C1'"),
     "d09_covered_celltype_design": (d09, f"""WITH {COVER}, c AS (SELECT * FROM cv WHERE umis >= 3), k AS (SELECT * FROM c WHERE (feature, cell_type) IN (SELECT (feature, cell_type) FROM c GROUP BY feature, cell_type HAVING count(DISTINCT subject) >= 4))

@@ -92,7 +92,7 @@ def q08(s, d):
 
 
 def q09(s, d):
-    return Q.bootstrap_groups(view(s, d, "cell_meta"), 10, 3, seed=5)
+    return Q.bootstrap_groups(view(s, d, "cell_meta"), 10, 3, pick=F.col("round") * 7919 + F.col("draw") * 104729 + F.expr("CAST(substr(cell_type, 2) AS INT)") * 31)
 
 
 def _grouped(s, d):
@@ -234,7 +234,7 @@ def q33(s, d):
 
 
 def q33_subsample(s, d):
-    return Q.sample_cells(_totals(s, d).select(F.col("half").alias("cell_id"), F.col("umis").alias("n")), 10, n=25, seed=3)
+    return Q.sample_cells(_totals(s, d).select(F.col("half").alias("cell_id"), F.col("umis").alias("n")), 10, n=25, order=F.col("cell_id") * 7919 % 1009)
 
 
 def q34(s, d):
@@ -415,7 +415,9 @@ CASES = {
     "q06_project_counts": (q06, f"WITH {LIMITED}, {JV}, x AS (SELECT intron AS feature, sample, sum(value) AS value FROM v JOIN (SELECT DISTINCT tx_id, intron FROM kept) k USING (tx_id) GROUP BY ALL) SELECT feature, sample, round(value, 6) AS value FROM (SELECT *, sum(value) OVER (PARTITION BY feature) AS t FROM x) y WHERE t > 20"),
     "q07_clean_labels": (q07, "SELECT p_partkey, replace(p_name, ' ', '_') AS label FROM part"),
     "q08_metacells": (q08, "SELECT cell_id, cell_type, cell_type || '_' || b AS metacell FROM (SELECT cell_id, cell_type, CAST(floor((row_number() OVER (PARTITION BY cell_type ORDER BY cell_id * 7919 % 10007, cell_id) - 1) / 5) AS BIGINT) AS b, count(*) OVER (PARTITION BY cell_type) AS n FROM {cell_meta}) x WHERE b < floor(n / 5)"),
-    "q09_bootstrap_groups": (q09, None),
+    "q09_bootstrap_groups": (q09, """WITH r AS (SELECT cell_id, cell_type, row_number() OVER (PARTITION BY cell_type ORDER BY cell_id) - 1 AS i, count(*) OVER (PARTITION BY cell_type) AS n FROM {cell_meta}),
+        d AS (SELECT cell_type, n, round, draw FROM (SELECT DISTINCT cell_type, n FROM r WHERE n >= 10) g CROSS JOIN (SELECT CAST(unnest(range(1, 4)) AS INT) AS round) x CROSS JOIN (SELECT CAST(unnest(range(1, 11)) AS INT) AS draw) y)
+        SELECT cell_type, round, draw, cell_id FROM d JOIN r USING (cell_type) WHERE i = (round * 7919 + draw * 104729 + CAST(substr(cell_type, 2) AS INT) * 31) % d.n"""),
     "q10_check_barcodes": (q10, f"WITH {GRP} SELECT grp, count(k) AS n_valid, count(*) - count(k) AS n_lost FROM gr LEFT JOIN (SELECT DISTINCT cell_id, 1 AS k FROM {{cell_ec}} WHERE cell_id % 3 > 0) c USING (cell_id) GROUP BY grp"),
     "q10_eliminated_barcodes": (q10_lost, "SELECT DISTINCT cell_id FROM {cell_meta} WHERE cell_id % 3 = 0"),
     "q11_aggregate_groups": (q11, f"WITH {GRP} SELECT grp, ec_id, CAST(sum(n) AS BIGINT) AS n FROM {{cell_ec}} JOIN gr USING (cell_id) GROUP BY ALL"),
@@ -451,7 +453,7 @@ CASES = {
         SELECT cell_id, CAST(ec_id % 2 AS VARCHAR) AS primer, CAST(ec_id AS VARCHAR) AS col, round(0.5 * n / sum(n) OVER (PARTITION BY cell_id, ec_id % 2), 6) AS value FROM {{cell_ec}}
         UNION ALL SELECT cell_id, 'gene', gene_id, round(1.0 * n / sum(n) OVER (PARTITION BY cell_id), 6) FROM gc"""),
     "q33_sample_cells": (q33, f"WITH {TOTALS} SELECT cell_id, umis AS n FROM ct WHERE umis >= 50"),
-    "q33_sample_cells_subsample": (q33_subsample, None),
+    "q33_sample_cells_subsample": (q33_subsample, f"WITH {TOTALS} SELECT cell_id, umis AS n FROM ct WHERE umis >= 10 ORDER BY cell_id * 7919 % 1009, cell_id LIMIT 25"),
     "q34_count_folds": (q34, "SELECT cell_id, ec_id, n FROM {cell_ec}"),
     "q35_merge_runs": (q35, "WITH ky AS (SELECT ec_id, string_agg(CAST(tx_id AS VARCHAR), ',' ORDER BY tx_id) AS ec FROM {ec_tx} GROUP BY ec_id) SELECT (cell_id % 2) || ':' || cell_id AS cell, ec, CAST(sum(n) AS BIGINT) AS n FROM {cell_ec} JOIN ky USING (ec_id) GROUP BY ALL"),
     "q36_validate_quantification": (q36, f"""WITH {PAIRS}, {TOTALS}, h AS (SELECT first AS half FROM pr UNION SELECT second FROM pr) SELECT count(DISTINCT cell_id) AS cells, count(DISTINCT ec_id) AS classes, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n < 0) AS negative,

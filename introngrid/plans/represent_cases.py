@@ -82,7 +82,7 @@ def r09(s, d):
 
 
 def r10(s, d):
-    return R.grouped_folds(cells(s, d), 3)
+    return R.grouped_folds(cells(s, d), 3, order=F.expr("CAST(substr(grp, 2) AS INT)") * 7 % 11)
 
 
 def r11(s, d):
@@ -136,7 +136,8 @@ CASES = {
     "r09_profile_diagnostics": (r09, f"""WITH {FC}, {LD}, b AS (SELECT * FROM ld ORDER BY sqrt(l[1] * l[1] + l[2] * l[2] + l[3] * l[3] + l[4] * l[4]) DESC, gene_id LIMIT 10), x AS (SELECT cell_id, gene_id, greatest({DOT}, 0) AS x FROM fc CROSS JOIN b),
         p AS (SELECT *, sum(x) OVER (PARTITION BY cell_id) AS t FROM x), q AS (SELECT *, coalesce(x / nullif(t, 0), 0) AS p FROM p), g AS (SELECT avg(p) AS m, var_pop(p) AS v FROM q GROUP BY gene_id)
         SELECT round(sum(v) / sum(m * m), 6) AS relative_variance, (SELECT round(avg(CASE WHEN t > 0 THEN 1.0 ELSE 0.0 END), 6) FROM q) AS active, true AS finite, (SELECT round(avg(sqrt(r[1] * r[1] + r[2] * r[2] + r[3] * r[3] + r[4] * r[4])), 6) FROM fc) AS mean_norm FROM g"""),
-    "r10_grouped_folds": (r10, None),
+    "r10_grouped_folds": (r10, f"""WITH {FC}, l AS (SELECT grp, label, count(*) AS n FROM fc GROUP BY ALL), m AS (SELECT grp, arg_max(label, (n, label)) AS label, sum(n) AS n FROM l GROUP BY grp)
+        SELECT grp, CAST((row_number() OVER (PARTITION BY label ORDER BY n DESC, CAST(substr(grp, 2) AS INT) * 7 % 11, grp) - 1) % 3 AS INT) AS fold FROM m"""),
     "r11_score_labels": (r11, None),
     "r11_label_metrics": (r11_metrics, f"""WITH {FC}, p AS (SELECT cell_id % 3 AS fold, label, CASE WHEN cell_id % 4 = 0 THEN 'L0' ELSE label END AS pred FROM fc), a AS (SELECT fold, label AS n, count(*) AS a, count(*) FILTER (label = pred) AS h FROM p GROUP BY ALL), t AS (SELECT fold, pred AS n, count(*) AS p FROM p GROUP BY ALL),
         j AS (SELECT fold, coalesce(a, 0) AS a, coalesce(h, 0) AS h, coalesce(p, 0) AS p FROM a FULL JOIN t USING (fold, n)) SELECT fold, round(sum(h) / CAST(sum(a) AS DOUBLE), 6) AS accuracy, round(avg(h / CAST(nullif(a, 0) AS DOUBLE)), 6) AS balanced_accuracy, round(avg(2 * h / CAST(a + p AS DOUBLE)), 6) AS macro_f1 FROM j GROUP BY fold"""),
