@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from introngrid.functions.windows import islands, wide_islands
 from introngrid.graph import connected_components
 from introngrid.operators.annotation import dense_ids
-from introngrid.storage import bounded_broadcast, materialize
+from introngrid.storage import bounded_broadcast, materialize, release
 
 #: Edges of a cluster that one task closes.
 LARGEST = 2_000_000
@@ -128,20 +128,22 @@ def refine_clusters(introns: DataFrame, cutoff: float = 0.1, pct: float = 0.01,
     all clusters that the last one changed; settled ones are not looked at again. Each
     round takes an intron or splits a cluster, so rounds end; more than max_rounds raise.
     """
-    settled, active, columns = None, introns, introns.columns
+    settled, active, before, columns = None, introns, None, introns.columns
     own = Window.partitionBy("cluster")
     for _ in range(max_rounds):
         told = islands(active.withColumn("__before", F.count("*").over(own)), ["cluster"], ties=["intron"], out="__chain")
         told = told.withColumn("__chains", F.max("__chain").over(own)).drop("__chain")
         kept = filter_introns(told, cutoff=cutoff, pct=pct).withColumn("__after", F.count("*").over(own))
         kept = materialize(kept.withColumn("__same", (F.col("__after") == F.col("__before")) & (F.col("__chains") == 1)).where("__after > 1"), "refined")
+        if before is not None:
+            release(before)
         part = kept.where("__same").select(*columns)
         settled = part if settled is None else settled.unionByName(part)
         open_ = kept.where("NOT __same").select(*columns)
         if not open_.limit(1).count():
             return settled
         split = refine_links(recluster_intervals(open_), mode=2).withColumn("cluster", F.col("component"))
-        active = materialize(split.select(*columns), "active")
+        active = before = materialize(split.select(*columns), "active")
     raise RuntimeError("clusters did not settle")
 
 

@@ -60,7 +60,7 @@ def reference_labels(labels: DataFrame, batches: DataFrame, wells: DataFrame, ch
 
     The first row of a cell by annotation wins; two subjects for one cell are an error.
     """
-    joined = labels.join(F.broadcast(batches), "batch").join(F.broadcast(wells), "well").withColumn("barcode", F.explode(F.array("barcode_1", "barcode_2")))
+    joined = labels.join(batches, "batch").join(wells, "well").withColumn("barcode", F.explode(F.array("barcode_1", "barcode_2")))
     out = joined.select(F.concat_ws(":", "run", "barcode").alias("cell"), "annotation", "subject")
     if check:
         assert_no_conflict(out, "cell", "subject")

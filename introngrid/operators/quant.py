@@ -13,7 +13,7 @@ from introngrid.functions.tiles import by_tiles, matrix
 from introngrid.operators import annotation as A
 from introngrid.operators import cluster as C
 from introngrid.schema import assert_no_conflict, assert_none, assert_unique, require_columns
-from introngrid.storage import materialize, release
+from introngrid.storage import bounded_broadcast, materialize, release
 
 
 def over(*keys: str):
@@ -137,12 +137,12 @@ def em_abundance(counts: DataFrame, membership: DataFrame, weights: DataFrame, i
     """
     design = membership.join(weights, "tx_id").select("ec_id", "tx_id", "w")
     kept = design.select("ec_id").distinct()
-    samples = counts.select("sample").distinct()
-    grid = kept.crossJoin(F.broadcast(samples)).join(counts.groupBy("sample", "ec_id").agg(F.sum("n").alias("n")), ["sample", "ec_id"], "left")
+    samples = bounded_broadcast(materialize(counts.select("sample").distinct(), "samples"))
+    grid = kept.crossJoin(samples).join(counts.groupBy("sample", "ec_id").agg(F.sum("n").alias("n")), ["sample", "ec_id"], "left")
     grid = materialize(grid.select("sample", "ec_id", (F.coalesce(F.col("n").cast("double"), F.lit(0.0)) + offset).alias("n")), "grid")
     edges = materialize(grid.join(design, "ec_id"), "em-edges")
     n_tx = design.select("tx_id").distinct().count()
-    alpha = design.select("tx_id").distinct().crossJoin(F.broadcast(samples)).select("sample", "tx_id", F.lit(1.0 / max(n_tx, 1)).alias("alpha"))
+    alpha = design.select("tx_id").distinct().crossJoin(samples).select("sample", "tx_id", F.lit(1.0 / max(n_tx, 1)).alias("alpha"))
     held = None
     for i in range(iterations):
         part = edges.join(alpha, ["sample", "tx_id"]).withColumn("__x", F.col("alpha") * F.col("w"))
@@ -162,7 +162,7 @@ def abundance_to_counts(alpha: DataFrame, totals: DataFrame, lengths: DataFrame
     if mode == "snRNA":
         alpha = alpha.where(~F.col("tx_id").cast("string").contains("-I"))
     share = F.col("alpha") / F.nullif(F.sum("alpha").over(over("sample")), F.lit(0))
-    out = alpha.withColumn("tpm", share * 1e6).join(F.broadcast(totals), "sample").withColumn("count", share * F.col("total"))
+    out = alpha.withColumn("tpm", share * 1e6).join(totals, "sample").withColumn("count", share * F.col("total"))
     if mode == "junction":
         out = out.join(lengths, "tx_id").withColumn("count", F.col("count") * (read_length - overhang) / F.nullif("length", F.lit(0)))
     return out.select("sample", "tx_id", "tpm", "count")
@@ -197,7 +197,7 @@ def ec_design_weighted(membership: DataFrame, probabilities: DataFrame, keys=())
     mean = probabilities.groupBy(*keys, "ec_id", "pos").agg(F.avg("prob").alias("p"))
     sized = membership.withColumn("k", F.count("*").over(over("ec_id")))
     if keys:
-        sized = sized.crossJoin(F.broadcast(probabilities.select(*keys).distinct()))
+        sized = sized.crossJoin(bounded_broadcast(materialize(probabilities.select(*keys).distinct(), "groups")))
     out = sized.join(mean, [*keys, "ec_id", "pos"], "left").withColumn("a", F.coalesce("p", 1 / F.col("k")))
     return normalize_columns(out.select(*keys, "ec_id", "tx_id", "a"), extra=keys)
 
@@ -206,7 +206,7 @@ def ec_design_grouped(membership: DataFrame, probabilities: DataFrame, group: st
     """The design over all cells (group null) and for each group, from one grouping-sets pass."""
     both = probabilities.groupingSets([[group, "ec_id", "pos"], ["ec_id", "pos"]], group, "ec_id", "pos").agg(F.avg("prob").alias("p"))
     groups = probabilities.select(group).distinct().unionByName(probabilities.select(F.lit(None).cast("string").alias(group)).limit(1))
-    sized = membership.withColumn("k", F.count("*").over(over("ec_id"))).crossJoin(F.broadcast(groups.withColumnRenamed(group, "__g")))
+    sized = membership.withColumn("k", F.count("*").over(over("ec_id"))).crossJoin(bounded_broadcast(materialize(groups.withColumnRenamed(group, "__g"), "groups")))
     same = (F.col("__g").eqNullSafe(F.col(group))) & (sized["ec_id"] == both["ec_id"]) & (sized["pos"] == both["pos"])
     out = sized.join(both, same, "left").select(F.col("__g").alias(group), sized["ec_id"], "tx_id", F.coalesce("p", 1 / F.col("k")).alias("a"))
     return out.withColumn("a", F.col("a") / F.nullif(F.sum("a").over(over(group, "tx_id")), F.lit(0)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from introngrid.functions.tiles import by_tiles, matrix
+from introngrid.operators.annotation import dense_ids
 from introngrid.schema import assert_no_conflict, assert_none, assert_unique
 from introngrid.storage import materialize
 
@@ -80,13 +81,28 @@ def pca_embedding(rows: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
 
 
 def log_gene_features(counts: DataFrame, min_share: float) -> DataFrame:
-    """Rows (cell_id, features): log1p of counts (cell_id, gene_id, n) per 10,000, for genes in at least min_share of cells, in gene order."""
+    """Rows (cell_id, features): log1p of counts (cell_id, gene_id, n) per 10,000, for genes in at least min_share of cells, in gene order.
+
+    Genes are numbered by range; a cell's counts meet and are laid out where they lie, so there is no row for a zero.
+    """
+    kind = counts.schema["cell_id"].dataType.simpleString()
     cells = counts.select("cell_id").distinct()
     n_cells = cells.agg(F.count("*").alias("all"))
     genes = counts.where("n > 0").groupBy("gene_id").agg(F.countDistinct("cell_id").alias("c")).crossJoin(F.broadcast(n_cells)).where(F.col("c") >= min_share * F.col("all")).select("gene_id")
+    ids = materialize(dense_ids(genes, "gene_id", "i"), "gene-ids")
+    size = ids.count()
     norm = counts.withColumn("x", F.log1p(F.col("n") * 10_000.0 / F.nullif(F.sum("n").over(_over("cell_id")), F.lit(0)))).select("cell_id", "gene_id", "x")
-    grid = cells.crossJoin(F.broadcast(genes)).join(norm, ["cell_id", "gene_id"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
-    return grid.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("gene_id", "x"))), lambda p: p["x"]).alias("features"))
+    sparse = norm.join(ids, "gene_id").groupBy("cell_id").agg(F.collect_list("i").alias("i"), F.collect_list(F.coalesce("x", F.lit(0.0))).alias("x"))
+
+    def lay_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = np.zeros((len(frame), size))
+            for k, (at, x) in enumerate(zip(frame["i"], frame["x"], strict=True)):
+                if at is not None:
+                    np.add.at(rows[k], np.asarray(at, dtype=np.int64), np.asarray(x, dtype=float))
+            yield pd.DataFrame({"cell_id": frame["cell_id"].array, "features": list(rows)})
+
+    return cells.join(sparse, "cell_id", "left").select("cell_id", "i", "x").mapInPandas(lay_out, f"cell_id {kind}, features array<double>")
 
 
 def log_gene_pca(counts: DataFrame, k: int, min_share: float = 0.01) -> tuple[DataFrame, list[float]]:
@@ -143,9 +159,9 @@ def score_labels(cells: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
     from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer
     from pyspark.ml.functions import array_to_vector
 
-    data = cells.join(grouped_folds(cells, k, seed), "grp").withColumn("v", array_to_vector("right"))
+    data = materialize(cells.join(grouped_folds(cells, k, seed), "grp"), "folds").withColumn("v", array_to_vector("right"))
     indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(data)
-    data = indexer.transform(data).cache()
+    data = indexer.transform(data)
     told = None
     for fold in range(k):
         train = data.where(F.col("fold") != fold)
@@ -186,38 +202,34 @@ def ari_nmi(pairs: DataFrame, a: str = "label", b: str = "cluster") -> DataFrame
     )
 
 
-def silhouette(cells: DataFrame, label: str = "label", sample: int = 10_000, seed: int = 0) -> DataFrame:
-    """One row: mean silhouette by Euclidean distance on a sample of `sample` cells, chosen by hash.
+def silhouette(cells: DataFrame, label: str = "label", sample: int | None = 10_000, seed: int = 0) -> DataFrame:
+    """One row: mean silhouette by Euclidean distance, over `sample` cells chosen by hash, or over all with None.
 
-    The sample, whose size bounds what moves, goes to all tasks, and each compares its own
-    sampled cells with it in blocks. A cell alone in its label has silhouette 0, as in the usual definition.
+    Cells meet cells in tiles; a task hands on one sum of distances for each cell and label of
+    a tile. A cell alone in its label has silhouette 0, as in the usual definition; a null
+    label is a label of its own, repeated cell ids are cells of their own.
     """
-    chosen = cells.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(sample).select("cell_id", F.col(label).cast("string").alias("l"), "right")
-    chosen = materialize(chosen, "silhouette")
-    rows = chosen.orderBy("cell_id").collect()
-    names, codes = np.unique(np.array([r["l"] or "" for r in rows], dtype=object).astype(str), return_inverse=True) if rows else (np.zeros(0), np.zeros(0, np.int64))
-    points = np.array([r["right"] for r in rows], dtype=float)
-    member = (codes[:, None] == np.arange(len(names))[None, :]).astype(float)
-    place = {r["cell_id"]: i for i, r in enumerate(rows)}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = member.sum(0)
-        for frame in frames:
-            for k in range(0, len(frame), 256):
-                at = np.array([place[c] for c in frame["cell_id"].iloc[k : k + 256]])
-                own, x = codes[at], points[at]
-                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ points.T + (points * points).sum(1)[None, :], 0))
-                d[np.arange(len(at)), at] = 0.0
-                total = d @ member
-                row = np.arange(len(at))
-                a = total[row, own] / np.maximum(size[own] - 1, 1)
-                mean = total / size[None, :]
-                mean[row, own] = np.inf
-                b = mean.min(1)
-                good = (size[own] > 1) & np.isfinite(b) & (np.maximum(a, b) > 0)
-                yield pd.DataFrame({"s": np.where(good, (b - a) / np.where(good, np.maximum(a, b), 1), 0.0)})
-
-    return chosen.select("cell_id").mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
+    chosen = cells.select("cell_id", F.col(label).cast("string").alias("l"), "right")
+    chosen = chosen.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(sample) if sample else chosen
+    chosen = materialize(chosen.select("l", "right", F.monotonically_increasing_id().alias("row")), "silhouette")
+
+    def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        a, b = matrix(x["right"]), matrix(y["right"])
+        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :], 0))
+        d[x["row"].to_numpy()[:, None] == y["row"].to_numpy()[None, :]] = 0.0
+        codes, names = pd.factorize(y["l"], use_na_sentinel=False)
+        order = np.argsort(codes, kind="stable")
+        total = np.add.reduceat(d[:, order], np.searchsorted(codes[order], np.arange(len(names))), axis=1)
+        names = np.array([None if pd.isna(n) else n for n in names], dtype=object)
+        return pd.DataFrame({"row": np.repeat(x["row"].to_numpy(), len(names)), "own": np.repeat(x["l"].to_numpy(dtype=object), len(names)), "other": np.tile(names, len(x)), "d": total.ravel()})
+
+    met = by_tiles(chosen, chosen, sums, "row long, own string, other string, d double").groupBy("row", "own", "other").agg(F.sum("d").alias("d"))
+    sizes = chosen.groupBy(F.col("l").alias("name")).agg(F.count("*").alias("n"))
+    same = F.col("own").eqNullSafe(F.col("other"))
+    sized = met.join(sizes, F.col("other").eqNullSafe(F.col("name")))
+    per = sized.groupBy("row").agg(F.max(F.when(same, F.col("n"))).alias("size"), F.max(F.when(same, F.col("d") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("b"))
+    most = F.greatest("a", "b")
+    return per.agg(F.avg(F.when((F.col("size") > 1) & F.col("b").isNotNull() & (most > 0), (F.col("b") - F.col("a")) / most).otherwise(0.0)).alias("silhouette"))
 
 
 def score_reference_embedding(embedding: DataFrame, mapping: DataFrame, labels: DataFrame, k: int = 3, check: bool = True) -> DataFrame:

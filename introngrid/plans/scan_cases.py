@@ -36,8 +36,9 @@ def s01(s, d):
 
 def s02(s, d):
     q = view(s, d, "quant")
-    q.select(F.col("tx_id").alias("Name"), F.lit(1).alias("Length"), F.col("effective_length").alias("EffectiveLength"), F.col("tpm").alias("TPM"), F.col("num_reads").alias("NumReads")).write.csv(path := _path(s, "quant"), sep="\t", header=True)
-    return SC.read_quant(s, path).select("tx_id", "effective_length", "tpm", "num_reads")
+    named = q.select(F.col("sample").alias("run"), F.col("tx_id").alias("Name"), (F.col("effective_length") + F.col("tpm") % 9).alias("Length"), F.col("effective_length").alias("EffectiveLength"), F.col("tpm").alias("TPM"), F.col("num_reads").alias("NumReads"))
+    named.write.partitionBy("run").csv(path := _path(s, "quant"), sep="\t", header=True)
+    return SC.read_quant(s, path, "/run=([^/]+)/")
 
 
 def s03(s, d):
@@ -47,8 +48,8 @@ def s03(s, d):
 
 def s04(s, d):
     e = view(s, d, "cell_ec").select((F.col("cell_id") + 1).alias("r"), (F.col("ec_id") + 1).alias("c"), "n")
-    rows = s.createDataFrame([("%%MatrixMarket matrix coordinate integer general",), ("1000 40 1",)], "value string").coalesce(1).union(e.coalesce(1).select(F.concat_ws(" ", *[F.col(x).cast("string") for x in ("r", "c", "n")]).alias("value")))
-    return SC.read_matrix_market(s, _text(s, rows.coalesce(1), "mtx"))
+    rows = s.createDataFrame([("%%MatrixMarket matrix coordinate integer general",), ("1000 40 1",)], "value string").coalesce(1).union(e.select(F.concat_ws(" ", *[F.col(x).cast("string") for x in ("r", "c", "n")]).alias("value")))
+    return SC.read_matrix_market(s, _text(s, rows, "mtx"))
 
 
 def s05(s, d):
@@ -62,11 +63,10 @@ def s05(s, d):
 def s06(s, d):
     rows = view(s, d, "ec_tx").groupBy("ec_id").agg(F.array_sort(F.collect_list("tx_id")).alias("t"))
     text = lambda a: F.array_join(a, " ")
-    lines = rows.select((F.col("ec_id") + 100).alias("o"), F.concat_ws(" ", F.size("t").cast("string"), text(F.transform("t", lambda x: x.cast("string"))), text(F.transform("t", lambda x: ((x % 4 + 1) / 8).cast("string"))), (F.col("ec_id") + 1).cast("string")).alias("value"))
-    names = s.range(40).select((F.col("id") + 2).alias("o"), F.concat(F.lit("tx"), F.col("id").cast("string")).alias("value"))
-    head = s.createDataFrame([(0, "40"), (1, "40")], "o long, value string")
-    ordered = head.unionByName(names).unionByName(lines).coalesce(1).sortWithinPartitions("o").select("value")
-    return SC.read_weighted_ec(s, _text(s, ordered, "rich")).select("key", "tx_id", F.round("weight", 6).alias("weight"), "count")
+    lines = rows.select(F.concat_ws(" ", F.size("t").cast("string"), text(F.transform("t", lambda x: x.cast("string"))), text(F.transform("t", lambda x: ((x % 4 + 1) / 8).cast("string"))), (F.col("ec_id") + 1).cast("string")).alias("value"))
+    names = s.range(40).select(F.concat(F.lit("tx"), F.col("id").cast("string")).alias("value"))
+    head = s.createDataFrame([("40",), ("40",)], "value string").coalesce(1)
+    return SC.read_weighted_ec(s, _text(s, head.union(names).union(lines), "rich")).select("key", "tx_id", F.round("weight", 6).alias("weight"), "count")
 
 
 def s07(s, d):
@@ -75,15 +75,15 @@ def s07(s, d):
 
 
 def s08(s, d):
-    j = A.introns_from_exons(view(s, d, "tx_exon")).select("chrom", "start", "stop", "strand").distinct().orderBy("chrom", "start", "stop", "strand").coalesce(1)
-    lines = j.select(_tab("chrom", "start", "stop", F.when(F.col("strand") == "+", "1").otherwise("2")))
+    j = A.introns_from_exons(view(s, d, "tx_exon")).select(F.struct("chrom", "start", "stop", "strand").alias("j")).distinct()
+    lines = j.orderBy("j").select("j.*").select(_tab("chrom", "start", "stop", F.when(F.col("strand") == "+", "1").otherwise("2")))
     features = _text(s, lines, "features")
-    barcodes = _text(s, s.range(10).coalesce(1).select(F.concat(F.lit("BC"), F.col("id").cast("string")).alias("value")), "barcodes")
-    n = SC.numbered_lines(s, features).select((F.col("index") + 1).alias("r"), (F.col("index") % 10 + 1).alias("c"), (F.col("index") % 7 + 1).alias("n"))
-    entries = n.select(F.concat_ws(" ", *[F.col(x).cast("string") for x in ("r", "c", "n")]).alias("value"))
+    barcodes = _text(s, s.range(10).select(F.concat(F.lit("BC"), F.col("id").cast("string")).alias("value")), "barcodes")
+    i = F.col("i")
+    n = A.dense_ids(j, "j", "i").select((i + 1).alias("r"), (i % 10 + 1).alias("c"), (i % 7 + 1).alias("n"))
     head = s.createDataFrame([("% junctions",), ("1 1 1",)], "value string").coalesce(1)
-    matrix = _text(s, head.union(entries.coalesce(1)).coalesce(1), "jmtx")
-    return SC.read_junction_matrix(s, matrix, barcodes, features).select("chrom", "start", "stop", "strand")
+    matrix = _text(s, head.union(n.select(F.concat_ws(" ", *[F.col(x).cast("string") for x in ("r", "c", "n")]).alias("value"))), "jmtx")
+    return SC.read_junction_matrix(s, matrix, barcodes, features)
 
 
 def s09(s, d):
@@ -93,6 +93,12 @@ def s09(s, d):
 
 
 def s10(s, d):
+    rows = view(s, d, "pvals").groupBy(F.col("k3").alias("key"), (F.col("k1") % 6).alias("part")).agg(F.count("*").alias("n"), F.min("k1").alias("least"))
+    rows.withColumn("shard", F.col("part")).write.partitionBy("shard").csv(path := _path(s, "shards"), sep="\t", header=True)
+    return SC.read_shards(s, path, ["key"]).select(*[F.col(c).cast("long").alias(c) for c in ("key", "part", "n", "least")])
+
+
+def s10_last(s, d):
     rows = view(s, d, "pvals").select(F.col("k3").alias("key"), (F.col("k1") % 6).alias("shard"), "k1", "k2", "k4")
     return SC.last_of_shards(rows, ["key"], "shard", ["k1", "k2", "k4"])
 
@@ -132,7 +138,8 @@ def s14(s, d):
 
 def s15(s, d):
     counts, junctions, _ = _bundle(s, d)
-    return SK.junction_bed(counts, junctions)
+    SK.write_junction_bed(counts, junctions, path := _path(s, "bed"))
+    return s.read.text(path).select("sample_id", "value")
 
 
 def s16(s, d):
@@ -154,16 +161,18 @@ WIDE = "w AS (SELECT substr(tx_id, 1, 4) AS name, CAST(coalesce(sum(num_reads) F
 
 CASES = {
     "s01_read_features": (s01, "SELECT chrom, start, stop, strand, gene_id, tx_id, exon_number FROM {tx_exon}"),
-    "s02_read_quant": (s02, "SELECT tx_id, CAST(effective_length AS DOUBLE) AS effective_length, CAST(tpm AS DOUBLE) AS tpm, CAST(num_reads AS DOUBLE) AS num_reads FROM {quant}"),
+    "s02_read_quant": (s02, "SELECT sample, tx_id, CAST(effective_length + tpm % 9 AS DOUBLE) AS length, CAST(effective_length AS DOUBLE) AS effective_length, CAST(tpm AS DOUBLE) AS tpm, CAST(num_reads AS DOUBLE) AS num_reads FROM {quant}"),
     "s03_read_ec_membership": (s03, "SELECT ec_id, row_number() OVER (PARTITION BY ec_id ORDER BY tx_id) - 1 AS pos, tx_id AS tx_index FROM {ec_tx}"),
     "s04_read_matrix_market": (s04, "SELECT cell_id AS row, ec_id AS col, CAST(n AS DOUBLE) AS value FROM {cell_ec}"),
     "s05_read_ec_probabilities": (s05, "SELECT CAST(cell_id AS VARCHAR) AS cell_id, c.ec_id, pos, (cell_id + pos + 1) % 8 / 8.0 AS prob FROM {cell_ec} c JOIN (SELECT ec_id, row_number() OVER (PARTITION BY ec_id ORDER BY tx_id) - 1 AS pos FROM {ec_tx}) m ON m.ec_id = c.ec_id"),
     "s06_read_weighted_ec": (s06, """WITH k AS (SELECT ec_id, string_agg('tx' || tx_id, ',' ORDER BY 'tx' || tx_id) AS key FROM {ec_tx} GROUP BY ec_id)
         SELECT key, 'tx' || tx_id AS tx_id, round(sum((tx_id % 4 + 1) / 8.0 * (ec_id + 1)) / sum(ec_id + 1), 6) AS weight, CAST(sum(ec_id + 1) AS DOUBLE) AS count FROM {ec_tx} JOIN k USING (ec_id) GROUP BY 1, 2"""),
     "s07_read_fasta_lengths": (s07, "SELECT 'p' || p_partkey AS name, (p_partkey % 50 + 1) * 4 + 2 AS length FROM part"),
-    "s08_read_junction_matrix": (s08, f"WITH {LIMITED} SELECT DISTINCT chrom, start, stop, strand FROM kept"),
+    "s08_read_junction_matrix": (s08, f"""WITH {LIMITED}, j AS (SELECT *, row_number() OVER (ORDER BY chrom, start, stop, strand) - 1 AS i FROM (SELECT DISTINCT chrom, start, stop, strand FROM kept) x)
+        SELECT 'BC' || (i % 10) AS barcode, chrom, start, stop, strand, i % 7 + 1 AS n FROM j"""),
     "s09_read_estimates": (s09, "SELECT CAST(k3 AS VARCHAR) AS block_id, CAST(k1 AS VARCHAR) AS sample, round(p_value, 6) AS p FROM {pvals} WHERE converged AND k1 % 3 > 0"),
-    "s10_read_shards": (s10, "SELECT key, shard, k1, k2, k4 FROM (SELECT k3 AS key, k1 % 6 AS shard, k1, k2, k4, row_number() OVER (PARTITION BY k3 ORDER BY k1 % 6 DESC, k1, k2, k4) AS r FROM {pvals}) x WHERE r = 1"),
+    "s10_read_shards": (s10, "WITH x AS (SELECT k3 AS key, k1 % 6 AS part, count(*) AS n, min(k1) AS least FROM {pvals} GROUP BY ALL) SELECT key, max(part) AS part, arg_max(n, part) AS n, arg_max(least, part) AS least FROM x GROUP BY key"),
+    "s10_last_of_shards": (s10_last, "SELECT key, shard, k1, k2, k4 FROM (SELECT k3 AS key, k1 % 6 AS shard, k1, k2, k4, row_number() OVER (PARTITION BY k3 ORDER BY k1 % 6 DESC, k1, k2, k4) AS r FROM {pvals}) x WHERE r = 1"),
     "s11_normalize_manifest": (s11, "WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders) SELECT CAST(k AS VARCHAR) AS run, '1' AS read, 'ftp/R' || k || '_1.fastq.gz' AS url, 'a' AS md5, k * 2 AS bytes FROM o UNION ALL SELECT CAST(k AS VARCHAR), '2', 'ftp/R' || k || '_2.fastq.gz', 'b', k * 3 FROM o"),
     "s12_write_wide_counts": (s12, f"WITH {WIDE} SELECT * FROM w"),
     "s13_read_wide_counts": (s13, f"WITH {WIDE} SELECT name, 'AF' AS sample, CAST(AF AS DOUBLE) AS value FROM w UNION ALL SELECT name, 'NF', CAST(NF AS DOUBLE) FROM w UNION ALL SELECT name, 'NO', CAST(NO AS DOUBLE) FROM w UNION ALL SELECT name, 'RF', CAST(RF AS DOUBLE) FROM w"),

@@ -289,7 +289,7 @@ def p30(s, d):
 
 def p31(s, d):
     rows = s.read.parquet(f"{d}/lineitem.parquet").groupBy((F.col("l_partkey") % 40).alias("feature"), (F.col("l_suppkey") % 9).alias("subject"), (F.col("l_linenumber") % 2).alias("side"), (F.col("l_orderkey") % 2).alias("category")).agg(F.count("*").alias("n"))
-    return r(S.paired_logratio(rows).select("feature", "n_subjects", "n_categories", "statistic"), "statistic")
+    return r(S.paired_logratio(rows).select("feature", "n_subjects", "n_categories", "statistic", "p_value"), "statistic", "p_value")
 
 
 def p31_hotelling(s, d):
@@ -478,8 +478,12 @@ CASES = {
         SELECT count(*) AS tests, count(*) FILTER (c) AS converged, round(quantile_cont(abs(a - b), 0.5) FILTER (c), 6) AS median_diff, round(max(abs(a - b)) FILTER (c), 6) AS max_diff,
                round(count(*) FILTER (c AND a < 0.05 AND b < 0.05) / CAST(nullif(count(*) FILTER (c AND (a < 0.05 OR b < 0.05)), 0) AS DOUBLE), 6) AS jaccard, round(sum(s1) / CAST(sum(s2) AS DOUBLE), 6) AS speedup FROM j"""),
     "p31_paired_logratio": (p31, """WITH c AS (SELECT l_partkey % 40 AS f, l_suppkey % 9 AS s, l_linenumber % 2 AS side, l_orderkey % 2 AS cat, ln(count(*) + 0.5) AS x FROM lineitem GROUP BY ALL), q AS (SELECT *, x - avg(x) OVER (PARTITION BY f, s, side) AS y FROM c),
-        d AS (SELECT f, s, cat, sum(y) FILTER (side = 1) - sum(y) FILTER (side = 0) AS d FROM q GROUP BY ALL HAVING count(*) = 2), g AS (SELECT f FROM d GROUP BY f HAVING count(DISTINCT s) >= 3 AND count(DISTINCT cat) = 2)
-        SELECT f AS feature, count(*) AS n_subjects, 2 AS n_categories, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS statistic FROM d WHERE cat = 0 AND f IN (SELECT f FROM g) GROUP BY f"""),
+        d AS (SELECT f, s, cat, sum(y) FILTER (side = 1) - sum(y) FILTER (side = 0) AS d FROM q GROUP BY ALL HAVING count(*) = 2), g AS (SELECT f FROM d GROUP BY f HAVING count(DISTINCT s) >= 3 AND count(DISTINCT cat) = 2),
+        t AS (SELECT f, count(*) AS n, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d WHERE cat = 0 AND f IN (SELECT f FROM g) GROUP BY f),
+        h AS (SELECT *, n - 1 AS v, atan(abs(t) / sqrt(n - 1)) AS h FROM t),
+        a AS (SELECT *, CASE WHEN v % 2 = 0 THEN sin(h) * list_sum(list_transform([0, 1, 2, 3], lambda k: CASE WHEN 2 * k <= v - 2 THEN [1, 1 / 2.0, 3 / 8.0, 5 / 16.0][k + 1] * cos(h) ** (2 * k) ELSE 0 END))
+            ELSE 2 / pi() * (h + sin(h) * list_sum(list_transform([0, 1, 2], lambda k: CASE WHEN 2 * k <= v - 3 THEN [1, 2 / 3.0, 8 / 15.0][k + 1] * cos(h) ** (2 * k + 1) ELSE 0 END))) END AS a FROM h)
+        SELECT f AS feature, n AS n_subjects, 2 AS n_categories, round(t, 6) AS statistic, round(1 - a, 6) AS p_value FROM a"""),
     "p31_paired_logratio_hotelling": (p31_hotelling, None),
     "p32_effective_counts": (p32, "WITH x AS (SELECT *, least((1 / p_value + 1 / (1 - p_value)) / (2 * ((k1 % 17 + 1) / 40.0)), k3 % 60 + 5) AS z FROM {pvals}) SELECT k1, k2, k3, k4, round(z, 6) AS size, round(z * p_value, 6) AS n1, round(z * (1 - p_value), 6) AS n2 FROM x"),
     "p32_effective_counts_two_paths": (p32_two, "WITH x AS (SELECT *, least((1 / p_value + 1 / (1 - p_value)) / (2 * ((k1 % 17 + 1) / 40.0)), k3 % 60 + 5) AS z FROM {pvals}) SELECT k1, k2, k3, k4, round(z, 6) AS size, round(z * p_value, 6) AS n1, round(z * (1 - p_value), 6) AS n2 FROM x"),

@@ -29,11 +29,11 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_quant(spark: SparkSession, paths) -> DataFrame:
-    """Rows (sample, tx_id, length, effective_length, tpm, num_reads); the sample is the file's base name."""
+def read_quant(spark: SparkSession, paths, sample: str | None = None) -> DataFrame:
+    """Rows (sample, tx_id, length, effective_length, tpm, num_reads); the sample is the file's base name, or the first group of the pattern `sample` in its path."""
     schema = "Name string, Length double, EffectiveLength double, TPM double, NumReads double"
     rows = spark.read.csv(paths, sep="\t", header=True, schema=schema)
-    return rows.select(file_stem().alias("sample"), F.col("Name").alias("tx_id"), F.col("Length").alias("length"), F.col("EffectiveLength").alias("effective_length"), F.col("TPM").alias("tpm"), F.col("NumReads").alias("num_reads"))
+    return rows.select((file_stem(sample) if sample else file_stem()).alias("sample"), F.col("Name").alias("tx_id"), F.col("Length").alias("length"), F.col("EffectiveLength").alias("effective_length"), F.col("TPM").alias("tpm"), F.col("NumReads").alias("num_reads"))
 
 
 def read_ec_membership(spark: SparkSession, path: str) -> DataFrame:
@@ -44,15 +44,16 @@ def read_ec_membership(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (index, value): lines of a label file with their place from 0.
+    """Rows (index, value): lines of a label file, or of a folder's files in order of name, with their place from 0.
 
-    Places come from counts by input partition, so no task reads the whole file.
+    Places come from counts by file and input partition, so no task reads a whole file.
     """
-    lines = spark.read.text(path).withColumn("__id", F.monotonically_increasing_id())
-    lines = lines.withColumn("__p", F.shiftright("__id", 33)).withColumn("__i", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = lines.groupBy("__p").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lines.join(F.broadcast(sizes.select("__p", before.alias("b"))), "__p").select((F.col("__i") + F.col("b")).alias("index"), F.trim("value").alias("value"))
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("__f"), F.monotonically_increasing_id().alias("__id"))
+    lines = lines.withColumn("__p", F.shiftright("__id", 33))
+    sizes = lines.groupBy("__f", "__p").agg(F.count("*").alias("n"), F.min("__id").alias("__lo"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__f", "__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = F.broadcast(sizes.select("__f", "__p", "__lo", before.alias("b")))  # a row for each file and split
+    return lines.join(placed, ["__f", "__p"]).select((F.col("__id") - F.col("__lo") + F.col("b")).alias("index"), F.trim("value").alias("value"))
 
 
 def read_matrix_market(spark: SparkSession, path: str, rows: str | None = None, columns: str | None = None) -> DataFrame:
@@ -60,7 +61,8 @@ def read_matrix_market(spark: SparkSession, path: str, rows: str | None = None,
     lines = spark.read.text(path).where(~F.col("value").startswith("%"))
     part = F.split(F.trim("value"), r"\s+")
     # The dimensions are the first line that is no comment; it holds the number of entries, which no entry line can.
-    first = lines.withColumn("__id", F.monotonically_increasing_id())
+    # A folder's files follow each other by name.
+    first = lines.withColumn("__id", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")))
     head = first.agg(F.min("__id").alias("__first"))
     out = first.crossJoin(F.broadcast(head)).where("__id <> __first").select((part[0].cast("long") - 1).alias("row"), (part[1].cast("long") - 1).alias("col"), F.coalesce(part[2].cast("double"), F.lit(1.0)).alias("value"))
     for name, labels in (("row", rows), ("col", columns)):
