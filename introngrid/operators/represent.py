@@ -202,15 +202,15 @@ def ari_nmi(pairs: DataFrame, a: str = "label", b: str = "cluster") -> DataFrame
     )
 
 
-def silhouette(cells: DataFrame, label: str = "label", sample: int | None = 10_000, seed: int = 0) -> DataFrame:
-    """One row: mean silhouette by Euclidean distance, over `sample` cells chosen by hash, or over all with None.
+def silhouette(cells: DataFrame, label: str = "label", sample: int | None = 10_000, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """One row: mean silhouette by Euclidean distance, over the first `sample` cells by order (a seeded hash if None), or over all with sample None.
 
     Cells meet cells in tiles; a task hands on one sum of distances for each cell and label of
     a tile. A cell alone in its label has silhouette 0, as in the usual definition; a null
     label is a label of its own, repeated cell ids are cells of their own.
     """
     chosen = cells.select("cell_id", F.col(label).cast("string").alias("l"), "right")
-    chosen = chosen.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(sample) if sample else chosen
+    chosen = chosen.orderBy(order if order is not None else F.xxhash64("cell_id", F.lit(seed)), "cell_id").limit(sample) if sample else chosen
     chosen = materialize(chosen.select("l", "right", F.monotonically_increasing_id().alias("row")), "silhouette")
 
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
