@@ -204,3 +204,40 @@ def test_tiles_make_every_product_once(spark):
     got = sorted(r["s"] for r in by_tiles(a, b, work, "s double", block=4, tile=3).collect())
     assert got == sorted(2.0 * i + j for i in range(30) for j in range(11))
     assert by_tiles(a.limit(0), b, work, "s double").count() == 0
+
+
+def test_silhouette_by_tiles_equals_all_pairs(spark, monkeypatch):
+    from introngrid.operators import represent as R
+
+    rng = np.random.default_rng(11)
+    labels = [["a", "b", None, "", "c"][i % 4] if i else "c" for i in range(60)]
+    points = rng.normal(size=(60, 3)) + np.array([{"a": 0, "b": 3, None: -3, "": 6, "c": 9}[x] for x in labels])[:, None]
+    rows = [(i // 2, labels[i], points[i].tolist()) for i in range(60)]  # ids repeat
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    mean = []
+    for i, x in enumerate(labels):
+        own = [j for j in range(60) if labels[j] == x and j != i]
+        b = min(d[i, [j for j in range(60) if labels[j] == y]].mean() for y in set(labels) - {x})
+        a = d[i, own].mean() if own else 0
+        mean.append((b - a) / max(a, b) if own else 0.0)
+    cells = spark.createDataFrame(rows, "cell_id int, label string, right array<double>")
+    assert abs(R.silhouette(cells).first()[0] - np.mean(mean)) < 1e-9
+
+
+def test_features_of_cells_without_kept_genes(spark):
+    from introngrid.operators import represent as R
+
+    counts = spark.createDataFrame([(1, "g", 5), (1, "h", 5), (2, "g", 1), (3, "rare", 2)], "cell_id int, gene_id string, n int")
+    got = {r["cell_id"]: [round(x, 6) for x in r["features"]] for r in R.log_gene_features(counts, 0.5).collect()}
+    assert got == {1: [round(float(np.log1p(5000)), 6)], 2: [round(float(np.log1p(10000)), 6)], 3: [0.0]}
+
+
+def test_weights_fall_back_where_no_run_has_the_set(spark):
+    frame = spark.createDataFrame
+    members = frame([(0, "a"), (0, "b"), (1, "b")], "ec_id int, tx_id string")
+    rich = frame([(0, "a,b", "a", 0.8, 3), (1, "a,b", "a", 0.4, 1), (0, "a,b", "b", 0.2, 3)], "run int, key string, tx_id string, weight double, count int")
+    got = {(r["ec_id"], r["tx_id"]): (round(r["a"], 6), r["matched"]) for r in Q.ec_design_positional(members, rich, frame([("a", 4.0), ("b", 0.5)], "tx_id string, length double")).collect()}
+    assert got == {(0, "a"): (1.0, True), (0, "b"): (round(0.2 / 1.2, 6), True), (1, "b"): (round(1 / 1.2, 6), False)}
+    counts = frame([(1, 0, 5), (1, 1, 7)], "cell_id int, ec_id int, n int")
+    genes = frame([(0, "G"), (1, "G")], "ec_id int, gene_id string")
+    assert [tuple(r) for r in Q.modeled_gene_umis(counts, genes, frame([(0, "G"), (0, "G"), (1, "H")], "ec_id int, gene_id string")).collect()] == [(1, "G", 5)]
