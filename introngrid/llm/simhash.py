@@ -30,6 +30,10 @@ PASS = 5
 SKETCH_RADIUS = 21
 #: They are verified if all their fingerprints lie as close as those of all but this share of the pairs of the least similarity.
 MISSED = 0.005
+#: Pairs of large buckets are verified if sketches of their whole sets lie as close as those of all but this share of the pairs of the least similarity.
+SKETCH_MISSED = 0.001
+#: Bits of such a sketch, and shingles up to which a set is sketched whole; of a larger set a half, a quarter, ... is sketched.
+SKETCH_BITS, SKETCH_FULL = 2048, 2048
 #: Buckets up to this size give all their pairs; of larger ones each text gives the nearest pair first.
 SMALL = 9
 #: Pairs of each text that are verified first.
@@ -412,7 +416,7 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = found.unionByName(part)
     pairs = materialize(_close(_likely(found), nodes, count, least), "pairs")
     free_shuffles(spark)
-    members = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("nid")).join(nodes.select("nid", "node", "prints"), "nid")
+    members = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("nid")).join(nodes.select("nid", "node"), "nid")
     members = materialize(members.drop("nid"), "members")
     release(known, *parts)
     met = pairs.select("a", "b").union(members.select("node", "node"))
@@ -429,15 +433,19 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = materialize(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     mixed = materialize(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "mixed")
-    inside = materialize(_in_blocks(placed.join(mixed, "bucket")), "mixed-members")
+    inside = materialize(placed.join(mixed, "bucket"), "mixed-members")
+    # Fingerprints and sketches join the members of mixed buckets alone.
+    there = materialize(inside.select("node").distinct(), "mixed-nodes")
+    traits = nodes.select("node", "prints").join(there, "node", "left_semi").join(_sketched(sets.join(there, "node", "left_semi")), "node")
+    inside = _in_blocks(inside.join(materialize(traits, "traits"), "node"))
     dealt = inside.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = dealt.mapInPandas(_close_across(masks, count, _most_apart(count, least)), "a long, b long")
+    more = dealt.mapInPandas(_close_across(masks, count, _most_apart(count, least), least), "a long, b long")
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if more.limit(1).count():
         edges = edges.unionByName(materialize(similar_pairs(more, sets, least), "near-edges"))
         comps = _labels(edges)
     out = materialize(told.select("doc_id", "node").join(comps, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp")), "near-groups")
-    release(told, nodes, pairs, first, rest, members, placed, inside, more)
+    release(told, nodes, pairs, first, rest, members, placed, more)
     free_shuffles(spark)
     return out
 
@@ -457,6 +465,63 @@ def _close(pairs: DataFrame, nodes: DataFrame, prints: int, least: float) -> Dat
     return both.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "d")
 
 
+def set_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A set in few numbers: its size, the hashes sketched at its level and at the next, and the sketches of both.
+
+    At level k one hash in 2**k is sketched; a set's level is the least at which about
+    SKETCH_FULL remain. A sketch has one bit for each of SKETCH_BITS classes of hashes:
+    whether the class holds an odd number of them. The sketches of two sets differ where
+    the sets do. Sets whose sizes lie within 2 : 1 share a level.
+    """
+    low = max(0, int(np.ceil(np.log2(max(1, len(hashes)) / SKETCH_FULL))))
+    counts, bits = [len(hashes)], []
+    for level in (low, low + 1):
+        part = hashes[(hashes >> np.uint64(11)) & np.uint64((1 << level) - 1) == 0]
+        odd = np.bincount((part % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+        counts.append(len(part))
+        bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    return np.concatenate([np.array(counts, dtype=np.int64), *bits])
+
+
+def _sketched(sets: DataFrame) -> DataFrame:
+    """Rows (node, sketch) of sets (node, shingles)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in frames:
+            sketch = [set_sketch(np.asarray(x, dtype=np.int64).view(np.uint64)) for x in part["shingles"]]
+            yield pd.DataFrame({"node": part["node"].array, "sketch": sketch})
+
+    return sets.mapInPandas(run, "node long, sketch array<long>")
+
+
+def may_reach(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether the sets of the sketches x and y (a row each) may have a Jaccard similarity of `least`: true of all but SKETCH_MISSED of the pairs that just have it.
+
+    Sets of m and n hashes with that similarity differ in d = (m + n)(1 - least) / (1 + least)
+    of them. Of 2,048 classes, 2048 (1 - exp(-2 d / 2048)) / 2 then hold an odd number of
+    these on average. The spread is that of odd classes and, where only a part is sketched, of that part.
+    """
+    size, other = x[:, 0], y[:, 0]
+    low, high = np.minimum(size, other), np.maximum(size, other)
+    level = lambda m: np.maximum(0, np.ceil(np.log2(np.maximum(1, m) / SKETCH_FULL)))
+    top = level(high)
+    words = SKETCH_BITS // 64
+
+    def at_top(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        later = level(z[:, 0]) < top
+        return np.where(later, z[:, 2], z[:, 1]), np.where(later[:, None], z[:, 3 + words :], z[:, 3 : 3 + words])
+
+    (m, a), (n, b) = at_top(x), at_top(y)
+    odd = np.bitwise_count((a ^ b).view(np.uint64)).sum(1, dtype=np.int64)
+    d = (m + n) * (1 - least) / (1 + least)
+    both = (m + n - d) / 2
+    fade = np.exp(-2 * d / SKETCH_BITS)
+    spread = SKETCH_BITS / 4 * (1 - fade**2) - d * fade**2
+    part = np.where(top > 0, 4 * d * both / np.maximum(4 * both + d, 1), 0.0)
+    limit = SKETCH_BITS / 2 * (1 - fade) + NormalDist().inv_cdf(1 - SKETCH_MISSED) * np.sqrt(np.maximum(spread, 0) + part * fade**2)
+    return (low >= least * high) & ((odd <= np.ceil(limit)) | (top - level(low) > 1))  # no level in common: sketches tell nothing
+
+
 def _marks(tables: int) -> np.ndarray:
     """A number for each table (a fingerprint under a mask) that tells its buckets from those of others."""
     return mix64(np.arange(1, tables + 1, dtype=np.uint64)).view(np.int64)
@@ -465,11 +530,11 @@ def _marks(tables: int) -> np.ndarray:
 def _in_blocks(members: DataFrame) -> DataFrame:
     """Members of buckets, each in all pairs (i, j) of blocks that it belongs to: a bucket of up to BLOCK members is one block and moves once."""
     spread = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "prints")
+    return spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "prints", "sketch")
 
 
-def _close_across(masks: list[int], prints: int, most: int):
-    """Of rows sorted by (bucket, i, j): pairs (a, b), a < b, from both blocks and different components that differ in at most `most` bits.
+def _close_across(masks: list[int], prints: int, most: int, least: float):
+    """Of rows sorted by (bucket, i, j): pairs (a, b), a < b, from both blocks and different components that differ in at most `most` bits and whose sketches may reach `least`.
 
     A pair is given once, by the first of all tables in which its ends share a bucket:
     that bucket is here as well, or it is a small one whose pairs were all looked at before.
@@ -477,7 +542,7 @@ def _close_across(masks: list[int], prints: int, most: int):
     mask, marks = np.tile(np.array(masks, dtype=np.int64), prints), _marks(prints * len(masks))
 
     def block(rows: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        bucket, i, j, own, node, comp, fp = rows
+        bucket, i, j, own, node, comp, fp, sketch = rows
         left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
         for k in range(0, len(left), 128):
             x = left[k : k + 128]
@@ -489,6 +554,8 @@ def _close_across(masks: list[int], prints: int, most: int):
                 good &= node[x][:, None] < node[right][None, :]
             u, v = np.nonzero(good)
             u, v = x[u], right[v]
+            reach = [may_reach(sketch[u[k : k + 8192]], sketch[v[k : k + 8192]], least) for k in range(0, len(u), 8192)]
+            u, v = (z[np.concatenate(reach)] if reach else z for z in (u, v))
             first = np.full(len(u), -1)
             for t in range(len(mask)) if len(u) else ():
                 open_ = np.flatnonzero(first < 0)
@@ -506,7 +573,7 @@ def _close_across(masks: list[int], prints: int, most: int):
         for frame in frames:
             if not len(frame):
                 continue
-            rows = [frame[c].to_numpy() for c in ("bucket", "i", "j", "own", "node", "comp")] + [np.stack(frame["prints"].to_numpy())]
+            rows = [frame[c].to_numpy() for c in ("bucket", "i", "j", "own", "node", "comp")] + [np.stack(frame[c].to_numpy()) for c in ("prints", "sketch")]
             if rest:
                 rows = [np.concatenate(z) for z in zip(rest[0], rows, strict=True)]
             edges = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1

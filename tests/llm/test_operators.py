@@ -513,6 +513,54 @@ def test_near_stage_links_by_shingles(spark):
     assert got == {i for i, x in enumerate(low) if i == x} | {None, 900}
 
 
+def test_sketches_of_whole_sets_tell_pairs_apart():
+    """Pairs of the least similarity pass, those well below it don't, with sets sketched whole, in part and on two sides of a level."""
+    rng = np.random.default_rng(4)
+
+    def pair(m, n, similarity):
+        inter = int(round((m + n) * similarity / (1 + similarity)))
+        h = rng.integers(0, 2**64, m + n - inter, dtype=np.uint64)
+        return simhash.set_sketch(h[:m]), simhash.set_sketch(h[m - inter :])
+
+    for m, n in ((3, 3), (60, 60), (400, 400), (400, 490), (1900, 2200), (30_000, 35_000)):
+        for similarity, low, high in ((0.81, 0.98, 1), (0.6, 0, 0.6 if m < 10 else 0.1), (0.72, 0, 1 if m < 100 else 0.05)):
+            x, y = (np.stack(z) for z in zip(*(pair(m, n, similarity) for _ in range(100)), strict=True))
+            assert low <= simhash.may_reach(x, y, 0.8).mean() <= high, (m, n, similarity)
+    x, y = (np.stack(z) for z in zip(*(pair(400, 600, 0.65) for _ in range(5)), strict=True))
+    assert not simhash.may_reach(x, y, 0.8).any()  # sizes alone rule them out
+    nothing = simhash.set_sketch(np.zeros(0, np.uint64))[None, :]
+    assert simhash.may_reach(nothing, nothing, 0.8).all()
+
+
+def test_family_below_the_threshold_gives_few_pairs(spark, monkeypatch):
+    """Copies of one text, each with its own edits: nearly all pairs lie below 0.8, and few of them are written."""
+    rng, n = np.random.default_rng(5), 160
+    base = [f"b{rng.integers(50_000)}" for _ in range(400)]
+    texts = []
+    for k in range(n):
+        copy = base.copy()
+        for i in rng.choice(400, 7, replace=False):
+            copy[i] = f"e{k}x{i}"
+        texts.append(" ".join(copy))
+    written, keep = {}, simhash.materialize
+
+    def counted(df, label, *rest):
+        out = keep(df, label, *rest)
+        written[label] = written.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    got = {r["doc_id"] for r in simhash.drop_near_copies(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    low = list(range(n))
+    for _ in range(n):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    assert got == {i for i, x in enumerate(low) if i == x}
+    assert written["more-pairs"] <= n
+
+
 def test_warc_null_and_large_ids(spark):
     big, html = 2**60 + 1, "<p>" + "x" * 200
     rows = [(big, "u", html), (big + 2, "u", html), (None, "u", html), (None, None, "short"), (None, "v", "y" * 300), (7, "u", "short")]
