@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -30,7 +30,7 @@ PASS = 5
 SKETCH_RADIUS = 21
 #: They are verified if all their fingerprints lie as close as those of all but this share of the pairs of the least similarity.
 MISSED = 0.005
-#: Pairs of large buckets are verified if sketches of their whole sets lie as close as those of all but this share of the pairs of the least similarity.
+#: Pairs but the nearest are verified if sketches of their whole sets lie as close as those of all but this share of the pairs of the least similarity.
 SKETCH_MISSED = 0.001
 #: Bits of such a sketch, and shingles up to which a set is sketched whole; of a larger set a half, a quarter, ... is sketched.
 SKETCH_BITS, SKETCH_FULL = 2048, 2048
@@ -425,7 +425,9 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     edges = edges.unionByName(materialize(similar_pairs(first, sets, least), "near-edges"))
     comps = _labels(edges)
     free_shuffles(spark)
-    rest = materialize(_across(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), comps), "rest-pairs")
+    sketches = materialize(_sketched(sets, least), "sketches")
+    rest = _across(pairs.join(first, ["a", "b"], "left_anti").select("a", "b"), comps)
+    rest = materialize(_within_reach(rest, sketches, least), "rest-pairs")
     if rest.limit(1).count():
         edges = edges.unionByName(materialize(similar_pairs(rest, sets, least), "near-edges"))
         comps = _labels(edges)
@@ -436,7 +438,7 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     inside = materialize(placed.join(mixed, "bucket"), "mixed-members")
     # Fingerprints and sketches join the members of mixed buckets alone.
     there = materialize(inside.select("node").distinct(), "mixed-nodes")
-    traits = nodes.select("node", "prints").join(there, "node", "left_semi").join(_sketched(sets.join(there, "node", "left_semi")), "node")
+    traits = nodes.select("node", "prints").join(there, "node", "left_semi").join(sketches, "node")
     inside = _in_blocks(inside.join(materialize(traits, "traits"), "node"))
     dealt = inside.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = dealt.mapInPandas(_close_across(masks, count, _most_apart(count, least), least), "a long, b long")
@@ -445,7 +447,7 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         edges = edges.unionByName(materialize(similar_pairs(more, sets, least), "near-edges"))
         comps = _labels(edges)
     out = materialize(told.select("doc_id", "node").join(comps, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp")), "near-groups")
-    release(told, nodes, pairs, first, rest, members, placed, more)
+    release(told, nodes, pairs, first, sketches, rest, members, placed, there, more)
     free_shuffles(spark)
     return out
 
@@ -465,13 +467,14 @@ def _close(pairs: DataFrame, nodes: DataFrame, prints: int, least: float) -> Dat
     return both.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "d")
 
 
-def set_sketch(hashes: np.ndarray) -> np.ndarray:
-    """A set in few numbers: its size, the hashes sketched at its level and at the next, and the sketches of both.
+def set_sketch(hashes: np.ndarray, least: float) -> np.ndarray:
+    """A set in few numbers: its size, the hashes sketched at its level and at the next, and the sketches of both, the second only where a partner may need it.
 
     At level k one hash in 2**k is sketched; a set's level is the least at which about
     SKETCH_FULL remain. A sketch has one bit for each of SKETCH_BITS classes of hashes:
     whether the class holds an odd number of them. The sketches of two sets differ where
-    the sets do. Sets whose sizes lie within 2 : 1 share a level.
+    the sets do. Sets whose sizes lie within 2 : 1 share a level; one whose partners, at
+    most 1 / least times as large, have no higher level is sketched once.
     """
     low = max(0, int(np.ceil(np.log2(max(1, len(hashes)) / SKETCH_FULL))))
     counts, bits = [len(hashes)], []
@@ -480,15 +483,26 @@ def set_sketch(hashes: np.ndarray) -> np.ndarray:
         odd = np.bincount((part % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
         counts.append(len(part))
         bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+    if len(hashes) <= least * SKETCH_FULL * 2**low:
+        bits.pop()
     return np.concatenate([np.array(counts, dtype=np.int64), *bits])
 
 
-def _sketched(sets: DataFrame) -> DataFrame:
+def stacked(sketches: Iterable[np.ndarray]) -> np.ndarray:
+    """Sketches as the rows of one matrix; a second one that is not there is zero."""
+    sketches = list(sketches)
+    out = np.zeros((len(sketches), 3 + 2 * SKETCH_BITS // 64), dtype=np.int64)
+    for row, sketch in zip(out, sketches, strict=True):
+        row[: len(sketch)] = sketch
+    return out
+
+
+def _sketched(sets: DataFrame, least: float) -> DataFrame:
     """Rows (node, sketch) of sets (node, shingles)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in frames:
-            sketch = [set_sketch(np.asarray(x, dtype=np.int64).view(np.uint64)) for x in part["shingles"]]
+            sketch = [set_sketch(np.asarray(x, dtype=np.int64).view(np.uint64), least) for x in part["shingles"]]
             yield pd.DataFrame({"node": part["node"].array, "sketch": sketch})
 
     return sets.mapInPandas(run, "node long, sketch array<long>")
@@ -522,6 +536,19 @@ def may_reach(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return (low >= least * high) & ((odd <= np.ceil(limit)) | (top - level(low) > 1))  # no level in common: sketches tell nothing
 
 
+def _within_reach(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches may reach `least`."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k in range(0, len(frame), 8192):
+                part = frame.iloc[k : k + 8192]
+                yield part.loc[may_reach(stacked(part["x"]), stacked(part["y"]), least), ["a", "b"]]
+
+    side = lambda end, name: sketches.select(F.col("node").alias(end), F.col("sketch").alias(name))
+    return pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(run, "a long, b long")
+
+
 def _marks(tables: int) -> np.ndarray:
     """A number for each table (a fingerprint under a mask) that tells its buckets from those of others."""
     return mix64(np.arange(1, tables + 1, dtype=np.uint64)).view(np.int64)
@@ -573,7 +600,7 @@ def _close_across(masks: list[int], prints: int, most: int, least: float):
         for frame in frames:
             if not len(frame):
                 continue
-            rows = [frame[c].to_numpy() for c in ("bucket", "i", "j", "own", "node", "comp")] + [np.stack(frame[c].to_numpy()) for c in ("prints", "sketch")]
+            rows = [frame[c].to_numpy() for c in ("bucket", "i", "j", "own", "node", "comp")] + [np.stack(frame["prints"].to_numpy()), stacked(frame["sketch"])]
             if rest:
                 rows = [np.concatenate(z) for z in zip(rest[0], rows, strict=True)]
             edges = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])) + 1
