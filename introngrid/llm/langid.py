@@ -7,18 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from introngrid.llm.words import slices
-from introngrid.storage import bounded_broadcast, materialize
+from introngrid.storage import materialize
 
 UNKNOWN = "und"
 #: Character n-grams of all these lengths count, by presence; they share so many hashed places.
 SPECTRUM, PLACES = (1, 2, 3), 1 << 14
-#: Labelled rows that the classifier is fitted on, about, and landmarks of the Nyström map.
+#: Labelled rows that the classifier is fitted on, at most, and landmarks of the Nyström map.
 SAMPLE, LANDMARKS = 2000, 256
 RIDGE = 1e-3
 BATCH = 256
@@ -84,25 +84,31 @@ class Classifier:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """A classifier from rows (doc_id, text, lang), by about `sample` of them and alike many of each language; None without any.
+    """A classifier from rows (doc_id, text, lang), by at most `sample` of them and alike many of each language; None without any.
 
-    Rows are chosen by hash. Their whole texts become presence bits on the workers, and
-    only these, two kilobytes a row, come to the driver.
+    Every language is learned, by one row at least; only of more languages than `sample`
+    the commonest are (ties by name). Rows are ranked by a hash inside their language and equal
+    rows count once. Their whole texts become presence bits on the workers, and only
+    these, two kilobytes a row, come to the driver.
     """
     labelled = labelled.where("lang is not null and text is not null")
-    counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample), "languages")
     languages = counts.count()
     if not languages:
         return None
-    share = F.lit(float(max(1, sample // languages))) / F.col("n")
-    small = bounded_broadcast(counts.select("lang", share.alias("share")))
-    chosen = labelled.join(small, "lang").where((F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) < F.col("share") * (1 << 20)) | (F.col("share") >= 1))
+    each = max(1, sample // languages)
+    # A hash thins each language to some more rows than it needs (too few only if its rows repeat); those are ranked.
+    small = F.broadcast(counts.select("lang", (F.lit(2.0 * each + 40) / F.col("n")).alias("share")))
+    place = F.xxhash64("doc_id", F.lit("langid"))
+    thinned = labelled.join(small, "lang").where((F.pmod(place, F.lit(1 << 40)) < F.col("share") * (1 << 40)) | (F.col("share") >= 1))
 
     def bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(frames):
-            yield pd.DataFrame({"lang": part["lang"], "doc_id": part["doc_id"], "bits": [np.packbits(presence([t])[0] > 0).tobytes() for t in part["text"]]})
+            yield pd.DataFrame({"lang": part["lang"], "doc_id": part["doc_id"], "place": part["place"], "bits": [np.packbits(presence([t])[0] > 0).tobytes() for t in part["text"]]})
 
-    rows = chosen.select("lang", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(bits, "lang string, doc_id string, bits binary").limit(4 * sample).collect()
+    coded = thinned.select("lang", F.col("doc_id").cast("string").alias("doc_id"), place.alias("place"), "text").mapInPandas(bits, "lang string, doc_id string, place long, bits binary")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "bits"))
+    rows = coded.distinct().withColumn("k", rank).where(F.col("k") <= each).select("lang", "doc_id", "bits").collect()
     rows = sorted((r["lang"], r["doc_id"] or "", bytes(r["bits"])) for r in rows)
     return Classifier([r[2] for r in rows], [r[0] for r in rows]) if rows else None
 
