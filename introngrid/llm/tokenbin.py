@@ -154,8 +154,8 @@ def write_matrices(
             yield pd.DataFrame({"doc_id": part["doc_id"].array, "salt": part["salt"].array, "ids": own})
 
     coded = by_batches(narrow.withColumn("salt", F.xxhash64("doc_id", "text")), run, "doc_id long, salt long, ids binary")
-    # Repeated rows must not meet in one share: their place among the rows of a task salts them too.
-    spread = F.pmod(F.xxhash64("doc_id", "salt", F.monotonically_increasing_id() % 64), F.lit(shares)).cast("int")
+    # Repeated rows must not meet in one share, however many: their place among all rows salts them too.
+    spread = F.pmod(F.xxhash64("doc_id", "salt", F.monotonically_increasing_id()), F.lit(shares)).cast("int")
     index = coded.withColumn("share", spread).groupBy("share").applyInArrow(_share(capacity, pad_id, folder), from_arrow_schema(INDEX))
     return materialize(index, "matrix-index")
 

@@ -91,7 +91,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
 
     The index (page_id, url, digest, file, offset, length) is itself a written table; it
     alone says which files count. Of equal payloads of at least LEAST_REVISIT bytes the
-    row with the smallest page_id is a response, the others are revisits that name it.
+    row with the smallest page_id is a response, the others are revisits that name it (rows
+    that repeat this page_id are responses too: a revisit can't name its own id).
     Null html is an empty payload. A row with a null page_id is a response with its own
     payload, named by no revisit, and is read back with a null page_id. folder must be a place that
     all workers share (by default one in the session's shared folder) and pyarrow can open.
