@@ -11,6 +11,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one step of the reduction tree rounds together.
 FAN_IN = 128
 SEED = 1729
+#: A source whose words miss the target by more than this share of it lets settled documents trade once more.
+NEAR = 0.07
+#: Of each source, direction and power of two of the size so many documents may trade; the SHORTEST of all do it in every combination.
+TRADERS, SHORTEST = 4, 10
 
 
 def word_count(text: Column) -> Column:
@@ -90,8 +94,57 @@ def _pivot(acc: Column, item: Column, level: int, seed: int) -> Column:
     )
 
 
+def _flips(left: Column, slack: Column, traders: Column, seed: int) -> Column:
+    """The traders (by falling size; each has h, d = the words its flip adds) whose flips bring `left` within slack of 0, or as near as they can.
+
+    Those before the last SHORTEST flip one by one if that helps; the last ones do in one of all their combinations:
+    of those within the slack one with the fewest flips, drawn by a hash, so that no document is always the one that gives way.
+    """
+    n = F.size(traders)
+    cut = F.greatest(n - SHORTEST, F.lit(0))
+    kind = "array<int>"
+    start = F.struct(left.alias("r"), F.array().cast(kind).alias("at"))
+
+    def flipped(s: Column, i: Column) -> Column:
+        return F.struct((s["r"] - F.get(traders, i)["d"]).alias("r"), F.concat(s["at"], F.array(i)).alias("at"))
+
+    def greedy(acc: Column, i: Column) -> Column:
+        helps = (F.abs(acc["r"]) > slack) & (F.abs(acc["r"] - F.get(traders, i)["d"]) < F.abs(acc["r"]))
+        return F.when(helps, flipped(acc, i)).otherwise(acc)
+
+    def rated(s: Column) -> Column:
+        draw = F.aggregate(s["at"], F.lit(seed).cast("long"), lambda acc, i: F.xxhash64(acc, F.get(traders, i)["h"]))
+        return F.struct(F.greatest(F.abs(s["r"]) - slack, F.lit(0.0)).alias("over"), F.size(s["at"]).alias("many"), draw.alias("draw"), s["at"].alias("at"))
+
+    def best(first: Column) -> Column:
+        last = F.when(n > cut, F.sequence(cut, n - 1)).otherwise(F.array().cast(kind))
+        subsets = F.aggregate(last, F.array(first), lambda acc, i: F.concat(acc, F.transform(acc, lambda s: flipped(s, i))))
+        return F.array_min(F.transform(subsets, rated))["at"]
+
+    long_ones = F.when(cut > 0, F.sequence(F.lit(0), cut - 1)).otherwise(F.array().cast(kind))
+    return F.transform(_let(F.aggregate(long_ones, start, greedy), best), lambda i: F.get(traders, i))
+
+
+def _settle_rest(rounded: DataFrame, rest: DataFrame, seed: int) -> DataFrame:
+    """rounded (source, item) with some x flipped in the sources of rest (source, slack, left: words still to take, or below 0 taken too many)."""
+    rest = materialize(rest, "mixrest")
+    if not rest.limit(1).count():
+        return rounded
+    mine = rounded.join(bounded_broadcast(rest.select(F.col("source").alias("__source"), "left", "slack")), F.col("source").eqNullSafe(F.col("__source")))
+    mine = mine.select("source", "left", "slack", "item.doc_id", "item.size", "item.h", "item.a", F.when(F.col("item.x") > 0.5, -F.col("item.a")).otherwise(F.col("item.a")).alias("d"))
+    some = Window.partitionBy("source", F.signum("d"), F.floor(F.log2("a"))).orderBy("h", "doc_id", "size")
+    mine = mine.withColumn("k", F.row_number().over(some)).where(F.col("k") <= TRADERS)
+    trader = F.struct((-F.col("a")).alias("order"), "h", "doc_id", "size", "d")
+    groups = mine.groupBy("source", "left", "slack").agg(F.array_sort(F.collect_list(trader)).alias("traders"))
+    flips = groups.select("source", F.explode(_flips(F.col("left"), F.col("slack"), F.col("traders"), seed)).alias("f"))
+    flips = materialize(flips.select(F.col("source").alias("__source"), F.col("f.doc_id").alias("__doc"), F.col("f.size").alias("__size"), F.lit(True).alias("__flip")), "mixflips")
+    same = F.col("source").eqNullSafe(F.col("__source")) & F.col("item.doc_id").eqNullSafe(F.col("__doc")) & (F.col("item.size") == F.col("__size"))
+    told = rounded.join(bounded_broadcast(flips), same, "left")
+    return told.select("source", F.when(F.col("__flip"), _with_x(F.col("item"), 1 - F.col("item.x"))).otherwise(F.col("item")).alias("item"))
+
+
 def _round_all(items: DataFrame, n_max: int, seed: int) -> DataFrame:
-    """items (source, n, item struct) with every item.x rounded to 0 or 1 by a tree of small folds."""
+    """items (source, n, target, item struct) with every item.x rounded to 0 or 1 by a tree of small folds."""
     kind = items.schema["item"].dataType.simpleString()
     done, level, chunks = [], 0, n_max
     while True:
@@ -101,25 +154,27 @@ def _round_all(items: DataFrame, n_max: int, seed: int) -> DataFrame:
         start = F.struct(F.lit(None).cast(kind).alias("carry"), F.array().cast(f"array<{kind}>").alias("out"))
         folded = (
             items.withColumn("chunk", chunk)
-            .groupBy("source", "n", "chunk")
+            .groupBy("source", "n", "target", "chunk")
             .agg(F.array_sort(F.collect_list("item")).alias("items"))
-            .select("source", "n", F.aggregate("items", start, lambda acc, it: _pivot(acc, it, level, seed)).alias("f"))
+            .select("source", "n", "target", F.aggregate("items", start, lambda acc, it: _pivot(acc, it, level, seed)).alias("f"))
         )
         folded = materialize(folded, f"mix{level}")
         settled = (F.col("f.carry.x") <= 0) | (F.col("f.carry.x") >= 1)
         done.append(folded.select("source", F.explode("f.out").alias("item")))
         done.append(folded.where(settled).select("source", F.col("f.carry").alias("item")))
-        items = folded.where(~settled).select("source", "n", F.col("f.carry").alias("item"))
+        items = folded.where(~settled).select("source", "n", "target", F.col("f.carry").alias("item"))
         level += 1
         if chunks <= 1:
             break
-    # At most one document of a source is left: it is drawn by its probability.
+    # At most one document of a source is left: it is drawn by its probability, and settled ones may take over the words it leaves.
     coin = F.when(_draw(F.col("item.h"), F.lit(-1), F.lit(seed)) < F.col("item.x"), F.lit(1.0)).otherwise(F.lit(0.0))
     done.append(items.select("source", _with_x(F.col("item"), coin).alias("item")))
     out = done[0]
     for part in done[1:]:
         out = out.union(part)
-    return out
+    left = F.col("item.a") * (F.col("item.x") - coin)
+    slack = F.lit(NEAR) * F.col("target")
+    return _settle_rest(out, items.select("source", left.alias("left"), slack.alias("slack")).where(F.abs("left") > F.col("slack")), seed)
 
 
 def plan_mix(
@@ -129,7 +184,9 @@ def plan_mix(
 
     A source wants target / source_size copies of each document. The whole part is sure;
     the fractions are rounded by the pivotal method with the documents' sizes as weights,
-    so a source's words miss the target by less than one document. Folds of about FAN_IN
+    so a source's words miss the target by less than one document. Where that is over NEAR of
+    the target (small sources), as few settled documents as it takes flip to come within it, or
+    as near as they can; documents' expected shares hold but for these flips. Folds of about FAN_IN
     documents, dealt by hash inside each source, each leave one unsettled document, and
     those meet in the next level of the tree. Draws hash the documents, so reruns agree.
 
@@ -155,7 +212,7 @@ def plan_mix(
         F.xxhash64("doc_id", "source", "size", F.lit(seed)).alias("h"), F.col("size").cast("double").alias("a"), (F.col("mass") - F.col("sure")).alias("x"),
         "doc_id", "size", "m", "base", "sure",
     )
-    ready = joined.select("source", "n", item.alias("item"))
+    ready = joined.select("source", "n", "target", item.alias("item"))
     open_ = (F.col("item.x") > 0) & (F.col("item.a") > 0)
     still = ready.where(~open_).select("source", _with_x(F.col("item"), F.lit(0.0)).alias("item"))
     rounded = _round_all(ready.where(open_), n_max, seed).union(still)
