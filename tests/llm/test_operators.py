@@ -100,6 +100,38 @@ def test_mix_against_brute_force(table, rows):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def test_small_sources_come_near_their_targets(spark):
+    """Sources of eight documents, some of them long: words taken lie within the shortest document or the slack of the target."""
+    rng = np.random.default_rng(8)
+    rows = [(100 * s + i, rng_text(rng, int(rng.integers(20, 200)) * (5 if i == 0 else 1)), "en", f"small{s}") for s in range(9) for i in range(8)]
+    rows += [(5000, "alone " * 70, "en", "one"), (5001, "pair " * 40, "en", "two"), (5002, "pair " * 90, "en", "two"), (5002, "pair " * 90, "en", "two"), (None, "n " * 30, "en", "two")]
+    got = mix.mix_sizes(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 3 * r["size"] and r["taken"] % r["size"] == 0 for r in got)
+    for source in {r["source"] for r in got} - {"one", "two"}:
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(min(r["size"] for r in own), mix.NEAR * own[0]["target"])
+    for source in ("one", "two"):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 10, 14])
+@pytest.mark.parametrize("slack", [0.0, 15.0])
+def test_flips_against_all_combinations(spark, n, slack):
+    rng = np.random.default_rng(n)
+    sizes = sorted(rng.integers(1, 400, n).tolist(), reverse=True)
+    traders = [(-float(a), i, i, a, float(a if rng.random() < 0.5 else -a)) for i, a in enumerate(sizes)]
+    table = spark.createDataFrame([(123.0, slack, traders)], "left double, slack double, traders array<struct<order double, h long, doc_id long, size long, d double>>")
+    got = table.select(mix._flips(F.col("left"), F.col("slack"), F.col("traders"), 5).alias("f")).first()["f"]
+    left, many, cut = 123.0, 0, max(0, n - mix.SHORTEST)
+    for t in traders[:cut]:
+        if abs(left) > slack and abs(left - t[4]) < abs(left):
+            left, many = left - t[4], many + 1
+    sets = [[t[4] for k, t in enumerate(traders[cut:]) if m >> k & 1] for m in range(1 << min(n, mix.SHORTEST))]
+    best = min((max(abs(left - sum(x)) - slack, 0.0), many + len(x)) for x in sets)
+    assert (max(abs(123.0 - sum(f["d"] for f in got)) - slack, 0.0), len(got)) == (pytest.approx(best[0]), best[1])
+
+
 def test_mix_documents_repeats_rows(table):
     plan = {}
     for r in mix.mix_sizes(table).collect():
@@ -167,6 +199,16 @@ def test_warc_round_trip(spark):
     assert [r["page_id"] for r in one] == [5]
 
 
+def test_warc_repeated_page_ids(spark):
+    """Rows that repeat the smallest page_id of a payload are all responses; others name that id, however often it occurs."""
+    long, other = "p" * 200, "q" * 150
+    rows = [(3, "u", long), (3, "u", long), (5, "v", long), (5, "v", long), (3, "w", other), (9, "w", "short"), (9, "w", "short")]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    told = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in got)
+    assert told == sorted([(3, 200, "response", 0)] * 2 + [(5, 200, "revisit", 3)] * 2 + [(3, 150, "response", 0)] + [(9, 5, "response", 0)] * 2)
+    assert all(r["valid"] for r in got)
+
+
 def brute_removed(texts, window):
     seen = {}
     for t in texts:
@@ -330,6 +372,45 @@ def test_languages(spark):
     assert (alone["lang_pred"], alone["score"]) == ("und", 0.0)
 
 
+def test_language_table_is_the_kernel_model():
+    """The collapsed table scores like plain kernel values of n-gram sets times Nyström ridge coefficients."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join("".join(rng.choice(list(letters), 5)) for _ in range(12)) for letters in ("abcdé", "defgh", "ghiж字") for _ in range(20)]
+    labels = [x for x in "pqr" for _ in range(20)]
+    sets = [set(langid._places(t).tolist()) for t in texts]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    marks = [sets[i] for i in np.sort(np.random.default_rng(11).permutation(60)[: langid.LANDMARKS])]
+    k_zz = np.array([[kernel(a, b) for b in marks] for a in marks])
+    k_xz = np.array([[kernel(a, b) for b in marks] for a in sets])
+    values, vectors = np.linalg.eigh(k_zz)
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    y = np.where(np.array(labels)[:, None] == np.array(["p", "q", "r"])[None, :], 1.0, -1.0)
+    phi = k_xz @ root  # classes are equally large, so all rows weigh 1
+    alpha = root @ np.linalg.solve(phi.T @ phi + langid.RIDGE * 60 * np.eye(phi.shape[1]), phi.T @ y)
+    model = langid.Classifier([np.packbits(langid.presence([t])[0] > 0).tobytes() for t in texts], labels)
+    new = ["abc éda " * 9, "gh fed", "字ж gi", "x", texts[3] + texts[45]]
+    want = np.array([[kernel(set(langid._places(t).tolist()), m) for m in marks] for t in new]) @ alpha
+    assert np.allclose(langid.presence(new) @ model.table, want, atol=2e-3)
+    pred, score = model.predict(new)
+    assert pred == [model.languages[i] for i in want.argmax(1)]
+    top = np.sort(want, axis=1)
+    assert np.allclose(score, np.clip((top[:, -1] - top[:, -2]) / 2, 0, 1), atol=2e-3)
+
+
+def test_language_sample_takes_alike_many_of_each(spark):
+    """A language of one row among hundreds is learned; beyond `sample` languages the commonest are; repeated rows count once."""
+    rows = [(i, f"common words {i} here", "aa", "s") for i in range(300)] + [(1000 + i, f"zz{i} qq{i}", f"rare{i:02d}", "s") for i in range(20)]
+    rows += [(7000, "same row again", "bb", "s")] * 40 + [(None, None, "cc", "s")]
+    table = docs(spark, rows)
+    model = langid.fit(table.select("doc_id", "text", "lang"), sample=44)
+    assert set(model.languages) == {"aa", "bb", *(f"rare{i:02d}" for i in range(20))}
+    few = langid.fit(table.select("doc_id", "text", "lang"), sample=5)
+    assert set(few.languages) == {"aa", "bb", "rare00", "rare01", "rare02"}
+    got = langid.predict_languages(docs(spark, [(i, f"word{i} text{i}", f"l{i}", "s") for i in range(60)]), sample=10).collect()
+    assert len(got) == 60 and len({r["lang_pred"] for r in got}) <= 10
+
+
 @pytest.mark.parametrize("n", [1, 31, 32, 33, 2047, 2048, 2049, 5000])
 def test_cut_lengths(n):
     parts = packing.cut_lengths(n)
@@ -604,6 +685,14 @@ def test_matrix_ids_stay_exact(spark):
     assert sorted(got, key=key) == sorted(IDS, key=key)
 
 
+def test_matrix_shares_of_equal_rows(spark):
+    """Thousands of equal rows are dealt over all shares alike."""
+    table = spark.range(0, 9000, 1, 4).select(F.lit(7).cast("long").alias("doc_id"), F.lit("equal words in all rows").alias("text"))
+    index = tokenbin.write_matrices(table, tokenizer_path("word_bpe_49k.json"), capacity=16, share=1200)
+    sizes = [r["n"] for r in index.groupBy("file").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert sum(sizes) == 9000 and len(sizes) >= 150 and max(sizes) < 3 * 9000 / len(sizes)
+
+
 def test_matrix_files_are_plain_rows(spark, tmp_path):
     """Files hold the rows and nothing else; a row whose bytes have changed is not valid."""
     path = tokenizer_path("word_bpe_49k.json")
