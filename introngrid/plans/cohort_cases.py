@@ -138,8 +138,10 @@ def d18(s, d):
 
 
 def d19(s, d):
-    names = s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("SRR"), F.col("o_orderkey").cast("string")).alias("name")).distinct()
-    ranges = s.range(200).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("batch"), (F.col("id") * 5000).alias("first"), (F.col("id") * 5000 + 4999).alias("last"))
+    number = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey").distinct()
+    names = number.select(F.concat(F.lit("SRR"), F.col("o_orderkey").cast("string")).alias("name"))
+    batches = number.select(F.floor(F.col("o_orderkey") / 5000).alias("id")).distinct()
+    ranges = batches.select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("batch"), (F.col("id") * 5000).alias("first"), (F.col("id") * 5000 + 4999).alias("last"))
     return D.range_lookup(names, ranges)
 
 
