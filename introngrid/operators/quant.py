@@ -64,10 +64,13 @@ def unmapped_transcripts(values: DataFrame, support: DataFrame) -> DataFrame:
 
 
 def project_counts(values: DataFrame, edges: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Rows (feature, sample, value) of features whose total is over threshold; transcript ids match without version."""
+    """Rows (feature, sample, value) of features whose total is over threshold; transcript ids match without version.
+
+    Totals are compared to nine decimals, so one at the threshold doesn't depend on the order in which doubles were added.
+    """
     joined = values.withColumn("tx_id", bare("tx_id")).join(edges.select(bare("tx_id").alias("tx_id"), "feature").distinct(), "tx_id")
     sums = joined.groupBy("feature", "sample").agg(F.sum("value").alias("value"))
-    return sums.withColumn("__t", F.sum("value").over(over("feature"))).where(F.col("__t") > threshold).drop("__t")
+    return sums.withColumn("__t", F.round(F.sum("value").over(over("feature")), 9)).where(F.col("__t") > threshold).drop("__t")
 
 
 def clean_labels(df: DataFrame, name: str) -> DataFrame:
