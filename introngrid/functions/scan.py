@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from introngrid.storage import materialize
+from introngrid.storage import materialize, shares
 
 #: A fold of a column, and of two of its results (nulls are passed over).
 FOLDS = {"sum": (F.sum, lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)), "min": (F.min, F.least), "max": (F.max, F.greatest)}
@@ -20,12 +20,14 @@ class Ranges:
     """The rows of df, written in range partitions of (keys, order); a key may span any number of them.
 
     Rows that are equal in all of these are told apart by a running number, so many of them
-    split as well. Nulls of keys are a key; nulls in the order come first.
+    split as well. Nulls of keys are a key; nulls in the order come first. There are as many
+    ranges as the input asks for (storage.shares), so a range doesn't grow with it.
     """
 
     def __init__(self, df: DataFrame, keys, order, ranges: int | None = None):
         self.keys, self.order = list(keys), [*order, "__tie"]
         by = [*map(F.asc, self.keys), *ordering(self.order)]
+        ranges = ranges or shares(df)
         tied = df.withColumn("__tie", F.monotonically_increasing_id())
         spread = tied.repartitionByRange(ranges, *by) if ranges else tied.repartitionByRange(*by)
         self.rows = materialize(spread.withColumn("__part", F.spark_partition_id()), "ranges")

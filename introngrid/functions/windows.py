@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from introngrid.functions.scan import Ranges
+from introngrid.storage import spread
 
 
 def islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True) -> DataFrame:
@@ -38,18 +39,27 @@ def bh(df: DataFrame, p: str, keys=(), ties=(), out: str = "fdr", ranges: int |
     the least scaled value from here on is carried back through them. Equal p-values get
     one value whatever their order, so ties only names columns for a stable order.
     """
-    spread = Ranges(df, keys, [p, *ties], ranges)
-    counted = spread.counts(F.col(p).isNotNull(), "__rank", "__n")
+    tiles = Ranges(df, keys, [p, *ties], ranges)
+    counted = tiles.counts(F.col(p).isNotNull(), "__rank", "__n")
     scaled = counted.withColumn("__q", F.when(F.col(p).isNotNull(), F.col(p) * F.col("__n") / F.col("__rank")))
-    least = spread.running(scaled, "__q", "__least", how="min", reverse=True)
-    return spread.close(least).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "__least"))).drop("__rank", "__n", "__q", "__least")
+    least = tiles.running(scaled, "__q", "__least", how="min", reverse=True)
+    return tiles.close(least).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "__least"))).drop("__rank", "__n", "__q", "__least")
 
 
-def simes(df: DataFrame, p: str, keys, out: str = "p_value", n: str = "n_features", extra=()) -> DataFrame:
-    """Simes p-value of each key's non-null p-values, with their number."""
-    part = Window.partitionBy(*keys)
-    ranked = df.where(F.col(p).isNotNull()).withColumn("__s", F.col(p) * F.count("*").over(part) / F.row_number().over(part.orderBy(p)))
-    return ranked.groupBy(*keys).agg(F.least(F.lit(1.0), F.min("__s")).alias(out), F.count("*").alias(n), *extra)
+def simes(df: DataFrame, p: str, keys, out: str = "p_value", n: str = "n_features", extra=(), wide: bool = False, ranges: int | None = None) -> DataFrame:
+    """Simes p-value of each key's non-null p-values, with their number.
+
+    A key's rows are ranked in one task; with wide, for keys of any size, over range partitions.
+    """
+    rows = df.where(F.col(p).isNotNull())
+    rows = rows if extra else rows.select(*keys, p)
+    if wide:
+        ranked = Ranges(rows, keys, [p], ranges).counts(F.lit(True), "__rank", "__n")
+    else:
+        part = Window.partitionBy(*keys).orderBy(p)
+        ranked = spread(rows, *keys).withColumns({"__rank": F.row_number().over(part), "__n": F.count("*").over(part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    scaled = ranked.withColumn("__s", F.col(p) * F.col("__n") / F.col("__rank"))
+    return scaled.groupBy(*keys).agg(F.least(F.lit(1.0), F.min("__s")).alias(out), F.count("*").alias(n), *extra)
 
 
 def unique_or_null(name: str) -> Column:

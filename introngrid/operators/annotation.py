@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from introngrid.functions.scan import Ranges
 from introngrid.functions.windows import merge_intervals  # noqa: F401
 from introngrid.schema import assert_no_conflict
-from introngrid.storage import materialize
+from introngrid.storage import materialize, shares
 
 
 def place(chrom: str = "chrom", start: str = "start", stop: str = "stop") -> Column:
@@ -73,7 +73,9 @@ def incidence(support: DataFrame, which: str = "introns") -> DataFrame:
 
 def dense_ids(df: DataFrame, name: str, out: str) -> DataFrame:
     """Distinct values of a column with numbers from 0 in their order, without a global sort in one task."""
-    spread = df.select(name).distinct().repartitionByRange(name).sortWithinPartitions(name).withColumn("__p", F.spark_partition_id())
+    wanted = shares(df)
+    named = df.select(name).distinct()
+    spread = (named.repartitionByRange(wanted, name) if wanted else named.repartitionByRange(name)).sortWithinPartitions(name).withColumn("__p", F.spark_partition_id())
     spread = materialize(spread, "ids")
     sizes = spread.groupBy("__p").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -28,7 +28,7 @@ def bh_eligible(df: DataFrame, p: str = "p_value", keys=("method",), eligible: s
 
 def gene_pvalues(df: DataFrame) -> DataFrame:
     """Simes p-value by method and gene, ids without version."""
-    return simes(df.withColumn("gene_id", F.split("gene_id", r"\.")[0]), "p_value", ["method", "gene_id"])
+    return simes(df.withColumn("gene_id", F.split("gene_id", r"\.")[0]), "p_value", ["method", "gene_id"], wide=True)
 
 
 def feature_pvalues(df: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def feature_pvalues(df: DataFrame) -> DataFrame:
 def gene_pair_pvalues(df: DataFrame) -> DataFrame:
     """Simes p-value by method, gene and unordered pair of levels; the pair's name joins both by two pipes."""
     pair = F.concat_ws("||", F.least("level_a", "level_b"), F.greatest("level_a", "level_b"))
-    return simes(df.withColumn("gene_id", F.split("gene_id", r"\.")[0]).withColumn("pair_id", pair), "p_value", ["method", "gene_id", "pair_id"])
+    return simes(df.withColumn("gene_id", F.split("gene_id", r"\.")[0]).withColumn("pair_id", pair), "p_value", ["method", "gene_id", "pair_id"], wide=True)
 
 
 def simes_omnibus(df: DataFrame, level: float = 0.05, metadata=("gene_id",)) -> DataFrame:
@@ -194,7 +194,7 @@ def gated_fdr(df: DataFrame, null: DataFrame, lo: float, hi: float, bins=("depth
     for b in bins:
         checks = checks.unionByName(null.groupBy("method", b).agg(F.avg(hit).alias("rate")).drop(b))
     passed = checks.groupBy("method").agg(F.bool_and(F.col("rate").between(lo, hi)).alias("passed"))
-    return bh_eligible(df.join(passed, "method", "left"), eligible="passed", ties=ties)
+    return bh_eligible(df.join(bounded_broadcast(materialize(passed, "passed")), "method", "left"), eligible="passed", ties=ties)
 
 
 def merge_summary(df: DataFrame, null: DataFrame, key: str = "method") -> DataFrame:
@@ -292,7 +292,7 @@ def pair_reproducibility(folds: DataFrame, level: float = 0.05) -> DataFrame:
     need = rows.select("method", "fold").distinct().agg(F.count("*").alias("need"))
     shared = rows.groupBy("gene_id", "pair_id").agg(F.countDistinct("method", "fold").alias("have")).crossJoin(F.broadcast(need)).where("have = need")
     kept = rows.join(shared.select("gene_id", "pair_id"), ["gene_id", "pair_id"], "left_semi")
-    return reproducibility(simes(kept, "p_value", ["method", "fold", "gene_id"]), level)
+    return reproducibility(simes(kept, "p_value", ["method", "fold", "gene_id"], wide=True), level)
 
 
 def compare_discoveries(df: DataFrame, first: str, level: float = 0.05, key: str = "gene_id") -> DataFrame:

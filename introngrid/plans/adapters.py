@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from introngrid.storage import spread
+
 TX_EXON = """
 SELECT 't' || k AS tx_id, 'g' || g AS gene_id, 'chr' || (g % 5 + 1) AS chrom, CASE WHEN g % 2 = 0 THEN '+' ELSE '-' END AS strand,
        CASE WHEN g % 2 = 0 THEN rn ELSE n + 1 - rn END AS exon_number, s AS start, s + 150 + (u % 2) * 50 AS stop
@@ -56,10 +58,27 @@ ADAPTERS = {
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
 
 
+#: TX_EXON with its windows over tx_id itself: rows move once for the view and for whatever goes by transcript after it.
+EXONS_BY_TX = """
+SELECT tx_id, 'g' || g AS gene_id, 'chr' || (g % 5 + 1) AS chrom, CASE WHEN g % 2 = 0 THEN '+' ELSE '-' END AS strand,
+       CASE WHEN g % 2 = 0 THEN rn ELSE n + 1 - rn END AS exon_number, s AS start, s + 150 + (u % 2) * 50 AS stop
+FROM (SELECT tx_id, g, rn, n, u, g * 10000 + rn * 1000 + (p % 3) * 100 AS s
+      FROM (SELECT tx_id, CAST(floor(k / 8) AS BIGINT) AS g, p, u,
+                   row_number() OVER (PARTITION BY tx_id ORDER BY line, p, u) AS rn, count(*) OVER (PARTITION BY tx_id) AS n FROM {rows}) x) y"""
+
+
+def exons_by_transcript(lineitem: DataFrame) -> DataFrame:
+    """The rows of TX_EXON, those of a transcript together."""
+    rows = lineitem.selectExpr("'t' || l_orderkey AS tx_id", "l_orderkey AS k", "l_partkey AS p", "l_suppkey AS u", "l_linenumber AS line")
+    return lineitem.sparkSession.sql(EXONS_BY_TX, rows=spread(rows, "tx_id"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An adapter's rows over the tables of sf_dir."""
     text = ADAPTERS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
+    if text is TX_EXON:
+        return exons_by_transcript(tables["lineitem"])
     return spark.sql(text, **tables)
 
 

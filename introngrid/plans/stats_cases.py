@@ -52,7 +52,7 @@ def p02(s, d):
 
 
 def p03(s, d):
-    return r(simes(pv(s, d), "p_value", ["method", "level_a"]), "p_value", n=9)
+    return r(simes(pv(s, d), "p_value", ["method", "level_a"], wide=True), "p_value", n=9)
 
 
 def p04(s, d):
@@ -251,7 +251,7 @@ def p24(s, d):
 
 def _folds(s, d):
     rows = pv(s, d).withColumn("gene_id", F.split("gene_id", r"\.")[0]).withColumn("fold", F.col("k1") % 2)
-    return simes(rows, "p_value", ["method", "fold", "gene_id"])
+    return simes(rows, "p_value", ["method", "fold", "gene_id"], wide=True)
 
 
 def p25(s, d):

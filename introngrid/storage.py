@@ -19,6 +19,28 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/introngrid-{spark.sparkContext.applicationId}"
 
 
+#: Bytes of input files that one task is to take: about a million rows of the narrow test tables.
+SHARE = 16 << 20
+
+
+def shares(df: DataFrame) -> int | None:
+    """Tasks for a shuffle of df's rows, in step with the bytes of the files it reads; None where the session's number is enough."""
+    spark = df.sparkSession
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    size = 0
+    for folder in {f.rsplit("/", 1)[0] if "/part-" in f else f for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        size += path.getFileSystem(conf).getContentSummary(path).getLength()
+    wanted = -(-size // SHARE)
+    return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df with the rows of equal keys together, in as many tasks as its input asks for; left as it is where the session's number is enough."""
+    wanted = shares(df)
+    return df.repartition(wanted, *keys) if wanted else df
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
