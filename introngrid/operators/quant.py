@@ -13,7 +13,7 @@ from introngrid.functions.tiles import by_tiles, matrix
 from introngrid.operators import annotation as A
 from introngrid.operators import cluster as C
 from introngrid.schema import assert_no_conflict, assert_none, assert_unique, require_columns
-from introngrid.storage import bounded_broadcast, materialize, release
+from introngrid.storage import bounded_broadcast, gather, materialize, release
 
 
 def over(*keys: str):
@@ -51,9 +51,15 @@ def normalize_local(quant: DataFrame, genes: DataFrame) -> DataFrame:
     return joined.select("sample", "tx_id", "gene_id", F.coalesce(share * F.sum("num_reads").over(over("sample", "gene_id")), F.lit(0.0)).alias("value"))
 
 
-def count_features(values: DataFrame, support: DataFrame, cutoff: float = 0.0) -> DataFrame:
-    """Rows (feature, sample, value): what the transcripts above cutoff give to each intron or exon."""
-    return values.where(F.col("value") > cutoff).join(support.select("tx_id", "feature"), "tx_id").groupBy("feature", "sample").agg(F.sum("value").alias("value"))
+def count_features(values: DataFrame, support: DataFrame, cutoff: float = 0.0, together: bool = False) -> DataFrame:
+    """Rows (feature, sample, value): what the transcripts above cutoff give to each intron or exon.
+
+    With together rows move by feature alone, so that what goes by feature afterwards needs no further shuffle.
+    """
+    given = values.where(F.col("value") > cutoff).join(support.select("tx_id", "feature"), "tx_id")
+    if together:
+        given = gather(given, "feature")
+    return given.groupBy("feature", "sample").agg(F.sum("value").alias("value"))
 
 
 def unmapped_transcripts(values: DataFrame, support: DataFrame) -> DataFrame:
@@ -585,7 +591,7 @@ def gene_slices(counts: DataFrame, design: DataFrame, ec_genes: DataFrame) -> Da
 def psi_pipeline(quant: DataFrame, exons: DataFrame, mode: int = 3, cutoff: float = 0.1, pct: float = 0.01, min_total: float = 1.0) -> DataFrame:
     """Rows (intron, name, sample, value, psi) from transcript quantification: normalize, project, cluster, link, refine, number, share."""
     introns = materialize(A.introns_from_exons(exons), "introns")
-    counts = count_features(normalize_junction(quant), introns.select("tx_id", F.col("intron").alias("feature"))).withColumnRenamed("feature", "intron")
+    counts = count_features(normalize_junction(quant), introns.select("tx_id", F.col("intron").alias("feature")), together=True).withColumnRenamed("feature", "intron")
     return _psi_of(materialize(counts, "counts"), introns, mode, cutoff, pct, min_total)
 
 
@@ -609,5 +615,5 @@ def pseudobulk_pipeline(cell_ec: DataFrame, ec_tx: DataFrame, cell_meta: DataFra
     totals = summed.groupBy("sample").agg(F.sum("n").alias("total"))
     counts = drop_small(abundance_to_counts(alpha, totals)).select("sample", F.concat(F.lit("t"), F.col("tx_id").cast("string")).alias("tx_id"), F.col("count").alias("value"))
     introns = materialize(A.introns_from_exons(exons), "introns")
-    projected = project_counts(counts, introns.select("tx_id", F.col("intron").alias("feature"))).withColumnRenamed("feature", "intron")
+    projected = project_counts(counts, introns.select("tx_id", F.col("intron").alias("feature")), together=True).withColumnRenamed("feature", "intron")
     return _psi_of(materialize(projected, "projected"), introns, 3, 0.1, 0.01, 1.0).select("intron", "sample", "psi")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from introngrid.storage import spread
+from introngrid.storage import gather, spread
 
 TX_EXON = """
 SELECT 't' || k AS tx_id, 'g' || g AS gene_id, 'chr' || (g % 5 + 1) AS chrom, CASE WHEN g % 2 = 0 THEN '+' ELSE '-' END AS strand,
@@ -73,12 +73,25 @@ def exons_by_transcript(lineitem: DataFrame) -> DataFrame:
     return lineitem.sparkSession.sql(EXONS_BY_TX, rows=spread(rows, "tx_id"))
 
 
+QUANT_BY_TX = """
+SELECT sample, tx_id, 200 + k % 1000 AS effective_length, CAST(sum(q) AS BIGINT) AS num_reads, CAST(sum(q) AS BIGINT) * 7 % 1000 + 1 AS tpm
+FROM {rows} GROUP BY sample, tx_id, k"""
+
+
+def quant_by_transcript(lineitem: DataFrame) -> DataFrame:
+    """The rows of QUANT, those of a transcript together; an order has few rows a sample, so nothing is added up before they move."""
+    rows = lineitem.selectExpr("l_returnflag || l_linestatus AS sample", "'t' || l_orderkey AS tx_id", "l_orderkey AS k", "CAST(l_quantity AS BIGINT) AS q")
+    return lineitem.sparkSession.sql(QUANT_BY_TX, rows=gather(rows, "tx_id"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An adapter's rows over the tables of sf_dir."""
     text = ADAPTERS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
     if text is TX_EXON:
         return exons_by_transcript(tables["lineitem"])
+    if text is QUANT:
+        return quant_by_transcript(tables["lineitem"])
     return spark.sql(text, **tables)
 
 

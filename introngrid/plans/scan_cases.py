@@ -11,7 +11,7 @@ from introngrid.plans.adapters import view
 from introngrid.plans.annotation_cases import LIMITED
 from introngrid.sources import scans as SC
 from introngrid.sources import sinks as SK
-from introngrid.storage import work_folder
+from introngrid.storage import gather, materialize, work_folder
 
 
 def _path(s, name):
@@ -125,7 +125,8 @@ def s13(s, d):
 
 def _bundle(s, d):
     introns = A.introns_from_exons(view(s, d, "tx_exon")).select("tx_id", F.col("intron").alias("junction_id"), "chrom", "start", "stop", "strand")
-    counts = view(s, d, "quant").join(introns, "tx_id").groupBy(F.col("sample").alias("sample_id"), "junction_id").agg(F.sum("num_reads").alias("value"))
+    met = gather(view(s, d, "quant").join(introns.select("tx_id", "junction_id"), "tx_id").select("sample", "junction_id", "num_reads"), "junction_id")
+    counts = materialize(met.groupBy(F.col("sample").alias("sample_id"), "junction_id").agg(F.sum("num_reads").alias("value")), "bundle-counts")
     junctions = introns.groupBy("junction_id").agg(F.min("chrom").alias("chrom"), F.min("start").alias("start"), F.min("stop").alias("stop"), F.min("strand").alias("strand"))
     return counts, junctions, counts.select("sample_id").distinct()
 

@@ -41,6 +41,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(wanted, *keys) if wanted else df
 
 
+def gather(df: DataFrame, *keys: str) -> DataFrame:
+    """spread(), which moves small tables by the keys as well, in the session's number of tasks."""
+    wanted = shares(df)
+    return df.repartition(wanted, *keys) if wanted else df.repartition(*keys)
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
