@@ -8,6 +8,7 @@ from introngrid.operators import annotation as A
 from introngrid.operators import cohort as D
 from introngrid.plans.adapters import view
 from introngrid.plans.annotation_cases import BLOCKS, GROUPS
+from introngrid.storage import gather
 
 SM = "sm AS (SELECT subject || '__' || cell_type AS sample_id, cell_type, min(condition) AS condition, min(subject) AS subject, count(*) AS n_cells FROM {cell_meta} GROUP BY subject, cell_type)"
 COVER = """cv AS (SELECT ec_id AS feature, subject || '__' || cell_type AS sample_id, subject, cell_type, condition, CAST(sum(n) AS BIGINT) AS umis FROM {cell_ec} JOIN {cell_meta} USING (cell_id) GROUP BY ALL)"""
@@ -111,7 +112,8 @@ def d14(s, d):
 
 def d15(s, d):
     j = A.introns_from_exons(view(s, d, "tx_exon")).withColumn("k", F.regexp_extract("tx_id", r"(\d+)$", 1).cast("long"))
-    counts = j.groupBy(F.col("intron").alias("junction_id"), F.concat("gene_id", F.lit("_"), "strand").alias("intron_group"), (F.col("k") % 4).alias("sample_id"), (F.col("k") % 2).alias("side")).agg(F.sum(F.col("k") % 9).alias("value"))
+    rows = j.select(F.col("intron").alias("junction_id"), F.concat("gene_id", F.lit("_"), "strand").alias("intron_group"), (F.col("k") % 4).alias("sample_id"), (F.col("k") % 2).alias("side"), (F.col("k") % 9).alias("v"))
+    counts = gather(rows, "intron_group").groupBy("junction_id", "intron_group", "sample_id", "side").agg(F.sum("v").alias("value"))
     return D.filter_junction_groups(counts, 1, 0.02).withColumn("share", F.round("share", 6))
 
 
