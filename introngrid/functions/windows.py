@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from introngrid.functions.scan import Ranges
-from introngrid.storage import spread
+from introngrid.storage import materialize, shares, spread
 
 
 def islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True) -> DataFrame:
@@ -17,13 +25,82 @@ def islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=
     return df.withColumn(out, F.sum(F.when(before.isNull() | apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def _local_chains(keys: list[str], start: str, stop: str, touching: bool):
+    """Of rows sorted by keys, start and stop: the partition, the chain's number in its key and partition, and its first start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        key, reach, chain, first = None, None, 0, None  # the last row's
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            codes = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys]
+            turns = np.zeros(n, bool)
+            for code in codes:
+                turns[1:] |= code[1:] != code[:-1]
+            own = np.cumsum(turns)
+            a, b = (batch.column(c).to_pandas() for c in (start, stop))
+            began = [batch.column(k)[0].as_py() for k in keys]
+            goes_on = began == key
+            head = own == 0
+            top = b.groupby(own).cummax().groupby(own).ffill()
+            top, before = top.to_numpy(float, copy=True), top.groupby(own).shift().to_numpy(float, copy=True)
+            if goes_on and reach is not None:
+                top[head], before[head] = np.fmax(top[head], reach), np.fmax(before[head], reach)
+            apart = (a > before) if touching else (a >= before)
+            opens = np.isnan(before) | apart.to_numpy()
+            number = pd.Series(opens.astype(np.int64)).groupby(own).cumsum().to_numpy()
+            place = np.maximum.accumulate(np.where(opens, np.arange(n), -1))
+            starts = batch.column(start)
+            if goes_on:
+                number = number + np.where(head, chain, 0)
+            firsts = starts.take(pa.array(np.maximum(place, 0)))
+            if (place < 0).any():
+                firsts = pc.if_else(pa.array(place < 0), pa.scalar(first, starts.type), firsts)
+            key, chain, first = [batch.column(k)[n - 1].as_py() for k in keys], int(number[-1]), firsts[n - 1].as_py()
+            reach = None if np.isnan(top[-1]) else top[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(number), firsts], names=[*batch.schema.names, "__part", "__chain", "__first"])
+
+    return run
+
+
 def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True, ranges: int | None = None) -> DataFrame:
-    """islands() for keys of any size, such as chromosomes: tiles of a key are worked on side by side, and the farthest stop and the number of runs are carried from tile to tile."""
-    tiles = Ranges(df, keys, [start, stop, *ties], ranges)
-    reached = tiles.running(tiles.rows, stop, "__reach", how="max", exclusive=True)
-    apart = F.col(start) > F.col("__reach") if touching else F.col(start) >= F.col("__reach")
-    opens = F.when(F.col("__reach").isNull() | apart, 1).otherwise(0)
-    return tiles.close(tiles.running(reached, opens, out)).drop("__reach")
+    """islands() for keys of any size, such as chromosomes: range partitions of a key are worked on side by side.
+
+    Rows move once and are numbered where they lie, as if nothing reached in from before.
+    What the partitions before a key's next one hand on is their farthest stop and their
+    number of chains; chains that begin within that reach go with the last one of these. Only keys
+    that lie in several partitions have such a row, and a partition has two such keys at most.
+    """
+    keys = list(keys)
+    by = [*keys, start, stop, *ties]
+    wanted = ranges or shares(df)
+    tied, tie = (df, []) if ties else (df.withColumn("__tie", F.monotonically_increasing_id()), ["__tie"])  # many equal rows split
+    dealt = tied.repartitionByRange(wanted, *by, *tie) if wanted else tied.repartitionByRange(*by, *tie)
+    schema = StructType([*df.schema.fields, StructField("__part", IntegerType()), StructField("__chain", LongType()), StructField("__first", df.schema[start].dataType)])
+    rows = materialize(dealt.sortWithinPartitions(*by, *tie).select(*df.columns).mapInArrow(_local_chains(keys, start, stop, touching), schema), "islands")
+    whole, earlier = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("__part", *keys).agg(F.max(stop).alias("__top"), F.max("__chain").alias("__chains"))
+    ends = ends.select("*", F.max("__top").over(earlier).alias("__reach"), F.count("*").over(whole).alias("__parts")).where("__parts > 1")
+    names = {k: f"__key{i}" for i, k in enumerate(keys)}
+    ends = materialize(ends.select(F.col("__part").alias("__at"), *[F.col(k).alias(n) for k, n in names.items()], "__chains", "__reach"), "island-ends")
+    same = F.col("__part") == F.col("__at")
+    for k, n in names.items():
+        same &= F.col(k).eqNullSafe(F.col(n))
+    inside = F.col("__first").isNull() | ((F.col("__first") <= F.col("__reach")) if touching else (F.col("__first") < F.col("__reach")))
+    met = rows.join(F.broadcast(ends.where("__reach IS NOT NULL")), same).where(inside).groupBy("__at", *names.values()).agg(F.max("__chain").alias("__joined"))
+    again = {n: f"{n}_" for n in names.values()}
+    met = met.withColumnsRenamed(again | {"__at": "__at_"})
+    equal = F.col("__at") == F.col("__at_")
+    for n, m in again.items():
+        equal &= F.col(n).eqNullSafe(F.col(m))
+    over = Window.partitionBy(*names.values()).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    told = ends.join(F.broadcast(met), equal, "left").withColumn("__joined", F.coalesce("__joined", F.lit(0)))
+    told = told.withColumn("__before", F.coalesce(F.sum(F.col("__chains") - F.col("__joined")).over(over), F.lit(0))).select("__at", *names.values(), "__joined", "__before")
+    moved = rows.join(F.broadcast(told), same, "left")
+    number = F.coalesce("__before", F.lit(0)) + F.greatest(F.col("__chain") - F.coalesce("__joined", F.lit(0)), F.lit(0))
+    return moved.select(*df.columns, number.alias(out))
 
 
 def merge_intervals(df: DataFrame, keys, start: str = "start", stop: str = "stop") -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from introngrid.functions.scan import Ranges
 from introngrid.functions.windows import merge_intervals  # noqa: F401
 from introngrid.schema import assert_no_conflict
-from introngrid.storage import materialize, shares
+from introngrid.storage import gather, materialize, shares
 
 
 def place(chrom: str = "chrom", start: str = "start", stop: str = "stop") -> Column:
-    return F.format_string("%s:%d-%d", F.col(chrom), F.col(start), F.col(stop))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    return F.concat(text(chrom), F.lit(":"), text(start), F.lit("-"), text(stop))
 
 
 def filter_annotation(features: DataFrame, qc: bool = True) -> DataFrame:
@@ -50,6 +51,14 @@ def introns_from_exons(exons: DataFrame, min_len: int | None = 50, max_len: int
     return out.where((length > min_len) & (length < max_len))
 
 
+def intron_places(introns: DataFrame, *values: Column) -> DataFrame:
+    """Rows (chrom, start, stop, strand, intron, exons, values): one per intron and strand, with the neighbouring exons that the intron has on any strand; rows move once."""
+    moved = gather(introns, "chrom", "start", "stop")
+    near = F.array_distinct(F.flatten(F.collect_set(F.array("left_exon", "right_exon"))))
+    one = moved.groupBy("chrom", "start", "stop").agg(F.collect_set("strand").alias("strands"), near.alias("exons"), *values)
+    return one.withColumn("strand", F.explode("strands")).withColumn("intron", place()).drop("strands")
+
+
 def support_map(exons: DataFrame, **limits) -> DataFrame:
     """One row per transcript: ordered arrays of its introns and exons."""
     names = lambda order, name: F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda x: x[name])
