@@ -588,21 +588,40 @@ def gene_slices(counts: DataFrame, design: DataFrame, ec_genes: DataFrame) -> Da
 # C11, C12: whole paths
 
 
-def psi_pipeline(quant: DataFrame, exons: DataFrame, mode: int = 3, cutoff: float = 0.1, pct: float = 0.01, min_total: float = 1.0) -> DataFrame:
-    """Rows (intron, name, sample, value, psi) from transcript quantification: normalize, project, cluster, link, refine, number, share."""
-    introns = materialize(A.introns_from_exons(exons), "introns")
-    counts = count_features(normalize_junction(quant), introns.select("tx_id", F.col("intron").alias("feature")), together=True).withColumnRenamed("feature", "intron")
-    return _psi_of(materialize(counts, "counts"), introns, mode, cutoff, pct, min_total)
-
+def psi_pipeline(quant: DataFrame, exons: DataFrame, mode: int = 3, cutoff: float = 0.1, pct: float = 0.01, min_total: float = 1.0, named: bool = True) -> DataFrame:
+    """Rows (intron, name, sample, value, psi) from transcript quantification: normalize, project, cluster, link, refine, number, share.
 
-def _psi_of(counts: DataFrame, introns: DataFrame, mode: int, cutoff: float, pct: float, min_total: float) -> DataFrame:
-    total = counts.groupBy("intron").agg(F.sum("value").alias("count"))
-    places = introns.groupBy("intron").agg(F.first("chrom").alias("chrom"), F.max_by("strand", F.struct("gene_id", "tx_id", "ord")).alias("strand"), F.first("start").alias("start"), F.first("stop").alias("stop"))
-    near = introns.select("intron", F.explode(F.array("left_exon", "right_exon")).alias("exon")).distinct()
-    first = materialize(C.initial_clusters(places.join(total, "intron")), "clusters")
-    linked = C.refine_links(first, near, mode=mode).withColumn("cluster", F.col("component")).drop("component")
-    final = C.number_clusters(C.refine_clusters(linked, cutoff, pct), min_total=min_total)
-    return C.psi(counts.join(final.select("intron", "cluster", "name"), "intron")).select("intron", "name", "sample", "value", "psi")
+    Rows move by transcript, by place, by range (for the chains of a chromosome) and by cluster; an intron's values go along as
+    a list. Without named, clusters are not numbered and rows have no name.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("sample", "value")))
+    values = normalize_junction(quant).where("value > 0").groupBy("tx_id").agg(listed.alias("given")).select("tx_id", "given.sample", "given.value")
+    rows = A.introns_from_exons(exons).join(values, "tx_id", "left")
+    place, last = ["chrom", "start", "stop"], ["gene_id", "tx_id", "ord", "strand"]
+    moved = gather(rows.select(*place, *last, "left_exon", "right_exon", "sample", "value"), *place)
+    # A transcript's intron is one row for the place and one for each value, which are added up where they lie.
+    kind = "struct<sample:string,value:double,here:boolean>"
+    own = F.array(F.struct(F.lit(None).alias("sample"), F.lit(None).alias("value"), F.lit(True).alias("here")).cast(kind))
+    given = F.coalesce(F.zip_with("sample", "value", lambda s, v: F.struct(s, v, F.lit(False)).cast(kind)), F.array().cast(f"array<{kind}>"))
+    here = lambda c: F.when(F.col("x.here"), c)
+    each = moved.withColumn("x", F.explode(F.concat(own, given))).select(*place, "x.*", here(F.struct(*last)).alias("last"), here(F.array("left_exon", "right_exon")).alias("near"))
+    summed = each.groupBy(*place, "here", "sample").agg(F.sum("value").alias("value"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
+    pairs = F.array_sort(F.collect_list(F.when(~F.col("here"), F.struct("sample", "value"))))
+    placed = summed.groupBy(*place).agg(pairs.alias("given"), F.max("last.strand").alias("strand"), F.max(F.when(F.col("here"), F.col("near"))).alias("exons"))
+    return _psi_of(placed.where(F.size("given") > 0), mode, cutoff, pct, min_total, named)
+
+
+def _psi_of(placed: DataFrame, mode: int, cutoff: float, pct: float, min_total: float, named: bool) -> DataFrame:
+    """Percent spliced in of introns (chrom, start, stop, strand, exons, given); names and counts are worked out again behind each shuffle, so they don't move."""
+    narrow = placed.select("chrom", "start", "stop", "strand", "exons", "given.sample", "given.value")
+    final = C.linked_and_refined(C.initial_clusters(materialize(narrow, "places")), cutoff, pct, mode, shares=True)
+    if named:
+        final = C.number_clusters(materialize(final, "final"), min_total=min_total)
+    else:
+        final = final.where(F.round("total", 9) > min_total)
+    names = ["name"] if named else []
+    each = final.select("intron", *names, F.explode(F.arrays_zip("sample", "value", "shares")).alias("x"))
+    return each.select("intron", *names, "x.sample", "x.value", F.round("x.shares", 6).alias("psi"))
 
 
 def pseudobulk_pipeline(cell_ec: DataFrame, ec_tx: DataFrame, cell_meta: DataFrame, exons: DataFrame, size: int = 5, iterations: int = 4, min_ec: float = 5, min_tx: float = 5, order: Column | None = None) -> DataFrame:
@@ -615,5 +634,8 @@ def pseudobulk_pipeline(cell_ec: DataFrame, ec_tx: DataFrame, cell_meta: DataFra
     totals = summed.groupBy("sample").agg(F.sum("n").alias("total"))
     counts = drop_small(abundance_to_counts(alpha, totals)).select("sample", F.concat(F.lit("t"), F.col("tx_id").cast("string")).alias("tx_id"), F.col("count").alias("value"))
     introns = materialize(A.introns_from_exons(exons), "introns")
-    projected = project_counts(counts, introns.select("tx_id", F.col("intron").alias("feature")), together=True).withColumnRenamed("feature", "intron")
-    return _psi_of(materialize(projected, "projected"), introns, 3, 0.1, 0.01, 1.0).select("intron", "sample", "psi")
+    projected = project_counts(counts, introns.select("tx_id", F.col("intron").alias("feature"))).withColumnRenamed("feature", "intron")
+    listed = projected.groupBy("intron").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("given"))
+    near = F.array_distinct(F.flatten(F.collect_set(F.array("left_exon", "right_exon"))))
+    places = introns.groupBy("intron").agg(F.first("chrom").alias("chrom"), F.max_by("strand", F.struct("gene_id", "tx_id", "ord")).alias("strand"), F.first("start").alias("start"), F.first("stop").alias("stop"), near.alias("exons"))
+    return _psi_of(places.join(listed, "intron"), 3, 0.1, 0.01, 1.0, named=False).select("intron", "sample", "psi")
