@@ -156,8 +156,8 @@ def _anchors(chains: DataFrame) -> DataFrame:
 
 
 def constitutive_intervals(exons: DataFrame) -> DataFrame:
-    """Rows (gene_id, start, stop): what every transcript of a gene covers."""
-    return _anchors(_genes_of(transcript_chains(exons)))
+    """Rows (gene_id, start, stop): what every transcript of a gene covers. Rows move once, by gene, in as many tasks as the input asks for."""
+    return _anchors(_genes_of(transcript_chains(gather(exons, "gene_id"))))
 
 
 def splice_blocks(exons: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def splice_blocks(exons: DataFrame) -> DataFrame:
     transcription order. Blocks with one signature go; the others are numbered in
     transcription order. exons are read once; all else is keyed by the gene.
     """
-    chains = materialize(_genes_of(transcript_chains(exons)).where("n > 1"), "chains")
+    chains = materialize(_genes_of(transcript_chains(gather(exons, "gene_id"))).where("n > 1"), "chains")
     anchors = _anchors(chains).groupBy("gene_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("anchors"))
     nothing = F.lit(None).cast(POINT)
     block = lambda left, right, b0, b1: F.struct(left.alias("left_anchor"), right.alias("right_anchor"), b0.alias("b0"), b1.alias("b1"))

@@ -6,7 +6,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from introngrid import storage
 from introngrid.functions.windows import islands, wide_islands
+from introngrid.operators import annotation as A
 from introngrid.operators import cluster as C
 
 
@@ -60,3 +62,13 @@ def test_chains_over_many_ranges_and_batches(spark):
             assert pick(wide_islands(df, ["k"], ties=["id"], touching=touching, ranges=23)) == pick(islands(df, ["k"], ties=["id"], touching=touching))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_genes_are_dealt_over_as_many_tasks_as_the_input_asks_for(spark, tmp_path, monkeypatch):
+    rows = [(f"t{i}", f"g{i // 3}", "chr1", "+", 1, i // 3 * 100, i // 3 * 100 + 50) for i in range(300)]
+    spark.createDataFrame(rows, "tx_id string, gene_id string, chrom string, strand string, exon_number int, start long, stop long").write.parquet(f"{tmp_path}/exons")
+    exons = spark.read.parquet(f"{tmp_path}/exons")
+    monkeypatch.setattr(storage, "SHARE", 500)
+    out = A.constitutive_intervals(exons)
+    assert out.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))  # before: the session's number, whatever the input
+    assert sorted(r["start"] for r in out.collect()) == [100 * g for g in range(100)]
