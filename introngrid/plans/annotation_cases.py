@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from introngrid.operators import annotation as A
 from introngrid.plans.adapters import view
+from introngrid.storage import materialize
 
 #: Introns of the transcripts, shared by several texts below.
 INTRONS = """introns AS (
@@ -95,11 +96,11 @@ def g16(s, d):
 
 
 def g16_records(s, d):
-    blocks = A.splice_blocks(exons(s, d))
+    blocks = materialize(A.splice_blocks(exons(s, d)), "blocks")  # tests, names and records come from it
     number = F.regexp_extract("block_id", r"^g(\d+):", 1).cast("long") * 7 + F.regexp_extract("block_id", r":B(\d+)$", 1).cast("long")
     results = blocks.select(F.col("block_id").alias("test_id"), number.alias("z")).distinct()
     table = lambda m: results.select("test_id", ((F.col("z") % m) / m).alias("fdr"), (F.col("z") % 50 / 10).alias("statistic"), (F.col("z") % 31 / 31).alias("p_value"), (F.col("z") % 3 + 2).alias("n_levels"))
-    names = exons(s, d).select("gene_id").distinct().where("substr(gene_id, -1) <> '3'").select("gene_id", F.concat(F.lit("N"), "gene_id").alias("gene_name"))
+    names = blocks.select("gene_id").distinct().where("substr(gene_id, -1) <> '3'").select("gene_id", F.concat(F.lit("N"), "gene_id").alias("gene_name"))
     out = A.catalog_records([table(5), table(7)], table(5), blocks, names, 0.5)
     return out.withColumns({"left_anchor": F.col("left_anchor.start"), "right_anchor": F.col("right_anchor.start"), "statistic": F.round("statistic", 6), "p_value": F.round("p_value", 6), "fdr": F.round("fdr", 6)})
 
@@ -109,7 +110,7 @@ def g17(s, d):
 
 
 def g18(s, d):
-    blocks = A.splice_blocks(exons(s, d))
+    blocks = materialize(A.splice_blocks(exons(s, d)).select("gene_id", "block_id", "tx_id", "path_index"), "blocks")
     results = blocks.groupBy("block_id").agg(F.count("*").alias("n_tx")).crossJoin(s.range(3).select(F.col("id").alias("cell_type")))
     return A.collapse_equivalent(results, A.block_equivalence(blocks)).select("representative", "cell_type", "n_tx")
 
