@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -117,8 +120,8 @@ def depth_bins(df: DataFrame, value: str, bins: int, key: str = "method", out: s
     return df.join(bounded_broadcast(edges), key, "left").withColumn(out, F.when(F.size("__e") > 2, F.size(inner)).otherwise(0)).drop("__e")
 
 
-def calibrate_by_depth(df: DataFrame, null: DataFrame, bins: int = 1, depth: str = "depth", parameters: str = "df", own: str = "test_id", key: str = "method", least: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(tests, null values), both with calibration_bin and calibrated: p-values against null values of the same degrees of freedom and depth from other tests.
+def calibrate_by_depth(df: DataFrame, null: DataFrame, bins: int = 1, depth: str = "depth", parameters: str = "df", own: str = "test_id", key: str = "method", least: int = 20, want: tuple = (True, True)) -> tuple[DataFrame | None, DataFrame | None]:
+    """(tests, null values), both (what want leaves out is None and not worked out) with calibration_bin and calibrated: p-values against null values of the same degrees of freedom and depth from other tests.
 
     Strata are degrees of freedom x quantile bin of the tests' depth; null values take the
     bin of their test (0 if it isn't there). A stratum with under `least` tests is pooled
@@ -126,23 +129,43 @@ def calibrate_by_depth(df: DataFrame, null: DataFrame, bins: int = 1, depth: str
     without those of its own test, which shows how the calibration behaves. Where no other null value is left the result is 1.
     One row of df for each key and own.
     """
-    tests = materialize(depth_bins(df, depth, bins, key), "binned")
+    tests = materialize(depth_bins(materialize(df, "tests"), depth, bins, key), "binned")
     nulls = null.join(tests.select(key, own, "calibration_bin"), [key, own], "left").withColumn("calibration_bin", F.coalesce("calibration_bin", F.lit(0)))
     strata = [key, parameters, "calibration_bin"]
-    sizes = tests.groupBy(*strata).agg(F.count("*").alias("__size"))
-
-    sizes = materialize(sizes.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(strata)], "__size"), "strata")
+    # Only strata that are large enough are looked up: the small ones, as many as there are rare degrees of freedom, are all told alike.
+    sizes = tests.groupBy(*strata).agg(F.count("*").alias("__size")).where(F.col("__size") >= least)
+    sizes = bounded_broadcast(materialize(sizes.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(strata)], "__size"), "strata"))
 
     def pooled(t: DataFrame) -> DataFrame:
         same = F.lit(True)
         for i, c in enumerate(strata):
             same &= F.col(c).eqNullSafe(F.col(f"__{i}"))
-        told = F.when(F.col("__size") >= least, F.coalesce(F.col(parameters).cast("string"), F.lit("?"))).otherwise("rare")
+        told = F.when(F.col("__size").isNotNull(), F.coalesce(F.col(parameters).cast("string"), F.lit("?"))).otherwise("rare")
         return t.join(sizes, same, "left").withColumn("stratum", F.concat_ws(":", told, F.col("calibration_bin").cast("string"))).drop("__size", *[f"__{i}" for i in range(len(strata))])
 
-    nulls = materialize(pooled(nulls), "null-strata")
-    pick = lambda t: calibrate_pooled(t, nulls, "p_value", [key, "stratum"], own, least=0)
-    return pick(pooled(tests)), pick(nulls)
+    nulls = pooled(nulls)
+    nulls = materialize(_own_counts(nulls, "p_value", [key, "stratum"], own) if want[1] else nulls, "null-strata")
+    by = [key, "stratum"]
+    return calibrate_pooled(pooled(tests), nulls, "p_value", by, own, least=0) if want[0] else None, _calibrate_among(nulls, "p_value", by) if want[1] else None
+
+
+def _own_counts(null: DataFrame, value: str, strata: list[str], own: str) -> DataFrame:
+    """null with __own_h and __own_n: how many of its own test's values in the stratum are not above, and how many there are."""
+    mine = _over(*strata, own)
+    return null.withColumns({"__own_h": F.count("*").over(mine.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)), "__own_n": F.count("*").over(mine)})
+
+
+def _calibrate_among(null: DataFrame, value: str, strata: list[str]) -> DataFrame:
+    """calibrate_pooled() of _own_counts() rows against themselves: different values are counted and ranked, and told to their rows."""
+    levels = null.groupBy(*strata, value).agg(F.count("*").alias("__equal"))
+    ranges = Ranges(levels, strata, [value])
+    names = {c: f"__{i}" for i, c in enumerate([*strata, value])}
+    equal = lambda cols: reduce(and_, [F.col(c).eqNullSafe(F.col(names[c])) for c in cols])
+    totals = bounded_broadcast(materialize(ranges.rows.groupBy(*strata).agg(F.sum("__equal").alias("__n")).withColumnsRenamed({c: names[c] for c in strata}), "strata-totals"))
+    ranked = ranges.close(ranges.running(ranges.rows, "__equal", "__h")).select(*[F.col(c).alias(n) for c, n in names.items()], "__h")
+    met = null.join(ranked, equal([*strata, value]), "left").drop(*names.values()).join(totals, equal(strata), "left")
+    calibrated = (1 + F.col("__h") - F.col("__own_h")) / (1 + F.col("__n") - F.col("__own_n"))
+    return met.withColumn("calibrated", calibrated).drop("__h", "__n", "__own_h", "__own_n", *names.values())
 
 
 def calibrate_exceedance(df: DataFrame, null: DataFrame, strata=("method", "stratum"), own: str = "test_id") -> DataFrame:

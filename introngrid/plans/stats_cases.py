@@ -110,20 +110,20 @@ def p12(s, d):
     return r(S.calibrate_pooled(rows, _strata(nv(s, d)), "p_value", ["method", "stratum"], "test_id").select(*K, "calibrated"), "calibrated")
 
 
-def _by_depth(s, d):
+def _by_depth(s, d, want):
     """Tests, one a part and method, with the depth and degrees of freedom of their lines; every fiftieth has degrees of its own."""
     own = F.when(F.col("test_id") % 50 == 0, F.col("test_id"))
     tests = pv(s, d).groupBy("method", F.col("k3").alias("test_id")).agg(F.min("p_value").alias("p_value"), F.sum("k2").cast("double").alias("depth"), F.max("k2").cast("long").alias("m"))
-    nulls = nv(s, d).withColumn("df", F.coalesce(own, F.col("k2").cast("long") % 3)).select("method", "test_id", "p_value", "df", "k1", "k2", "k4")
-    return S.calibrate_by_depth(tests.withColumn("df", F.coalesce(own, F.col("m") % 3)), nulls, 4)
+    nulls = nv(s, d).withColumn("df", F.coalesce(own, F.col("k2").cast("long") % 3)).select("method", "test_id", "p_value", "df")
+    return S.calibrate_by_depth(tests.withColumn("df", F.coalesce(own, F.col("m") % 3)), nulls, 4, want=want)
 
 
 def p12_depth(s, d):
-    return r(_by_depth(s, d)[0].select("method", "test_id", "calibration_bin", "stratum", "calibrated"), "calibrated")
+    return r(_by_depth(s, d, (True, False))[0].select("method", "test_id", "calibration_bin", "stratum", "calibrated"), "calibrated")
 
 
 def p12_null(s, d):
-    rows = _by_depth(s, d)[1]
+    rows = _by_depth(s, d, (False, True))[1]
     return r(rows.groupBy("method", "stratum").agg(F.count("*").alias("n"), F.avg("calibrated").alias("mean"), F.avg((F.col("calibrated") <= 0.05).cast("double")).alias("rejected")), "mean", "rejected")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from introngrid.operators import annotation as A
+from introngrid.operators import stats as S
 from introngrid.plans import annotation_cases, stats_cases
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +19,22 @@ def test_splice_blocks_are_worked_out_once(spark, monkeypatch, query):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert sources == [1] and "lineitem" not in plan and "l_orderkey" not in plan  # before: as many times as tables came from them
     assert out.count()
+
+
+def test_null_values_meet_themselves_once_for_each_value(spark, monkeypatch):
+    """Equal values over all tests, rare degrees of freedom, tests that aren't there; only the null values are asked for."""
+    sizes, whole = [], S.Ranges
+    monkeypatch.setattr(S, "Ranges", lambda df, *more: sizes.append(df.count()) or whole(df, *more))
+    tests = [("m", i, 0.5, float(i), i % 2 if i % 5 else 100 + i) for i in range(60)]
+    null = [("m", i % 70, (i % 3 + 1) / 4 if i % 11 else None, i % 2) for i in range(600)]
+    df, nulls = spark.createDataFrame(tests, "method string, test_id int, p_value double, depth double, df int"), spark.createDataFrame(null, "method string, test_id int, p_value double, df int")
+    none, got = S.calibrate_by_depth(df, nulls, 2, least=10, want=(False, True))
+    rows = got.collect()
+    assert none is None and len(rows) == 600 and max(sizes) < 60  # before: all null values twice
+    key = lambda r: (r["stratum"], r["test_id"], -1.0 if r["p_value"] is None else r["p_value"])
+    flat = [key(r) for r in rows]
+    for r in rows:
+        s, t, p = key(r)
+        others = [x for x in flat if x[0] == s and x[1] != t]
+        assert r["calibrated"] == pytest.approx((1 + sum(x[2] <= p for x in others)) / (1 + len(others)))
+    assert len({r["stratum"] for r in rows}) > 2
