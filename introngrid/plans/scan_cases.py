@@ -138,8 +138,9 @@ def s14(s, d):
 
 
 def s15(s, d):
-    counts, junctions, _ = _bundle(s, d)
-    SK.write_junction_bed(counts, junctions, path := _path(s, "bed"))
+    introns = A.introns_from_exons(view(s, d, "tx_exon")).select("tx_id", "chrom", "start", "stop", "strand")
+    counts = introns.join(view(s, d, "quant").select("tx_id", F.col("sample").alias("sample_id"), F.col("num_reads").alias("value")), "tx_id", "left")
+    SK.write_counted_bed(counts, path := _path(s, "bed"))
     return s.read.text(path).select("sample_id", "value")
 
 
