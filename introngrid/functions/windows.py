@@ -65,21 +65,22 @@ def _local_chains(keys: list[str], start: str, stop: str, touching: bool):
     return run
 
 
-def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True, ranges: int | None = None) -> DataFrame:
+def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True, ranges: int | None = None, dealt: bool = False) -> DataFrame:
     """islands() for keys of any size, such as chromosomes: range partitions of a key are worked on side by side.
 
     Rows move once and are numbered where they lie, as if nothing reached in from before.
     What the partitions before a key's next one hand on is their farthest stop and their
     number of chains; chains that begin within that reach go with the last one of these. Only keys
     that lie in several partitions have such a row, and a partition has two such keys at most.
+    Rows that are dealt lie in such ranges already, perhaps by the first keys, start and stop alone, and stay there.
     """
     keys = list(keys)
     by = [*keys, start, stop, *ties]
-    wanted = ranges or shares(df)
+    wanted = None if dealt else ranges or shares(df)
     tied, tie = (df, []) if ties else (df.withColumn("__tie", F.monotonically_increasing_id()), ["__tie"])  # many equal rows split
-    dealt = tied.repartitionByRange(wanted, *by, *tie) if wanted else tied.repartitionByRange(*by, *tie)
+    moved = tied if dealt else tied.repartitionByRange(wanted, *by, *tie) if wanted else tied.repartitionByRange(*by, *tie)
     schema = StructType([*df.schema.fields, StructField("__part", IntegerType()), StructField("__chain", LongType()), StructField("__first", df.schema[start].dataType)])
-    rows = materialize(dealt.sortWithinPartitions(*by, *tie).select(*df.columns).mapInArrow(_local_chains(keys, start, stop, touching), schema), "islands")
+    rows = materialize(moved.sortWithinPartitions(*by, *tie).select(*df.columns).mapInArrow(_local_chains(keys, start, stop, touching), schema), "islands")
     whole, earlier = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy("__part", *keys).agg(F.max(stop).alias("__top"), F.max("__chain").alias("__chains"))
     ends = ends.select("*", F.max("__top").over(earlier).alias("__reach"), F.count("*").over(whole).alias("__parts")).where("__parts > 1")

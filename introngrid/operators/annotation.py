@@ -51,11 +51,12 @@ def introns_from_exons(exons: DataFrame, min_len: int | None = 50, max_len: int
     return out.where((length > min_len) & (length < max_len))
 
 
-def intron_places(introns: DataFrame, *values: Column) -> DataFrame:
-    """Rows (chrom, start, stop, strand, intron, exons, values): one per intron and strand, with the neighbouring exons that the intron has on any strand; rows move once."""
-    moved = gather(introns, "chrom", "start", "stop")
+def intron_places(introns: DataFrame, *values: Column, ranged: bool = False) -> DataFrame:
+    """Rows (chrom, start, stop, strand, intron, exons, values): one per intron and strand, with the neighbouring exons that the intron has on any strand; rows move once, with ranged into ranges of (chrom, start, stop), which reads them twice."""
+    wanted, by = shares(introns) if ranged else None, ["chrom", "start", "stop"]
+    moved = gather(introns, *by) if not ranged else introns.repartitionByRange(wanted, *by) if wanted else introns.repartitionByRange(*by)
     near = F.array_distinct(F.flatten(F.collect_set(F.array("left_exon", "right_exon"))))
-    one = moved.groupBy("chrom", "start", "stop").agg(F.collect_set("strand").alias("strands"), near.alias("exons"), *values)
+    one = moved.groupBy("start", "stop", "chrom").agg(F.collect_set("strand").alias("strands"), near.alias("exons"), *values)
     return one.withColumn("strand", F.explode("strands")).withColumn("intron", place()).drop("strands")
 
 
