@@ -27,11 +27,15 @@ class Ranges:
     def __init__(self, df: DataFrame, keys, order, ranges: int | None = None):
         self.keys, self.order = list(keys), [*order, "__tie"]
         by = [*map(F.asc, self.keys), *ordering(self.order)]
-        ranges = ranges or shares(df)
+        self.ranges = ranges = ranges or shares(df)
         tied = df.withColumn("__tie", F.monotonically_increasing_id())
         spread = tied.repartitionByRange(ranges, *by) if ranges else tied.repartitionByRange(*by)
         self.rows = materialize(spread.withColumn("__part", F.spark_partition_id()), "ranges")
 
+    def _together(self, rows: DataFrame) -> DataFrame:
+        """self.rows with a partition's rows of a key together, in as many tasks as there are ranges; other rows come from such ones."""
+        return rows.repartition(self.ranges, "__part", *self.keys) if self.ranges and rows is self.rows else rows
+
     def running(self, rows: DataFrame, value: Column | str, out: str, how: str = "sum", reverse: bool = False, exclusive: bool = False) -> DataFrame:
         """rows (self.rows, perhaps with more columns) with the fold of value over the key's rows up to here, or from here on with reverse; exclusive leaves out the row itself.
 
@@ -40,7 +44,7 @@ class Ranges:
         are no more of these rows than partitions, and they are broadcast.
         """
         fold, join = FOLDS[how]
-        rows = rows.withColumn("__v", F.col(value) if isinstance(value, str) else value)
+        given, rows = self._together(rows), rows.withColumn("__v", F.col(value) if isinstance(value, str) else value)
         parts = rows.groupBy("__part", *self.keys).agg(fold("__v").alias("__t"))
         earlier = Window.partitionBy(*self.keys).orderBy(F.desc("__part") if reverse else F.asc("__part"))
         first = F.row_number().over(earlier) == 1
@@ -48,7 +52,7 @@ class Ranges:
         names = {k: f"__key{i}" for i, k in enumerate(self.keys)}
         carried = carried.select(F.col("__part").alias("__from"), *[F.col(k).alias(n) for k, n in names.items()], "__c")
         inside = Window.partitionBy("__part", *self.keys).orderBy(*ordering(self.order, reverse)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-        local = rows.withColumn("__l", fold("__v").over(inside))
+        local = given.withColumn("__v", F.col(value) if isinstance(value, str) else value).withColumn("__l", fold("__v").over(inside))
         same = F.col("__part") == F.col("__from")
         for k, n in names.items():
             same &= F.col(k).eqNullSafe(F.col(n))
@@ -69,7 +73,7 @@ class Ranges:
         names = {k: f"__key{i}" for i, k in enumerate(self.keys)}
         shared = parts.select(F.col("__part").alias("__from"), *[F.col(k).alias(n) for k, n in names.items()], "__before", "__all")
         inside = Window.partitionBy("__part", *self.keys).orderBy(*ordering(self.order))
-        local = rows.select("*", F.sum("__v").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("__l"), F.sum("__v").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__s"))
+        local = self._together(self.rows).withColumn("__v", counted.cast("long")).select("*", F.sum("__v").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("__l"), F.sum("__v").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__s"))
         same = F.col("__part") == F.col("__from")
         for k, n in names.items():
             same &= F.col(k).eqNullSafe(F.col(n))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from introngrid.functions.scan import Ranges
 from introngrid.functions.windows import merge_intervals  # noqa: F401
 from introngrid.schema import assert_no_conflict
-from introngrid.storage import gather, materialize, shares
+from introngrid.storage import gather, materialize, shares, spread
 
 
 def place(chrom: str = "chrom", start: str = "start", stop: str = "stop") -> Column:
@@ -344,10 +344,10 @@ def _tiles(start: Column, stop: Column) -> Column:
 
 
 def _in_regions(intervals: DataFrame, regions: DataFrame, columns) -> DataFrame:
-    """Rows (region, columns, start, stop, lo, hi, tile): intervals and regions (region, chrom, start, stop) that share a tile of a chromosome and overlap; once for each tile."""
+    """Rows (chrom, region, columns, start, stop, lo, hi, tile): intervals and regions (region, chrom, start, stop) that share a tile of a chromosome and overlap; once for each tile."""
     mine = intervals.where("start < stop").select("chrom", *columns, F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.explode(_tiles(F.col("start"), F.col("stop"))).alias("tile"))
     frames = regions.where("start < stop").select("chrom", "region", F.col("start").cast("long").alias("lo"), F.col("stop").cast("long").alias("hi"), F.explode(_tiles(F.col("start"), F.col("stop"))).alias("tile"))
-    return mine.join(frames, ["chrom", "tile"]).where("start < hi AND stop > lo").drop("chrom")
+    return spread(mine, "chrom", "tile").join(frames, ["chrom", "tile"]).where("start < hi AND stop > lo")
 
 
 def region_coverage(reads: DataFrame, regions: DataFrame, keys=("sample", "strand")) -> DataFrame:
@@ -362,7 +362,10 @@ def region_coverage(reads: DataFrame, regions: DataFrame, keys=("sample", "stran
     met = _in_regions(reads, regions, keys)
     a, b = F.greatest("start", "lo", F.col("tile") * TILE), F.least("stop", "hi", (F.col("tile") + 1) * TILE)
     steps = F.explode(F.array(F.struct(a.alias("pos"), F.lit(1).alias("d")), F.struct(b.alias("pos"), F.lit(-1).alias("d"))))
-    turns = met.where(a < b).select("region", *keys, steps.alias("e")).groupBy("region", *keys, "e.pos").agg(F.sum("e.d").alias("d")).where("d <> 0")
+    turns = met.where(a < b).select("chrom", "tile", "region", *keys, steps.alias("e")).select("chrom", "tile", "region", *keys, "e.*")
+    if shares(turns):  # added up where a tile's rows lie, then moved in as many tasks as the input asks for
+        turns = spread(turns.groupBy("chrom", "tile", "region", *keys, "pos").agg(F.sum("d").alias("d")).where("d <> 0").drop("chrom", "tile"), "region", *keys, "pos")
+    turns = turns.groupBy("region", *keys, "pos").agg(F.sum("d").alias("d")).where("d <> 0")
     ranges = Ranges(turns, ["region", *keys], ["pos"])
     deep = ranges.running(ranges.rows, "d", "depth")
     runs = ranges.running(deep, "pos", "stop", how="min", reverse=True, exclusive=True).where("depth > 0")

@@ -9,6 +9,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from introngrid import storage
+from introngrid.functions.scan import Ranges
 from introngrid.operators import annotation as A
 from introngrid.operators import cluster as C
 from introngrid.operators import stats as S
@@ -106,3 +108,21 @@ def test_edges_are_made_once_for_the_summary(spark, monkeypatch):
     monkeypatch.setattr(C, "_edge_counts", lambda *both: tables.append(1) or whole(*both))
     plan = cluster_cases.c10_summary(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert tables == [1] and "start" not in plan  # before: both edge tables again for each count
+
+
+def test_ranges_are_worked_on_in_as_many_tasks_as_the_input_asks_for(spark, tmp_path, monkeypatch):
+    spark.range(3000).selectExpr("'g' || id % 100 AS region", "id * 7919 % 3001 AS pos", "id % 5 - 2 AS d").write.parquet(f"{tmp_path}/steps")
+    steps = spark.read.parquet(f"{tmp_path}/steps")
+    want = sorted(map(tuple, steps.selectExpr("region", "pos", "sum(d) OVER (PARTITION BY region ORDER BY pos) AS depth").collect()))
+    monkeypatch.setattr(storage, "SHARE", 2000)
+    asked = storage.shares(steps)
+    ranges = Ranges(steps, ["region"], ["pos"])
+    deep = ranges.running(ranges.rows, "d", "depth")
+    assert asked > 4 and deep.rdd.getNumPartitions() == ranges.counts(F.lit(True), "r", "n").rdd.getNumPartitions() == asked  # before: the session's number
+    assert sorted(map(tuple, deep.select("region", "pos", "depth").collect())) == want
+    reads = spark.range(500).selectExpr("'chr1' AS chrom", "'s' AS sample", "'+' AS strand", "id * 37 % 9000 AS start", "id * 37 % 9000 + id % 90 AS stop")
+    reads.write.parquet(f"{tmp_path}/reads")
+    regions = spark.createDataFrame([("a", "chr1", 0, 5000), ("b", "chr1", 4000, 9100)], "region string, chrom string, start long, stop long")
+    few = sorted(map(tuple, A.region_coverage(reads, regions).collect()))
+    many = sorted(map(tuple, A.region_coverage(spark.read.parquet(f"{tmp_path}/reads"), regions).collect()))
+    assert many == few and len(few) > 100
