@@ -342,9 +342,20 @@ def _likely(found: DataFrame) -> DataFrame:
     return found.where("kind = 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
 
 
-def _sets_of(texts: DataFrame, nodes: DataFrame, ends: DataFrame, width: int, have: DataFrame | None = None) -> DataFrame:
-    """The shingle sets of all ends (a, b) that are not among those at hand."""
-    want = ends.select(F.explode(F.array(*ends.columns[:2])).alias("node")).distinct()
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _pairs_of(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0].select("a", "b")
+    for table in tables[1:]:
+        out = out.union(table.select("a", "b"))
+    return out
+
+
+def _sets_of(texts: DataFrame, nodes: DataFrame, want: DataFrame, width: int, have: DataFrame | None = None) -> DataFrame:
+    """The shingle sets of all nodes wanted that are not among those at hand."""
+    want = want.distinct()
     if have is not None:
         want = want.join(have.select("node"), "node", "left_anti")
     ids = materialize(nodes.join(want, "node", "left_semi").select("doc_id"), "met")
@@ -372,6 +383,34 @@ def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return told.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
+def _crowds(found: DataFrame, nodes: DataFrame, prints: int) -> DataFrame:
+    """Rows (nid, node, crowd, k): texts that large buckets of one fingerprint join, and the blocks that each crowd is dealt to.
+
+    A crowd is given if comparing all its pairs once costs no more than comparing those of
+    its buckets for each of the fingerprints; a looser one stays with its buckets.
+    """
+    rows = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("nid"))
+    large = rows.groupBy("bucket").agg(F.min("nid").alias("low"), F.count("*").alias("n")).where(F.col("n") > SMALL)
+    large = materialize(large, "large")
+    edges = rows.join(large, "bucket").select(F.col("nid").alias("src"), F.col("low").alias("dst"))
+    placed = materialize(connected_components(edges).select(F.col("node").alias("nid"), F.col("component").alias("crowd")), "placed")
+    work = large.join(placed, F.col("low") == F.col("nid")).groupBy("crowd").agg(F.sum(F.col("n") * F.col("n") * prints).alias("work"))
+    size = placed.groupBy("crowd").agg(F.count("*").alias("n")).join(work, "crowd").where(F.col("n") * F.col("n") <= F.col("work"))
+    size = materialize(size.select("crowd", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")), "crowd-sizes")
+    out = materialize(placed.join(size, "crowd").join(nodes.select("nid", "node"), "nid").select("nid", "node", "crowd", "k"), "crowds")
+    release(large, placed, size)
+    return out
+
+
+def _in_crowds(crowds: DataFrame, nodes: DataFrame, comps: DataFrame, sketches: DataFrame, prints: int, least: float, nearest: int | None) -> DataFrame:
+    """Pairs (a, b) of a crowd's texts in different components that are close and whose sketches may reach `least`: all, or the nearest ones of each text in each block."""
+    traits = crowds.select("node", F.col("crowd").alias("bucket"), "k").join(nodes.select("node", "prints"), "node").join(sketches, "node")
+    blocks = _in_blocks(traits.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    dealt = blocks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    pairs = dealt.mapInPandas(_close_across([], prints, _most_apart(prints, least), least, nearest), "a long, b long")
+    return pairs.distinct() if nearest else pairs
+
+
 def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """Rows (doc_id, comp) for every row with an id: texts are linked if the Jaccard similarity of their shingle sets is at least `least`.
 
@@ -387,7 +426,9 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The buckets of the first fingerprint come first, and the links that it gives make
     components before the buckets of all fingerprints are looked through: there a large
-    group is one component, and only its pairs with others are left.
+    group is one component, and only its pairs with others are left. Texts that its large
+    buckets join are a crowd, links or not. All pairs of a crowd are compared there and
+    then, in blocks of texts, so its pairs are never spelled out bucket by bucket.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
@@ -398,15 +439,32 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     masks = covering_masks(KEY_RADIUS, bits)
     # One fingerprint first: what it links need not be paired again in the buckets of all.
     lone = nodes.select("nid", "node", "prints", F.lit(0).cast("long").alias("comp"))
-    pairs = materialize(_likely(_in_buckets(lone, masks, count, 0, 1)), "pairs")
+    found = _in_buckets(lone, masks, count, 0, 1)
+    pairs = materialize(_likely(found), "pairs")
     first = materialize(_close(_wanted(pairs), nodes, count, least), "first-pairs")
     free_shuffles(spark)
-    sets = materialize(_sets_of(narrow, nodes, first, width), "sets")
+    crowds = _crowds(found, nodes, count)
+    sets = materialize(_sets_of(narrow, nodes, _ends(first).union(crowds.select("node")), width), "sets")
     edges = materialize(similar_pairs(first, sets, least), "near-edges")
     comps = _labels(edges)
     free_shuffles(spark)
-    known = materialize(nodes.join(comps, "node", "left").select("nid", "node", "prints", F.coalesce("comp", F.lit(0)).alias("comp")), "known")
-    release(pairs, first)
+    tried = [first]  # tables of pairs that have been verified
+    if crowds.limit(1).count():
+        drawn = materialize(_sketched(sets.join(crowds.select("node"), "node", "left_semi"), least), "sketches")
+        for nearest in (FIRST, None):
+            across = _in_crowds(crowds, nodes, comps, drawn, count, least, nearest).join(_pairs_of(tried), ["a", "b"], "left_anti")
+            across = materialize(across, "crowd-pairs")
+            tried.append(across)
+            if across.limit(1).count():
+                edges = edges.unionByName(materialize(similar_pairs(across, sets, least), "near-edges"))
+                comps = _labels(edges)
+                free_shuffles(spark)
+        release(drawn)
+    # Pairs of one crowd are settled, as those of one component are.
+    label = F.coalesce(-F.col("crowd") - 1, "comp", F.lit(0)).alias("comp")
+    known = nodes.join(comps, "node", "left").join(crowds.select("node", "crowd"), "node", "left").select("nid", "node", "prints", label)
+    known = materialize(known, "known")
+    release(found, pairs)
     parts = []
     for k in range(0, count, PASS):
         parts.append(_in_buckets(known, masks, count, k, min(k + PASS, count)))
@@ -419,7 +477,7 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = found.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("nid")).join(nodes.select("nid", "node"), "nid")
     members = materialize(members.drop("nid"), "members")
     release(known, *parts)
-    met = pairs.select("a", "b").union(members.select("node", "node"))
+    met = _ends(pairs).union(members.select("node").distinct())
     sets = sets.unionByName(materialize(_sets_of(narrow, nodes, met, width, sets), "sets"))
     first = materialize(_wanted(pairs), "first-pairs")
     edges = edges.unionByName(materialize(similar_pairs(first, sets, least), "near-edges"))
@@ -442,12 +500,12 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     inside = _in_blocks(inside.join(materialize(traits, "traits"), "node"))
     dealt = inside.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = dealt.mapInPandas(_close_across(masks, count, _most_apart(count, least), least), "a long, b long")
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    more = materialize(more.join(_pairs_of([pairs, *tried]), ["a", "b"], "left_anti"), "more-pairs")
     if more.limit(1).count():
         edges = edges.unionByName(materialize(similar_pairs(more, sets, least), "near-edges"))
         comps = _labels(edges)
     out = materialize(told.select("doc_id", "node").join(comps, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp")), "near-groups")
-    release(told, nodes, pairs, first, sketches, rest, members, placed, there, more)
+    release(told, nodes, crowds, pairs, first, sketches, rest, members, placed, there, more, *tried)
     free_shuffles(spark)
     return out
 
@@ -560,30 +618,48 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     return spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "prints", "sketch")
 
 
-def _close_across(masks: list[int], prints: int, most: int, least: float):
+def _close_across(masks: list[int], prints: int, most: int, least: float, nearest: int | None = None):
     """Of rows sorted by (bucket, i, j): pairs (a, b), a < b, from both blocks and different components that differ in at most `most` bits and whose sketches may reach `least`.
 
     A pair is given once, by the first of all tables in which its ends share a bucket:
     that bucket is here as well, or it is a small one whose pairs were all looked at before.
+    Without masks a bucket is a crowd, which holds a pair once. With `nearest`, a row's
+    nearest pairs, so many, are looked at alone, from either side.
     """
     mask, marks = np.tile(np.array(masks, dtype=np.int64), prints), _marks(prints * len(masks))
 
     def block(rows: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        bucket, i, j, own, node, comp, fp, sketch = rows
+        _, i, j, own = rows[:4]
         left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        yield from side(rows, left, right)
+        if nearest and i[0] != j[0]:
+            yield from side(rows, right, left)
+
+    def side(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[pd.DataFrame]:
+        bucket, i, j, _, node, comp, fp, sketch = rows
         for k in range(0, len(left), 128):
             x = left[k : k + 128]
             apart = np.zeros((len(x), len(right)), np.int32)
             for c in range(prints):
                 apart += np.bitwise_count((fp[x, c][:, None] ^ fp[right, c][None, :]).view(np.uint64))
             good = (apart <= most) & (comp[x][:, None] != comp[right][None, :])
-            if i[0] == j[0]:
+            if nearest and len(right) > nearest:
+                apart[~good] = most + 1
+                picked = np.argpartition(apart, nearest - 1, axis=1)[:, :nearest]
+                chosen = np.zeros_like(good)
+                np.put_along_axis(chosen, picked, True, axis=1)
+                good &= chosen
+            elif i[0] == j[0] and not nearest:
                 good &= node[x][:, None] < node[right][None, :]
             u, v = np.nonzero(good)
             u, v = x[u], right[v]
             reach = [may_reach(sketch[u[k : k + 8192]], sketch[v[k : k + 8192]], least) for k in range(0, len(u), 8192)]
             u, v = (z[np.concatenate(reach)] if reach else z for z in (u, v))
             first = np.full(len(u), -1)
+            if not masks:
+                a, b = node[u], node[v]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                continue
             for t in range(len(mask)) if len(u) else ():
                 open_ = np.flatnonzero(first < 0)
                 if not len(open_):
