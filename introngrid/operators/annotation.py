@@ -31,11 +31,12 @@ def backfill_gene_ids(features: DataFrame, order=("tx_id", "exon_number")) -> Da
     return out.withColumn("ref_gene_id", F.coalesce("__known.ref_gene_id", "ref_gene_id")).withColumn("gene_name", F.coalesce("__known.gene_name", "gene_name")).drop("__known")
 
 
-def introns_from_exons(exons: DataFrame, min_len: int | None = 50, max_len: int = 5_000_000) -> DataFrame:
+def introns_from_exons(exons: DataFrame, min_len: int | None = 50, max_len: int = 5_000_000, ends: bool = False) -> DataFrame:
     """Rows (tx_id, gene_id, chrom, ord, start, stop, strand, intron, left_exon, right_exon) between consecutive exons.
 
     The strand follows from the order of the coordinates, the end is one past the gap, and
-    the length lies strictly between the limits; without min_len all are kept.
+    the length lies strictly between the limits; without min_len all are kept. With ends rows also have low and high, where
+    the exon below the intron starts and the one above it stops: their other ends are the intron's own, so these tell both (neighbours()).
     """
     order = Window.partitionBy("tx_id").orderBy("exon_number")
     pair = exons.withColumn("__next", F.lead(F.struct("start", "stop", place().alias("exon"))).over(order)).withColumn("ord", F.row_number().over(order)).where("__next IS NOT NULL")
@@ -44,6 +45,7 @@ def introns_from_exons(exons: DataFrame, min_len: int | None = 50, max_len: int
         "tx_id", "gene_id", "chrom", "ord",
         F.when(forward, F.col("stop")).otherwise(F.col("__next.stop")).alias("__a"), (F.when(forward, F.col("__next.start")).otherwise(F.col("start")) + 1).alias("__b"),
         F.when(forward, "+").otherwise("-").alias("strand"), place().alias("left_exon"), F.col("__next.exon").alias("right_exon"),
+        *([F.when(forward, F.col("start")).otherwise(F.col("__next.start")).alias("low"), F.when(forward, F.col("__next.stop")).otherwise(F.col("stop")).alias("high")] if ends else []),
     ).withColumnsRenamed({"__a": "start", "__b": "stop"}).withColumn("intron", place())
     if min_len is None:
         return out
@@ -51,6 +53,13 @@ def introns_from_exons(exons: DataFrame, min_len: int | None = 50, max_len: int
     return out.where((length > min_len) & (length < max_len))
 
 
+def neighbours() -> Column:
+    """Names of the exons beside an intron (chrom, start, stop) that start at lows or stop at highs (arrays), as introns_from_exons() gives them."""
+    text = lambda *parts: F.concat(*[F.coalesce(x.cast("string") if isinstance(x, Column) else F.lit(x), F.lit("null")) for x in parts])
+    chrom, start, stop = F.col("chrom"), F.col("start"), F.col("stop")
+    return F.concat(F.transform("lows", lambda x: text(chrom, ":", x, "-", start)), F.transform("highs", lambda x: text(chrom, ":", stop - 1, "-", x)))
+
+
 def intron_places(introns: DataFrame, *values: Column, ranged: bool = False) -> DataFrame:
     """Rows (chrom, start, stop, strand, intron, exons, values): one per intron and strand, with the neighbouring exons that the intron has on any strand; rows move once, with ranged into ranges of (chrom, start, stop), which reads them twice."""
     wanted, by = shares(introns) if ranged else None, ["chrom", "start", "stop"]

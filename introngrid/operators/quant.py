@@ -13,7 +13,7 @@ from introngrid.functions.tiles import by_tiles, matrix
 from introngrid.operators import annotation as A
 from introngrid.operators import cluster as C
 from introngrid.schema import assert_no_conflict, assert_none, assert_unique, require_columns
-from introngrid.storage import bounded_broadcast, gather, materialize, release
+from introngrid.storage import bounded_broadcast, gather, materialize, release, shares
 
 
 def over(*keys: str):
@@ -591,30 +591,38 @@ def gene_slices(counts: DataFrame, design: DataFrame, ec_genes: DataFrame) -> Da
 def psi_pipeline(quant: DataFrame, exons: DataFrame, mode: int = 3, cutoff: float = 0.1, pct: float = 0.01, min_total: float = 1.0, named: bool = True) -> DataFrame:
     """Rows (intron, name, sample, value, psi) from transcript quantification: normalize, project, cluster, link, refine, number, share.
 
-    Rows move by transcript, by place, by range (for the chains of a chromosome) and by cluster; an intron's values go along as
-    a list. Without named, clusters are not numbered and rows have no name.
+    Rows move by transcript, into ranges of places (where an intron's values are added up and the chains of a chromosome found) and by
+    cluster; an intron's values go along as a list, and of its exons the ends that it doesn't have itself. Without named, clusters are not
+    numbered and rows have no name.
     """
     listed = F.array_sort(F.collect_list(F.struct("sample", "value")))
     values = normalize_junction(quant).where("value > 0").groupBy("tx_id").agg(listed.alias("given")).select("tx_id", "given.sample", "given.value")
-    rows = A.introns_from_exons(exons).join(values, "tx_id", "left")
+    rows = A.introns_from_exons(exons, ends=True).join(values, "tx_id", "left")
+    return _psi_of(C.initial_clusters(_valued_places(rows), dealt=True), mode, cutoff, pct, min_total, named)
+
+
+def _valued_places(rows: DataFrame) -> DataFrame:
+    """Rows (chrom, start, stop, strand, lows, highs, sample, value), one a place with values, of the introns of transcripts with their lists sample and value; they lie in ranges of (chrom, start, stop)."""
     place, last = ["chrom", "start", "stop"], ["gene_id", "tx_id", "ord", "strand"]
-    moved = gather(rows.select(*place, *last, "left_exon", "right_exon", "sample", "value"), *place)
+    narrow, wanted = rows.select(*place, *last, "low", "high", "sample", "value"), shares(rows)
+    moved = narrow.repartitionByRange(wanted, *place) if wanted else narrow.repartitionByRange(*place)
     # A transcript's intron is one row for the place and one for each value, which are added up where they lie.
     kind = "struct<sample:string,value:double,here:boolean>"
     own = F.array(F.struct(F.lit(None).alias("sample"), F.lit(None).alias("value"), F.lit(True).alias("here")).cast(kind))
     given = F.coalesce(F.zip_with("sample", "value", lambda s, v: F.struct(s, v, F.lit(False)).cast(kind)), F.array().cast(f"array<{kind}>"))
     here = lambda c: F.when(F.col("x.here"), c)
-    each = moved.withColumn("x", F.explode(F.concat(own, given))).select(*place, "x.*", here(F.struct(*last)).alias("last"), here(F.array("left_exon", "right_exon")).alias("near"))
-    summed = each.groupBy(*place, "here", "sample").agg(F.sum("value").alias("value"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
+    each = moved.withColumn("x", F.explode(F.concat(own, given))).select(*place, "x.*", here(F.struct(*last)).alias("last"), here(F.col("low")).alias("low"), here(F.col("high")).alias("high"))
+    summed = each.groupBy(*place, "here", "sample").agg(F.sum("value").alias("value"), F.max("last").alias("last"), F.collect_set("low").alias("lows"), F.collect_set("high").alias("highs"))
     pairs = F.array_sort(F.collect_list(F.when(~F.col("here"), F.struct("sample", "value"))))
-    placed = summed.groupBy(*place).agg(pairs.alias("given"), F.max("last.strand").alias("strand"), F.max(F.when(F.col("here"), F.col("near"))).alias("exons"))
-    return _psi_of(placed.where(F.size("given") > 0), mode, cutoff, pct, min_total, named)
+    own = lambda c: F.max(F.when(F.col("here"), F.col(c))).alias(c)
+    placed = summed.groupBy(*place).agg(pairs.alias("given"), F.max("last.strand").alias("strand"), own("lows"), own("highs")).where(F.size("given") > 0)
+    strand = F.when(F.col("strand") == "+", "+").otherwise("-")  # never null, so no intron is sought that has none
+    return placed.select(*place, strand.alias("strand"), "lows", "highs", "given.sample", "given.value")
 
 
-def _psi_of(placed: DataFrame, mode: int, cutoff: float, pct: float, min_total: float, named: bool) -> DataFrame:
-    """Percent spliced in of introns (chrom, start, stop, strand, exons, given); names and counts are worked out again behind each shuffle, so they don't move."""
-    narrow = placed.select("chrom", "start", "stop", "strand", "exons", "given.sample", "given.value")
-    final = C.linked_and_refined(C.initial_clusters(materialize(narrow, "places")), cutoff, pct, mode, shares=True)
+def _psi_of(clusters: DataFrame, mode: int, cutoff: float, pct: float, min_total: float, named: bool) -> DataFrame:
+    """Percent spliced in of introns in initial clusters, with lists sample and value; names and counts are worked out again behind each shuffle, so they don't move."""
+    final = C.linked_and_refined(clusters, cutoff, pct, mode, shares=True)
     if named:
         final = C.number_clusters(materialize(final, "final"), min_total=min_total)
     else:
@@ -638,4 +646,5 @@ def pseudobulk_pipeline(cell_ec: DataFrame, ec_tx: DataFrame, cell_meta: DataFra
     listed = projected.groupBy("intron").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("given"))
     near = F.array_distinct(F.flatten(F.collect_set(F.array("left_exon", "right_exon"))))
     places = introns.groupBy("intron").agg(F.first("chrom").alias("chrom"), F.max_by("strand", F.struct("gene_id", "tx_id", "ord")).alias("strand"), F.first("start").alias("start"), F.first("stop").alias("stop"), near.alias("exons"))
-    return _psi_of(places.join(listed, "intron"), 3, 0.1, 0.01, 1.0, named=False).select("intron", "sample", "psi")
+    placed = places.join(listed, "intron").select("chrom", "start", "stop", "strand", "exons", "given.sample", "given.value")
+    return _psi_of(C.initial_clusters(materialize(placed, "places")), 3, 0.1, 0.01, 1.0, named=False).select("intron", "sample", "psi")

@@ -58,29 +58,29 @@ ADAPTERS = {
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
 
 
-#: TX_EXON with its windows over tx_id itself: rows move once for the view and for whatever goes by transcript after it.
+#: TX_EXON with its windows over tx_id itself: rows move once for the view and for whatever goes by transcript after it. The key is read from tx_id again behind the move.
 EXONS_BY_TX = """
 SELECT tx_id, 'g' || g AS gene_id, 'chr' || (g % 5 + 1) AS chrom, CASE WHEN g % 2 = 0 THEN '+' ELSE '-' END AS strand,
        CASE WHEN g % 2 = 0 THEN rn ELSE n + 1 - rn END AS exon_number, s AS start, s + 150 + (u % 2) * 50 AS stop
-FROM (SELECT tx_id, g, rn, n, u, g * 10000 + rn * 1000 + (p % 3) * 100 AS s
-      FROM (SELECT tx_id, CAST(floor(k / 8) AS BIGINT) AS g, p, u,
-                   row_number() OVER (PARTITION BY tx_id ORDER BY line, p, u) AS rn, count(*) OVER (PARTITION BY tx_id) AS n FROM {rows}) x) y"""
+FROM (SELECT *, g * 10000 + rn * 1000 + (p % 3) * 100 AS s
+      FROM (SELECT *, CAST(floor(CAST(substr(tx_id, 2) AS BIGINT) / 8) AS BIGINT) AS g
+            FROM (SELECT tx_id, p, u, row_number() OVER (PARTITION BY tx_id ORDER BY line, p, u) AS rn, count(*) OVER (PARTITION BY tx_id) AS n FROM {rows}) w) x) y"""
 
 
 def exons_by_transcript(lineitem: DataFrame) -> DataFrame:
     """The rows of TX_EXON, those of a transcript together."""
-    rows = lineitem.selectExpr("'t' || l_orderkey AS tx_id", "l_orderkey AS k", "l_partkey AS p", "l_suppkey AS u", "l_linenumber AS line")
+    rows = lineitem.selectExpr("'t' || l_orderkey AS tx_id", "l_partkey AS p", "l_suppkey AS u", "l_linenumber AS line")
     return lineitem.sparkSession.sql(EXONS_BY_TX, rows=spread(rows, "tx_id"))
 
 
 QUANT_BY_TX = """
-SELECT sample, tx_id, 200 + k % 1000 AS effective_length, CAST(sum(q) AS BIGINT) AS num_reads, CAST(sum(q) AS BIGINT) * 7 % 1000 + 1 AS tpm
-FROM {rows} GROUP BY sample, tx_id, k"""
+SELECT sample, tx_id, 200 + CAST(substr(tx_id, 2) AS BIGINT) % 1000 AS effective_length, num_reads, num_reads * 7 % 1000 + 1 AS tpm
+FROM (SELECT sample, tx_id, CAST(sum(q) AS BIGINT) AS num_reads FROM {rows} GROUP BY sample, tx_id) summed"""
 
 
 def quant_by_transcript(lineitem: DataFrame) -> DataFrame:
     """The rows of QUANT, those of a transcript together; an order has few rows a sample, so nothing is added up before they move."""
-    rows = lineitem.selectExpr("l_returnflag || l_linestatus AS sample", "'t' || l_orderkey AS tx_id", "l_orderkey AS k", "CAST(l_quantity AS BIGINT) AS q")
+    rows = lineitem.selectExpr("l_returnflag || l_linestatus AS sample", "'t' || l_orderkey AS tx_id", "CAST(l_quantity AS BIGINT) AS q")
     return lineitem.sparkSession.sql(QUANT_BY_TX, rows=gather(rows, "tx_id"))
 
 
