@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from introngrid.functions.scan import Ranges
 from introngrid.storage import materialize, shares, spread
@@ -65,7 +65,51 @@ def _local_chains(keys: list[str], start: str, stop: str, touching: bool):
     return run
 
 
-def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True, ranges: int | None = None, dealt: bool = False) -> DataFrame:
+def _packed(keys: list[str], start: str, stop: str, most: int):
+    """Rows of _local_chains() as one row for up to so many of a chain: its keys, first start and farthest stop, and the list rows of what they had beside the keys."""
+    told = ["__part", "__chain", "__first"]
+
+    def pack(table: pa.Table, turns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        heads = np.flatnonzero(turns)
+        size = np.diff(np.append(heads, table.num_rows))
+        pieces = -(-size // most)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        heads = np.repeat(heads, pieces) + nth * most
+        owner = pa.array(np.repeat(np.arange(len(heads)), np.diff(np.append(heads, table.num_rows))))
+        far = pa.table({"at": owner, "x": table.column(stop)}).group_by("at", use_threads=False).aggregate([("x", "max")]).column("x_max")
+        names = [c for c in table.column_names if c not in (*keys, *told)]
+        each = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in names], names)
+        rows = pa.ListArray.from_arrays(pa.array(np.append(heads, table.num_rows).astype(np.int32)), each)
+        firsts = table.select([*keys, start, *told]).take(pa.array(heads))
+        cut = firsts.select([*keys, start]).append_column(stop, far).append_column("rows", rows)
+        for name in told:
+            cut = cut.append_column(name, firsts.column(name))
+        yield from cut.to_batches(max_chunksize=max(1, 10_000 // (1 + table.num_rows // len(heads))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last chain so far, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            turns = np.zeros(table.num_rows, bool)
+            turns[0] = True
+            for name in (*keys, "__chain"):
+                code = table.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                turns[1:] |= code[1:] != code[:-1]
+            last = int(np.flatnonzero(turns)[-1])
+            held = table.slice(last) if table.num_rows - last < most else None
+            whole = last if held is not None else table.num_rows
+            if whole:
+                yield from pack(table.slice(0, whole), turns[:whole])
+        if held is not None:
+            yield from pack(held, np.arange(held.num_rows) == 0)
+
+    return run
+
+
+def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True, ranges: int | None = None, dealt: bool = False, most: int | None = None) -> DataFrame:
     """islands() for keys of any size, such as chromosomes: range partitions of a key are worked on side by side.
 
     Rows move once and are numbered where they lie, as if nothing reached in from before.
@@ -73,6 +117,7 @@ def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop",
     number of chains; chains that begin within that reach go with the last one of these. Only keys
     that lie in several partitions have such a row, and a partition has two such keys at most.
     Rows that are dealt lie in such ranges already, perhaps by the first keys, start and stop alone, and stay there.
+    With most, the result has one row for up to so many rows of a chain that lie together: keys, first start, farthest stop, out and the list rows of them.
     """
     keys = list(keys)
     by = [*keys, start, stop, *ties]
@@ -80,7 +125,14 @@ def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop",
     tied, tie = (df, []) if ties else (df.withColumn("__tie", F.monotonically_increasing_id()), ["__tie"])  # many equal rows split
     moved = tied if dealt else tied.repartitionByRange(wanted, *by, *tie) if wanted else tied.repartitionByRange(*by, *tie)
     schema = StructType([*df.schema.fields, StructField("__part", IntegerType()), StructField("__chain", LongType()), StructField("__first", df.schema[start].dataType)])
-    rows = materialize(moved.sortWithinPartitions(*by, *tie).select(*df.columns).mapInArrow(_local_chains(keys, start, stop, touching), schema), "islands")
+    work, columns = _local_chains(keys, start, stop, touching), df.columns
+    if most:
+        chains, pack, fields = work, _packed(keys, start, stop, most), {f.name: f for f in schema}
+        each = StructType([f for f in df.schema if f.name not in keys])
+        columns = [*keys, start, stop, "rows"]
+        schema = StructType([*[fields[c] for c in columns[:-1]], StructField("rows", ArrayType(each)), *schema.fields[-3:]])
+        work = lambda batches: pack(chains(batches))
+    rows = materialize(moved.sortWithinPartitions(*by, *tie).select(*df.columns).mapInArrow(work, schema), "islands")
     whole, earlier = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy("__part", *keys).agg(F.max(stop).alias("__top"), F.max("__chain").alias("__chains"))
     ends = ends.select("*", F.max("__top").over(earlier).alias("__reach"), F.count("*").over(whole).alias("__parts")).where("__parts > 1")
@@ -101,7 +153,7 @@ def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop",
     told = told.withColumn("__before", F.coalesce(F.sum(F.col("__chains") - F.col("__joined")).over(over), F.lit(0))).select("__at", *names.values(), "__joined", "__before")
     moved = rows.join(F.broadcast(told), same, "left")
     number = F.coalesce("__before", F.lit(0)) + F.greatest(F.col("__chain") - F.coalesce("__joined", F.lit(0)), F.lit(0))
-    return moved.select(*df.columns, number.alias(out))
+    return moved.select(*columns, number.alias(out))
 
 
 def merge_intervals(df: DataFrame, keys, start: str = "start", stop: str = "stop") -> DataFrame:

@@ -591,14 +591,14 @@ def gene_slices(counts: DataFrame, design: DataFrame, ec_genes: DataFrame) -> Da
 def psi_pipeline(quant: DataFrame, exons: DataFrame, mode: int = 3, cutoff: float = 0.1, pct: float = 0.01, min_total: float = 1.0, named: bool = True) -> DataFrame:
     """Rows (intron, name, sample, value, psi) from transcript quantification: normalize, project, cluster, link, refine, number, share.
 
-    Rows move by transcript, into ranges of places (where an intron's values are added up and the chains of a chromosome found) and by
-    cluster; an intron's values go along as a list, and of its exons the ends that it doesn't have itself. Without named, clusters are not
-    numbered and rows have no name.
+    Rows move by transcript and into ranges of places, where an intron's values are added up, the chains of a chromosome found and clusters
+    refined; only clusters that reach over a range's end move again. An intron's values go along as a list, and of its exons the ends that it
+    doesn't have itself. Without named, clusters are not numbered and rows have no name.
     """
     listed = F.array_sort(F.collect_list(F.struct("sample", "value")))
     values = normalize_junction(quant).where("value > 0").groupBy("tx_id").agg(listed.alias("given")).select("tx_id", "given.sample", "given.value")
     rows = A.introns_from_exons(exons, ends=True).join(values, "tx_id", "left")
-    return _psi_of(C.initial_clusters(_valued_places(rows), dealt=True), mode, cutoff, pct, min_total, named)
+    return _psi_of(C.refined_where_packed(C.packed_clusters(_valued_places(rows)), cutoff, pct, mode), min_total, named)
 
 
 def _valued_places(rows: DataFrame) -> DataFrame:
@@ -620,9 +620,8 @@ def _valued_places(rows: DataFrame) -> DataFrame:
     return placed.select(*place, strand.alias("strand"), "lows", "highs", "given.sample", "given.value")
 
 
-def _psi_of(clusters: DataFrame, mode: int, cutoff: float, pct: float, min_total: float, named: bool) -> DataFrame:
-    """Percent spliced in of introns in initial clusters, with lists sample and value; names and counts are worked out again behind each shuffle, so they don't move."""
-    final = C.linked_and_refined(clusters, cutoff, pct, mode, shares=True)
+def _psi_of(final: DataFrame, min_total: float, named: bool) -> DataFrame:
+    """Percent spliced in of introns in refined clusters, with lists sample, value and shares."""
     if named:
         final = C.number_clusters(materialize(final, "final"), min_total=min_total)
     else:
@@ -647,4 +646,4 @@ def pseudobulk_pipeline(cell_ec: DataFrame, ec_tx: DataFrame, cell_meta: DataFra
     near = F.array_distinct(F.flatten(F.collect_set(F.array("left_exon", "right_exon"))))
     places = introns.groupBy("intron").agg(F.first("chrom").alias("chrom"), F.max_by("strand", F.struct("gene_id", "tx_id", "ord")).alias("strand"), F.first("start").alias("start"), F.first("stop").alias("stop"), near.alias("exons"))
     placed = places.join(listed, "intron").select("chrom", "start", "stop", "strand", "exons", "given.sample", "given.value")
-    return _psi_of(C.initial_clusters(materialize(placed, "places")), 3, 0.1, 0.01, 1.0, named=False).select("intron", "sample", "psi")
+    return _psi_of(C.linked_and_refined(C.initial_clusters(materialize(placed, "places")), shares=True), 1.0, named=False).select("intron", "sample", "psi")
