@@ -66,25 +66,43 @@ def _local_chains(keys: list[str], start: str, stop: str, touching: bool):
 
 
 def _packed(keys: list[str], start: str, stop: str, most: int):
-    """Rows of _local_chains() as one row for up to so many of a chain: its keys, first start and farthest stop, and the list rows of what they had beside the keys."""
+    """Rows of _local_chains() as one row for several of a chain: its keys, first start and farthest stop, and the list rows of what they had beside the keys.
+
+    A row takes up to so many values, those in lists counted too, so one is never much larger than a batch of unpacked rows.
+    """
     told = ["__part", "__chain", "__first"]
 
+    def turns_of(table: pa.Table) -> np.ndarray:
+        turns = np.zeros(table.num_rows, bool)
+        turns[0] = True
+        for name in (*keys, "__chain"):
+            code = table.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            turns[1:] |= code[1:] != code[:-1]
+        return turns
+
+    def weight_of(table: pa.Table) -> np.ndarray:
+        weight = np.ones(table.num_rows, np.int64)
+        for column in table.columns:
+            if pa.types.is_list(column.type):
+                weight += pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+        return weight
+
     def pack(table: pa.Table, turns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        heads = np.flatnonzero(turns)
-        size = np.diff(np.append(heads, table.num_rows))
-        pieces = -(-size // most)
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        heads = np.repeat(heads, pieces) + nth * most
-        owner = pa.array(np.repeat(np.arange(len(heads)), np.diff(np.append(heads, table.num_rows))))
+        weight = weight_of(table)
+        before = np.cumsum(weight) - weight
+        first = np.maximum.accumulate(np.where(turns, np.arange(table.num_rows), 0))
+        piece = (before - before[first]) // most
+        heads = np.flatnonzero(turns | (piece != np.append(0, piece[:-1])))
+        ends = np.append(heads, table.num_rows)
+        owner = pa.array(np.repeat(np.arange(len(heads)), np.diff(ends)))
         far = pa.table({"at": owner, "x": table.column(stop)}).group_by("at", use_threads=False).aggregate([("x", "max")]).column("x_max")
         names = [c for c in table.column_names if c not in (*keys, *told)]
         each = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in names], names)
-        rows = pa.ListArray.from_arrays(pa.array(np.append(heads, table.num_rows).astype(np.int32)), each)
         firsts = table.select([*keys, start, *told]).take(pa.array(heads))
-        cut = firsts.select([*keys, start]).append_column(stop, far).append_column("rows", rows)
+        out = firsts.select([*keys, start]).append_column(stop, far).append_column("rows", pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each))
         for name in told:
-            cut = cut.append_column(name, firsts.column(name))
-        yield from cut.to_batches(max_chunksize=max(1, 10_000 // (1 + table.num_rows // len(heads))))
+            out = out.append_column(name, firsts.column(name))
+        yield from out.to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last chain so far, which may go on
@@ -93,14 +111,12 @@ def _packed(keys: list[str], start: str, stop: str, most: int):
                 continue
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table])
-            turns = np.zeros(table.num_rows, bool)
-            turns[0] = True
-            for name in (*keys, "__chain"):
-                code = table.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-                turns[1:] |= code[1:] != code[:-1]
+            turns = turns_of(table)
             last = int(np.flatnonzero(turns)[-1])
-            held = table.slice(last) if table.num_rows - last < most else None
-            whole = last if held is not None else table.num_rows
+            held = table.slice(last)
+            whole = last
+            if weight_of(held).sum() >= most:
+                held, whole = None, table.num_rows
             if whole:
                 yield from pack(table.slice(0, whole), turns[:whole])
         if held is not None:
@@ -109,7 +125,7 @@ def _packed(keys: list[str], start: str, stop: str, most: int):
     return run
 
 
-def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True, ranges: int | None = None, dealt: bool = False, most: int | None = None) -> DataFrame:
+def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop", ties=(), out: str = "island", touching: bool = True, ranges: int | None = None, dealt: bool = False, most: int | None = None, first=None) -> DataFrame:
     """islands() for keys of any size, such as chromosomes: range partitions of a key are worked on side by side.
 
     Rows move once and are numbered where they lie, as if nothing reached in from before.
@@ -117,7 +133,8 @@ def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop",
     number of chains; chains that begin within that reach go with the last one of these. Only keys
     that lie in several partitions have such a row, and a partition has two such keys at most.
     Rows that are dealt lie in such ranges already, perhaps by the first keys, start and stop alone, and stay there.
-    With most, the result has one row for up to so many rows of a chain that lie together: keys, first start, farthest stop, out and the list rows of them.
+    With most, rows of a chain that lie together are packed, up to so many values in one: keys, first start, farthest stop, the list rows of them, and out.
+    first is work on the sorted rows' Arrow batches that keeps their number, order and columns.
     """
     keys = list(keys)
     by = [*keys, start, stop, *ties]
@@ -125,13 +142,18 @@ def wide_islands(df: DataFrame, keys, start: str = "start", stop: str = "stop",
     tied, tie = (df, []) if ties else (df.withColumn("__tie", F.monotonically_increasing_id()), ["__tie"])  # many equal rows split
     moved = tied if dealt else tied.repartitionByRange(wanted, *by, *tie) if wanted else tied.repartitionByRange(*by, *tie)
     schema = StructType([*df.schema.fields, StructField("__part", IntegerType()), StructField("__chain", LongType()), StructField("__first", df.schema[start].dataType)])
-    work, columns = _local_chains(keys, start, stop, touching), df.columns
+    steps, columns = [*([first] if first else []), _local_chains(keys, start, stop, touching)], df.columns
     if most:
-        chains, pack, fields = work, _packed(keys, start, stop, most), {f.name: f for f in schema}
+        steps, fields = [*steps, _packed(keys, start, stop, most)], {f.name: f for f in schema}
         each = StructType([f for f in df.schema if f.name not in keys])
         columns = [*keys, start, stop, "rows"]
         schema = StructType([*[fields[c] for c in columns[:-1]], StructField("rows", ArrayType(each)), *schema.fields[-3:]])
-        work = lambda batches: pack(chains(batches))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
     rows = materialize(moved.sortWithinPartitions(*by, *tie).select(*df.columns).mapInArrow(work, schema), "islands")
     whole, earlier = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy("__part", *keys).agg(F.max(stop).alias("__top"), F.max("__chain").alias("__chains"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -598,26 +601,41 @@ def psi_pipeline(quant: DataFrame, exons: DataFrame, mode: int = 3, cutoff: floa
     listed = F.array_sort(F.collect_list(F.struct("sample", "value")))
     values = normalize_junction(quant).where("value > 0").groupBy("tx_id").agg(listed.alias("given")).select("tx_id", "given.sample", "given.value")
     rows = A.introns_from_exons(exons, ends=True).join(values, "tx_id", "left")
-    return _psi_of(C.refined_where_packed(C.packed_clusters(_valued_places(rows)), cutoff, pct, mode), min_total, named)
+    return _psi_of(C.refined_where_packed(C.packed_clusters(_valued_places(rows), first=_added_up), cutoff, pct, mode), min_total, named)
 
 
 def _valued_places(rows: DataFrame) -> DataFrame:
-    """Rows (chrom, start, stop, strand, lows, highs, sample, value), one a place with values, of the introns of transcripts with their lists sample and value; they lie in ranges of (chrom, start, stop)."""
+    """Rows (chrom, start, stop, strand, lows, highs, sample, value), one a place with values, of the introns of transcripts with their lists sample and value.
+
+    They lie in ranges of (chrom, start, stop). The lists of a place's transcripts follow each other, so a sample may come more than once: _added_up().
+    """
     place, last = ["chrom", "start", "stop"], ["gene_id", "tx_id", "ord", "strand"]
     narrow, wanted = rows.select(*place, *last, "low", "high", "sample", "value"), shares(rows)
     moved = narrow.repartitionByRange(wanted, *place) if wanted else narrow.repartitionByRange(*place)
-    # A transcript's intron is one row for the place and one for each value, which are added up where they lie.
-    kind = "struct<sample:string,value:double,here:boolean>"
-    own = F.array(F.struct(F.lit(None).alias("sample"), F.lit(None).alias("value"), F.lit(True).alias("here")).cast(kind))
-    given = F.coalesce(F.zip_with("sample", "value", lambda s, v: F.struct(s, v, F.lit(False)).cast(kind)), F.array().cast(f"array<{kind}>"))
-    here = lambda c: F.when(F.col("x.here"), c)
-    each = moved.withColumn("x", F.explode(F.concat(own, given))).select(*place, "x.*", here(F.struct(*last)).alias("last"), here(F.col("low")).alias("low"), here(F.col("high")).alias("high"))
-    summed = each.groupBy(*place, "here", "sample").agg(F.sum("value").alias("value"), F.max("last").alias("last"), F.collect_set("low").alias("lows"), F.collect_set("high").alias("highs"))
-    pairs = F.array_sort(F.collect_list(F.when(~F.col("here"), F.struct("sample", "value"))))
-    own = lambda c: F.max(F.when(F.col("here"), F.col(c))).alias(c)
-    placed = summed.groupBy(*place).agg(pairs.alias("given"), F.max("last.strand").alias("strand"), own("lows"), own("highs")).where(F.size("given") > 0)
-    strand = F.when(F.col("strand") == "+", "+").otherwise("-")  # never null, so no intron is sought that has none
-    return placed.select(*place, strand.alias("strand"), "lows", "highs", "given.sample", "given.value")
+    given = F.collect_list(F.when(F.col("sample").isNotNull(), F.struct("sample", "value")))
+    placed = moved.groupBy(*place).agg(F.max(F.struct(*last)).alias("last"), F.collect_set("low").alias("lows"), F.collect_set("high").alias("highs"), given.alias("given"))
+    strand = F.when(F.col("last.strand") == "+", "+").otherwise("-")  # never null, so no intron is sought that has none
+    lists = [F.flatten("given.sample").alias("sample"), F.flatten("given.value").alias("value")]
+    return placed.where(F.size("given") > 0).select(*place, strand.alias("strand"), "lows", "highs", *lists)
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the values of equal samples in a row's lists sample and value added up, in order of the sample."""
+    for batch in batches:
+        lists = batch.column("sample")
+        row, coded = pc.list_parent_indices(lists).to_numpy(), lists.flatten().dictionary_encode(null_encoding="encode")
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        key = row * len(order) + rank[coded.indices.to_numpy()]
+        if (key[1:] > key[:-1]).all():
+            yield batch
+            continue
+        each, at = np.unique(key, return_inverse=True)
+        ends = np.append(0, np.cumsum(np.bincount(each // len(order), minlength=batch.num_rows))).astype(np.int32)
+        sums = np.bincount(at, weights=batch.column("value").flatten().to_numpy(zero_copy_only=False))
+        new = {"sample": coded.dictionary.take(pa.array(order[each % len(order)])), "value": pa.array(sums)}
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), new[n]) if n in new else c for n, c in zip(batch.schema.names, batch.columns)], names=batch.schema.names)
 
 
 def _psi_of(final: DataFrame, min_total: float, named: bool) -> DataFrame:

@@ -27,8 +27,9 @@ def odd_tables(spark):
     return spark.createDataFrame(quant, "sample string, tx_id string, effective_length int, num_reads int, tpm int"), spark.createDataFrame(exons, "tx_id string, gene_id string, chrom string, strand string, exon_number int, start long, stop long")
 
 
-@pytest.mark.parametrize("mode", [1, 2, 3])
-def test_flagship_writes_places_once_and_without_names(spark, monkeypatch, mode):
+@pytest.mark.parametrize(("mode", "piece", "ranges"), [(1, 10_000, True), (2, 10_000, True), (3, 10_000, True), (3, 10_000, False), (3, 40, True)])
+def test_flagship_writes_places_once_and_moves_only_split_clusters(spark, monkeypatch, mode, piece, ranges):
+    """Clusters that reach over ranges, or all in one range; a small piece and small batches split the others too."""
     quant, exons = odd_tables(spark)
     introns = A.introns_from_exons(exons)
     counts = Q.normalize_junction(quant).join(introns.select("tx_id", "intron"), "tx_id").groupBy("intron", "sample").agg(F.sum("value").alias("value"))
@@ -41,11 +42,22 @@ def test_flagship_writes_places_once_and_without_names(spark, monkeypatch, mode)
     want = sorted(map(tuple, C.psi(final.join(counts, "intron")).select("intron", "sample", "psi").collect()))
 
     written, whole = [], windows.materialize
+    monkeypatch.setattr(C, "PIECE", piece)
     record = lambda df, label, *more: written.append((label, set(df.columns))) or whole(df, label, *more)
     for module in (windows, Q, C):
         monkeypatch.setattr(module, "materialize", record)
-    got = Q.psi_pipeline(quant, exons, mode, 5.0, 0.05, 30.0, named=False).select("intron", "sample", "psi")
-    assert sorted(map(tuple, got.collect())) == want and len(want) > 40
+    moved, by_cluster = [], C._by_cluster
+    monkeypatch.setattr(C, "_by_cluster", lambda rows: moved.append(rows.count()) or by_cluster(rows))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if piece < 100 else old)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(not ranges).lower())
+    try:
+        got = sorted(map(tuple, Q.psi_pipeline(quant, exons, mode, 5.0, 0.05, 30.0, named=False).select("intron", "sample", "psi").collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want and len(want) > 40
+    assert len(moved) == 1 and (moved[0] > 0) == ranges and (moved[0] < placed.count() or piece < 100)  # before: all places
     labels = [label for label, _ in written]
     assert "places" not in labels and labels.count("islands") == 1  # before: a table of places, and another with their chains
     assert not any({"exons", "intron"} & columns for _, columns in written)  # before: names of exons in both and behind each move
